@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from boardlake.llm import decontamination, simhash
+from boardlake.llm import decontamination, order_minhash, packing, pii, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_pii": pii.op2_pii,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op5_packing": packing.op5_packing,
+    "op7_order_minhash": order_minhash.op7_order_minhash,
     "op8_simhash": simhash.op8_simhash,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
