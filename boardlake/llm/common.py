@@ -101,11 +101,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a run of texts: hash, first byte and end of each, and the first word of each text."""
+    """The words of a run of texts: hash, first byte and end of each, the first word of each text, hashes of first bytes."""
 
-    __slots__ = ("hash", "start", "end", "doc", "lower", "stem")
+    __slots__ = ("hash", "start", "end", "doc", "lower", "stems")
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lut: np.ndarray = ALNUM, stem: int = 0):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lut: np.ndarray = ALNUM, stems: tuple[int, ...] = ()):
         self.lower = lc = lut[data]
         isw = lc != 0
         n = len(lc)
@@ -120,7 +120,8 @@ class Words:
         last[inner - 1] = isw[inner - 1]
         self.end = ends = np.flatnonzero(last) + 1
         self.doc = np.searchsorted(starts, offs)
-        self.hash = self.stem = np.zeros(0, np.uint64)
+        self.hash = np.zeros(0, np.uint64)
+        self.stems = [self.hash for _ in stems]
         if not len(starts):
             return
         lens = ends - starts
@@ -129,5 +130,4 @@ class Words:
         pos = np.arange(int(at[-1] + lens[-1]), dtype=np.int64) - np.repeat(at, lens)
         terms = _POW[pos & 511] * (lc[isw].astype(np.uint64) + (pos >> 9).astype(np.uint64) * np.uint64(257))
         self.hash = mix(np.add.reduceat(terms, at) + lens.astype(np.uint64))
-        if stem:
-            self.stem = mix(np.add.reduceat(np.where(pos < stem, terms, np.uint64(0)), at))
+        self.stems = [mix(np.add.reduceat(np.where(pos < n, terms, np.uint64(0)), at)) for n in stems]

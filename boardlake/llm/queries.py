@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boardlake.llm import decontamination, order_minhash, packing, pii, quality, simhash, toxicity, url_filter
+from boardlake.llm import decontamination, order_minhash, packing, pii, quality, simhash, token_counts, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_packing": packing.op5_packing,
+    "op6_token_files": token_files.op6_token_files,
     "op7_order_minhash": order_minhash.op7_order_minhash,
     "op8_simhash": simhash.op8_simhash,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality": quality.op10_quality,
 }
 

@@ -52,10 +52,13 @@ class _Ids(dict):
 
 
 class TokenIds:
-    def __init__(self, path: str):
+    """``plain``: the strings of special tokens in a text are ordinary text."""
+
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             self.make = _make(json.load(f))
         self.specials = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
@@ -83,14 +86,15 @@ class TokenIds:
         return b"".join(map(self.cache.__getitem__, own.findall(raw.translate(_LOWER) if self.make == "lowered" else raw)))
 
 
-_KEPT: dict[str, TokenIds] = {}
+_KEPT: dict[tuple[str, bool], TokenIds] = {}
 
 
-def token_ids(path: str) -> TokenIds:
-    """The worker's encoder for ``path``; kept between tasks."""
-    if path not in _KEPT:
-        _KEPT[path] = TokenIds(path)
-    return _KEPT[path]
+def token_ids(path: str, plain: bool = False) -> TokenIds:
+    """The worker's encoder for ``path``; kept between tasks, one at a time."""
+    if (path, plain) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path, plain] = TokenIds(path, plain)
+    return _KEPT[path, plain]
 
 
 def public_path(name: str) -> str:

@@ -1,6 +1,6 @@
 """Operator 3: toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the words, the words' first letters (inflected and misspelt forms share them), bigrams and skip-grams of a
+Features are the words, the words' first four to six bytes (inflected and misspelt forms share them), bigrams and skip-grams of a
 text, hashed to ``2^BITS`` places; each counts once a text. Training follows McMahan et al. (2013): every coordinate has
 its own rate, and L1 keeps most weights at zero, so the model is a small broadcast: at most ``2^BITS`` places.
 
@@ -27,24 +27,23 @@ from boardlake.llm.common import Words, held_out_bucket, mix, only, table, text_
 BITS = 20
 MOST_FIT = 8000
 THRESHOLD = 0.5
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 1.0, 1.0, 3
-_SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-STEM = 4
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.0, 4
+_SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)]
+#: Bytes of a word that its stems keep.
+STEMS = (4, 5, 6)
 
 
 def features(data: np.ndarray, offs: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(place, text) of every feature occurrence of a run of texts; place 0 is kept for the intercept."""
-    w = Words(data, offs, stem=STEM)
-    h, n = w.hash, len(w.hash)
+    w = Words(data, offs, stems=STEMS)
+    h = w.hash
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(w.doc))
-    places, docs = [], []
-    for kind, (value, rows) in enumerate(((h, doc), (w.stem, doc), (h[:-1] * _SALT[1] + h[1:], doc[:-1]), (h[:-2] * _SALT[2] + h[2:], doc[:-2]))):
-        gap = max(0, kind - 1)
-        if gap:
-            within = doc[:-gap] == doc[gap:] if n > gap else np.zeros(0, bool)
-            value, rows = value[within], rows[within]
-        places.append((mix(value ^ _SALT[3 - kind]) >> np.uint64(64 - bits)).astype(np.int64))
-        docs.append(rows)
+    found = [(h, doc), *[(x, doc) for x in w.stems]]
+    for gap in (1, 2):  # bigrams, and skip-grams over one word
+        within = doc[:-gap] == doc[gap:]
+        found.append(((h[:-gap] * _SALT[-gap] + h[gap:])[within], doc[:-gap][within]))
+    places = [(mix(x ^ salt) >> np.uint64(64 - bits)).astype(np.int64) for (x, _), salt in zip(found, _SALT, strict=True)]
+    docs = [d for _, d in found]
     place = np.concatenate(places)
     return np.where(place == 0, 1, place), np.concatenate(docs)
 
