@@ -29,7 +29,7 @@ _POS = (1 << 30) - 1
 
 
 def _high(x: Column) -> Column:
-    """What is packed above the position: 34 bits of a k-mer's hash."""
+    """What is packed above the position: 34 bits of a hash."""
     return F.shiftrightunsigned(x, 30)
 
 
@@ -38,35 +38,37 @@ def _slot(x: Column) -> Column:
 
 
 def _pos(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(_POS)).cast("int")
+    return x.bitwiseAND(F.lit(_POS))
 
 
 def signed(df: DataFrame, text: str, out: str, k: int = KMER) -> DataFrame:
     """``df`` with the signature of column ``text``: ascending slot << 32 | 32 bits of the tuple's hash, for filled slots."""
     keep = [F.col(c) for c in df.columns]
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    df = df.select(*keep, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+")).alias("_w"))
-    df = df.select(*keep, F.transform("_w", lambda w: F.xxhash64(w)).alias("_wh"))
-    whole = F.when(F.size("_wh") == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64("_wh")))
-    kmers = F.transform(F.slice("_wh", 1, F.size("_wh") - (k - 1)), lambda w, i: F.xxhash64(w, *[F.get("_wh", i + j) for j in range(1, k)]))
-    df = df.select(*keep, F.when(F.size("_wh") < k, whole).otherwise(kmers).alias("_h"))
-    # equal k-mers side by side, in text order
-    df = df.select(*keep, "_h", F.sort_array(F.transform("_h", lambda h, i: F.shiftleft(h, 30).bitwiseOR(i.cast("long")))).alias("_p"))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
+    df = df.select(*keep, words.alias("_w"))
+    # packed: a k-mer's hash above its position; sorted, so equal k-mers are side by side, in text order
+    packed = lambda h, i: F.shiftleft(h, 30).bitwiseOR(i.cast("long"))
+    whole = F.when(F.size("_w") == 0, F.array().cast("array<bigint>")).otherwise(F.array(packed(F.xxhash64("_w"), F.lit(0))))
+    kmers = F.transform(F.slice("_w", 1, F.size("_w") - (k - 1)), lambda w, i: packed(F.xxhash64(F.slice("_w", i + 1, k)), i))
+    df = df.select(*keep, F.sort_array(F.when(F.size("_w") < k, whole).otherwise(kmers)).alias("_p"))
 
     def item(x: Column, i: Column) -> Column:
+        """The hash of a k-mer and the number of equal ones before it: slot and rank, above the position."""
         same = lambda back: _high(F.get("_p", i - back)) == _high(x)
         steps = F.array(*[F.lit(1 << b) for b in range(29, -1, -1)])
         earlier = F.aggregate(steps, F.lit(0), lambda n, s: F.when((i - n - s >= 0) & same(n + s), n + s).otherwise(n))
-        g = F.xxhash64(F.get("_h", _pos(x)), F.when((i > 0) & same(F.lit(1)), earlier).otherwise(F.lit(0)))
-        return F.shiftleft(g, 58).bitwiseOR(F.shiftleft(F.shiftrightunsigned(g, 36), 30)).bitwiseOR(x.bitwiseAND(F.lit(_POS)))
+        g = F.xxhash64(_high(x), F.when((i > 0) & same(F.lit(1)), earlier).otherwise(F.lit(0)))
+        return F.shiftleft(g, 30).bitwiseOR(x.bitwiseAND(F.lit(_POS)))
 
-    df = df.select(*keep, "_h", F.sort_array(F.transform("_p", item)).alias("_s"))
-    df = df.select(*keep, "_h", F.filter("_s", lambda x, i: (i < 2) | (_slot(F.get("_s", i - 2)) != _slot(x))).alias("_t"))
+    df = df.select(*keep, F.sort_array(F.transform("_p", item)).alias("_s"))
+    df = df.select(*keep, F.filter("_s", lambda x, i: (i < 2) | (_slot(F.get("_s", i - 2)) != _slot(x))).alias("_t"))
 
     def slot(x: Column, i: Column) -> Column:
-        a, b = _pos(x), _pos(F.get("_t", i + 1))
-        two = F.xxhash64(F.get("_h", F.least(a, b)), F.get("_h", F.greatest(a, b)))
-        tuple_ = F.when(_slot(F.get("_t", i + 1)) == _slot(x), two).otherwise(F.xxhash64(F.get("_h", a)))
+        """A slot's one or two items in text order, hashed; null for its second item."""
+        y = F.get("_t", i + 1)
+        two = F.when(_pos(x) < _pos(y), F.xxhash64(_high(x), _high(y))).otherwise(F.xxhash64(_high(y), _high(x)))
+        tuple_ = F.when(_slot(y) == _slot(x), two).otherwise(F.xxhash64(_high(x)))
         first = (i == 0) | (_slot(F.get("_t", i - 1)) != _slot(x))
         return F.when(first, F.shiftleft(_slot(x), 32).bitwiseOR(F.shiftrightunsigned(tuple_, 32)))
 
