@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boardlake.plans import boards, quality_ops, registry, scalars, weekly  # noqa: F401  they register themselves
+from boardlake.plans import boards, more, quality_ops, registry, scalars, weekly  # noqa: F401  they register themselves
 
 
 def all_queries() -> dict[str, registry.Query]:

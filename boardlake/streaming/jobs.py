@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -64,8 +62,15 @@ def read_state(spark: SparkSession, state_path: str, version: int) -> DataFrame
     return spark.read.parquet(f"{state_path}/v={version}") if version >= 0 else None
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str, checkpoint: str, after: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """Run a stream over what is there now and give its result; for small results."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there now, write every batch's result under a version, and read the last one."""
+    last = {"v": -1}
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        last["v"] = batch_id
+
+    q = df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return after(df.sparkSession.table(name))
+    spark = df.sparkSession
+    return spark.read.parquet(f"{path}/v={last['v']}") if last["v"] >= 0 else spark.createDataFrame([], df.schema)
