@@ -156,7 +156,7 @@ def stream(spark, d):
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("player"), F.col("event_type").alias("metric"), F.round(F.col("value") * 100).cast("long").alias("value"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("event_id").cast("string").alias("ref"), r.period().alias("period"))
 
 
-@query("st1_stream_current", " SELECT period, player, event_type AS metric, arg_max(value, row(observed_at, value, ref)) AS value FROM obs JOIN events ON event_id = id GROUP BY 1, 2, 3")
+@query("st1_stream_current", " SELECT period, player, event_type AS metric, arg_max(value, row(observed_at, value, ref)) AS value FROM obs JOIN (SELECT event_id, event_type FROM events) ON event_id = id GROUP BY 1, 2, 3")
 def stream_current(spark, d):
     path = scratch(spark, "state")
     jobs.upsert_stream(stream(spark, d), path, scratch(spark, "stream")).awaitTermination()
@@ -167,7 +167,7 @@ def stream_current(spark, d):
     return versions.filter(F.col("v") == newest).select(*KEYS, "value")
 
 
-@query("st2_idempotent_ingest", " SELECT DISTINCT player % 20 AS ws, event_type AS scope, player || '-' || (value % 50) AS key FROM obs JOIN events ON event_id = id")
+@query("st2_idempotent_ingest", " SELECT DISTINCT player % 20 AS ws, event_type AS scope, player || '-' || (value % 50) AS key FROM obs JOIN (SELECT event_id, event_type FROM events) ON event_id = id")
 def idempotent(spark, d):
     s = stream(spark, d).select((F.col("player") % 20).alias("ws"), F.col("metric").alias("scope"), F.concat_ws("-", "player", (F.col("value") % 50)).alias("key"), F.col("observed_at").alias("at"))
     return jobs.run_to_table(jobs.once(s), scratch(spark, "once"), scratch(spark, "stream"), "append").select("ws", "scope", "key")
@@ -179,13 +179,13 @@ def conflicts(spark, d):
     return jobs.key_conflicts(o)
 
 
-@query("st3_stream_weekly", " SELECT strftime(date_trunc('week', observed_at + INTERVAL 180 MINUTE) - INTERVAL 180 MINUTE, '%Y-%m-%d %H:%M') AS week_start, player, event_type AS metric, max(value_c) AS value, count(*) AS n FROM (SELECT id, player, observed_at, value AS value_c FROM obs) JOIN events ON event_id = id GROUP BY 1, 2, 3")
+@query("st3_stream_weekly", " SELECT strftime(date_trunc('week', observed_at + INTERVAL 180 MINUTE) - INTERVAL 180 MINUTE, '%Y-%m-%d %H:%M') AS week_start, player, event_type AS metric, max(value_c) AS value, count(*) AS n FROM (SELECT id, player, observed_at, value AS value_c FROM obs) JOIN (SELECT event_id, event_type FROM events) ON event_id = id GROUP BY 1, 2, 3")
 def stream_weekly(spark, d):
     out = jobs.run_to_table(jobs.weekly(stream(spark, d), 180), scratch(spark, "weekly"), scratch(spark, "stream"))
     return out.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd HH:mm"))
 
 
-@query("st4_stream_progress", """, l AS (SELECT player AS job, id % 400 AS task, arg_max(event_type, row(observed_at, id)) AS t FROM obs JOIN events ON event_id = id GROUP BY 1, 2), s AS (SELECT job, CASE t WHEN 'click' THEN 'QUEUED' WHEN 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS s FROM l)
+@query("st4_stream_progress", """, l AS (SELECT player AS job, id % 400 AS task, arg_max(event_type, row(observed_at, id)) AS t FROM obs JOIN (SELECT event_id, event_type FROM events) ON event_id = id GROUP BY 1, 2), s AS (SELECT job, CASE t WHEN 'click' THEN 'QUEUED' WHEN 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS s FROM l)
 SELECT job, count(*) AS total, count(*) FILTER (s <> 'QUEUED') AS processed, CASE WHEN count(*) FILTER (s = 'QUEUED') > 0 AND count(*) FILTER (s <> 'QUEUED') > 0 THEN 'PROCESSING' WHEN count(*) FILTER (s = 'QUEUED') > 0 THEN 'QUEUED' WHEN count(*) FILTER (s = 'FAILED') = count(*) THEN 'FAILED' ELSE 'REVIEW' END AS job_status FROM s GROUP BY 1""")
 def stream_progress(spark, d):
     from boardlake.operators.ops import job_progress
