@@ -147,3 +147,24 @@ def consistent_fields(ranked: DataFrame, top: int = 3, penalty: float = 0.25) ->
     total = F.round(F.col("s_kp") + F.col("s_t4") + F.col("s_t5") - F.when(F.col("kp") < F.col("t4") + F.col("t5"), penalty).otherwise(0.0), 6)
     best = combos.groupBy("ext").agg(F.max_by(F.struct("kp", "t4", "t5", total.alias("total")), F.struct(total, F.col("kp"), F.col("t4"), F.col("t5"))).alias("b"))
     return best.select("ext", "b.*")
+
+
+RAW_RANKING = "struct<archetype:string,failureReasons:array<string>,rows:array<struct<rank:string,name:string,metric:string,confidence:double>>>"
+
+
+def ranking_payload(runs: DataFrame, least: float = 70.0) -> DataFrame:
+    """(run, payload JSON) -> typed rows: digits of the metric, printable name, valid rank, percent confidence. Rows
+    without a name or a metric go. Adds the archetype (inferred where it is missing), the reasons of failure (distinct, and
+    ``no-rows`` without any row) and the flag for low confidence."""
+    from boardlake.functions.text import archetype, valid_rank
+
+    p = runs.select("run", F.from_json("payload", RAW_RANKING).alias("p"))
+    name = lambda r: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(r["name"], F.lit("")), "[^\\x20-\\x7E]", " "), r"\s+", " "))
+    digits = lambda r: F.regexp_replace(F.coalesce(r["metric"], F.lit("")), "[^0-9]", "")
+    typed = F.transform(F.coalesce("p.rows", F.array().cast("array<struct<rank:string,name:string,metric:string,confidence:double>>")), lambda r: F.struct(valid_rank(r["rank"].try_cast("double")).alias("rank"), name(r).alias("name"), digits(r).alias("metric"), percent(r["confidence"]).alias("confidence")))
+    rows = F.filter(typed, lambda r: (r["name"] != "") & (r["metric"] != ""))
+    p = p.withColumn("rows", rows)
+    kind = archetype(F.coalesce("p.archetype", F.when(F.size("rows") > 0, "ranking")))
+    reasons = F.array_distinct(F.array_compact(F.concat(F.coalesce("p.failureReasons", F.array().cast("array<string>")), F.array(F.when(F.size("rows") == 0, "no-rows")))))
+    low = F.exists("rows", lambda r: r["confidence"] < least) | (F.size(reasons) > 0)
+    return p.select("run", kind.alias("archetype"), F.array_join(reasons, ",").alias("reasons"), low.alias("low_confidence"), F.posexplode_outer("rows").alias("at", "r")).select("run", "archetype", "reasons", "low_confidence", "at", "r.*")

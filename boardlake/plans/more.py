@@ -209,3 +209,14 @@ def drained(spark, d):
 def workspace_tasks(spark, d):
     n = r.boards(spark, d).groupBy("type", "status").agg(F.count("*").alias("n"))
     return n.withColumn("place", F.rank().over(Window.partitionBy("type").orderBy(F.desc("n"), "status")))
+
+
+@query("p30_ranking_payload", """, x AS (SELECT run, pos, source_rank, name, digits, CASE WHEN confidence > 100 THEN 100 ELSE confidence END AS c FROM captured WHERE run % 10 = 3), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY pos) - 1 AS "at" FROM x WHERE digits <> ''),
+g AS (SELECT run, count(*) FILTER (digits <> '') AS n, bool_or(c < 70) FILTER (digits <> '') AS low FROM x GROUP BY 1)
+SELECT g.run, CASE WHEN n > 0 THEN 'ranking_board' ELSE 'unknown' END AS archetype, CASE WHEN g.run % 4 = 3 THEN 'blur' || CASE WHEN n = 0 THEN ',no-rows' ELSE '' END WHEN n = 0 THEN 'no-rows' ELSE '' END AS reasons, coalesce(low, false) OR g.run % 4 = 3 OR n = 0 AS low_confidence, CAST("at" AS INTEGER) AS "at", source_rank AS rank, name, digits AS metric, CAST(c AS DOUBLE) AS confidence FROM g LEFT JOIN k USING (run)""")
+def ranking_payload(spark, d):
+    c = r.captured(spark, d).filter("run % 10 = 3")
+    row = F.struct("pos", F.struct(F.col("source_rank").cast("string").alias("rank"), F.concat(F.lit(" "), "name", F.lit("é")).alias("name"), F.concat(F.lit("p"), "digits").alias("metric"), "confidence").alias("r"))
+    rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("rows")
+    runs = c.groupBy("run").agg(rows).select("run", F.to_json(F.struct(F.when(F.col("run") % 4 == 3, F.array(F.lit("blur"), F.lit("blur"))).alias("failureReasons"), "rows")).alias("payload"))
+    return quality.ranking_payload(runs)

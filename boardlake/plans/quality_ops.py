@@ -306,3 +306,15 @@ def run_quality(spark, d):
 
     c = r.captured(spark, d).select("run", F.col("confidence").alias("name_conf"), (F.col("value") % 100).alias("metric_conf"), (F.col("value") % 50).alias("title_conf"), (F.col("pos") % 3 > 0).alias("grouping_ok"), (F.col("name") == "Kill Points").alias("failed"))
     return run(c).select("run", F.floor(F.col("confidence") * 100 + 0.31415926).cast("long").alias("hundredths"), "low_confidence")
+
+
+@query("j5_exact_matches", NAMES_SQL + " SELECT query, player, 'alias' AS source FROM qs JOIN reg ON query = key UNION ALL SELECT query, player, 'name' FROM qs JOIN reg ON lower('~' || key) = lower(query)")
+def exact_matches(spark, d):
+    reg, q = registered(spark, d)
+    players = reg.select("player", F.concat(F.lit("~"), "key").alias("name"), "key")
+    return identity.exact_matches(q.withColumn("key", F.col("query")), players, reg.select(F.col("key").alias("alias_key"), "player")).select("query", "player", "source")
+
+
+@query("f7_trailing_days", EXT_SQL + " SELECT id FROM ext WHERE created_at >= TIMESTAMP '2024-01-20'")
+def trailing(spark, d):
+    return extractions(spark, d).filter(F.col("created_at") >= F.lit("2024-01-20").cast("timestamp")).select("id")

@@ -195,3 +195,31 @@ def timeline(spark, d):
 
     s = r.snapshots(spark, d).withColumnRenamed("at", "event")
     return run(s, periods(spark, d).select(F.col("period").alias("event"), F.col("starts_at").alias("at"))).select("player", F.col("event").alias("at"), "place", "power_change")
+
+
+@query("a1_weekly_resets", " SELECT period, player, coalesce(max(CASE metric WHEN 'contribution_points' THEN value END), 0) AS contribution, coalesce(max(CASE metric WHEN 'fort_destroying' THEN value END), 0) AS fort FROM obs GROUP BY 1, 2")
+def resets(spark, d):
+    known = r.observations(spark, d).select("period", "player").distinct()
+    return metrics(spark, d).join(known, ["period", "player"], "left_semi").select("period", "player", "contribution", "fort")
+
+
+@query("a2_progressive_metrics", WEEKLY_SQL + "SELECT period, player, kp, power FROM m")
+def progressive(spark, d):
+    return metrics(spark, d).select("period", "player", "kp", "power")
+
+
+@query("j4_growth", WEEKLY_SQL + "SELECT period, player, power_growth, kp_growth FROM g")
+def grown(spark, d):
+    return activity.growth(metrics(spark, d), periods(spark, d)).select("period", "player", "power_growth", "kp_growth")
+
+
+@query("a3_statuses", WEEKLY_SQL + "SELECT s1 AS contribution, s2 AS fort, s3 AS power_growth, s4 AS kp_growth, overall, count(*) AS n FROM sc GROUP BY ALL")
+def statuses(spark, d):
+    keys = [F.col(f"status_{m}").alias(m) for m in activity.METRICS]
+    return scored(spark, d).groupBy(*keys, "overall").agg(F.count("*").alias("n"))
+
+
+@query("j9_standards", WEEKLY_SQL + "SELECT player, min_contribution, min_fort, min_power_growth, min_kp_growth FROM players JOIN std USING (alliance)")
+def with_standards(spark, d):
+    zero = r.players(spark, d).select("player", "alliance", *[F.lit(0).cast("long").alias(m) for m in activity.METRICS])
+    return activity.scored(zero, standards(spark, d)).select("player", *[f"min_{m}" for m in activity.METRICS])

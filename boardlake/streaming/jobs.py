@@ -63,7 +63,8 @@ def read_state(spark: SparkSession, state_path: str, version: int) -> DataFrame
 
 
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now, write every batch's result under a version, and read the last one."""
+    """Run a stream over what is there now, write every batch's result under a version, and read the last one (of a stream
+    that appends: all of them)."""
     last = {"v": -1}
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -73,4 +74,6 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "complet
     q = df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     spark = df.sparkSession
-    return spark.read.parquet(f"{path}/v={last['v']}") if last["v"] >= 0 else spark.createDataFrame([], df.schema)
+    if last["v"] < 0:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.parquet(path).drop("v") if mode == "append" else spark.read.parquet(f"{path}/v={last['v']}")
