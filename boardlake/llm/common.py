@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where none is named."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        path = _own_dir[0]
     return path.rstrip("/")
 
 
