@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_own_dir: list[str] = []
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; below a local folder of our own only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        base = _own_dir[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
