@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from boardlake.functions.ranks import numbered
+
 
 def exact_duplicates(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Each run with the newest earlier run of the same keys, if there is one."""
@@ -16,13 +18,13 @@ def exact_duplicates(runs: DataFrame, keys: list[str]) -> DataFrame:
 def near_duplicates(items: DataFrame, runs: DataFrame, back: int = 8, least: float = 0.9) -> DataFrame:
     """(run, other, similarity): Jaccard of the item sets of a run and one of the ``back`` runs before it on its board.
 
-    ``items``: run, item; ``runs``: run, board, created_at. Runs are numbered within boards, so the join on (board, item)
+    ``items``: run, item; ``runs``: run, board, created_at. Runs are numbered within boards (over ranges, so a hot board is
+    not one task), and the join on (board, item)
     keeps only pairs at most ``back`` apart. Bands of numbers bound the join: a run meets its own band and the one before.
     Per run the best similarity, the newest on ties.
     """
-    nth = F.row_number().over(Window.partitionBy("board").orderBy("created_at", "run"))
-    numbered = runs.select("run", "board", nth.alias("nth"))
-    sets = items.select("run", "item").distinct().join(numbered, "run")
+    places = numbered(runs.select("run", "board", "created_at"), ["board"], ["created_at", "run"]).drop("created_at")
+    sets = items.select("run", "item").distinct().join(places, "run")
     sizes = sets.groupBy("run").agg(F.count("*").alias("size"))
     new = sets.select("board", "item", F.col("run").alias("new"), F.col("nth").alias("n1"), F.explode(F.array(F.expr(f"nth div {back}"), F.expr(f"nth div {back} - 1"))).alias("band"))
     old = sets.select("board", "item", F.col("run").alias("other"), F.col("nth").alias("n0"), F.expr(f"nth div {back}").alias("band"))

@@ -220,3 +220,10 @@ def ranking_payload(spark, d):
     rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("rows")
     runs = c.groupBy("run").agg(rows).select("run", F.to_json(F.struct(F.when(F.col("run") % 4 == 3, F.array(F.lit("blur"), F.lit("blur"))).alias("failureReasons"), "rows")).alias("payload"))
     return quality.ranking_payload(runs)
+
+
+@query("s1_scoped_read", " SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def scoped(spark, d):
+    from boardlake.sources.tables import read_table
+
+    return read_table(spark, f"{d}/customer.parquet", workspace="BUILDING", scope="c_mktsegment").select("c_custkey", "c_name")

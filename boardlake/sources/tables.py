@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | None = None, workspace: str | None = None, fmt: str = "parquet", **options: str) -> DataFrame:
-    """A table of any format Spark reads (parquet, orc, csv, json, jdbc); the workspace filter reaches the scan."""
+def read_table(spark: SparkSession, path: str, schema: StructType | None = None, workspace: str | None = None, scope: str = "workspace_id", fmt: str = "parquet", **options: str) -> DataFrame:
+    """A table of any format Spark reads (parquet, orc, csv, json, jdbc); the filter on ``scope`` reaches the scan."""
     reader = spark.read.format(fmt).options(**options)
     df = (reader.schema(schema) if schema is not None else reader).load(path)
-    return df.filter(F.col("workspace_id") == workspace) if workspace is not None else df
+    return df.filter(F.col(scope) == workspace) if workspace is not None else df
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:

@@ -136,3 +136,24 @@ def test_context_pack_keeps_critical(spark):
     df = spark.createDataFrame(rows, "pack bigint, place bigint, content string, summary string, critical boolean, priority int, budget int")
     out = vectorized.pack_context(df).collect()
     assert [(r.place, r.how) for r in out] == [(1, "clipped")] and sum(r.tokens for r in out) <= 60
+
+
+def test_numbers_over_ranges(spark):
+    from boardlake.functions.ranks import numbered
+
+    rows = [(g, i) for g, n in (("hot", 500), ("a", 3), (None, 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int").repartition(5)
+    got = {(r.g, r.i): r.nth for r in numbered(df, ["g"], ["i"]).collect()}
+    assert got == {(g, i): i + 1 for g, i in rows}
+
+
+def test_stable_ranking_does_not_depend_on_row_order(spark):
+    import random
+
+    rows = [(1, str(i), i // 3 % 5, [None, 1, 2][i % 3], f"n{i % 4}") for i in range(60)]
+    schema = "g int, id string, value bigint, source_rank int, name string"
+    runs = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        runs.append(sorted(map(tuple, ranking.stable_ranking(spark.createDataFrame(rows, schema), ["g"]).collect()), key=lambda r: r[5]))
+    assert runs[0] == runs[1]
