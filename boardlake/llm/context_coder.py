@@ -2,11 +2,10 @@
 
 A block is coded by itself: all its state starts afresh. Per id, three models predict. Order 2 and order 1 each name the
 id that last followed the same two ids or the same id (``SLOTS`` hashed slots), with a confidence; order 0 holds an
-adaptive distribution of the size of an id. Whether the order-2 prediction holds is one binary decision, whose probability
-mixes, in the logistic domain and with weights that learn, what both predictions' confidences say; where it fails and
-order 1 names another id, that is the next decision; only then is the id spelt by order 0: its size, then its binary
-digits. Everything is integer arithmetic, so a decoder on another machine makes the same decisions. Numpy runs the blocks
-in step, one lane for each.
+adaptive distribution of the size of an id. The share of the code that the order-2 prediction gets mixes, in the logistic
+domain and with weights that learn, what both predictions' confidences say; of the rest order 1 gets a share where it
+names another id; what is left spells the id by order 0: its size, then its binary digits. Everything is integer
+arithmetic, so a decoder on another machine makes the same decisions. Numpy runs the blocks in step, one lane for each.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-SLOTS = 512
+SLOTS = 256
 MAGIC = b"ACM1"
 _TOTAL_BITS, _TOTAL = 15, 1 << 15
 _MASK48, _MASK32 = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1)
@@ -28,8 +27,9 @@ _LOW_RANGE = np.uint64(1 << 32)
 _STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int32)
 _SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 16, 4080).astype(np.int32)
 #: Where the distribution moves after each digit; every digit keeps a share.
-_MOVE = np.array([[0] + [i if i <= s else _TOTAL - 16 + i for i in range(1, 16)] + [_TOTAL] for s in range(16)], np.int32)
-_EVEN = np.arange(17, dtype=np.int32) * (_TOTAL // 16)
+_SIZE_BITS = 14
+_MOVE = np.array([[0] + [i if i <= s else (1 << _SIZE_BITS) - 16 + i for i in range(1, 16)] + [1 << _SIZE_BITS] for s in range(16)], np.int16)
+_EVEN = (np.arange(17) << (_SIZE_BITS - 4)).astype(np.int16)
 _BIT_LENGTH = np.array([i.bit_length() for i in range(1 << 16)], np.int32)
 #: By class: binary digits that follow, and the least id.
 _TAIL, _LEAST = np.array([1, *range(1, 16)], np.int32), np.array([0, *(1 << i for i in range(1, 16))], np.int32)
@@ -71,31 +71,31 @@ class _Model:
         self.one, self.two = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # id << 2 | confidence
         self.at1, self.prev = self.base, np.zeros(lanes, np.int64)
         self.mixed = _Mixed(lanes)
-        self.single = np.full(lanes * 16, 2048, np.int32)
+        self.singles, self.single = self.lane * 16, np.full(lanes * 16, 2048, np.int32)
         self.sizes = np.tile(_EVEN, (lanes, 1))
 
-    def first(self) -> np.ndarray:
-        """Probability, of 4096, that the order-2 prediction holds."""
-        self.at2 = self.base + (((self.prev >> 16) * 0x2F0B + (self.prev & 0xFFFF) * 0x6A2D1) >> 3) % SLOTS
-        v1, v2 = self.one.take(self.at1), self.two.take(self.at2)
-        self.id1, self.id2, self.c1, self.c2 = v1 >> 2, v2 >> 2, v1 & 3, v2 & 3
-        self.agree = self.id1 == self.id2
-        return self.mixed.predict(self.c2, self.c1 + 4 * self.agree)
-
-    def second(self, lanes: np.ndarray) -> np.ndarray:
-        """The same of the order-1 prediction, where it differs and order 2 failed."""
-        self.at = lanes * 16 + (self.c1.take(lanes) * 4 + self.c2.take(lanes))
+    def split(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where, of ``_TOTAL``, the shares of the order-2 and of the order-1 prediction end."""
+        self.at2 = self.base + (((self.prev >> 16) * 0x2F0B + (self.prev & 0xFFFF) * 0x6A2D1 >> 3) & SLOTS - 1)
+        self.v1, self.v2 = self.one.take(self.at1), self.two.take(self.at2)
+        self.id1, self.id2, self.c1, self.c2 = self.v1 >> 2, self.v2 >> 2, self.v1 & 3, self.v2 & 3
+        self.differ = self.id1 != self.id2
+        first = self.mixed.predict(self.c2, self.c1 + (self.differ << 2)).astype(np.int64) << 3
+        self.at = self.singles + ((self.c1 << 2) + self.c2)
         self.was = self.single.take(self.at)
-        return np.minimum(np.maximum(self.was, 16), 4080)
-
-    def learn_second(self, bit: np.ndarray) -> None:
-        self.single[self.at] = self.was + ((bit.astype(np.int32) * 4095 - self.was) >> 4)
-
-    def learn(self, ids: np.ndarray) -> None:
-        for table, at, was, conf in ((self.one, self.at1, self.id1, self.c1), (self.two, self.at2, self.id2, self.c2)):
-            table[at] = np.where(was == ids, (was << 2) + np.minimum(conf + 1, 3), np.where(conf > 1, (was << 2) + (conf - 2), ids << 2))
+        share = np.minimum(np.maximum(self.was, 16), 4080) * self.differ
+        return first, first + ((_TOTAL - first) * share >> 12)
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """``hit2``: the order-2 prediction held; ``hit1``: it did not, and that of order 1 did."""
+        self.mixed.learn(hit2)
+        asked = self.differ & ~hit2
+        self.single[self.at] = self.was + (((hit1.astype(np.int32) * 4095 - self.was) >> 4) * asked)
+        new = (ids << 2).astype(np.int32)
+        for table, at, v, conf, same in ((self.one, self.at1, self.v1, self.c1, hit1 | (hit2 & ~self.differ)), (self.two, self.at2, self.v2, self.c2, hit2)):
+            table[at] = np.where(same, v + (conf < 3), np.where(conf > 1, v - 2, new))
         self.prev = ((self.prev & 0xFFFF) << 16) + ids
-        self.at1 = self.base + (ids * 0x9E3B >> 4) % SLOTS
+        self.at1 = self.base + ((ids * 0x9E3B >> 4) & SLOTS - 1)
 
 
 def _size_class(ids: np.ndarray) -> np.ndarray:
@@ -108,29 +108,31 @@ class _Encoder:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
         self.out, self.n = np.zeros((lanes, BLOCK * 2), np.uint32), np.ones(lanes, np.int64)  # place 0 takes no digit
 
-    def put(self, lanes: np.ndarray | None, cum: np.ndarray, freq: np.ndarray) -> None:
-        r = (self.range if lanes is None else self.range.take(lanes)) >> _U[_TOTAL_BITS]
-        low = (self.low if lanes is None else self.low.take(lanes)) + r * cum.astype(np.uint64)
-        rng = r * freq.astype(np.uint64)
+    def put(self, lanes: np.ndarray | None, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
+        """Narrow the lanes (all of them, if None) to the share [cum, cum + freq) of 2^bits."""
+        r = (self.range if lanes is None else self.range.take(lanes)) >> _U[bits]
+        low = (self.low if lanes is None else self.low.take(lanes)) + r * cum.view(np.uint64)
+        rng = r * freq.view(np.uint64)
         over = np.flatnonzero(low > _MASK48)
         if len(over):  # carries are settled at the end
             where = over if lanes is None else lanes[over]
             self.out[where, self.n[where] - 1] += 1
             low[over] &= _MASK48
         short = np.flatnonzero(rng < _LOW_RANGE)
-        if len(short):
+        while len(short):
             where = short if lanes is None else lanes[short]
-            self.out[where, self.n[where]] = low[short] >> _U[32]
+            x, y = low[short], rng[short] << _U[16]
+            self.out[where, self.n[where]] = x >> _U[32]
             self.n[where] += 1
-            low[short] = (low[short] & _MASK32) << _U[16]
-            rng[short] <<= _U[16]
+            low[short], rng[short] = (x & _MASK32) << _U[16], y
+            short = short[y < _LOW_RANGE]
         if lanes is None:
             self.low, self.range = low, rng
         else:
             self.low[lanes], self.range[lanes] = low, rng
 
     def room(self) -> None:
-        if self.n.max() + 12 > self.out.shape[1]:
+        if self.n.max() + 8 > self.out.shape[1]:
             self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
 
     def finish(self) -> list[bytes]:
@@ -154,20 +156,22 @@ class _Decoder:
         self.code = (self.data[:, 0] << _U[32]) | (self.data[:, 1] << _U[16]) | self.data[:, 2]
         self.range, self.n = np.full(lanes, (1 << 48) - 1, np.uint64), np.full(lanes, 3, np.int64)
 
-    def value(self, lanes: np.ndarray | None) -> np.ndarray:
-        self.r = (self.range if lanes is None else self.range.take(lanes)) >> _U[_TOTAL_BITS]
+    def value(self, lanes: np.ndarray | None, bits: int) -> np.ndarray:
+        """Where, of 2^bits, the lanes' codes are."""
+        self.r = (self.range if lanes is None else self.range.take(lanes)) >> _U[bits]
         self.now = self.code if lanes is None else self.code.take(lanes)
-        return np.minimum(self.now // self.r, np.uint64(_TOTAL - 1)).astype(np.int32)
+        return np.minimum(self.now // self.r, np.uint64((1 << bits) - 1)).view(np.int64)
 
     def take(self, lanes: np.ndarray | None, cum: np.ndarray, freq: np.ndarray) -> None:
-        code, rng = self.now - self.r * cum.astype(np.uint64), self.r * freq.astype(np.uint64)
+        code, rng = self.now - self.r * cum.view(np.uint64), self.r * freq.view(np.uint64)
         short = np.flatnonzero(rng < _LOW_RANGE)
-        if len(short):
+        while len(short):
             where = short if lanes is None else lanes[short]
             at = np.minimum(self.n[where], self.data.shape[1] - 1)
-            code[short] = (code[short] << _U[16]) | self.data[where, at]
+            y = rng[short] << _U[16]
+            code[short], rng[short] = (code[short] << _U[16]) | self.data[where, at], y
             self.n[where] += 1
-            rng[short] <<= _U[16]
+            short = short[y < _LOW_RANGE]
         if lanes is None:
             self.code, self.range = code, rng
         else:
@@ -187,30 +191,23 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     model, coder = _Model(lanes), _Encoder(lanes)
     for t in range(min(BLOCK, len(ids))):
         x = columns[t]
-        p = model.first() << 3
-        hit = x == model.id2
-        coder.put(None, np.where(hit, 0, p), np.where(hit, p, _TOTAL - p))
-        model.mixed.learn(hit)
-        miss = ~hit
-        left = np.flatnonzero(miss & ~model.agree)
-        if len(left):
-            p = model.second(left) << 3
-            hit1 = x.take(left) == model.id1.take(left)
-            coder.put(left, np.where(hit1, 0, p), np.where(hit1, p, _TOTAL - p))
-            model.learn_second(hit1)
-            miss[left[hit1]] = False
-        where = np.flatnonzero(miss)
+        one, two = model.split()
+        hit2 = x == model.id2
+        hit1 = (x == model.id1) & ~hit2
+        cum = np.where(hit2, 0, np.where(hit1, one, two))
+        coder.put(None, cum, np.where(hit2, one, np.where(hit1, two, _TOTAL)) - cum, _TOTAL_BITS)
+        where = np.flatnonzero(~(hit2 | hit1))
         if len(where):
             v = x.take(where)
             kind = _size_class(v)
             rows = model.sizes.take(where, axis=0)
             k = np.arange(0, 17 * len(where), 17) + kind
-            cum = rows.ravel().take(k)
-            coder.put(where, cum, rows.ravel().take(k + 1) - cum)
+            flat = rows.ravel()
+            low = flat.take(k).astype(np.int64) << 15
+            each = ((flat.take(k + 1).astype(np.int64) << 15) - low) >> _TAIL.take(kind)
+            coder.put(where, low + (v - _LEAST.take(kind)) * each, each, _SIZE_BITS + 15)
             model.sizes[where] = rows + ((_MOVE.take(kind, axis=0) - rows) >> _RATE)
-            each = _TOTAL >> _TAIL.take(kind)
-            coder.put(where, (v - _LEAST.take(kind)) * each, each)
-        model.learn(x)
+        model.learn(x, hit2, hit1)
         coder.room()
     out = []
     for i, payload in enumerate(coder.finish()):
@@ -240,35 +237,29 @@ def decode_blocks(data: bytes) -> np.ndarray:
     model, coder = _Model(lanes), _Decoder([b[2] for b in blocks])
     grid = np.zeros((max(b[0] for b in blocks), lanes), np.int32)
     for t in range(len(grid)):
-        p = model.first() << 3
-        hit = coder.value(None) < p
-        coder.take(None, np.where(hit, 0, p), np.where(hit, p, _TOTAL - p))
-        model.mixed.learn(hit)
-        x = np.where(hit, model.id2, 0)
-        miss = ~hit
-        left = np.flatnonzero(miss & ~model.agree)
-        if len(left):
-            p = model.second(left) << 3
-            hit1 = coder.value(left) < p
-            coder.take(left, np.where(hit1, 0, p), np.where(hit1, p, _TOTAL - p))
-            model.learn_second(hit1)
-            done = left[hit1]
-            x[done] = model.id1[done]
-            miss[done] = False
+        one, two = model.split()
+        v = coder.value(None, _TOTAL_BITS)
+        hit2 = v < one
+        miss = v >= two
+        hit1 = ~(hit2 | miss)
+        cum = np.where(hit2, 0, np.where(hit1, one, two))
+        coder.take(None, cum, np.where(hit2, one, np.where(hit1, two, _TOTAL)) - cum)
+        x = np.where(hit2, model.id2, model.id1)
         where = np.flatnonzero(miss)
         if len(where):
+            v = coder.value(where, _SIZE_BITS + 15)
             rows = model.sizes.take(where, axis=0)
-            kind = (rows[:, 1:] <= coder.value(where)[:, None]).sum(axis=1)
+            kind = (rows[:, 1:] <= (v >> 15).astype(np.int16)[:, None]).sum(axis=1)
             k = np.arange(0, 17 * len(where), 17) + kind
-            cum = rows.ravel().take(k)
-            coder.take(where, cum, rows.ravel().take(k + 1) - cum)
-            model.sizes[where] = rows + ((_MOVE.take(kind, axis=0) - rows) >> _RATE)
-            each = _TOTAL >> _TAIL.take(kind)
-            tail = coder.value(where) // each
-            coder.take(where, tail * each, each)
+            flat = rows.ravel()
+            low = flat.take(k).astype(np.int64) << 15
+            each = ((flat.take(k + 1).astype(np.int64) << 15) - low) >> _TAIL.take(kind)
+            tail = (v - low) // each
+            coder.take(where, low + tail * each, each)
             x[where] = _LEAST.take(kind) + tail
+            model.sizes[where] = rows + ((_MOVE.take(kind, axis=0) - rows) >> _RATE)
         grid[t] = x
-        model.learn(x)
+        model.learn(x, hit2, hit1)
     out = grid.T.astype("<u2")
     for i, (n, crc, _) in enumerate(blocks):
         if zlib.crc32(out[i, :n].tobytes()) != crc:

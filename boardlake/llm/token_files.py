@@ -31,7 +31,7 @@ from boardlake.llm.tokens import public_path, token_ids
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-RECORD_IDS = 4 << 20
+RECORD_IDS = 8 << 20
 RECORDS_A_FILE = 8
 MAGIC = b"ATF1"
 

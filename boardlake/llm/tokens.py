@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Pieces that a worker keeps, at some 200 bytes each.
-MOST_CACHED = 600_000
+MOST_CACHED = 1_000_000
 
 _L, _N, _S = rb"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\t-\r \x85\xa0"
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
