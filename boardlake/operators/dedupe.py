@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boardlake.functions.ranks import numbered
+from boardlake.sources.scratch import scratch
 
 
 def exact_duplicates(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,19 +20,23 @@ def near_duplicates(items: DataFrame, runs: DataFrame, back: int = 8, least: flo
     """(run, other, similarity): Jaccard of the item sets of a run and one of the ``back`` runs before it on its board.
 
     ``items``: run, item; ``runs``: run, board, created_at. Runs are numbered within boards (over ranges, so a hot board is
-    not one task), and the join on (board, item)
-    keeps only pairs at most ``back`` apart. Bands of numbers bound the join: a run meets its own band and the one before.
-    Per run the best similarity, the newest on ties.
+    not one task). Bands of numbers bound the pairs: a run meets its own band and the one before, so at most ``back`` others;
+    sets whose sizes alone rule out ``least`` are dropped before any set is moved. Per run the best similarity, the newest
+    on ties.
     """
     places = numbered(runs.select("run", "board", "created_at"), ["board"], ["created_at", "run"]).drop("created_at")
-    sets = items.select("run", "item").distinct().join(places, "run")
-    sizes = sets.groupBy("run").agg(F.count("*").alias("size"))
-    new = sets.select("board", "item", F.col("run").alias("new"), F.col("nth").alias("n1"), F.explode(F.array(F.expr(f"nth div {back}"), F.expr(f"nth div {back} - 1"))).alias("band"))
-    old = sets.select("board", "item", F.col("run").alias("other"), F.col("nth").alias("n0"), F.expr(f"nth div {back}").alias("band"))
+    path = scratch(items.sparkSession, "sets")  # made once, read three times
+    items.groupBy("run").agg(F.collect_set("item").alias("s")).write.parquet(path)
+    sets = items.sparkSession.read.parquet(path)
+    sized = places.join(sets.select("run", F.size("s").alias("size")), "run")
+    new = sized.select("board", F.col("run").alias("new"), F.col("nth").alias("n1"), F.col("size").alias("s1"), F.explode(F.array(F.expr(f"nth div {back}"), F.expr(f"nth div {back} - 1"))).alias("band"))
+    old = sized.select("board", F.col("run").alias("other"), F.col("nth").alias("n0"), F.col("size").alias("s0"), F.expr(f"nth div {back}").alias("band"))
     apart = F.col("n1") - F.col("n0")
-    both = new.join(old, ["board", "band", "item"]).filter((apart >= 1) & (apart <= back)).groupBy("new", "other", "n0").agg(F.count("*").alias("same"))
-    s1, s0 = sizes.select(F.col("run").alias("new"), F.col("size").alias("s1")), sizes.select(F.col("run").alias("other"), F.col("size").alias("s0"))
-    scored = both.join(s1, "new").join(s0, "other").withColumn("similarity", F.col("same") / (F.col("s1") + F.col("s0") - F.col("same"))).filter(F.col("similarity") >= least)
+    alike = F.least("s1", "s0") >= F.greatest("s1", "s0") * least
+    pairs = new.join(old, ["board", "band"]).filter((apart >= 1) & (apart <= back) & alike).select("new", "other", "n0", "s1", "s0")
+    both = pairs.join(sets.select(F.col("run").alias("new"), F.col("s").alias("a")), "new").join(sets.select(F.col("run").alias("other"), F.col("s").alias("b")), "other")
+    same = F.size(F.array_intersect("a", "b"))
+    scored = both.select("new", "other", "n0", (same / (F.col("s1") + F.col("s0") - same)).alias("similarity")).filter(F.col("similarity") >= least)
     best = scored.groupBy("new").agg(F.max_by(F.struct("other", "similarity"), F.struct("similarity", "n0")).alias("b"))
     return best.select(F.col("new").alias("run"), "b.other", F.round("b.similarity", 6).alias("similarity"))
 
