@@ -157,3 +157,36 @@ def test_stable_ranking_does_not_depend_on_row_order(spark):
         random.Random(seed).shuffle(rows)
         runs.append(sorted(map(tuple, ranking.stable_ranking(spark.createDataFrame(rows, schema), ["g"]).collect()), key=lambda r: r[5]))
     assert runs[0] == runs[1]
+
+
+def test_consistent_fields_are_brute_force(spark):
+    import itertools
+    import random
+
+    from boardlake.operators.quality import consistent_fields, fused_candidates
+
+    r = random.Random(4)
+    rows = [(e, f, r.randrange(1, 9) * 10 ** r.randrange(1, 5), float(r.randrange(100)), r.random() < 0.7) for e in range(12) for f in ("kp", "t4", "t5") for _ in range(r.randrange(1, 7))]
+    rows = list(dict.fromkeys(rows))
+    ranked = fused_candidates(spark.createDataFrame(rows, "ext int, field string, value bigint, confidence double, valid boolean")).cache()
+    top = {}
+    for x in ranked.filter("place <= 3").collect():
+        top.setdefault(x.ext, {}).setdefault(x.field, []).append((x.value, x.score))
+    for got in consistent_fields(ranked).collect():
+        combos = [(round(a[1] + b[1] + c[1] - (0.25 if a[0] < b[0] + c[0] else 0), 6), a[0], b[0], c[0]) for a, b, c in itertools.product(*(top[got.ext][f] for f in ("kp", "t4", "t5")))]
+        assert (got.total, got.kp, got.t4, got.t5) == max(combos)
+
+
+def test_best_suggestions(spark):
+    from boardlake.operators.identity import best_per_player
+
+    rows = [("q", p, f"n{p}", s, src) for p, s, src in ((1, 0.9, "name"), (1, 0.95, "alias"), (2, 0.95, "name"), (3, 0.7, "name"), (4, 0.8, "name"), (5, 0.8, "name"), (6, 0.71, "name"))]
+    out = best_per_player(spark.createDataFrame(rows, "query string, player bigint, name string, score double, source string")).orderBy("place").collect()
+    assert [(x.player, x.score) for x in out] == [(1, 0.95), (2, 0.95), (4, 0.8), (5, 0.8), (6, 0.71)] and out[0].source == "alias"
+
+
+def test_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(2, 'a "b", c'), (1, "x\ty"), (3, None)], "k int, v string")
+    sinks.write_csv(df, f"{tmp_path}/out", ["k"])
+    back = spark.read.option("header", True).option("escape", '"').schema("k int, v string").csv(f"{tmp_path}/out")
+    assert [tuple(r) for r in back.orderBy("k").collect()] == [(1, "x\ty"), (2, 'a "b", c'), (3, None)]
