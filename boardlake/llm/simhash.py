@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boardlake.llm.common import materialize, only, table
 
@@ -48,16 +49,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(count * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp bigint) of every row."""
+def _printed(keyed: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """The columns of ``keyed`` with ``fp bigint`` in place of the last one, the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(b.num_columns - 1)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], [*b.schema.names[:-1], "fp"])
+
+    return keyed.mapInArrow(run, T.StructType([*keyed.schema.fields[:-1], T.StructField("fp", T.LongType())]))
+
 
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp bigint) of every row."""
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id bigint, fp bigint")
+    return _printed(docs, shingle, seed)
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -184,16 +190,26 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id. Rows with a null id stay; of rows that
-    repeat an id, one stays."""
-    prints = materialize(near_duplicates(docs, radius, shingle, seed), "components")
-    kept = prints.filter("doc_id = component_id").select("doc_id").distinct()
-    cols = docs.columns
-    first = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    if prints.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():
-        first = first.dropDuplicates(["doc_id"])
-    return first.select(*cols).unionByName(docs.filter("doc_id is null").select(*cols))
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, of rows that repeat it that of the smallest text
+    hash, then of the smallest row number. Rows with a null id are judged among themselves: one of each component stays.
+
+    Components are told apart by their smallest fingerprint, so an id that stands in several keeps a row in each. Row
+    numbers are written with the rows, so that the choice survives retries.
+    """
+    names = docs.columns
+    numbered = docs.toDF(*[f"_c{i}" for i in range(len(names))]).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(numbered, "rows")
+    own, text = F.col(f"_c{names.index('doc_id')}").cast("long"), F.col(f"_c{names.index('text')}").cast("string")
+    prints = _printed(rows.select("_row", own.alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")), shingle, seed)
+    row, known = F.struct("doc_id", "hash", "_row"), F.col("doc_id").isNotNull()
+    firsts = [F.min(F.when(known, row)).alias("known"), F.min(F.when(~known, row)).alias("unknown")]
+    reps = materialize(prints.groupBy("fp").agg(*firsts), "distinct-fingerprints")
+    comp = components(links(reps.select("fp"), radius, block)).withColumnRenamed("node", "fp")
+    rooted = reps.join(comp, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    kept = rooted.agg(F.min("known").alias("known"), F.min("unknown").alias("unknown")).select(F.explode(F.array("known", "unknown")).alias("kept"))
+    kept = kept.filter("kept is not null").select("kept._row")
+    return rows.join(kept, "_row", "left_semi").select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
