@@ -6,10 +6,12 @@ occurs in some item. Where that length reaches ``window`` words (or a whole item
 Only runs of words that all occur in items enter the automaton; no match can cross any other word.
 
 The items are checked against ``MOST_WORDS`` first. A larger table is split into shards by item, each with an automaton
-of its own, and the documents stream past one shard after the other.
+of its own, built and released in turn. The documents stream past each as they are; what the shards hit is put together
+before anything is cut or judged.
 
-Defined cases: null and empty texts have no words; null or empty items have no windows; repeated rows are judged one by
-one; items with the same text are counted one by one; other columns pass ``remove_contamination`` unchanged.
+Defined cases: null and empty texts have no words; null or empty items have no windows; items without an id hit like any
+other and are counted as one, but listed under no id; repeated rows are judged one by one; items with the same text are
+counted one by one; other columns pass ``remove_contamination`` unchanged.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boardlake.llm.common import ALNUM, Words, only, table, text_slices
+from boardlake.llm.common import ALNUM, Words, materialize, only, table, text_slices
 
 WINDOW = 10
 #: Words of one automaton; it takes some 300 bytes a word.
@@ -39,13 +41,13 @@ def words_of(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """A generalised suffix automaton of word sequences, and which items own what of it."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
         owns: list[set[int]] = [set()]
-        self.ids = sorted({i for i, w in items if w})
+        self.ids = sorted({i for i, w in items if w}, key=lambda i: (i is None, i or ""))
         number = {x: k for k, x in enumerate(self.ids)}
         ends: dict[int, list[tuple[int, int]]] = {}
         self.shortest = window
@@ -162,17 +164,18 @@ class SuffixAutomaton:
 
 
 def _item_rows(benchmark: DataFrame) -> DataFrame:
-    return only(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null")
+    return only(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> Iterator[SuffixAutomaton]:
-    """One automaton, or one for each shard if the items have more than ``most_words`` words."""
-    items = _item_rows(benchmark)
+def shard_count(items: DataFrame, most_words: int = MOST_WORDS) -> int:
     size = items.agg(F.sum(F.regexp_count(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
-    shards = -(-int(size) // most_words) or 1
-    for k in range(shards):
-        part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        yield SuffixAutomaton([(r.item_id, words_of(r.text)) for r in part.toLocalIterator()], window)
+    return -(-int(size) // most_words) or 1
+
+
+def automaton(items: DataFrame, k: int, shards: int, window: int = WINDOW) -> SuffixAutomaton:
+    """That of shard ``k``, or of all items if there is one shard only."""
+    part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
+    return SuffixAutomaton([(r.item_id, words_of(r.text)) for r in part.toLocalIterator()], window)
 
 
 HITS = "doc_id bigint, n_words bigint, hits array<struct<first:bigint,last:bigint>>, spans array<struct<start:bigint,end:bigint>>, items array<string>"
@@ -199,7 +202,7 @@ def _scan_with(automaton) -> callable:
                     h, f = sam.scan(w, d)
                     hits.append([{"first": x, "last": y - 1} for x, y in h])
                     spans.append([{"start": s, "end": e} for s, e in _char_spans(data, w, d, h, int(offs[d]))])
-                    items.append(sorted(sam.ids[i] for i in f))
+                    items.append([sam.ids[i] for i in sorted(f)])
                 span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 own = [rows.column(c) for c in rows.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(w.doc), pa.int64()), pa.array(hits, span[0]), pa.array(spans, span[1]), pa.array(items, pa.list_(pa.string()))], [*[c for c in rows.schema.names if c != "text"], "n_words", "hits", "spans", "items"])
@@ -207,28 +210,62 @@ def _scan_with(automaton) -> callable:
     return run
 
 
+def _sharded_hits(rows: DataFrame, items: DataFrame, shards: int, window: int) -> tuple[DataFrame, int]:
+    """(row_no, hits, items) of the rows of ``rows`` (row_no, text) that any shard hits, hits merged over the shards; and
+    the length of the shortest hit. A shard's findings are written before the next automaton is built."""
+
+    def run_with(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sam = shared.value
+            for batch in batches:
+                for part, data, offs in text_slices(batch):
+                    w = Words(data, offs)
+                    found = [(i, *sam.scan(w, d)) for d, i in enumerate(part.column(0).to_pylist())]
+                    found = [x for x in found if x[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([[{"first": a, "last": b - 1} for a, b in x[1]] for x in found], _RANGES), pa.array([[sam.ids[i] for i in sorted(x[2])] for x in found], pa.list_(pa.string()))], ["row_no", "hits", "items"])
+
+        return run
+
+    merged, shortest = None, window
+    for k in range(shards):
+        sam = automaton(items, k, shards, window)
+        shortest = min(shortest, sam.shortest)
+        shared = rows.sparkSession.sparkContext.broadcast(sam)
+        part = materialize(rows.mapInArrow(run_with(shared), "row_no bigint, hits array<struct<first:bigint,last:bigint>>, items array<string>"), "shard-hits")
+        shared.destroy()
+        merged = part if merged is None else merged.union(part)
+    return merged.groupBy("row_no").agg(
+        _union_of(F.flatten(F.collect_list("hits")), "first", "last", 1).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    ), shortest
+
+
+_RANGES = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (doc_id, text, hits, items): the rows of HITS."""
+    for batch in batches:
+        for rows, data, offs in text_slices(batch):
+            w = Words(data, offs)
+            hits = [h or [] for h in rows.column("hits").to_pylist()]
+            spans = [[{"start": a, "end": b} for a, b in _char_spans(data, w, d, [(x["first"], x["last"] + 1) for x in h], int(offs[d]))] for d, h in enumerate(hits)]
+            items = pa.array([i or [] for i in rows.column("items").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(w.doc), pa.int64()), pa.array(hits, _RANGES), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), items], ["doc_id", "n_words", "hits", "spans", "items"])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, hits (word ranges, both ends within), spans (code points) and items."""
     spark = docs.sparkSession
     base = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = list(automata(benchmark, window, most_words))
-    if len(found) == 1:
-        return base.mapInArrow(_scan_with(spark.sparkContext.broadcast(found[0])), HITS)
-    from boardlake.llm.common import materialize
-
+    items = _item_rows(benchmark)
+    shards = shard_count(items, most_words)
+    if shards == 1:
+        return base.mapInArrow(_scan_with(spark.sparkContext.broadcast(automaton(items, 0, 1, window))), HITS)
     # each shard sees every document; a row number that survives retries brings a row's findings together
     rows = materialize(base.withColumn("row_no", F.monotonically_increasing_id()), "documents")
-    schema = "doc_id bigint, row_no bigint, " + HITS.split(", ", 1)[1]
-    parts = [rows.select("doc_id", "row_no", "text").mapInArrow(_scan_with(spark.sparkContext.broadcast(a)), schema) for a in found]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.union(p)
-    return merged.groupBy("row_no").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        _union_of(F.flatten(F.collect_list("hits")), "first", "last", 1).alias("hits"),
-        _union_of(F.flatten(F.collect_list("spans")), "start", "end", 0).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ).drop("row_no")
+    merged, _ = _sharded_hits(rows.select("row_no", "text"), items, shards, window)
+    return rows.join(merged, "row_no", "left").select("doc_id", "text", "hits", "items").mapInArrow(_placed, HITS)
 
 
 def _union_of(ranges, a: str, b: str, gap: int):
@@ -247,46 +284,52 @@ def n_hit(hits) :
     return F.aggregate(hits, F.lit(0).cast("long"), lambda acc, x: acc + x["last"] - x["first"] + 1)
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, min_span_words: int = WINDOW) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, min_span_words: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
     """``docs`` without contamination; columns and their order stay, ``n_chars`` (if present) follows the text.
 
     Spans of at least ``min_span_words`` hit words (or a whole shorter item) are cut out of the text. A document of
-    which more than ``max_coverage`` of the words are hit goes altogether.
+    which more than ``max_coverage`` of the words are hit goes altogether. Both are decided once, by the hits of all items
+    in the text as it came, however many shards the items take.
     """
-    spark = docs.sparkSession
-    (sam, *more) = list(automata(benchmark, window))
     names = docs.columns
-    at = names.index("text")
-    for automaton in [sam, *more]:
-        shared = spark.sparkContext.broadcast(automaton)
-        docs = docs.mapInArrow(_clean_with(shared, at, names, max_coverage, min_span_words), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
-    return docs
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
+    items = _item_rows(benchmark)
+    shards = shard_count(items, most_words)
+    if shards == 1:
+        sam = automaton(items, 0, 1, window)
+        return docs.mapInArrow(_clean_with(names, max_coverage, min(min_span_words, sam.shortest), docs.sparkSession.sparkContext.broadcast(sam)), schema)
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    rows = materialize(plain.withColumn("row_no", F.monotonically_increasing_id()), "documents")
+    merged, shortest = _sharded_hits(rows.select("row_no", F.col(f"_c{names.index('text')}").cast("string").alias("text")), items, shards, window)
+    return rows.join(merged.select("row_no", "hits"), "row_no", "left").select(*plain.columns, "hits").mapInArrow(_clean_with(names, max_coverage, min(min_span_words, shortest)), schema)
 
 
-def _clean_with(shared, at: int, names: list[str], max_coverage: float, min_span_words: int):
-    chars = names.index("n_chars") if "n_chars" in names else None
+def _clean_with(names: list[str], max_coverage: float, least: int, shared=None):
+    """Over batches of the columns ``names``: hits of at least ``least`` words are cut. They are those of the automaton
+    ``shared``, or without one those that a last column of the batches holds."""
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = shared.value
         for batch in batches:
             plain = pa.RecordBatch.from_arrays([batch.column(at), pa.array(np.arange(batch.num_rows))], ["text", "row"])
+            given = None if shared else batch.column(len(names)).to_pylist()
             texts, keep = {}, np.ones(batch.num_rows, bool)
             for rows, data, offs in text_slices(plain):
                 w = Words(data, offs)
                 for d, row in enumerate(rows.column(1).to_pylist()):
-                    hits, _ = sam.scan(w, d)
+                    hits = shared.value.scan(w, d)[0] if shared else [(x["first"], x["last"] + 1) for x in given[row] or ()]
                     if not hits:
                         continue
                     if sum(y - x for x, y in hits) > max_coverage * (w.doc[d + 1] - w.doc[d]):
                         keep[row] = False
                         continue
-                    cut = [(int(w.start[w.doc[d] + x] - offs[d]), int(w.end[w.doc[d] + y - 1] - offs[d])) for x, y in hits if y - x >= min(min_span_words, sam.shortest)]
+                    cut = [(int(w.start[w.doc[d] + x] - offs[d]), int(w.end[w.doc[d] + y - 1] - offs[d])) for x, y in hits if y - x >= least]
                     raw, done, out = data[offs[d] : offs[d + 1]].tobytes(), 0, []
                     for s, e in cut:
                         out.append(raw[done:s])
                         done = e
                     texts[row] = b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
-            cols = list(batch.columns)
+            cols = list(batch.columns)[: len(names)]
             if texts:
                 cols[at] = pa.array([texts.get(i, t) for i, t in enumerate(cols[at].to_pylist())], cols[at].type)
                 if chars is not None:
