@@ -1,11 +1,15 @@
 """An adaptive context-mixing range coder of token ids, for many independent blocks at once.
 
-A block is coded by itself: all its state starts afresh. Per id, three models predict. Order 2 and order 1 each name the
-id that last followed the same two ids or the same id (``SLOTS`` hashed slots), with a confidence; order 0 holds an
-adaptive distribution of the size of an id. The share of the code that the order-2 prediction gets mixes, in the logistic
-domain and with weights that learn, what both predictions' confidences say; of the rest order 1 gets a share where it
-names another id; what is left spells the id by order 0: its size, then its binary digits. Everything is integer
+A block is coded by itself: all that adapts starts afresh in it. Three models predict the next id. Order 2 and order 1 name
+the id that last followed the same two ids or the same id (hashed slots, each with a confidence that grows and falls);
+order 0 gives every id its share by the counts of a ``Prior``, the distribution that all blocks of a record start from (its
+counts stand in the record's header; without one, all ids are alike). The candidate of the surer of orders 2 and 1 is coded
+first: whether it comes is what all three models say in one logistic mix, order 2 and order 1 by their confidence and by
+whether they agree, order 0 by how frequent the candidate is, each through a probability that adapts, with weights that
+learn. If it does not come, order 0 spells the id. Both are one step of the range coder. Everything that decides is integer
 arithmetic, so a decoder on another machine makes the same decisions. Numpy runs the blocks in step, one lane for each.
+
+Block, little-endian: ``ACM2``, ids u32, bytes of payload u32, crc32 of the ids as 16-bit integers u32, payload.
 """
 
 from __future__ import annotations
@@ -16,204 +20,165 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-SLOTS = 256
-MAGIC = b"ACM1"
-_TOTAL_BITS, _TOTAL = 15, 1 << 15
-_MASK48, _MASK32 = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1)
-_U = [np.uint64(i) for i in range(65)]
-_LOW_RANGE = np.uint64(1 << 32)
+SLOTS = 512
+MAGIC = b"ACM2"
+#: Bits of the decision about the candidate, and most bits of the order-0 counts' total; a step needs 30 at most.
+_CHOICE, _MOST_TOTAL = 12, 18
+_ONE = 1 << _CHOICE
+_TOP = np.uint64(1 << 48)
+_16, _48 = np.uint64(16), np.uint64(48)
 
 #: Logistic functions as tables: probability (12 bits) -> ln(p / (1 - p)) * 256, and back.
-_STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int32)
-_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 16, 4080).astype(np.int32)
-#: Where the distribution moves after each digit; every digit keeps a share.
-_SIZE_BITS = 14
-_MOVE = np.array([[0] + [i if i <= s else (1 << _SIZE_BITS) - 16 + i for i in range(1, 16)] + [1 << _SIZE_BITS] for s in range(16)], np.int16)
-_EVEN = (np.arange(17) << (_SIZE_BITS - 4)).astype(np.int16)
-_BIT_LENGTH = np.array([i.bit_length() for i in range(1 << 16)], np.int32)
-#: By class: binary digits that follow, and the least id.
-_TAIL, _LEAST = np.array([1, *range(1, 16)], np.int32), np.array([0, *(1 << i for i in range(1, 16))], np.int32)
-_RATE = 4
-
-
-class _Mixed:
-    """Whether the order-2 prediction holds: adaptive probabilities by confidence, mixed with weights that learn."""
-
-    def __init__(self, lanes: int):
-        self.base2, self.base1 = np.arange(lanes) * 4, np.arange(lanes) * 8
-        self.p2, self.p1 = np.full(lanes * 4, 2048, np.int32), np.full(lanes * 8, 2048, np.int32)
-        self.w2, self.w1 = np.full(lanes, 40_000, np.int32), np.full(lanes, 30_000, np.int32)
-
-    def predict(self, c2: np.ndarray, c1: np.ndarray) -> np.ndarray:
-        """``c2``, ``c1``: contexts from the order-2 and the order-1 prediction."""
-        self.at2, self.at1 = self.base2 + c2, self.base1 + c1
-        self.v2, self.v1 = self.p2.take(self.at2), self.p1.take(self.at1)
-        self.s2, self.s1 = _STRETCH.take(self.v2), _STRETCH.take(self.v1)
-        dot = (self.w2 * self.s2 + self.w1 * self.s1) >> 16
-        self.out = _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
-        return self.out
-
-    def learn(self, bit: np.ndarray) -> None:
-        target = bit.astype(np.int32) * 4095
-        error = target - self.out
-        self.p2[self.at2] = self.v2 + ((target - self.v2) >> 4)
-        self.p1[self.at1] = self.v1 + ((target - self.v1) >> 4)
-        self.w2 = np.minimum(np.maximum(self.w2 + ((self.s2 * error) >> 10), -200_000), 200_000)
-        self.w1 = np.minimum(np.maximum(self.w1 + ((self.s1 * error) >> 10), -200_000), 200_000)
+_STRETCH = np.round(np.log((np.arange(_ONE) + 0.5) / (_ONE - 0.5 - np.arange(_ONE))) * 256).astype(np.int32)
+_SQUASH = np.clip(np.round(_ONE / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 4, _ONE - 4).astype(np.int32)
+#: What the models' probabilities start from: by confidence and agreement for orders 2 and 1, by frequency for order 0.
+_START = np.array([[8, 8, 500, 1400, 1800, 2600, 2800, 3400] + [8] * 8, [8, 8, 220, 1400, 700, 2600, 1400, 3400] + [8] * 8, [200] * 16], np.int32)
+_WEIGHT = 22_000
+_RATE, _LEARN = 4, 11
+
+
+class Prior:
+    """Order-0 counts of ids, scaled so that they sum to a power of two; every id that occurs keeps a share."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        """``counts`` of the distinct ascending ``ids``, 1 to 63 as ``levels`` gives them."""
+        self.ids, self.levels = ids.astype("<u2"), counts.astype(np.uint8)
+        self.bits = min(_MOST_TOTAL, max(14, len(ids).bit_length() + 4))
+        wish = np.exp2(counts / 3)
+        total = 1 << self.bits
+        share = np.maximum(1, np.floor(wish * ((total - len(ids)) / wish.sum()))).astype(np.int64)
+        share[np.argmax(share)] += total - int(share.sum())
+        size = 1 << 16
+        self.share, self.before = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.share[ids], self.before[ids] = share, np.cumsum(share) - share
+        self.look_up = np.repeat(ids.astype(np.uint16), share)
+        self.kind = np.zeros(size, np.int32)
+        self.kind[ids] = np.minimum(15, np.floor(np.log2(share)).astype(np.int32))
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Prior:
+        """That of a run of ids: each one's count, to a third of a power of two."""
+        counts = np.bincount(ids, minlength=1)
+        own = np.flatnonzero(counts)
+        return cls(own, np.minimum(63, 1 + np.round(3 * np.log2(counts[own])))) if len(own) else cls.even()
+
+    @classmethod
+    def even(cls) -> Prior:
+        return cls(np.arange(1 << 16), np.zeros(1 << 16))
+
+    def to_bytes(self) -> bytes:
+        gaps = np.diff(self.ids.astype(np.int64), prepend=-1) - 1
+        return struct.pack("<I", len(self.ids)) + zlib.compress(gaps.astype("<u2").tobytes() + self.levels.tobytes(), 9)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Prior:
+        n, raw = struct.unpack_from("<I", data)[0], zlib.decompress(data[4:])
+        return cls(np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64) + 1) - 1, np.frombuffer(raw, np.uint8, n, 2 * n).astype(float))
 
 
 class _Model:
     """The predictions of all lanes."""
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.base = self.lane * SLOTS
+    def __init__(self, lanes: int, prior: Prior):
+        self.prior = prior
+        self.slots = np.arange(lanes, dtype=np.int64) * SLOTS
         self.one, self.two = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # id << 2 | confidence
-        self.at1, self.prev = self.base, np.zeros(lanes, np.int64)
-        self.mixed = _Mixed(lanes)
-        self.singles, self.single = self.lane * 16, np.full(lanes * 16, 2048, np.int32)
-        self.sizes = np.tile(_EVEN, (lanes, 1))
-
-    def split(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where, of ``_TOTAL``, the shares of the order-2 and of the order-1 prediction end."""
-        self.at2 = self.base + (((self.prev >> 16) * 0x2F0B + (self.prev & 0xFFFF) * 0x6A2D1 >> 3) & SLOTS - 1)
-        self.v1, self.v2 = self.one.take(self.at1), self.two.take(self.at2)
-        self.id1, self.id2, self.c1, self.c2 = self.v1 >> 2, self.v2 >> 2, self.v1 & 3, self.v2 & 3
-        self.differ = self.id1 != self.id2
-        first = self.mixed.predict(self.c2, self.c1 + (self.differ << 2)).astype(np.int64) << 3
-        self.at = self.singles + ((self.c1 << 2) + self.c2)
-        self.was = self.single.take(self.at)
-        share = np.minimum(np.maximum(self.was, 16), 4080) * self.differ
-        return first, first + ((_TOTAL - first) * share >> 12)
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """``hit2``: the order-2 prediction held; ``hit1``: it did not, and that of order 1 did."""
-        self.mixed.learn(hit2)
-        asked = self.differ & ~hit2
-        self.single[self.at] = self.was + (((hit1.astype(np.int32) * 4095 - self.was) >> 4) * asked)
-        new = (ids << 2).astype(np.int32)
-        for table, at, v, conf, same in ((self.one, self.at1, self.v1, self.c1, hit1 | (hit2 & ~self.differ)), (self.two, self.at2, self.v2, self.c2, hit2)):
-            table[at] = np.where(same, v + (conf < 3), np.where(conf > 1, v - 2, new))
-        self.prev = ((self.prev & 0xFFFF) << 16) + ids
-        self.at1 = self.base + ((ids * 0x9E3B >> 4) & SLOTS - 1)
-
-
-def _size_class(ids: np.ndarray) -> np.ndarray:
-    """Binary digits of ``ids`` less one; ids 0 and 1 are both in class 0 and take one more bit."""
-    return np.maximum(_BIT_LENGTH.take(ids) - 1, 0)
-
-
-class _Encoder:
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-        self.out, self.n = np.zeros((lanes, BLOCK * 2), np.uint32), np.ones(lanes, np.int64)  # place 0 takes no digit
-
-    def put(self, lanes: np.ndarray | None, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        """Narrow the lanes (all of them, if None) to the share [cum, cum + freq) of 2^bits."""
-        r = (self.range if lanes is None else self.range.take(lanes)) >> _U[bits]
-        low = (self.low if lanes is None else self.low.take(lanes)) + r * cum.view(np.uint64)
-        rng = r * freq.view(np.uint64)
-        over = np.flatnonzero(low > _MASK48)
-        if len(over):  # carries are settled at the end
-            where = over if lanes is None else lanes[over]
-            self.out[where, self.n[where] - 1] += 1
-            low[over] &= _MASK48
-        short = np.flatnonzero(rng < _LOW_RANGE)
-        while len(short):
-            where = short if lanes is None else lanes[short]
-            x, y = low[short], rng[short] << _U[16]
-            self.out[where, self.n[where]] = x >> _U[32]
-            self.n[where] += 1
-            low[short], rng[short] = (x & _MASK32) << _U[16], y
-            short = short[y < _LOW_RANGE]
-        if lanes is None:
-            self.low, self.range = low, rng
-        else:
-            self.low[lanes], self.range[lanes] = low, rng
-
-    def room(self) -> None:
-        if self.n.max() + 8 > self.out.shape[1]:
-            self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-
-    def finish(self) -> list[bytes]:
-        self.room()
-        every = np.arange(len(self.n))
-        for shift in (32, 16, 0):
-            self.out[every, self.n] = (self.low >> _U[shift]) & np.uint64(0xFFFF)
-            self.n += 1
-        for j in range(int(self.n.max()) - 1, 0, -1):
-            self.out[:, j - 1] += self.out[:, j] >> 16
-            self.out[:, j] &= 0xFFFF
-        return [self.out[i, 1:n].astype("<u2").tobytes() for i, n in enumerate(self.n.tolist())]
-
-
-class _Decoder:
-    def __init__(self, payloads: list[bytes]):
-        lanes, size = len(payloads), max(map(len, payloads)) // 2 + 4
-        self.data = np.zeros((lanes, size), np.uint64)
-        for i, p in enumerate(payloads):
-            self.data[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-        self.code = (self.data[:, 0] << _U[32]) | (self.data[:, 1] << _U[16]) | self.data[:, 2]
-        self.range, self.n = np.full(lanes, (1 << 48) - 1, np.uint64), np.full(lanes, 3, np.int64)
-
-    def value(self, lanes: np.ndarray | None, bits: int) -> np.ndarray:
-        """Where, of 2^bits, the lanes' codes are."""
-        self.r = (self.range if lanes is None else self.range.take(lanes)) >> _U[bits]
-        self.now = self.code if lanes is None else self.code.take(lanes)
-        return np.minimum(self.now // self.r, np.uint64((1 << bits) - 1)).view(np.int64)
-
-    def take(self, lanes: np.ndarray | None, cum: np.ndarray, freq: np.ndarray) -> None:
-        code, rng = self.now - self.r * cum.view(np.uint64), self.r * freq.view(np.uint64)
-        short = np.flatnonzero(rng < _LOW_RANGE)
-        while len(short):
-            where = short if lanes is None else lanes[short]
-            at = np.minimum(self.n[where], self.data.shape[1] - 1)
-            y = rng[short] << _U[16]
-            code[short], rng[short] = (code[short] << _U[16]) | self.data[where, at], y
-            self.n[where] += 1
-            short = short[y < _LOW_RANGE]
-        if lanes is None:
-            self.code, self.range = code, rng
-        else:
-            self.code[lanes], self.range[lanes] = code, rng
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
+        self.prev, self.hash = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.base = (np.arange(lanes, dtype=np.int64) * 16) + (np.arange(3, dtype=np.int64) * 16 * lanes)[:, None]
+        self.chance = np.repeat(_START[:, None, :], lanes, axis=1).ravel()
+        self.weight = np.full((3, lanes), _WEIGHT, np.int32)
+        self.at = np.empty((3, lanes), np.int64)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates, and the chance of each, of 2^12."""
+        self.at1 = self.slots + ((self.prev * 0x9E3B >> 5) & (SLOTS - 1))
+        self.at2 = self.slots + (self.hash & (SLOTS - 1))
+        v1, v2 = self.one.take(self.at1), self.two.take(self.at2)
+        c1, c2 = v1 & 3, v2 & 3
+        self.v1, self.v2 = v1, v2
+        candidate = np.where(c2 >= c1, v2, v1) >> 2
+        agree = (v1 ^ v2) < 4
+        np.add(self.base[0], 2 * c2 + agree, out=self.at[0])
+        np.add(self.base[1], 2 * c1 + agree, out=self.at[1])
+        np.add(self.base[2], self.prior.kind.take(candidate), out=self.at[2])
+        self.was = self.chance.take(self.at)
+        self.say = _STRETCH.take(self.was)
+        dot = (self.weight * self.say).sum(axis=0, dtype=np.int32) >> 16
+        self.out = _SQUASH.take(np.clip(dot, -2047, 2047) + 2047)
+        return candidate, self.out
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        target = hit * np.int32(_ONE - 1)
+        self.chance[self.at] = self.was + ((target - self.was) >> _RATE)
+        self.weight += (self.say * (target - self.out)) >> _LEARN
+        new = (ids << 2) | 1
+        for table, at, v in ((self.one, self.at1, self.v1), (self.two, self.at2, self.v2)):
+            conf, same = v & 3, (v ^ new) < 4
+            table[at] = np.where(same & (conf > 0), v + (conf < 3), np.where(conf > 1, v - 1, new))
+        self.hash = (self.prev * 0x6A2D + ids * 0x2F0B5) >> 4
+        self.prev = ids
+
+
+def _shares(prior: Prior, chance: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, size) of the code's share of each lane's id, of 2^(12 + bits of the prior)."""
+    first, rest = chance.astype(np.int64) << prior.bits, (_ONE - chance).astype(np.int64)
+    return np.where(hit, 0, first + rest * prior.before.take(ids)).view(np.uint64), np.where(hit, first, rest * prior.share.take(ids)).view(np.uint64)
+
+
+def encode_blocks(ids: np.ndarray, prior: Prior | None = None) -> list[bytes]:
     """Blocks of at most ``BLOCK`` ids each (below 65,536) of the stream ``ids``, each with header and checksum."""
     if not len(ids):
         return []
     if int(ids.max()) > 0xFFFF:
         raise ValueError("ids must be below 65,536")
+    prior = prior or Prior.even()
     lanes = -(-len(ids) // BLOCK)
-    grid = np.zeros(lanes * BLOCK, np.int32)
+    grid = np.full(lanes * BLOCK, ids[-1], np.int32)
     grid[: len(ids)] = ids
     columns = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
-    model, coder = _Model(lanes), _Encoder(lanes)
-    for t in range(min(BLOCK, len(ids))):
+    steps = min(BLOCK, len(ids))
+    model = _Model(lanes, prior)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    # digits by place and lane, as lanes proceed at a like pace; place 0 takes none
+    every = np.arange(lanes)
+    out, at = np.zeros((steps // 2 + 16) * lanes, np.uint32), every + lanes
+    bits = np.uint64(_CHOICE + prior.bits)
+    for t in range(steps):
         x = columns[t]
-        one, two = model.split()
-        hit2 = x == model.id2
-        hit1 = (x == model.id1) & ~hit2
-        cum = np.where(hit2, 0, np.where(hit1, one, two))
-        coder.put(None, cum, np.where(hit2, one, np.where(hit1, two, _TOTAL)) - cum, _TOTAL_BITS)
-        where = np.flatnonzero(~(hit2 | hit1))
-        if len(where):
-            v = x.take(where)
-            kind = _size_class(v)
-            rows = model.sizes.take(where, axis=0)
-            k = np.arange(0, 17 * len(where), 17) + kind
-            flat = rows.ravel()
-            low = flat.take(k).astype(np.int64) << 15
-            each = ((flat.take(k + 1).astype(np.int64) << 15) - low) >> _TAIL.take(kind)
-            coder.put(where, low + (v - _LEAST.take(kind)) * each, each, _SIZE_BITS + 15)
-            model.sizes[where] = rows + ((_MOVE.take(kind, axis=0) - rows) >> _RATE)
-        model.learn(x, hit2, hit1)
-        coder.room()
-    out = []
-    for i, payload in enumerate(coder.finish()):
-        own = ids[i * BLOCK : (i + 1) * BLOCK].astype("<u2")
-        out.append(struct.pack("<4sIII", MAGIC, len(own), len(payload), zlib.crc32(own.tobytes())) + payload)
-    return out
+        candidate, chance = model.predict()
+        hit = candidate == x
+        first, share = _shares(prior, chance, hit, x)
+        size >>= bits
+        first *= size
+        low += first
+        size *= share
+        over = np.flatnonzero(low < first)
+        if len(over):  # carries are settled at the end
+            out[at[over] - lanes] += 1
+        short = np.flatnonzero(size < _TOP)
+        while len(short):
+            x_low, x_size, where = low[short], size[short] << _16, at[short]
+            out[where] = x_low >> _48
+            at[short] = where + lanes
+            low[short], size[short] = x_low << _16, x_size
+            short = short[x_size < _TOP]
+        model.learn(x, hit)
+        if t % 8 == 7 and int(at.max()) + 24 * lanes > len(out):
+            out = np.concatenate([out, np.zeros((steps // 4 + 16) * lanes, np.uint32)])
+    out = np.concatenate([out, np.zeros(4 * lanes, np.uint32)])
+    for _ in range(4):
+        out[at] = low >> _48
+        low <<= _16
+        at += lanes
+    out, at = out.reshape(-1, lanes), at // lanes
+    for j in range(int(at.max()) - 1, 0, -1):
+        out[j - 1] += out[j] >> 16
+    out = np.ascontiguousarray(out.T.astype("<u2"))
+    blocks = []
+    for i, n in enumerate(at.tolist()):
+        own, payload = ids[i * BLOCK : (i + 1) * BLOCK].astype("<u2"), out[i, 1:n].tobytes()
+        blocks.append(struct.pack("<4sIII", MAGIC, len(own), len(payload), zlib.crc32(own.tobytes())) + payload)
+    return blocks
 
 
 def split_blocks(data: bytes) -> list[tuple[int, int, bytes]]:
@@ -228,38 +193,42 @@ def split_blocks(data: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def decode_blocks(data: bytes) -> np.ndarray:
+def decode_blocks(data: bytes, prior: Prior | None = None) -> np.ndarray:
     """The ids of a run of blocks; each block's checksum is verified."""
     blocks = split_blocks(data)
     if not blocks:
         return np.zeros(0, np.uint16)
-    lanes = len(blocks)
-    model, coder = _Model(lanes), _Decoder([b[2] for b in blocks])
+    prior = prior or Prior.even()
+    lanes, length = len(blocks), max(len(b[2]) for b in blocks) // 2 + 8
+    digits = np.zeros((lanes, length), np.uint16)
+    for i, b in enumerate(blocks):
+        digits[i, : len(b[2]) // 2] = np.frombuffer(b[2], "<u2")
+    digits, every = np.ascontiguousarray(digits.T).ravel(), np.arange(lanes)
+    code, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    for k in range(4):
+        code = (code << _16) | digits[every + k * lanes]
+    at, last = every + 4 * lanes, every + (length - 1) * lanes
+    bits, most = np.uint64(_CHOICE + prior.bits), (1 << prior.bits) - 1
+    model = _Model(lanes, prior)
     grid = np.zeros((max(b[0] for b in blocks), lanes), np.int32)
     for t in range(len(grid)):
-        one, two = model.split()
-        v = coder.value(None, _TOTAL_BITS)
-        hit2 = v < one
-        miss = v >= two
-        hit1 = ~(hit2 | miss)
-        cum = np.where(hit2, 0, np.where(hit1, one, two))
-        coder.take(None, cum, np.where(hit2, one, np.where(hit1, two, _TOTAL)) - cum)
-        x = np.where(hit2, model.id2, model.id1)
-        where = np.flatnonzero(miss)
-        if len(where):
-            v = coder.value(where, _SIZE_BITS + 15)
-            rows = model.sizes.take(where, axis=0)
-            kind = (rows[:, 1:] <= (v >> 15).astype(np.int16)[:, None]).sum(axis=1)
-            k = np.arange(0, 17 * len(where), 17) + kind
-            flat = rows.ravel()
-            low = flat.take(k).astype(np.int64) << 15
-            each = ((flat.take(k + 1).astype(np.int64) << 15) - low) >> _TAIL.take(kind)
-            tail = (v - low) // each
-            coder.take(where, low + tail * each, each)
-            x[where] = _LEAST.take(kind) + tail
-            model.sizes[where] = rows + ((_MOVE.take(kind, axis=0) - rows) >> _RATE)
+        candidate, chance = model.predict()
+        size >>= bits
+        v = (code // size).view(np.int64) - (chance.astype(np.int64) << prior.bits)
+        hit = v < 0
+        spelt = np.minimum(np.maximum(v, 0) / (_ONE - chance), most).astype(np.int64)
+        x = np.where(hit, candidate, prior.look_up.take(spelt)).astype(np.int32)
+        first, share = _shares(prior, chance, hit, x)
+        code -= size * first
+        size *= share
+        short = np.flatnonzero(size < _TOP)
+        while len(short):
+            where, x_size = at[short], size[short] << _16
+            code[short], size[short] = (code[short] << _16) | digits[np.minimum(where, last[short])], x_size
+            at[short] = where + lanes
+            short = short[x_size < _TOP]
         grid[t] = x
-        model.learn(x, hit2, hit1)
+        model.learn(x, hit)
     out = grid.T.astype("<u2")
     for i, (n, crc, _) in enumerate(blocks):
         if zlib.crc32(out[i, :n].tobytes()) != crc:

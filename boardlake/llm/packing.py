@@ -28,6 +28,8 @@ from boardlake.llm.tokens import public_path, token_ids
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
+#: Texts that are tokenised in one go.
+_TEXTS = 256
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint"
 
 
@@ -35,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """A row per piece; ``task`` and ``nth``: the task that made it and its place among that task's pieces of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = token_ids(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encode = token_ids(tokenizer)
         task, made = TaskContext.get().partitionId(), [0] * (capacity + 1)
         rows: list[tuple] = []
         size = 0
@@ -47,14 +49,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names[: len(cols)])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    rows.append((doc_id, k, at // 4, n, zlib.crc32(part), task, made[n], *([part] if keep_ids else [])))
-                    made[n] += 1
-                    size += len(part) if keep_ids else 64
+            for first in range(0, b.num_rows, _TEXTS):
+                some = b.slice(first, _TEXTS)
+                every, offs = encode.many(some.column(1).to_pylist(), end_id)
+                raw, offs = every.astype("<u4").tobytes(), offs.tolist()
+                for doc_id, a, z in zip(some.column(0).to_pylist(), offs[:-1], offs[1:], strict=True):
+                    for k, at in enumerate(range(a, z, capacity)):
+                        n = min(capacity, z - at)
+                        part = raw[4 * at : 4 * (at + n)]
+                        rows.append((doc_id, k, at - a, n, zlib.crc32(part), task, made[n], *([part] if keep_ids else [])))
+                        made[n] += 1
+                        size += len(part) if keep_ids else 64
                 if size > 4 << 20:
                     yield batch_of(rows)
                     rows, size = [], 0
