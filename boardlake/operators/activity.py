@@ -48,7 +48,8 @@ def weekly_metrics(obs: DataFrame, board: DataFrame, snaps: DataFrame) -> DataFr
 
 
 def growth(metrics: DataFrame, periods: DataFrame) -> DataFrame:
-    """Metrics with the growth since the previous period; null unless both weeks are known.
+    """Metrics with the growth since the previous period; null unless both weeks are known. Players of the week before
+    alone have a row too, with nothing known of this week.
 
     A row is sent to its own and to the following period, so both weeks meet in one grouping.
     """
@@ -57,12 +58,29 @@ def growth(metrics: DataFrame, periods: DataFrame) -> DataFrame:
     now = both.withColumn("_of", F.explode(F.array_compact(F.array(F.struct("period", F.lit(True).alias("now")), F.when(F.col("following").isNotNull(), F.struct(F.col("following").alias("period"), F.lit(False).alias("now")))))))
     cols = ["contribution", "fort", "kp", "power", "t4", "t5", "deads"]
     own = lambda c, now_: F.max(F.when(F.col("_of.now") == now_, F.col(c))).alias(c if now_ else f"p_{c}")
-    g = now.groupBy(F.col("_of.period").alias("period"), "player").agg(*[own(c, n) for c in cols for n in (True, False)], F.max("_of.now").alias("_now")).filter("_now").drop("_now")
+    g = now.groupBy(F.col("_of.period").alias("period"), "player").agg(*[own(c, n) for c in cols for n in (True, False)])
     ready = F.col("kp").isNotNull() & F.col("p_kp").isNotNull()
     grown = [F.when(ready, F.col(c) - F.coalesce(f"p_{c}", F.lit(0))).alias(f"{c}_growth") for c in ("t4", "t5", "deads")]
     return g.select("period", "player", "contribution", "fort", "kp", "p_kp", "power", "p_power", (F.col("power") - F.col("p_power")).alias("power_growth"), (F.col("kp") - F.col("p_kp")).alias("kp_growth"), *grown)
 
 
+def report(grown: DataFrame, members: DataFrame, periods: DataFrame) -> DataFrame:
+    """A5: ``grown`` for each period and tracked member (player, name, alliance), also for members without a row that week:
+    they contributed nothing, and their growth is unknown. As many rows as members times periods; periods are few."""
+    every = members.crossJoin(F.broadcast(periods.select("period")))
+    flags = {"power_baseline": F.col("power_growth").isNotNull(), "kp_baseline": F.col("kp_growth").isNotNull()}
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("contribution", "fort", "power", "p_power", "kp", "p_kp")}
+    return every.join(grown, ["period", "player"], "left").withColumns(flags | zero)
+
+
+def report_summary(scored_rows: DataFrame, unresolved: DataFrame, pending: DataFrame) -> DataFrame:
+    """A5: per period the members, those without a baseline of power or kill points, and all rows that wait for an identity
+    (``unresolved``) or for synchronisation (``pending``), which are counted apart."""
+    out = scored_rows.groupBy("period").agg(F.count("*").alias("members"), F.count_if(~F.col("power_baseline")).alias("no_power_baseline"), F.count_if(~F.col("kp_baseline")).alias("no_kp_baseline"))
+    waiting = unresolved.agg(F.count("*").alias("unresolved")).crossJoin(pending.agg(F.count("*").alias("pending")))  # one row
+    return out.crossJoin(F.broadcast(waiting))
+
+
 def metric_status(value: Column, least: Column) -> Column:
     """A3: NO_BASELINE without a value, NO_STANDARD without a minimum, else PASS or FAIL."""
     return F.when(value.isNull(), "NO_BASELINE").when(least.isNull(), "NO_STANDARD").when(value >= least, "PASS").otherwise("FAIL")
@@ -93,9 +111,16 @@ def alliance_summary(scored_rows: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def insights(scored_rows: DataFrame) -> DataFrame:
-    """Members, pass rate and baseline coverage of each alliance and over all (alliance null), in whole percent."""
+    """Of each alliance and over all (alliance null): members, passed and failed, pass rate and baseline coverage in whole
+    percent, totals, and the alliance's place: by pass rate, then passed, members and name."""
     rate = lambda c: F.floor(100 * F.count_if(c) / F.count("*") + 0.5).cast("int")
-    return scored_rows.groupingSets([["period", "alliance"], ["period"]], "period", "alliance").agg(F.count("*").alias("members"), rate(F.col("overall") == "PASS").alias("pass_rate"), rate(F.col("power_growth").isNotNull()).alias("baseline_coverage"))
+    passed = F.col("overall") == "PASS"
+    out = scored_rows.groupingSets([["period", "alliance"], ["period"]], "period", "alliance").agg(
+        F.count("*").alias("members"), F.count_if(passed).alias("passed"), F.count_if(F.col("overall") == "FAIL").alias("failed"), rate(passed).alias("pass_rate"), rate(F.col("power_growth").isNotNull()).alias("baseline_coverage"),
+        F.sum("contribution").alias("contribution"), F.coalesce(F.sum("power_growth"), F.lit(0)).alias("power_growth"),
+    )
+    w = Window.partitionBy("period", F.col("alliance").isNull()).orderBy(F.desc("pass_rate"), F.desc("passed"), F.desc("members"), "alliance")
+    return out.withColumn("place", F.when(F.col("alliance").isNotNull(), F.row_number().over(w)))
 
 
 def top_by_metric(scored_rows: DataFrame, k: int = 5) -> DataFrame:
@@ -112,7 +137,7 @@ def inactive(scored_rows: DataFrame) -> DataFrame:
 
 def performance(rows: DataFrame) -> DataFrame:
     """Per period the share of the best in four metrics, weighed 45, 30, 15, 10 and cut to thousandths."""
-    parts = {"contribution": 45, "power_growth": 30, "kp_growth": 15, "fort": 10}
+    parts = {"contribution": 45, "power_growth": 30, "fort": 15, "kp_growth": 10}
     most = rows.groupBy("period").agg(*[F.max(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))).alias(f"_{c}") for c in parts])
     out = rows.join(F.broadcast(most), "period")
     share = lambda c: F.when(F.col(f"_{c}") > 0, F.expr(f"(greatest(coalesce({c}, 0), 0) * 1000) div _{c}")).otherwise(0) / 1000.0
@@ -120,13 +145,19 @@ def performance(rows: DataFrame) -> DataFrame:
     return out.withColumn("score", F.round(total, 3)).drop(*[f"_{c}" for c in parts])
 
 
-def movement(scores: DataFrame, k: int = 4) -> DataFrame:
-    """Change of score since the period before, where a player has both; the ``k`` that rose and fell most."""
+def movement(scores: DataFrame, periods: DataFrame, k: int = 4) -> DataFrame:
+    """Change of score since the previous period, where a player has both; of those that rose and of those that fell
+    the ``k`` with the greatest change, and how many were compared. A task passes on its own best ``k`` of a period only."""
     w = Window.partitionBy("player").orderBy("period")
-    moved = scores.withColumn("delta", F.round(F.col("score") - F.lag("score").over(w), 1)).filter("delta is not null")
-    side = lambda up: Window.partitionBy("period").orderBy(F.desc("delta") if up else F.asc("delta"), "player")
-    moved = moved.withColumns({"up": F.row_number().over(side(True)), "down": F.row_number().over(side(False)), "compared": F.count("*").over(Window.partitionBy("period"))})
-    return moved.filter((F.col("up") <= k) | (F.col("down") <= k))
+    both = scores.withColumns({"_was": F.lag("score").over(w), "_then": F.lag("period").over(w)}).join(F.broadcast(periods.select("period", "previous")), "period")
+    moved = both.filter(F.col("_then") == F.col("previous")).withColumn("delta", F.round(F.col("score") - F.col("_was"), 1)).select("period", "player", "score", "delta")
+    compared = moved.groupBy("period").agg(F.count("*").alias("compared"))
+
+    def best(sign: int, side: str) -> DataFrame:
+        order = Window.partitionBy("period").orderBy(F.col("delta") * -sign, "player")
+        return moved.filter(F.col("delta") * sign > 0).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).withColumn("side", F.lit(side))
+
+    return best(1, "up").unionByName(best(-1, "down")).join(F.broadcast(compared), "period")
 
 
 def history(scores: DataFrame, weeks: int) -> DataFrame:

@@ -16,17 +16,22 @@ members AS (SELECT period, p.player, p.name, p.alliance FROM periods, players p)
 cur AS (SELECT period, player, coalesce(max(CASE metric WHEN 'contribution_points' THEN value END), 0) AS contribution, coalesce(max(CASE metric WHEN 'fort_destroying' THEN value END), 0) AS fort,
   max(CASE metric WHEN 'kill_points' THEN value END) AS okp, max(CASE metric WHEN 'power' THEN value END) AS opow FROM obs GROUP BY 1, 2),
 brd AS (SELECT strftime(CAST('2024-01-01' AS TIMESTAMP) + INTERVAL 1 DAY * (id % 30), '%G-W%V') AS period, identity AS player, arg_max(value, row(updated_at, value)) AS bpow FROM board WHERE status = 'ACTIVE' AND type = '1-URGENT' GROUP BY 1, 2),
-keys AS (SELECT period, player FROM cur UNION SELECT period, player FROM brd),
+ws AS (SELECT period, player, max(value) AS power, max(value // 2) AS kp, max(value // 10) AS t4, max(value // 20) AS t5, max(value) AS deads FROM obs WHERE metric = 'deads' GROUP BY 1, 2),
+keys AS (SELECT period, player FROM cur UNION SELECT period, player FROM brd UNION SELECT period, player FROM ws),
 m AS (SELECT k.period, k.player, coalesce(contribution, 0) AS contribution, coalesce(fort, 0) AS fort, coalesce(okp, s.kp) AS kp, coalesce(bpow, opow, s.power) AS power FROM keys k LEFT JOIN cur USING (period, player) LEFT JOIN brd USING (period, player)
-  LEFT JOIN (SELECT * FROM snaps WHERE player % 3 = 0) s ON s.player = k.player AND s."at" = k.period),
-g AS (SELECT m.period, m.player, m.contribution, m.fort, m.kp, m.power, m.power - q.power AS power_growth, m.kp - q.kp AS kp_growth FROM m JOIN periods USING (period) LEFT JOIN m q ON q.period = periods.previous AND q.player = m.player),
+  LEFT JOIN ws s ON s.player = k.player AND s.period = k.period),
+gk AS (SELECT period, player FROM m UNION SELECT p.period, m.player FROM m JOIN periods p ON p.previous = m.period),
+g AS (SELECT k.period, k.player, m.contribution, m.fort, m.kp, m.power, m.power - q.power AS power_growth, m.kp - q.kp AS kp_growth, q.kp AS p_kp, q.power AS p_power
+  FROM gk k JOIN periods USING (period) LEFT JOIN m ON m.period = k.period AND m.player = k.player LEFT JOIN m q ON q.period = periods.previous AND q.player = k.player),
+rep AS (SELECT mb.period, mb.player, mb.name, mb.alliance, coalesce(g.contribution, 0) AS contribution, coalesce(g.fort, 0) AS fort, coalesce(g.kp, 0) AS kp, coalesce(g.power, 0) AS power, coalesce(g.p_kp, 0) AS p_kp, coalesce(g.p_power, 0) AS p_power,
+  g.power_growth, g.kp_growth FROM members mb LEFT JOIN g ON g.period = mb.period AND g.player = mb.player),
 std AS (SELECT n_name AS alliance, 20000 + n_nationkey * 100 AS min_contribution, CASE WHEN n_nationkey % 5 > 0 THEN 5000 END AS min_fort, CASE WHEN n_nationkey % 3 > 0 THEN 0 END AS min_power_growth, CASE WHEN n_nationkey % 4 > 0 THEN -2000 END AS min_kp_growth FROM nation),
-sc0 AS (SELECT g.period, g.player, p.name, p.alliance, g.contribution, g.fort, g.kp, g.power, g.power_growth, g.kp_growth,
+sc0 AS (SELECT g.period, g.player, g.name, g.alliance, g.contribution, g.fort, g.kp, g.power, g.p_kp, g.p_power, g.power_growth, g.kp_growth,
   CASE WHEN min_contribution IS NULL THEN 'NO_STANDARD' WHEN contribution >= min_contribution THEN 'PASS' ELSE 'FAIL' END AS s1,
   CASE WHEN min_fort IS NULL THEN 'NO_STANDARD' WHEN fort >= min_fort THEN 'PASS' ELSE 'FAIL' END AS s2,
   CASE WHEN power_growth IS NULL THEN 'NO_BASELINE' WHEN min_power_growth IS NULL THEN 'NO_STANDARD' WHEN power_growth >= min_power_growth THEN 'PASS' ELSE 'FAIL' END AS s3,
   CASE WHEN kp_growth IS NULL THEN 'NO_BASELINE' WHEN min_kp_growth IS NULL THEN 'NO_STANDARD' WHEN kp_growth >= min_kp_growth THEN 'PASS' ELSE 'FAIL' END AS s4
-  FROM g JOIN players p USING (player) JOIN std USING (alliance)),
+  FROM rep g JOIN std USING (alliance)),
 sc AS (SELECT *, CASE WHEN 'FAIL' IN (s1, s2, s3, s4) THEN 'FAIL' WHEN s1 = 'PASS' AND s2 = 'PASS' AND s3 = 'PASS' AND s4 = 'PASS' THEN 'PASS' WHEN 'PASS' IN (s1, s2, s3, s4) THEN 'PARTIAL' ELSE 'NO_STANDARD' END AS overall FROM sc0)
 """
 
@@ -41,7 +46,10 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     day = F.timestamp_add("DAY", (F.col("id") % 30).cast("int"), F.lit("2024-01-01").cast("timestamp"))
     week = F.concat(F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))
     b = r.boards(spark, d).filter("status = 'ACTIVE' and type = '1-URGENT'").select(week.alias("period"), F.col("identity").alias("player"), "metric", "value", F.lit("individual_power").alias("type"), "updated_at")
-    s = r.snapshots(spark, d).filter("player % 3 = 0").withColumnRenamed("at", "period").select("period", "player", "power", "kp", "t4", "t5", "deads")
+    # profiles are the fifth kind of event, so a week of a player may lack one
+    own = F.col("value")
+    parts = {"power": own, "kp": F.expr("value div 2"), "t4": F.expr("value div 10"), "t5": F.expr("value div 20"), "deads": own}
+    s = r.observations(spark, d).filter("metric = 'deads'").groupBy("period", "player").agg(*[F.max(v).alias(c) for c, v in parts.items()])
     # players without any observation that week are known by their board rows only
     seen = r.observations(spark, d).select("period", "player", F.lit("deads").alias("metric"), F.lit(0).cast("long").alias("value"))
     return activity.weekly_metrics(obs.select("period", "player", "metric", "value").unionByName(seen), b, s)
@@ -55,13 +63,20 @@ def standards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    g = activity.growth(metrics(spark, d), periods(spark, d))
-    return activity.scored(g.join(r.players(spark, d).select("player", "name", "alliance"), "player"), standards(spark, d))
+    p = periods(spark, d)
+    g = activity.growth(metrics(spark, d), p)
+    return activity.scored(activity.report(g, r.players(spark, d).select("player", "name", "alliance"), p), standards(spark, d))
 
 
-@query("a5_weekly_report", WEEKLY_SQL + "SELECT period, player, name, alliance, contribution, fort, kp, power, power_growth, kp_growth, s1 AS status_contribution, s2 AS status_fort, s3 AS status_power_growth, s4 AS status_kp_growth, overall FROM sc")
+@query("a5_report_summary", WEEKLY_SQL + "SELECT period, count(*) AS members, count(*) FILTER (power_growth IS NULL) AS no_power_baseline, count(*) FILTER (kp_growth IS NULL) AS no_kp_baseline, (SELECT count(*) FROM board WHERE status = 'UNRESOLVED') AS unresolved, (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O') AS pending FROM sc GROUP BY 1")
+def report_summary(spark, d):
+    waiting = r.boards(spark, d).filter("status = 'UNRESOLVED'"), r.t(spark, d, "lineitem").filter("l_linestatus = 'O'")
+    return activity.report_summary(scored(spark, d), *waiting)
+
+
+@query("a5_weekly_report", WEEKLY_SQL + "SELECT period, player, name, alliance, contribution, fort, kp, power, p_kp, p_power, power_growth, kp_growth, s1 AS status_contribution, s2 AS status_fort, s3 AS status_power_growth, s4 AS status_kp_growth, overall FROM sc")
 def weekly_report(spark, d):
-    return scored(spark, d).select("period", "player", "name", "alliance", "contribution", "fort", "kp", "power", "power_growth", "kp_growth", *[f"status_{m}" for m in ("contribution", "fort", "power_growth", "kp_growth")], "overall")
+    return scored(spark, d).select("period", "player", "name", "alliance", "contribution", "fort", "kp", "power", "p_kp", "p_power", "power_growth", "kp_growth", *[f"status_{m}" for m in ("contribution", "fort", "power_growth", "kp_growth")], "overall")
 
 
 @query("j3_previous_period", WEEKLY_SQL + "SELECT period, previous FROM periods")
@@ -77,7 +92,7 @@ def summary(spark, d):
     return activity.alliance_summary(scored(spark, d), catalog)
 
 
-@query("a6_insights", WEEKLY_SQL + "SELECT period, alliance, count(*) AS members, CAST(floor(100.0 * count(*) FILTER (overall = 'PASS') / count(*) + 0.5) AS INTEGER) AS pass_rate, CAST(floor(100.0 * count(power_growth) / count(*) + 0.5) AS INTEGER) AS baseline_coverage FROM sc GROUP BY GROUPING SETS ((period, alliance), (period))")
+@query("a6_insights", WEEKLY_SQL + ", i AS (SELECT period, alliance, count(*) AS members, count(*) FILTER (overall = 'PASS') AS passed, count(*) FILTER (overall = 'FAIL') AS failed, CAST(sum(contribution) AS BIGINT) AS contribution, CAST(coalesce(sum(power_growth), 0) AS BIGINT) AS power_growth, CAST(floor(100.0 * count(*) FILTER (overall = 'PASS') / count(*) + 0.5) AS INTEGER) AS pass_rate, CAST(floor(100.0 * count(power_growth) / count(*) + 0.5) AS INTEGER) AS baseline_coverage FROM sc GROUP BY GROUPING SETS ((period, alliance), (period))) SELECT *, CASE WHEN alliance IS NOT NULL THEN row_number() OVER (PARTITION BY period, alliance IS NULL ORDER BY pass_rate DESC, passed DESC, members DESC, alliance) END AS place FROM i")
 def insights(spark, d):
     return activity.insights(scored(spark, d))
 
@@ -95,7 +110,7 @@ def inactive(spark, d):
 
 PERFORMANCE_SQL = WEEKLY_SQL + """, mx AS (SELECT period, max(greatest(contribution, 0)) AS c, max(greatest(coalesce(power_growth, 0), 0)) AS pg, max(greatest(coalesce(kp_growth, 0), 0)) AS k, max(greatest(fort, 0)) AS f FROM sc GROUP BY 1),
 perf AS (SELECT period, player, round(CASE WHEN c > 0 THEN (greatest(contribution, 0) * 1000) // c ELSE 0 END / 1000.0 * 45 + CASE WHEN pg > 0 THEN (greatest(coalesce(power_growth, 0), 0) * 1000) // pg ELSE 0 END / 1000.0 * 30
-  + CASE WHEN k > 0 THEN (greatest(coalesce(kp_growth, 0), 0) * 1000) // k ELSE 0 END / 1000.0 * 15 + CASE WHEN f > 0 THEN (greatest(fort, 0) * 1000) // f ELSE 0 END / 1000.0 * 10, 3) AS score FROM sc JOIN mx USING (period))"""
+  + CASE WHEN f > 0 THEN (greatest(fort, 0) * 1000) // f ELSE 0 END / 1000.0 * 15 + CASE WHEN k > 0 THEN (greatest(coalesce(kp_growth, 0), 0) * 1000) // k ELSE 0 END / 1000.0 * 10, 3) AS score FROM sc JOIN mx USING (period))"""
 
 
 @query("w9_performance", PERFORMANCE_SQL + "SELECT period, player, CAST(round(score * 1000) AS BIGINT) AS score_milli FROM perf")
@@ -103,11 +118,12 @@ def performance(spark, d):
     return activity.performance(scored(spark, d)).select("period", "player", F.round(F.col("score") * 1000).cast("long").alias("score_milli"))
 
 
-@query("w10_movement", PERFORMANCE_SQL + """, mv AS (SELECT period, player, round(score - lag(score) OVER (PARTITION BY player ORDER BY period), 1) AS delta FROM perf), rk AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY delta DESC, player) AS up, row_number() OVER (PARTITION BY period ORDER BY delta, player) AS down, count(*) OVER (PARTITION BY period) AS compared FROM mv WHERE delta IS NOT NULL)
-SELECT period, player, CAST(round(delta * 10) AS BIGINT) AS delta_tenths, up, down, compared FROM rk WHERE up <= 4 OR down <= 4""")
+@query("w10_movement", PERFORMANCE_SQL + """, mv AS (SELECT c.period, c.player, round(c.score - q.score, 1) AS delta FROM perf c JOIN periods USING (period) JOIN perf q ON q.period = periods.previous AND q.player = c.player), cp AS (SELECT period, count(*) AS compared FROM mv GROUP BY 1),
+rk AS (SELECT *, 'up' AS side, row_number() OVER (PARTITION BY period ORDER BY delta DESC, player) AS place FROM mv WHERE delta > 0 UNION ALL SELECT *, 'down', row_number() OVER (PARTITION BY period ORDER BY delta, player) FROM mv WHERE delta < 0)
+SELECT period, player, CAST(round(delta * 10) AS BIGINT) AS delta_tenths, side, place, compared FROM rk JOIN cp USING (period) WHERE place <= 4""")
 def movement(spark, d):
     s = activity.performance(scored(spark, d)).select("period", "player", "score")
-    return activity.movement(s).select("period", "player", F.round(F.col("delta") * 10).cast("long").alias("delta_tenths"), "up", "down", "compared")
+    return activity.movement(s, periods(spark, d)).select("period", "player", F.round(F.col("delta") * 10).cast("long").alias("delta_tenths"), "side", "place", "compared")
 
 
 @query("w16_history", PERFORMANCE_SQL + """, h AS (SELECT *, dense_rank() OVER (PARTITION BY player ORDER BY period DESC) AS back FROM perf), k AS (SELECT * FROM h WHERE back <= 3)
