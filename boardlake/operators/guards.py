@@ -51,14 +51,16 @@ def sync_safety(power: Column, kp: Column) -> Column:
 
 
 def digit_plausibility(rows: DataFrame, tolerance: int = 1) -> DataFrame:
-    """Per run the upper median of digit counts; rows further than ``tolerance`` from it lose 8 of confidence."""
+    """Per run the upper median of the digit counts of metrics that have digits (0 without any); of those, rows further
+    than ``tolerance`` from it are outliers and lose 8 of confidence."""
     w = Window.partitionBy("run")
-    n = F.length("digits")
-    place = F.row_number().over(w.orderBy(n, "pos"))
-    ranked = rows.withColumns({"_n": n, "_p": place, "_c": F.count("*").over(w)})
-    base = F.max(F.when(F.col("_p") == F.expr("_c div 2 + 1"), F.col("_n"))).over(w)
+    rows = rows.withColumn("_n", F.length(F.coalesce("digits", F.lit(""))))
+    some = F.col("_n") > 0
+    place = F.row_number().over(w.orderBy(F.when(some, F.col("_n")).asc_nulls_last(), "pos"))
+    ranked = rows.withColumns({"_p": place, "_c": F.count_if(some).over(w)})
+    base = F.coalesce(F.max(F.when(some & (F.col("_p") == F.expr("_c div 2 + 1")), F.col("_n"))).over(w), F.lit(0))
     out = ranked.withColumn("baseline", base)
-    outlier = F.abs(F.col("_n") - F.col("baseline")) > tolerance
+    outlier = some & (F.abs(F.col("_n") - F.col("baseline")) > tolerance)
     return out.withColumn("outlier", outlier).withColumn("confidence", F.greatest(F.lit(0.0), F.col("confidence") - F.when(outlier, 8.0).otherwise(0.0))).drop("_n", "_p", "_c")
 
 
@@ -72,28 +74,32 @@ def repeated_values(rows: DataFrame) -> DataFrame:
 
 
 def rank_repair(rows: DataFrame) -> DataFrame:
-    """Ranks of a run in sequence from its first known rank; corrected rows lose 5 of confidence."""
+    """Ranks of a run in sequence, from its first rank above 0 back to its first row, at 1 at least (1 without any such
+    rank); corrected rows lose 5 of confidence."""
     w = Window.partitionBy("run").orderBy("pos")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("_i", F.row_number().over(w) - 1)
-    base = F.first(F.when(F.col("source_rank").isNotNull(), F.col("source_rank") - F.col("_i")), ignorenulls=True).over(every)
-    want = (base + F.col("_i")).cast("int")
-    wrong = want.isNotNull() & ~want.eqNullSafe(F.col("source_rank"))
-    out = rows.withColumns({"repaired_rank": F.coalesce(want, "source_rank"), "corrected": wrong})
+    base = F.greatest(F.lit(1), F.coalesce(F.first(F.when(F.col("source_rank") > 0, F.col("source_rank") - F.col("_i")), ignorenulls=True).over(every), F.lit(1)))
+    out = rows.withColumn("repaired_rank", (base + F.col("_i")).cast("int"))
+    out = out.withColumn("corrected", ~F.col("repaired_rank").eqNullSafe(F.col("source_rank")))
     return out.withColumn("confidence", F.greatest(F.lit(0.0), F.col("confidence") - F.when(F.col("corrected"), 5.0).otherwise(0.0))).drop("_i")
 
 
-def monotonic_guard(rows: DataFrame) -> DataFrame:
-    """Rows whose value exceeds the one before; alone in its run it takes the largest candidate (array) that fits
-    between its neighbours, else it loses 7 of confidence."""
+def monotonic_guard(rows: DataFrame, least_digits: int = 1) -> DataFrame:
+    """Rows whose value exceeds the one before. If it is the run's only one, the best of its candidates (an array of
+    value, score, confidence; by score, then confidence, then place) that lies between its neighbours and has ``least_digits``
+    replaces it, and its confidence becomes the mean of both; otherwise such rows lose 7 of confidence."""
     w = Window.partitionBy("run").orderBy("pos")
     rows = rows.withColumns({"_prev": F.lag("value").over(w), "_next": F.lead("value").over(w)})
-    bad = F.coalesce(F.col("value") > F.col("_prev"), F.lit(False))
-    rows = rows.withColumn("violation", bad)
+    rows = rows.withColumn("violation", F.coalesce(F.col("value") > F.col("_prev"), F.lit(False)))
     rows = rows.withColumn("_n", F.sum(F.col("violation").cast("int")).over(Window.partitionBy("run")))
-    fits = F.array_max(F.filter("candidates", lambda c: (c <= F.col("_prev")) & (F.col("_next").isNull() | (c >= F.col("_next")))))
-    use = F.col("violation") & (F.col("_n") == 1) & fits.isNotNull()
-    return rows.withColumns({"fixed": F.when(use, fits).otherwise(F.col("value")), "confidence": F.greatest(F.lit(0.0), F.col("confidence") - F.when(F.col("violation") & ~use, 7.0).otherwise(0.0))}).drop("_prev", "_next", "_n")
+    fits = lambda c: (c["value"] <= F.col("_prev")) & (F.col("_next").isNull() | (c["value"] >= F.col("_next"))) & (F.length(c["value"].cast("string")) >= least_digits)
+    ordered = F.transform("candidates", lambda c, i: F.struct((-c["score"]).alias("a"), (-c["confidence"]).alias("b"), i.alias("i"), c["value"].alias("value"), c["confidence"].alias("confidence")))
+    rows = rows.withColumn("_best", F.when(F.col("violation") & (F.col("_n") == 1), F.array_min(F.filter(ordered, fits))))
+    corrected = F.col("_best").isNotNull()
+    mean = F.least(F.lit(100.0), (F.col("confidence") + F.col("_best.confidence")) / 2)
+    lost = F.col("confidence") - F.when(F.col("violation"), 7.0).otherwise(0.0)
+    return rows.withColumns({"fixed": F.when(corrected, F.col("_best.value")).otherwise(F.col("value")), "confidence": F.greatest(F.lit(0.0), F.when(corrected, mean).otherwise(lost))}).drop("_prev", "_next", "_n", "_best")
 
 
 def run_quality(rows: DataFrame, least: float = 72.0) -> DataFrame:

@@ -23,21 +23,43 @@ def retention(rows: DataFrame, settings: DataFrame, now: Column, terminal: list[
     return rows.join(F.broadcast(settings), "ws", "left").filter(F.col("status").isin(terminal) & (F.col("created_at") < now - F.make_dt_interval(days))).drop("days")
 
 
-def metering(requests: DataFrame, unit_cost: int, budget: int) -> DataFrame:
-    """Requests in order of time; accepted while the cost of the provider's successes before, in the same workspace and
-    month, leaves room for one more. Costs are whole units."""
-    w = Window.partitionBy("ws", "month").orderBy("at", "id")
-    spent = F.coalesce(F.sum(F.col("ok").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * unit_cost
-    return requests.withColumn("month", F.date_format("at", "yyyy-MM")).withColumn("spent", spent).withColumn("accepted", F.col("spent") + unit_cost <= budget)
-
-
-def best_profile(images: DataFrame, profiles: DataFrame, exact: float = 0.06) -> DataFrame:
-    """The calibration profile (few) of least score for each image size: distance of widths and of ratios, range penalty."""
-    out_of = F.when((F.col("width") < F.col("min_width")) | (F.col("width") > F.col("max_width")), 1.0).otherwise(0.0)
-    score = F.round(F.abs(F.col("width") - F.col("base_width")) / F.col("base_width") + F.abs(F.col("width") / F.col("height") - F.col("ratio")) + out_of, 6)
+def metering(requests: DataFrame, settings: DataFrame) -> DataFrame:
+    """The outcome of each request (id, ws, at, ok) in order of time. ``settings`` (ws, enabled, budget, cost; few): in
+    whole units. Only successes that got through cost anything, so what is spent before a request is the cost of the successes
+    before it in its workspace and month, up to as many as the budget pays for."""
+    w = Window.partitionBy("ws", "month").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = requests.join(F.broadcast(settings), "ws", "left").withColumn("month", F.date_format("at", "yyyy-MM"))
+    open_ = F.coalesce("enabled", F.lit(False)) & (F.coalesce("budget", F.lit(0)) > 0)
+    paid = F.when(open_, F.least(F.coalesce(F.sum(F.col("ok").cast("long")).over(w), F.lit(0)), F.expr("budget div cost")) * F.col("cost")).otherwise(0)
+    reason = (
+        F.when(~F.coalesce("enabled", F.lit(False)), "fallback-disabled").when(F.coalesce("budget", F.lit(0)) <= 0, "monthly-budget-cap-zero")
+        .when(F.col("spent") + F.col("cost") > F.col("budget"), "monthly-budget-exceeded").when(~F.col("ok"), "provider-failed").otherwise("ok")
+    )
+    return rows.withColumn("spent", paid.cast("long")).withColumn("reason", reason).withColumn("accepted", F.col("reason") == "ok")
+
+
+def best_profile(images: DataFrame, profiles: DataFrame, archetype: str | None = None, preferred: str | None = None, exact: float = 0.06) -> DataFrame:
+    """The calibration profile (profile, place, archetype, min_width, max_width, min_aspect, max_aspect; few, each bound may
+    be null) of least penalty for each image size; the first of equals by ``place``. A known ``preferred`` profile is taken as
+    it is (``manual``)."""
+    ratio = F.col("width") / F.greatest(F.lit(1), F.col("height"))
+    beyond = lambda low, high, scale: F.coalesce(F.when(low < high, (high - low) / scale + 0.2), F.lit(0.0))
+    at_least_1 = lambda c: F.greatest(F.lit(1), F.col(c))
+    centre = F.coalesce((F.col("min_width") + F.col("max_width")) / 2, F.col("width"))
+    penalty = (
+        beyond(F.col("width"), F.col("min_width"), at_least_1("min_width")) + beyond(F.col("max_width"), F.col("width"), at_least_1("max_width"))
+        + beyond(ratio, F.col("min_aspect"), F.lit(1.0)) + beyond(F.col("max_aspect"), ratio, F.lit(1.0)) + F.abs(F.col("width") - centre) / F.greatest(F.lit(1.0), centre) * 0.05
+    )
     sizes = images.select("width", "height").distinct()
-    best = sizes.crossJoin(F.broadcast(profiles)).groupBy("width", "height").agg(F.min_by(F.struct("profile", score.alias("score")), F.struct(score, F.col("profile"))).alias("b"))
-    return images.join(best, ["width", "height"], "left").select("id", "width", "height", "b.profile", "b.score", (F.col("b.score") <= exact).alias("exact"))
+    if preferred is not None and len(own := profiles.filter(F.col("profile") == preferred).limit(1).collect()):
+        profiles, kind = profiles.filter(F.col("profile") == own[0].profile), F.lit("manual")
+    else:
+        if archetype is not None:
+            penalty = penalty + F.when(F.col("archetype").isNull(), 0.0).when(F.col("archetype") == archetype, -0.08).otherwise(0.25)
+        kind = F.when(F.col("b.penalty") <= exact, "exact").otherwise("nearest")
+    scored = sizes.crossJoin(F.broadcast(profiles)).withColumn("penalty", penalty)
+    best = scored.groupBy("width", "height").agg(F.min_by(F.struct("profile", "penalty"), F.struct("penalty", "place")).alias("b"))
+    return images.join(best, ["width", "height"], "left").select("id", "width", "height", "b.profile", "b.penalty", kind.alias("match"))
 
 
 def manifest_gaps(expected: DataFrame, uploaded: DataFrame) -> DataFrame:
@@ -64,9 +86,9 @@ def player_figures(players: DataFrame) -> DataFrame:
     return players.agg(F.count("*").alias("n"), F.round(F.avg("power"), 4).alias("mean_power"), F.sum("power").alias("total_power"), F.array_join(F.array_sort(F.collect_set("alliance")), ",").alias("alliances"))
 
 
-def index_tasks(**entities: DataFrame) -> DataFrame:
-    """Index tasks (corpus, entity) from several id sets."""
-    parts = [df.select(F.lit(c).alias("corpus"), F.col(df.columns[0]).cast("string").alias("entity")).distinct() for c, df in entities.items()]
+def index_tasks(entities: dict[tuple[str, str], DataFrame]) -> DataFrame:
+    """Index tasks (corpus, entity_type, entity) from several id sets, by (corpus, entity type); ids are told apart once."""
+    parts = [df.select(F.lit(c).alias("corpus"), F.lit(k).alias("entity_type"), F.col(df.columns[0]).cast("string").alias("entity")).filter("entity is not null").distinct() for (c, k), df in entities.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -12,6 +12,9 @@ FIELDS = ["governorId", "governorName", "power", "killPoints", "t4Kills", "t5Kil
 #: Least, most, and whether the field may be missing.
 BOUNDS = {"power": (100_000, 3_000_000_000, False), "killPoints": (0, 5_000_000_000, False), "t4Kills": (0, 2_000_000_000, True), "t5Kills": (0, 2_000_000_000, True), "deads": (0, 2_000_000_000, True)}
 
+#: Fixed value: signs that a name may hold.
+NAME_SIGNS = r"""[A-Za-z0-9 _\-\[\]()#.'":|/\\*+&!?@,`~^]"""
+
 
 def parsed_fields(rows: DataFrame) -> DataFrame:
     """Fields of JSON columns ``normalized`` or else ``fields``: scalar or {value, confidence}; raw columns stand in for
@@ -31,16 +34,42 @@ def parsed_fields(rows: DataFrame) -> DataFrame:
     return rows.withColumns(out).drop("_j")
 
 
-def field_checks(rows: DataFrame) -> DataFrame:
-    """(id, field, value, valid, severity) of the numeric fields and the id, a row each."""
-    long = rows.unpivot(["id"], ["governorId", *BOUNDS], "field", "value").withColumn("_d", F.regexp_replace(F.coalesce("value", F.lit("")), "[^0-9]", ""))
-    n = F.col("_d").try_cast("double")
-    valid, level = F.length("_d").between(6, 12), F.when(F.length("_d").between(6, 12), "ok").otherwise("error")
+#: What the checks call the fields.
+LABELS = {"power": "Power", "killPoints": "Kill Points", "t4Kills": "T4 Kills", "t5Kills": "T5 Kills", "deads": "Deads"}
+
+
+def field_checks(rows: DataFrame, cross: bool = True) -> DataFrame:
+    """(id, field, value, valid, severity, warning) of the id, the name (if there is such a column) and the numeric fields, a
+    row each. With ``cross``, kill points below the sum of both kinds of kills are a warning, whatever else they are."""
+    names = ["governorId", *(["name"] if "name" in rows.columns else []), *BOUNDS]
+    d = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[^0-9]", "")
+    number = lambda c: F.coalesce(d(c).try_cast("double"), F.lit(0.0))
+    less = number("killPoints") < number("t4Kills") + number("t5Kills") if cross else F.lit(False)
+    long = rows.withColumn("_less", less).unpivot(["id", "_less"], names, "field", "value").withColumn("_d", d("value"))
+    n, whole = F.coalesce(F.col("_d").try_cast("double"), F.lit(0.0)), F.format_number(F.col("_d").try_cast("double"), 0)
+    checks = {}  # of each field: valid, severity, warning
+    ok = F.length("_d").between(6, 12)
+    checks["governorId"] = ok, F.when(ok, "ok").otherwise("error"), F.when(~ok, "Governor ID should be 6-12 digits")
+    name = F.trim(F.coalesce("value", F.lit("")))
+    known = name.rlike("^" + NAME_SIGNS + "{1,40}$")
+    checks["name"] = known, F.when(known, "ok").otherwise("warning"), F.when(F.length(name) < 1, "Name is empty").when(F.length(name) > 40, "Name seems too long").when(~known, "Name contains unsupported characters for English-only OCR mode")
     for f, (low, high, optional) in BOUNDS.items():
-        own = F.when(F.col("_d") == "", "ok" if optional else "error").when((F.lit(f) == "power") & (n <= 0), "error").when((n < low) | (n > high), "warning").otherwise("ok")
-        valid = F.when(F.col("field") == f, F.coalesce(n, F.lit(0.0)).between(low, high)).otherwise(valid)
-        level = F.when(F.col("field") == f, own).otherwise(level)
-    return long.select("id", "field", "value", valid.alias("valid"), level.alias("severity"))
+        none, zero, label = F.col("_d") == "", (F.lit(f) == "power") & (n <= 0), LABELS[f]
+        own = F.when(none, "ok" if optional else "error").when(zero, "error").when((n < low) | (n > high), "warning").otherwise("ok")
+        said = lambda how, label=label: F.concat(F.lit(f"{label} ("), whole, F.lit(f") seems too {how}"))
+        why = F.when(none, F.lit(None if optional else f"{label} could not be parsed as a number").cast("string")).when(zero, "Power is zero or missing").when(n < low, said("low")).when(n > high, said("high"))
+        if f == "killPoints":
+            own, why = F.when(F.col("_less"), "warning").otherwise(own), F.when(F.col("_less"), "Kill points less than T4+T5 sum — check values").otherwise(why)
+        checks[f] = n.between(low, high), own, why
+    out = [F.lit(None).cast(t) for t in ("boolean", "string", "string")]
+    for f in names:
+        out = [F.when(F.col("field") == f, own).otherwise(rest) for own, rest in zip(checks[f], out, strict=True)]
+    return long.select("id", "field", "value", out[0].alias("valid"), out[1].alias("severity"), out[2].alias("warning"))
+
+
+def trailing_days(rows: DataFrame, now: Column, days: int | None = None, at: str = "created_at") -> DataFrame:
+    """rows of the last ``days`` days: 30 unless given, 1 to 180."""
+    return rows.filter(F.col(at) >= now - F.make_dt_interval(F.lit(max(1, min(180, 30 if days is None else days)))))
 
 
 def severity(status: Column, low_confidence: Column, min_conf: Column, errors: Column, warnings: Column) -> Column:
@@ -48,6 +77,20 @@ def severity(status: Column, low_confidence: Column, min_conf: Column, errors: C
     return F.when(status == "REJECTED", "LOW").when(low_confidence | (errors > 0) | (min_conf < 55), "HIGH").when((warnings > 0) | (min_conf < 75), "MEDIUM").otherwise("LOW")
 
 
+def severity_reasons(status: Column, low_confidence: Column, min_conf: Column, errors: Column, warnings: Column, failures: Column) -> Column:
+    """Why, as an array of sentences; ``failures``: an array of the engine's own reasons, of which three are named."""
+    healthy = ~low_confidence & (errors == 0) & (warnings == 0) & (min_conf >= 75)
+    percent_ = F.floor(min_conf + 0.5).cast("int").cast("string")
+    listed = F.array_compact(F.coalesce(failures, F.array().cast("array<string>")))
+    return F.when(status == "REJECTED", F.array(F.lit("Marked as rejected."))).otherwise(F.array_compact(F.array(
+        F.when(low_confidence, "Engine marked this extraction as low-confidence."),
+        F.when(F.size(listed) > 0, F.concat(F.lit("OCR failure reasons: "), F.array_join(F.slice(listed, 1, 3), ", "), F.lit("."))),
+        F.when(min_conf < 55, F.concat(F.lit("Very low confidence field ("), percent_, F.lit("%)."))).when(min_conf < 75, F.concat(F.lit("Low confidence field ("), percent_, F.lit("%)."))),
+        F.when(errors > 0, F.concat(errors.cast("string"), F.lit(" validation error(s)."))), F.when(warnings > 0, F.concat(warnings.cast("string"), F.lit(" validation warning(s)."))),
+        F.when(healthy, "OCR confidence and validation are healthy."),
+    )))
+
+
 def number_of(text: Column) -> Column:
     d = F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9-]", "")
     return F.coalesce(d.try_cast("long"), F.lit(0))
@@ -128,25 +171,38 @@ def timeline(snapshots: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def fused_candidates(cands: DataFrame, alternatives: int = 4) -> DataFrame:
-    """Candidates (ext, field, value, confidence, valid) scored by confidence, digits and validity; the best of each
-    field, its lead, whether it is ambiguous (below .03), and the best alternatives."""
-    text = F.col("value").cast("string")
-    digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
-    ratio = F.when(F.length(text) > 0, digits / F.length(text)).otherwise(0.0)
-    score = F.round(0.6 * F.col("confidence") / 100 + 0.2 * ratio + F.when(F.col("valid"), 0.2).otherwise(0.0), 6)
-    w = Window.partitionBy("ext", "field").orderBy(F.desc("score"), "value")
-    ranked = cands.withColumn("score", score).withColumns({"place": F.row_number().over(w), "lead": F.round(F.col("score") - F.lead("score").over(w), 6)})
-    return ranked.withColumn("ambiguous", (F.col("place") == 1) & (F.coalesce("lead", F.lit(1.0)) < 0.03)).filter(F.col("place") <= 1 + alternatives)
-
-
-def consistent_fields(ranked: DataFrame, top: int = 3, penalty: float = 0.25) -> DataFrame:
-    """Of the best three candidates of kp, t4 and t5 the combination with the largest sum of scores, less a penalty where
-    kp < t4 + t5. At most 27 combinations an extraction, made after the cut."""
-    of = lambda f: ranked.filter((F.col("field") == f) & (F.col("place") <= top)).select("ext", F.col("value").alias(f), F.col("score").alias(f"s_{f}"))
+    """Candidates (ext, field, id, value text, confidence 0 to 100, valid) scored by confidence, form and validity: names
+    by length and signs, ids and numbers by their digits. Adds the place within the field (by score, confidence, id), and for the
+    selected one the reasons to doubt it, comma-joined. ``alternatives`` candidates of each field are kept."""
+    value = F.coalesce(F.col("value"), F.lit(""))
+    n, digits = F.length(value), F.length(F.regexp_replace(value, "[^0-9]", ""))
+    signs = F.when(n > 0, F.length(F.regexp_replace(value, NAME_SIGNS, "")) / n)
+    name = F.when(n.between(1, 40), 0.12).otherwise(-0.18) + F.coalesce((1 - signs) * 0.2, F.lit(0.0)) + F.when(F.col("valid"), 0.1).otherwise(-0.28)
+    length = F.when(F.col("field") == "governorId", F.when(digits.between(6, 12), 0.16).otherwise(-0.22)).otherwise(F.when(digits.between(1, 11), 0.08).otherwise(-0.16))
+    number = F.when(digits > 0, 0.1).otherwise(-0.45) + length + F.when(F.col("valid"), 0.14).otherwise(-0.35)
+    score = F.round(F.col("confidence") / 100 * 0.62 + F.when(F.col("field") == "governorName", name).otherwise(number), 9)
+    w = Window.partitionBy("ext", "field").orderBy(F.desc("score"), F.desc("confidence"), "id")
+    ranked = cands.withColumn("score", score).withColumns({"place": F.row_number().over(w), "lead": F.round(F.col("score") - F.lead("score").over(w), 9)})
+    reasons = F.concat_ws(",", F.when(~F.col("valid"), "validation-failed"), F.when(F.col("confidence") < 70, "low-ocr-confidence"), F.when(F.col("score") < 0.55, "low-fusion-score"), F.when(F.col("lead") < 0.03, "ambiguous-candidates"))
+    return ranked.withColumn("reasons", F.when(F.col("place") == 1, reasons)).filter(F.col("place") <= alternatives)
+
+
+def consistent_fields(ranked: DataFrame, top: int = 3) -> DataFrame:
+    """Of the best three numeric candidates of kp, t4 and t5 the combination with the largest sum of scores, less 1.25 and
+    the relative excess (2 at most) where kp < t4 + t5; the first in order of places of equals. Tells which fields it changes.
+    At most 27 combinations an extraction, made after the cut."""
+    numeric = ranked.withColumn("n", F.regexp_replace("value", "[^0-9]", "").try_cast("long")).filter("n is not null")
+    place = F.row_number().over(Window.partitionBy("ext", "field").orderBy("place"))
+    numeric = numeric.withColumn("_p", place).filter(F.col("_p") <= top)
+    of = lambda f: numeric.filter(F.col("field") == f).select("ext", F.col("n").alias(f), F.col("score").alias(f"s_{f}"), F.col("place").alias(f"p_{f}"))
     combos = of("kp").join(of("t4"), "ext").join(of("t5"), "ext")
-    total = F.round(F.col("s_kp") + F.col("s_t4") + F.col("s_t5") - F.when(F.col("kp") < F.col("t4") + F.col("t5"), penalty).otherwise(0.0), 6)
-    best = combos.groupBy("ext").agg(F.max_by(F.struct("kp", "t4", "t5", total.alias("total")), F.struct(total, F.col("kp"), F.col("t4"), F.col("t5"))).alias("b"))
-    return best.select("ext", "b.*")
+    excess = F.col("t4") + F.col("t5") - F.col("kp")
+    penalty = F.when(excess > 0, 1.25 + F.least(F.lit(2.0), excess / F.greatest(F.lit(1), F.col("kp")))).otherwise(0.0)
+    total = F.round(F.col("s_kp") + F.col("s_t4") + F.col("s_t5") - penalty, 9)
+    places = [F.col(f"p_{f}") for f in ("kp", "t4", "t5")]
+    best = combos.groupBy("ext").agg(F.max_by(F.struct("kp", "t4", "t5", total.alias("total"), (excess > 0).alias("inconsistent"), *places), F.struct(total, *[-p for p in places])).alias("b"))
+    changed = F.concat_ws(",", *[F.when(F.col(f"b.p_{f}") > 1, f"{f}:adjusted-for-consistency") for f in ("kp", "t4", "t5")])
+    return best.select("ext", "b.kp", "b.t4", "b.t5", "b.total", "b.inconsistent", changed.alias("reasons"))
 
 
 RAW_RANKING = "struct<archetype:string,failureReasons:array<string>,rows:array<struct<rank:string,name:string,metric:string,confidence:double>>>"

@@ -129,16 +129,24 @@ def review_groups(rows: DataFrame, statuses: list[str]) -> DataFrame:
     return rows.groupBy("run").agg(*counts, F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda r: r["id"].cast("string")), ",").alias("ids"))
 
 
-def merge_decisions(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row's fate when a key's rows are replayed in order of created_at, updated_at, id.
-
-    A row that is not ACTIVE cannot replace an ACTIVE one, and an older update cannot replace a newer one.
+def merge_decisions(rows: DataFrame, keys: list[str], arrival: list[str] = ["id"]) -> DataFrame:  # noqa: B006
+    """Each row's fate when a key's rows arrive in order of ``arrival``: its run (created_at) must not be older than that of
+    the row that stands, nor, within one run time, its own update (updated_at); and a row that is not ACTIVE cannot replace an
+    ACTIVE one. What stands is the latest (run, row) of those that arrived: of all until the first ACTIVE row gets in, of the
+    ACTIVE ones from then on.
     """
-    order = Window.partitionBy(*keys).orderBy("created_at", "updated_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    active = F.max(F.when(F.col("status") == "ACTIVE", F.col("updated_at"))).over(order)
-    seen = F.max("updated_at").over(order)
-    newer = F.coalesce(F.when(F.col("status") == "ACTIVE", active), F.when(active.isNull(), seen))
-    return rows.withColumn("decision", F.when(seen.isNull(), "created").when((F.col("status") != "ACTIVE") & active.isNotNull(), "active-exists").when(newer > F.col("updated_at"), "existing-is-newer").otherwise("updated"))
+    before = Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
+    own, active = F.struct("created_at", "updated_at"), F.col("status") == "ACTIVE"
+    rows = rows.withColumns({"_own": own, "_all": F.max(own).over(before), "_active": F.max(F.when(active, own)).over(before)})
+    enters = active & (F.col("_all").isNull() | (F.col("_own") >= F.col("_all")))
+    rows = rows.withColumn("_since", F.coalesce(F.max(enters).over(before), F.lit(False)))
+    stands = F.when(F.col("_since"), F.col("_active")).otherwise(F.col("_all"))
+    decision = (
+        F.when(stands.isNull(), "created").when(stands["created_at"] > F.col("created_at"), "existing-run-is-newer")
+        .when((stands["created_at"] == F.col("created_at")) & (stands["updated_at"] > F.col("updated_at")), "existing-row-is-newer")
+        .when(F.col("_since") & ~active, "non-active-row-cannot-overwrite-active").otherwise("updated")
+    )
+    return rows.withColumn("decision", decision).drop("_own", "_all", "_active", "_since")
 
 
 def latest_revisions(revisions: DataFrame, key: str, n: int) -> DataFrame:

@@ -11,12 +11,57 @@ from boardlake.functions.vectorized import cosine_top_k
 RRF = 60
 
 
-def run_documents(rows: DataFrame, most: int = 240) -> DataFrame:
-    """A text of each run: its first ``most`` rows in order of rank, a line each."""
-    w = Window.partitionBy("run").orderBy(F.asc_nulls_last("rank"), "id")
+def _or_dash(c: Column) -> Column:
+    return F.when(F.coalesce(c.cast("string"), F.lit("")) == "", "-").otherwise(c.cast("string"))
+
+
+def _lines(*parts: tuple[str, Column]) -> Column:
+    """``label: value`` lines; null values leave their line out."""
+    return F.concat_ws("\n", *[F.concat(F.lit(label), value.cast("string")) for label, value in parts])
+
+
+def _yes(c: Column) -> Column:
+    return F.when(F.coalesce(c, F.lit(False)), "yes").otherwise("no")
+
+
+def run_documents(rows: DataFrame, runs: DataFrame, most: int = 240) -> DataFrame:
+    """(run, content): a head of each run (run, type, metric, header, status) and a line for each of its first ``most``
+    rows (run, rank, name, alliance, metric_raw, value, status) by rank, then value, largest first. A row without a rank shows
+    its place."""
+    w = Window.partitionBy("run").orderBy(F.asc_nulls_last("rank"), F.desc_nulls_first("value"), "id")
     first = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most)
-    lines = F.array_sort(F.collect_list(F.struct("_n", F.concat_ws(" ", F.concat(F.lit("#"), F.col("rank").cast("string")), "name", F.col("value").cast("string")).alias("line"))))
-    return first.groupBy("run").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("content"))
+    line = F.concat(F.coalesce("rank", "_n").cast("string"), F.lit(". "), F.coalesce("name", F.lit("")), F.lit(" | alliance="), _or_dash(F.col("alliance")), F.lit(" | metric="), F.coalesce(F.col("value").cast("string"), F.col("metric_raw"), F.lit("")), F.lit(" | status="), F.coalesce("status", F.lit("")))
+    lines = first.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("_n", line.alias("line")))).alias("_l"))
+    head = _lines(("Ranking Run ", F.col("run")), ("Type: ", F.col("type")), ("Metric Key: ", F.col("metric")), ("Header: ", _or_dash(F.col("header"))), ("Status: ", F.col("status")))
+    body = F.transform(F.coalesce("_l", F.array().cast("array<struct<_n:int,line:string>>")), lambda x: x["line"])
+    return runs.join(lines, "run", "left").select("run", F.array_join(F.concat(F.array(head), body), "\n").alias("content"))
+
+
+def player_documents(players: DataFrame, aliases: DataFrame, most: int = 120) -> DataFrame:
+    """(player, content): name, id, alliance and the first ``most`` aliases (player, alias, created_at) that are not blank."""
+    w = Window.partitionBy("player").orderBy("created_at", "alias")
+    first = aliases.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") <= most) & (F.trim("alias") != ""))
+    own = first.groupBy("player").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "alias"))), lambda x: x["alias"]), " | ").alias("_a"))
+    content = _lines(("Governor: ", F.col("name")), ("Governor ID: ", F.col("player")), ("Alliance: ", _or_dash(F.col("alliance"))), ("Aliases: ", _or_dash(F.col("_a"))))
+    return players.join(own, "player", "left").select("player", content.alias("content"))
+
+
+def event_documents(events: DataFrame) -> DataFrame:
+    """(event, content) of events (event, name, type, description, week, closed, starts_at, ends_at)."""
+    iso = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("-"))
+    content = _lines(("Event: ", F.col("name")), ("Type: ", F.col("type")), ("Description: ", _or_dash(F.col("description"))), ("Week Key: ", _or_dash(F.col("week"))), ("Closed: ", _yes(F.col("closed"))), ("Starts: ", iso("starts_at")), ("Ends: ", iso("ends_at")))
+    return events.select("event", content.alias("content"))
+
+
+def extraction_documents(rows: DataFrame) -> DataFrame:
+    """(id, content) of extractions (id, player_raw, name_raw, confidence, low_confidence, engine, and as JSON text or null:
+    normalized, fields, failures); empty JSON has no line."""
+    some = lambda c: F.when(~F.coalesce(F.regexp_replace(c, r"\s", ""), F.lit("")).isin("", "{}", "[]", "null"), F.col(c))
+    content = _lines(
+        ("OCR Extraction ", F.col("id")), ("Governor ID: ", _or_dash(F.col("player_raw"))), ("Governor Name: ", _or_dash(F.col("name_raw"))), ("Confidence: ", F.col("confidence")), ("Low confidence: ", _yes(F.col("low_confidence"))),
+        ("Engine: ", _or_dash(F.col("engine"))), ("Normalized: ", some("normalized")), ("Fields: ", some("fields")), ("Failure reasons: ", some("failures")),
+    )
+    return rows.select("id", content.alias("content"))
 
 
 def chunks(docs: DataFrame, size: int = 1400, most: int | None = None) -> DataFrame:
@@ -48,12 +93,21 @@ def lexical_score(query: Column, content: Column) -> Column:
     return F.when(F.size(words) > 0, have / F.size(words)).otherwise(0.0)
 
 
-def lexical_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
-    """Documents that contain the whole query, without regard to case; the ``k`` newest of each. Queries are few."""
-    hit = F.contains(F.lower("content"), F.lower("query"))
-    found = docs.join(F.broadcast(queries), hit).withColumn("score", lexical_score(F.col("query"), F.col("content")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "doc_id")
-    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", "doc_id", "score", "place")
+#: Queries that are broadcast at once; more are taken in blocks.
+MOST_QUERIES = 2000
+
+
+def lexical_search(queries: DataFrame, docs: DataFrame, k: int = 20, most: int = MOST_QUERIES) -> DataFrame:
+    """Documents that contain the whole query, without regard to case; the ``k`` newest of each. Queries go in blocks of
+    about ``most``, each of which reads the documents once."""
+    blocks = -(-queries.count() // most) or 1
+    hit, w = F.contains(F.lower("content"), F.lower("query")), Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "doc_id")
+    out = None
+    for b in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        found = docs.join(F.broadcast(own), hit).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+        out = found if out is None else out.unionByName(found)
+    return out.select("query_id", "doc_id", lexical_score(F.col("query"), F.col("content")).alias("score"), "place")
 
 
 def fused(vector: DataFrame, lexical: DataFrame, k: int = 10) -> DataFrame:

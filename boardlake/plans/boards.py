@@ -105,10 +105,18 @@ def review_groups(spark, d):
     return ranking.review_groups(r.boards(spark, d).withColumnRenamed("identity", "run"), ["ACTIVE", "UNRESOLVED", "REJECTED"])
 
 
-@query("w6_merge_decisions", """, x AS (SELECT *, max(CASE WHEN status = 'ACTIVE' THEN updated_at END) OVER w AS act, max(updated_at) OVER w AS seen FROM board WINDOW w AS (PARTITION BY type, identity ORDER BY created_at, updated_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT id, CASE WHEN seen IS NULL THEN 'created' WHEN status <> 'ACTIVE' AND act IS NOT NULL THEN 'active-exists' WHEN coalesce(CASE WHEN status = 'ACTIVE' THEN act END, CASE WHEN act IS NULL THEN seen END) > updated_at THEN 'existing-is-newer' ELSE 'updated' END AS decision FROM x""")
+#: The rows of a key replayed one by one, as a state machine: (run, row, status) of what stands.
+MERGE_SQL = """, wx AS (SELECT id, type, identity, status, created_at AS run, TIMESTAMP '2000-01-01' - INTERVAL 1 DAY * (id % 97) AS upd, row_number() OVER (PARTITION BY type, identity ORDER BY id) AS n FROM board),
+wm AS (SELECT id, type, identity, n, run AS s_run, upd AS s_upd, status AS s_status, 'created' AS decision FROM wx WHERE n = 1
+  UNION ALL SELECT x.id, x.type, x.identity, x.n, CASE WHEN ok THEN x.run ELSE s_run END, CASE WHEN ok THEN x.upd ELSE s_upd END, CASE WHEN ok THEN x.status ELSE s_status END,
+    CASE WHEN s_run > x.run THEN 'existing-run-is-newer' WHEN s_run = x.run AND s_upd > x.upd THEN 'existing-row-is-newer' WHEN NOT ok THEN 'non-active-row-cannot-overwrite-active' ELSE 'updated' END
+  FROM (SELECT x.*, s_run, s_upd, s_status, NOT (s_run > x.run) AND NOT (s_run = x.run AND s_upd > x.upd) AND NOT (s_status = 'ACTIVE' AND x.status <> 'ACTIVE') AS ok FROM wm JOIN wx x ON x.type = wm.type AND x.identity = wm.identity AND x.n = wm.n + 1) x)"""
+
+
+@query("w6_merge_decisions", MERGE_SQL + " SELECT id, decision FROM wm")
 def merge(spark, d):
-    return ranking.merge_decisions(r.boards(spark, d), ["type", "identity"]).select("id", "decision")
+    crossed = F.timestamp_add("DAY", -(F.col("id") % 97).cast("int"), F.lit("2000-01-01").cast("timestamp"))
+    return ranking.merge_decisions(r.boards(spark, d).withColumn("updated_at", crossed), ["type", "identity"]).select("id", "decision")
 
 
 @query("w17_latest_revisions", " SELECT identity, id, place FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY created_at DESC, id DESC) AS place FROM board) WHERE place <= 3")
@@ -163,10 +171,11 @@ def safety(spark, d):
     return r.snapshots(spark, d).select("player", "at", guards.sync_safety(F.col("power"), F.col("kp")).alias("reasons"))
 
 
-@query("a17_digit_plausibility", """, x AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY length(digits), pos) AS p, count(*) OVER (PARTITION BY run) AS c FROM captured), y AS (SELECT *, max(CASE WHEN p = c // 2 + 1 THEN length(digits) END) OVER (PARTITION BY run) AS baseline FROM x)
-SELECT run, pos, baseline, abs(length(digits) - baseline) > 1 AS outlier, greatest(0, confidence - CASE WHEN abs(length(digits) - baseline) > 1 THEN 8 ELSE 0 END) AS confidence FROM y""")
+@query("a17_digit_plausibility", """, x AS (SELECT run, pos, confidence, length(CASE WHEN pos % 3 = 0 THEN substr(digits, 1, 4) ELSE digits END) AS n FROM captured), y AS (SELECT run, list_sort(list(n) FILTER (n > 0)) AS ns FROM x GROUP BY 1), z AS (SELECT run, coalesce(ns[len(ns) // 2 + 1], 0) AS baseline FROM y)
+SELECT run, pos, baseline, n > 0 AND abs(n - baseline) > 1 AS outlier, greatest(0, confidence - CASE WHEN n > 0 AND abs(n - baseline) > 1 THEN 8 ELSE 0 END) AS confidence FROM x JOIN z USING (run)""")
 def plausibility(spark, d):
-    return guards.digit_plausibility(r.captured(spark, d)).select("run", "pos", "baseline", "outlier", "confidence")
+    c = r.captured(spark, d).withColumn("digits", F.when(F.col("pos") % 3 == 0, F.substring("digits", 1, 4)).otherwise(F.col("digits")))
+    return guards.digit_plausibility(c).select("run", "pos", "baseline", "outlier", "confidence")
 
 
 @query("a18_repeated_values", """, x AS (SELECT id, identity % 50 AS job, value // 1000000 + 1000 AS kp, CASE WHEN id % 5 = 0 THEN 0 ELSE id % 3 END AS power FROM board)
@@ -176,20 +185,23 @@ def repeated(spark, d):
     return guards.repeated_values(b).select("id", "kp_peers", "skip_sync")
 
 
-@query("w12_rank_repair", """, x AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY pos) - 1 AS i FROM captured), y AS (SELECT *, first_value(source_rank - i IGNORE NULLS) OVER (PARTITION BY run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM x)
-SELECT run, pos, CAST(coalesce(base + i, source_rank) AS INTEGER) AS repaired_rank, base IS NOT NULL AND (base + i) IS DISTINCT FROM source_rank AS corrected, greatest(0, confidence - CASE WHEN base IS NOT NULL AND (base + i) IS DISTINCT FROM source_rank THEN 5 ELSE 0 END) AS confidence FROM y""")
+@query("w12_rank_repair", """, x AS (SELECT run, pos, confidence, source_rank - 2 AS rank, row_number() OVER (PARTITION BY run ORDER BY pos) - 1 AS i FROM captured), a AS (SELECT run, arg_min(rank, i) AS rank, min(i) AS i FROM x WHERE rank > 0 GROUP BY 1),
+y AS (SELECT x.run, x.pos, x.confidence, x.rank, CAST(greatest(1, coalesce(a.rank - a.i, 1)) + x.i AS INTEGER) AS want FROM x LEFT JOIN a USING (run))
+SELECT run, pos, want AS repaired_rank, want IS DISTINCT FROM rank AS corrected, greatest(0, confidence - CASE WHEN want IS DISTINCT FROM rank THEN 5 ELSE 0 END) AS confidence FROM y""")
 def rank_repair(spark, d):
-    return guards.rank_repair(r.captured(spark, d)).select("run", "pos", "repaired_rank", "corrected", "confidence")
+    return guards.rank_repair(r.captured(spark, d).withColumn("source_rank", F.col("source_rank") - 2)).select("run", "pos", "repaired_rank", "corrected", "confidence")
 
 
-@query("w13_monotonic_guard", """, x AS (SELECT *, lag(value) OVER w AS pv, lead(value) OVER w AS nv FROM captured WINDOW w AS (PARTITION BY run ORDER BY pos)), y AS (SELECT *, coalesce(value > pv, false) AS violation FROM x), z AS (SELECT *, sum(CAST(violation AS INTEGER)) OVER (PARTITION BY run) AS nviol,
-list_max(list_filter([value // 10, value // 2, pv], lambda c: c <= pv AND (nv IS NULL OR c >= nv))) AS fits FROM y)
-SELECT run, pos, violation, CASE WHEN violation AND nviol = 1 AND fits IS NOT NULL THEN fits ELSE value END AS fixed, greatest(0, confidence - CASE WHEN violation AND NOT (nviol = 1 AND fits IS NOT NULL) THEN 7 ELSE 0 END) AS confidence FROM z""")
+@query("w13_monotonic_guard", """, x AS (SELECT *, lag(value) OVER w AS pv, lead(value) OVER w AS nv FROM captured WINDOW w AS (PARTITION BY run ORDER BY pos)), y AS (SELECT *, coalesce(value > pv, false) AS violation FROM x), z AS (SELECT *, sum(CAST(violation AS INTEGER)) OVER (PARTITION BY run) AS nviol FROM y),
+cd AS (SELECT run, pos, unnest([{'v': value // 10, 's': 0.4, 'c': 60}, {'v': value // 2, 's': 0.9, 'c': 80}, {'v': pv, 's': 0.9, 'c': 70}]) AS c FROM z),
+best AS (SELECT z.run, z.pos, arg_max(c, row(c.s, c.c)) AS b FROM cd JOIN z ON z.run = cd.run AND z.pos = cd.pos WHERE violation AND nviol = 1 AND c.v <= pv AND (nv IS NULL OR c.v >= nv) AND length(CAST(c.v AS VARCHAR)) >= 6 GROUP BY 1, 2)
+SELECT run, pos, violation, coalesce(b.v, value) AS fixed, CASE WHEN b IS NOT NULL THEN least(100, (confidence + b.c) / 2) ELSE greatest(0, confidence - CASE WHEN violation THEN 7 ELSE 0 END) END AS confidence FROM z LEFT JOIN best USING (run, pos)""")
 def monotonic(spark, d):
     c = r.captured(spark, d)
     prev = F.lag("value").over(Window.partitionBy("run").orderBy("pos"))
-    c = c.withColumn("candidates", F.array(F.expr("value div 10"), F.expr("value div 2"), prev))
-    return guards.monotonic_guard(c).select("run", "pos", "violation", "fixed", "confidence")
+    one = lambda v, s, k: F.struct(v.alias("value"), F.lit(s).alias("score"), F.lit(k).cast("double").alias("confidence"))
+    c = c.withColumn("candidates", F.array(one(F.expr("value div 10"), 0.4, 60), one(F.expr("value div 2"), 0.9, 80), one(prev, 0.9, 70)))
+    return guards.monotonic_guard(c, 6).select("run", "pos", "violation", "fixed", "confidence")
 
 
 @query("p17_row_hash", """ SELECT run, pos, sha256('{"governorNameRaw":"' || name || '","metricKey":"power","metricRaw":"' || metric_raw || '","rankingType":"individual_power","sourceRank":' || coalesce(CAST(source_rank AS VARCHAR), 'null') || '}') AS row_hash FROM captured""")

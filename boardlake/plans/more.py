@@ -103,14 +103,6 @@ def bars(spark, d):
     return b.join(F.broadcast(most), "type").select("id", F.expr("value * 10000 div _m").alias("hundredths"), F.when(age <= 24, "good").when(age <= 72, "warn").otherwise("bad").alias("tone"))
 
 
-@query("w15_consistent_fields")
-def consistent(spark, d):
-    e = r.observations(spark, d)
-    field = F.when(F.col("metric") == "kill_points", "kp").when(F.col("metric") == "contribution_points", "t4").when(F.col("metric") == "fort_destroying", "t5")
-    c = e.select(F.col("player").alias("ext"), field.alias("field"), "value", (F.col("value") % 101).cast("double").alias("confidence"), (F.col("id") % 4 > 0).alias("valid")).filter("field is not null").distinct()
-    return quality.consistent_fields(quality.fused_candidates(c))
-
-
 @query("j16_rerun_match", """, a AS (SELECT identity % 300 AS run, min(id) AS id, source_rank AS rank, name FROM board WHERE type = '1-URGENT' AND source_rank IS NOT NULL GROUP BY ALL), b AS (SELECT identity % 300 AS run, id AS new_id, source_rank AS rank, name, id AS pos FROM board WHERE type = '2-HIGH'),
 br AS (SELECT run, rank, arg_min(new_id, pos) AS m FROM b WHERE rank IS NOT NULL GROUP BY 1, 2), bn AS (SELECT run, name, arg_min(new_id, pos) AS m FROM b GROUP BY 1, 2), bf AS (SELECT run, arg_min(new_id, pos) AS m FROM b GROUP BY 1)
 SELECT a.run, a.id, coalesce(br.m, bn.m, bf.m) AS new_id, CASE WHEN br.m IS NOT NULL THEN 'rank' WHEN bn.m IS NOT NULL THEN 'name' WHEN bf.m IS NOT NULL THEN 'first' END AS how FROM a LEFT JOIN br ON a.run = br.run AND a.rank = br.rank LEFT JOIN bn ON a.run = bn.run AND a.name = bn.name LEFT JOIN bf ON a.run = bf.run""")
@@ -211,11 +203,11 @@ def workspace_tasks(spark, d):
     return n.withColumn("place", F.rank().over(Window.partitionBy("type").orderBy(F.desc("n"), "status")))
 
 
-@query("p30_ranking_payload", """, x AS (SELECT run, pos, source_rank, name, digits, CASE WHEN confidence > 100 THEN 100 ELSE confidence END AS c FROM captured WHERE run % 10 = 3), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY pos) - 1 AS "at" FROM x WHERE digits <> ''),
+@query("p30_ranking_payload", """, x AS (SELECT run, pos, source_rank, name, digits, CASE WHEN confidence > 100 THEN 100 ELSE confidence END AS c FROM captured), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY pos) - 1 AS "at" FROM x WHERE digits <> ''),
 g AS (SELECT run, count(*) FILTER (digits <> '') AS n, bool_or(c < 70) FILTER (digits <> '') AS low FROM x GROUP BY 1)
 SELECT g.run, CASE WHEN n > 0 THEN 'ranking_board' ELSE 'unknown' END AS archetype, CASE WHEN g.run % 4 = 3 THEN 'blur' || CASE WHEN n = 0 THEN ',no-rows' ELSE '' END WHEN n = 0 THEN 'no-rows' ELSE '' END AS reasons, coalesce(low, false) OR g.run % 4 = 3 OR n = 0 AS low_confidence, CAST("at" AS INTEGER) AS "at", source_rank AS rank, name, digits AS metric, CAST(c AS DOUBLE) AS confidence FROM g LEFT JOIN k USING (run)""")
 def ranking_payload(spark, d):
-    c = r.captured(spark, d).filter("run % 10 = 3")
+    c = r.captured(spark, d)
     row = F.struct("pos", F.struct(F.col("source_rank").cast("string").alias("rank"), F.concat(F.lit(" "), "name", F.lit("é")).alias("name"), F.concat(F.lit("p"), "digits").alias("metric"), "confidence").alias("r"))
     rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("rows")
     runs = c.groupBy("run").agg(rows).select("run", F.to_json(F.struct(F.when(F.col("run") % 4 == 3, F.array(F.lit("blur"), F.lit("blur"))).alias("failureReasons"), "rows")).alias("payload"))

@@ -43,16 +43,27 @@ CHECK_SQL = FIELD_SQL + """, chk AS (SELECT id, field, value, CASE WHEN field =
   WHEN CAST(value AS BIGINT) < CASE WHEN field = 'power' THEN 100000 ELSE 0 END OR CAST(value AS BIGINT) > CASE field WHEN 'power' THEN 3000000000 WHEN 'killPoints' THEN 5000000000 ELSE 2000000000 END THEN 'warning' ELSE 'ok' END AS severity FROM lng)"""
 
 
-@query("n3_field_checks", CHECK_SQL + " SELECT id, field, severity FROM chk")
+@query("n3_field_checks", CHECK_SQL + """, nm AS (SELECT id, CASE id % 4 WHEN 0 THEN 'Lord ' || id WHEN 1 THEN '  ' WHEN 2 THEN repeat('x', 41) ELSE 'Ł' || id END AS name FROM ext),
+kp AS (SELECT id, CAST(coalesce(nullif("killPoints", ''), '0') AS BIGINT) < CAST(coalesce(nullif("t4Kills", ''), '0') AS BIGINT) + CAST(coalesce(nullif("t5Kills", ''), '0') AS BIGINT) AS less FROM fields)
+SELECT id, field, CASE WHEN field = 'killPoints' AND less THEN 'warning' ELSE severity END AS severity, CASE WHEN field = 'killPoints' AND less THEN 'Kill points less than T4+T5 sum — check values' END AS cross_warning FROM chk JOIN kp USING (id)
+UNION ALL SELECT id, 'name', CASE WHEN id % 4 = 0 THEN 'ok' ELSE 'warning' END, CASE id % 4 WHEN 1 THEN 'Name is empty' WHEN 2 THEN 'Name seems too long' WHEN 3 THEN 'Name contains unsupported characters for English-only OCR mode' END FROM nm""")
 def checks(spark, d):
-    return quality.field_checks(fields(spark, d)).select("id", "field", "severity")
+    k = F.col("id") % 4
+    name = F.when(k == 0, F.concat(F.lit("Lord "), F.col("id").cast("string"))).when(k == 1, "  ").when(k == 2, "x" * 41).otherwise(F.concat(F.lit("Ł"), F.col("id").cast("string")))
+    out = quality.field_checks(fields(spark, d).withColumn("name", name))
+    shown = F.when(F.col("field") == "name", F.col("warning")).when(F.col("warning").startswith("Kill points less"), F.col("warning"))
+    return out.select("id", "field", "severity", shown.alias("cross_warning"))
 
 
-@query("n4_severity", CHECK_SQL + """, c AS (SELECT id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM chk GROUP BY 1)
-SELECT id, CASE WHEN status = 'REJECTED' THEN 'LOW' WHEN id % 10 = 0 OR e > 0 OR k < 55 THEN 'HIGH' WHEN w > 0 OR k < 75 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM ext JOIN c USING (id)""")
+@query("n4_severity", CHECK_SQL + """, c AS (SELECT id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM chk GROUP BY 1), v AS (SELECT ext.id, status, k, e, w, ext.id % 10 = 0 AS low, CASE ext.id % 4 WHEN 0 THEN 'blur, crop, glare' WHEN 1 THEN 'blur' END AS f FROM ext JOIN c ON c.id = ext.id)
+SELECT id, CASE WHEN status = 'REJECTED' THEN 'LOW' WHEN low OR e > 0 OR k < 55 THEN 'HIGH' WHEN w > 0 OR k < 75 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  CASE WHEN status = 'REJECTED' THEN 'Marked as rejected.' ELSE concat_ws('|', CASE WHEN low THEN 'Engine marked this extraction as low-confidence.' END, 'OCR failure reasons: ' || f || '.', CASE WHEN k < 55 THEN 'Very low confidence field (' || k || '%).' WHEN k < 75 THEN 'Low confidence field (' || k || '%).' END,
+    CASE WHEN e > 0 THEN e || ' validation error(s).' END, CASE WHEN w > 0 THEN w || ' validation warning(s).' END, CASE WHEN NOT low AND e = 0 AND w = 0 AND k >= 75 THEN 'OCR confidence and validation are healthy.' END) END AS reasons FROM v""")
 def severities(spark, d):
-    c = quality.field_checks(fields(spark, d)).groupBy("id").agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w"))
-    return extractions(spark, d).join(c, "id").select("id", quality.severity(F.col("status"), F.col("id") % 10 == 0, F.col("k"), F.col("e"), F.col("w")).alias("severity"))
+    c = quality.field_checks(fields(spark, d), cross=False).groupBy("id").agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w"))
+    some = F.when(F.col("id") % 4 == 0, F.array(*map(F.lit, ("blur", "crop", "glare", "tilt")))).when(F.col("id") % 4 == 1, F.array(F.lit("blur")))
+    own = [F.col("status"), F.col("id") % 10 == 0, F.col("k"), F.col("e"), F.col("w")]
+    return extractions(spark, d).join(c, "id").select("id", quality.severity(*own).alias("severity"), F.array_join(quality.severity_reasons(*own, some), "|").alias("reasons"))
 
 
 @query("p25_limit_problems", FIELD_SQL + """, lim AS (SELECT *, length(value) AS n FROM lng) SELECT id, field, CASE WHEN value = '' THEN 'missing-digits' WHEN n < CASE field WHEN 'governorId' THEN 6 WHEN 'power' THEN 5 ELSE 1 END THEN 'digits-too-short' WHEN n > CASE field WHEN 'governorId' THEN 12 WHEN 'power' THEN 11 WHEN 'killPoints' THEN 11 ELSE 10 END THEN 'digits-too-long'
@@ -124,19 +135,28 @@ def retention(spark, d):
     return ops.retention(b, settings, F.lit("1998-01-01").cast("timestamp"), ["ACTIVE", "REJECTED"]).select("id")
 
 
-@query("a23_metering", """, q AS (SELECT id, player % 10 AS ws, strftime(observed_at, '%Y-%m') AS month, observed_at, value % 3 > 0 AS ok FROM obs), c AS (SELECT *, coalesce(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY ws, month ORDER BY observed_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3 AS spent FROM q) SELECT id, CAST(spent AS BIGINT) AS spent, spent + 3 <= 900 AS accepted FROM c""")
+@query("a23_metering", """, q AS (SELECT id, player % 10 AS ws, strftime(observed_at, '%Y-%m') AS month, value % 3 > 0 AS ok, row_number() OVER (PARTITION BY player % 10, strftime(observed_at, '%Y-%m') ORDER BY observed_at, id) AS n FROM obs), cfg AS (SELECT n_nationkey AS ws, n_nationkey <> 4 AS enabled, CASE WHEN n_nationkey <> 7 THEN n_nationkey * 100 + 5 ELSE 0 END AS budget, 3 + n_nationkey % 2 AS cost FROM nation WHERE n_nationkey < 9),
+oks AS (SELECT ws, month, n, row_number() OVER (PARTITION BY ws, month ORDER BY n) AS nth FROM q WHERE ok),
+last AS (SELECT o.ws, o.month, o.n AS n, o.nth FROM oks o), cap AS (SELECT q.id, q.ws, q.ok, cfg.enabled, cfg.budget, cfg.cost, (SELECT max(nth) FROM last l WHERE l.ws = q.ws AND l.month = q.month AND l.n < q.n AND l.nth * cfg.cost <= cfg.budget) AS paid FROM q LEFT JOIN cfg USING (ws))
+SELECT id, CAST(CASE WHEN enabled AND budget > 0 THEN coalesce(paid, 0) * cost ELSE 0 END AS BIGINT) AS spent, CASE WHEN NOT coalesce(enabled, false) THEN 'fallback-disabled' WHEN coalesce(budget, 0) <= 0 THEN 'monthly-budget-cap-zero' WHEN (coalesce(paid, 0) + 1) * cost > budget THEN 'monthly-budget-exceeded' WHEN NOT ok THEN 'provider-failed' ELSE 'ok' END AS reason FROM cap""")
 def metering(spark, d):
     q = r.observations(spark, d).select("id", (F.col("player") % 10).alias("ws"), F.col("observed_at").alias("at"), (F.col("value") % 3 > 0).alias("ok"))
-    return ops.metering(q, 3, 900).select("id", "spent", "accepted")
+    k = F.col("n_nationkey").cast("long")
+    settings = r.t(spark, d, "nation").filter("n_nationkey < 9").select(k.alias("ws"), (k != 4).alias("enabled"), F.when(k != 7, k * 100 + 5).otherwise(0).alias("budget"), (3 + k % 2).alias("cost"))
+    return ops.metering(q, settings).select("id", "spent", "reason")
 
 
-@query("j12_best_profile", """, im AS (SELECT p_partkey AS id, 800 + p_size * 30 AS width, 600 + p_size * 10 AS height FROM part), pf AS (SELECT 'n' || n_nationkey AS profile, 700 + n_nationkey * 70 AS base_width, 600 + n_nationkey * 70 AS lo, 900 + n_nationkey * 70 AS hi, 1.2 + n_nationkey * 0.03 AS ratio FROM nation),
-s AS (SELECT id, width, profile, round(abs(width - base_width) / base_width + abs(width / height - CAST(ratio AS DOUBLE)) + CASE WHEN width < lo OR width > hi THEN 1.0 ELSE 0.0 END, 6) AS score FROM im, pf) SELECT id, arg_min(profile, row(score, profile)) AS profile FROM s GROUP BY 1""")
+@query("j12_best_profile", """, im AS (SELECT p_partkey AS id, 800 + p_size * 30 AS width, 600 + p_size * 10 AS height FROM part), pf AS (SELECT 'n' || n_nationkey AS profile, n_nationkey AS place, CASE WHEN n_nationkey % 3 > 0 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'rankboard' ELSE 'governor-profile' END END AS archetype, CASE WHEN n_nationkey % 6 > 0 THEN 600 + n_nationkey * 70 END AS lo, 900 + n_nationkey * 70 AS hi, 1.2 + n_nationkey * 0.03 AS ra, CASE WHEN n_nationkey % 4 > 0 THEN 1.5 + n_nationkey * 0.03 END AS rb FROM nation),
+j AS (SELECT id, width, profile, place, archetype, lo, hi, CAST(ra AS DOUBLE) AS ra, CAST(rb AS DOUBLE) AS rb, width / height AS ratio FROM im, pf),
+s AS (SELECT id, profile, place, CASE WHEN lo IS NOT NULL AND width < lo THEN (lo - width) / lo + 0.2 ELSE 0 END + CASE WHEN width > hi THEN (width - hi) / hi + 0.2 ELSE 0 END + CASE WHEN ratio < ra THEN ra - ratio + 0.2 ELSE 0 END + CASE WHEN rb IS NOT NULL AND ratio > rb THEN ratio - rb + 0.2 ELSE 0 END
+  + CASE WHEN lo IS NULL THEN 0 ELSE abs(width - (lo + hi) / 2) / ((lo + hi) / 2) * 0.05 END + CASE WHEN archetype IS NULL THEN 0 WHEN archetype = 'rankboard' THEN -0.08 ELSE 0.25 END AS penalty FROM j)
+SELECT id, arg_min(profile, row(round(penalty, 9), place)) AS profile, CASE WHEN min(penalty) <= 0.06 THEN 'exact' ELSE 'nearest' END AS match FROM s GROUP BY 1""")
 def profile(spark, d):
     n = F.col("n_nationkey")
-    pf = r.t(spark, d, "nation").select(F.concat(F.lit("n"), n.cast("string")).alias("profile"), (700 + n * 70).alias("base_width"), (600 + n * 70).alias("min_width"), (900 + n * 70).alias("max_width"), (1.2 + n * 0.03).alias("ratio"))
+    kind = F.when(n % 3 > 0, F.when(n % 2 == 0, "rankboard").otherwise("governor-profile"))
+    pf = r.t(spark, d, "nation").select(F.concat(F.lit("n"), n.cast("string")).alias("profile"), n.alias("place"), kind.alias("archetype"), F.when(n % 6 > 0, 600 + n * 70).alias("min_width"), (900 + n * 70).alias("max_width"), (1.2 + n * 0.03).alias("min_aspect"), F.when(n % 4 > 0, 1.5 + n * 0.03).alias("max_aspect"))
     im = r.t(spark, d, "part").select(F.col("p_partkey").alias("id"), (800 + F.col("p_size") * 30).alias("width"), (600 + F.col("p_size") * 10).alias("height"))
-    return ops.best_profile(im, pf).select("id", "profile")
+    return ops.best_profile(im, pf, "rankboard").select("id", "profile", "match")
 
 
 @query("j13_manifest_gaps", " SELECT o_custkey AS job, count(*) AS expected, count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)) AS enqueued, count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)) AS missing FROM orders GROUP BY 1")
@@ -161,9 +181,15 @@ def player_figures(spark, d):
     return ops.player_figures(r.players(spark, d))
 
 
-@query("u1_index_tasks", ", e AS (SELECT 'player' AS corpus, CAST(player AS VARCHAR) AS entity FROM players UNION SELECT 'run', CAST(identity AS VARCHAR) FROM board UNION SELECT 'document', CAST(doc_id AS VARCHAR) FROM documents) SELECT corpus, count(*) AS n FROM e GROUP BY 1")
+@query("u1_index_tasks", """, e AS (SELECT 'governor_identity' AS corpus, 'governor' AS entity_type, CAST(player AS VARCHAR) AS entity FROM players UNION SELECT 'events', 'event', period FROM obs UNION SELECT 'ocr_extractions', 'ocr_extraction', CAST(id AS VARCHAR) FROM obs UNION SELECT 'ranking', 'ranking_run', CAST(id AS VARCHAR) FROM board
+UNION SELECT 'assistant_audit', 'assistant_plan', CAST(conv_id AS VARCHAR) FROM conversations UNION SELECT 'assistant_audit', 'assistant_pending_identity', CAST(doc_id AS VARCHAR) FROM documents) SELECT corpus, entity_type, count(*) AS n FROM e GROUP BY 1, 2""")
 def tasks(spark, d):
-    return ops.index_tasks(player=r.players(spark, d).select("player"), run=r.boards(spark, d).select("identity"), document=r.t(spark, d, "documents").select("doc_id")).groupBy("corpus").agg(F.count("*").alias("n"))
+    o = r.observations(spark, d)
+    sets = {
+        ("governor_identity", "governor"): r.players(spark, d).select("player"), ("events", "event"): o.select("period"), ("ocr_extractions", "ocr_extraction"): o.select("id"), ("ranking", "ranking_run"): r.boards(spark, d).select("id"),
+        ("assistant_audit", "assistant_plan"): r.t(spark, d, "conversations").select("conv_id"), ("assistant_audit", "assistant_pending_identity"): r.t(spark, d, "documents").select("doc_id"),
+    }
+    return ops.index_tasks(sets).groupBy("corpus", "entity_type").agg(F.count("*").alias("n"))
 
 
 @query("a24_index_status", """ SELECT type AS corpus, count(*) AS total, count(*) FILTER (status = 'ACTIVE') AS pending, count(*) FILTER (status = 'REJECTED') AS failed, count(*) FILTER (status = 'UNRESOLVED' AND updated_at >= TIMESTAMP '1998-06-01' - INTERVAL 24 HOUR) AS completed_24h FROM board GROUP BY 1""")
@@ -184,10 +210,34 @@ def chunks(spark, d):
     return retrieval.chunks(r.t(spark, d, "documents")).select("doc_id", "chunk", "hash")
 
 
-@query("r1_run_documents", " SELECT run, sha1(string_agg('#' || coalesce(CAST(source_rank AS VARCHAR), '') || ' ' || name || ' ' || value, chr(10) ORDER BY source_rank NULLS LAST, pos)) AS hash FROM captured WHERE source_rank IS NOT NULL GROUP BY 1")
+@query("r1_run_documents", """, k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY source_rank NULLS LAST, value DESC, pos) AS n FROM captured), l AS (SELECT run, string_agg(coalesce(source_rank, n) || '. ' || name || ' | alliance=' || CASE WHEN pos % 2 = 0 THEN 'a' || pos ELSE '-' END || ' | metric=' || value || ' | status=' || CASE WHEN digits = '' THEN 'UNRESOLVED' ELSE 'AUTO_LINKED' END, chr(10) ORDER BY n) AS t FROM k WHERE n <= 240 GROUP BY 1)
+SELECT o_orderkey AS run, sha1('Ranking Run ' || o_orderkey || chr(10) || 'Type: ' || o_orderpriority || chr(10) || 'Metric Key: power' || chr(10) || 'Header: ' || CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE 'h' || o_orderkey END || chr(10) || 'Status: ' || o_orderstatus || coalesce(chr(10) || t, '')) AS hash FROM orders LEFT JOIN l ON run = o_orderkey""")
 def run_documents(spark, d):
-    c = r.captured(spark, d).filter("source_rank is not null").select("run", F.col("source_rank").alias("rank"), F.col("pos").alias("id"), "name", "value")
-    return retrieval.run_documents(c).select("run", F.sha1("content").alias("hash"))
+    c = r.captured(spark, d).select("run", F.col("source_rank").alias("rank"), F.col("pos").alias("id"), "name", "value", "metric_raw", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("a"), F.col("pos").cast("string"))).alias("alliance"), F.when(F.col("digits") == "", "UNRESOLVED").otherwise("AUTO_LINKED").alias("status"))
+    k = F.col("o_orderkey")
+    runs = r.t(spark, d, "orders").select(k.alias("run"), F.col("o_orderpriority").alias("type"), F.lit("power").alias("metric"), F.when(k % 3 > 0, F.concat(F.lit("h"), k.cast("string"))).alias("header"), F.col("o_orderstatus").alias("status"))
+    return retrieval.run_documents(c, runs).select("run", F.sha1("content").alias("hash"))
+
+
+@query("r1_player_documents", """, al AS (SELECT identity AS player, name || '#' || source_rank AS alias, created_at, row_number() OVER (PARTITION BY identity ORDER BY created_at, name || '#' || source_rank) AS n FROM board), a AS (SELECT player, string_agg(alias, ' | ' ORDER BY n) AS t FROM al WHERE n <= 120 AND alias IS NOT NULL GROUP BY 1)
+SELECT p.player, sha1('Governor: ' || name || chr(10) || 'Governor ID: ' || p.player || chr(10) || 'Alliance: ' || alliance || chr(10) || 'Aliases: ' || coalesce(t, '-')) AS hash FROM players p LEFT JOIN a ON a.player = p.player""")
+def player_documents(spark, d):
+    al = r.boards(spark, d).select(F.col("identity").alias("player"), F.concat("name", F.lit("#"), F.col("source_rank").cast("string")).alias("alias"), "created_at")
+    return retrieval.player_documents(r.players(spark, d), al).select("player", F.sha1("content").alias("hash"))
+
+
+@query("r1_event_documents", """, w AS (SELECT period, min(date_trunc('week', observed_at)) AS s FROM obs GROUP BY 1) SELECT period AS event, 'Event: Week ' || period || chr(10) || 'Type: WEEKLY' || chr(10) || 'Description: -' || chr(10) || 'Week Key: ' || period || chr(10) || 'Closed: ' || CASE WHEN period < '2024-W03' THEN 'yes' ELSE 'no' END || chr(10) || 'Starts: ' || strftime(s, '%Y-%m-%dT%H:%M:%S.000Z') || chr(10) || 'Ends: -' AS content FROM w""")
+def event_documents(spark, d):
+    w = r.observations(spark, d).groupBy(F.col("period").alias("event")).agg(F.min(F.date_trunc("week", "observed_at")).alias("starts_at"))
+    e = w.withColumns({"name": F.concat(F.lit("Week "), "event"), "type": F.lit("WEEKLY"), "description": F.lit(None).cast("string"), "week": F.col("event"), "closed": F.col("event") < "2024-W03", "ends_at": F.lit(None).cast("timestamp")})
+    return retrieval.event_documents(e)
+
+
+@query("r1_extraction_documents", EXT_SQL + """ SELECT id, sha1('OCR Extraction ' || id || chr(10) || 'Governor ID: ' || CASE WHEN id % 3 > 0 THEN CAST(user_id AS VARCHAR) ELSE '-' END || chr(10) || 'Governor Name: -' || chr(10) || 'Confidence: ' || k || chr(10) || 'Low confidence: ' || CASE WHEN k < 50 THEN 'yes' ELSE 'no' END || chr(10) || 'Engine: ' || event_type || CASE WHEN id % 2 = 0 THEN chr(10) || 'Normalized: {"k":' || k || '}' ELSE '' END || CASE WHEN id % 5 = 0 THEN chr(10) || 'Failure reasons: ["blur"]' ELSE '' END) AS hash FROM ext""")
+def extraction_documents(spark, d):
+    e, k = extractions(spark, d), F.col("k")
+    e = e.select("id", F.when(F.col("id") % 3 > 0, F.col("user_id")).alias("player_raw"), F.lit("").alias("name_raw"), k.alias("confidence"), (k < 50).alias("low_confidence"), F.col("event_type").alias("engine"), F.when(F.col("id") % 2 == 0, F.to_json(F.struct("k"))).otherwise("{ }").alias("normalized"), F.lit(None).cast("string").alias("fields"), F.when(F.col("id") % 5 == 0, '["blur"]').otherwise("[]").alias("failures"))
+    return retrieval.extraction_documents(e).select("id", F.sha1("content").alias("hash"))
 
 
 @query("r3_index_actions", " , o AS (SELECT player, 'h' || power AS h FROM players WHERE player % 3 > 0), n AS (SELECT player, 'h' || (power + CASE WHEN player % 7 = 0 THEN 1 ELSE 0 END) AS h FROM players WHERE player % 4 > 0) SELECT player, CASE WHEN o.h IS NULL THEN 'insert' WHEN n.h IS NULL THEN 'delete' WHEN o.h <> n.h THEN 'update' ELSE 'keep' END AS action FROM o FULL JOIN n USING (player)")
@@ -211,12 +261,12 @@ def vector(spark, d):
     return vectors(spark, d).select("query_id", "doc_id", "place")
 
 
-LEX_SQL = """, lq AS (SELECT item_id AS query_id, substr(text, 1, 12) AS query FROM benchmark), lx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS place FROM documents, lq WHERE contains(lower(text), lower(query)))"""
+LEX_SQL = """, lq AS (SELECT item_id AS query_id, text AS query FROM benchmark), lx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS place FROM documents, lq WHERE contains(lower(text), lower(query)))"""
 
 
 def lexical(spark, d):
     docs = r.t(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.col("n_chars").alias("updated_at"))
-    q = r.t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("query"))
+    q = r.t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return retrieval.lexical_search(q, docs, 5)
 
 
@@ -225,12 +275,15 @@ def lexical_query(spark, d):
     return lexical(spark, d).select("query_id", "doc_id", "place")
 
 
-@query("r6_fused", VEC_SQL + """, l2 AS (SELECT query_id, doc_id, place FROM (SELECT query_id, (doc_id * 37) % 1000 AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS place FROM vk WHERE place <= 5)), f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.score, round(coalesce(1.0 / (60 + a.place), 0) + coalesce(1.0 / (60 + b.place), 0), 8) AS fused FROM (SELECT * FROM vk WHERE place <= 10) a FULL JOIN l2 b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
+@query("r6_fused", VEC_SQL + LEX_SQL + """, it AS (SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) * 100 AS query_id FROM benchmark), l2 AS (SELECT it.query_id, doc_id, place FROM lx JOIN it ON it.item_id = lx.query_id WHERE place <= 5), f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.score, round(coalesce(1.0 / (60 + a.place), 0) + coalesce(1.0 / (60 + b.place), 0), 8) AS fused FROM (SELECT * FROM vk WHERE place <= 10) a FULL JOIN l2 b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
 SELECT query_id, doc_id, CAST(round(fused * 100000000) AS BIGINT) AS fused_e8, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, coalesce(score, 0) DESC, doc_id) AS place FROM f) WHERE place <= 10""")
 def fused(spark, d):
-    v = vectors(spark, d)
-    x = v.filter("place <= 5").select("query_id", (F.col("doc_id") * 37 % 1000).alias("doc_id"), F.lit(1.0).alias("score"), "place")
-    return retrieval.fused(v, x).select("query_id", "doc_id", F.round(F.col("fused") * 100000000).cast("long").alias("fused_e8"), "place")
+    from boardlake.functions.ranks import numbered
+
+    items = numbered(r.t(spark, d, "benchmark").select(F.lit(1).alias("all"), "item_id"), ["all"], ["item_id"])
+    items = items.select(F.col("item_id").alias("query_id"), ((F.col("nth") - 1) * 100).alias("asked"))
+    x = lexical(spark, d).join(items, "query_id").select(F.col("asked").alias("query_id"), "doc_id", "score", "place")
+    return retrieval.fused(vectors(spark, d), x).select("query_id", "doc_id", F.round(F.col("fused") * 100000000).cast("long").alias("fused_e8"), "place")
 
 
 NAMES_SQL = """, reg AS (SELECT dense_rank() OVER (ORDER BY k) AS player, k AS key FROM (SELECT DISTINCT regexp_replace(lower(p_name || p_type), '[^a-z0-9]', '', 'g') AS k FROM part)), qs AS (SELECT DISTINCT CASE WHEN player % 3 = 0 THEN key WHEN player % 3 = 1 THEN substr(key, 1, length(key) - 1) ELSE substr(key, 2, 1) || substr(key, 1, 1) || substr(key, 3) END AS query FROM reg),
@@ -293,11 +346,34 @@ def pack(spark, d):
     return vectorized.pack_context(c)
 
 
-@query("w14_fused_candidates", EXT_SQL + """, c AS (SELECT DISTINCT user_id AS ext, event_type AS field, CAST(k * 137 AS BIGINT) AS value, k AS confidence, k % 4 > 0 AS valid FROM ext), s AS (SELECT *, round(0.6 * confidence / 100 + 0.2 * CASE WHEN length(CAST(value AS VARCHAR)) > 0 THEN length(regexp_replace(CAST(value AS VARCHAR), '[^0-9]', '', 'g')) / length(CAST(value AS VARCHAR)) ELSE 0 END + CASE WHEN valid THEN 0.2 ELSE 0 END, 6) AS score FROM c),
-p AS (SELECT *, row_number() OVER w AS place FROM s WINDOW w AS (PARTITION BY ext, field ORDER BY score DESC, value)) SELECT ext, field, value, CAST(place AS INTEGER) AS place FROM p WHERE place <= 5""")
+FUSED_SQL = """, cd AS (SELECT player AS ext, CASE metric WHEN 'kill_points' THEN 'kp' WHEN 'contribution_points' THEN 't4' WHEN 'fort_destroying' THEN 't5' WHEN 'power' THEN 'governorName' ELSE 'governorId' END AS field, id, CASE WHEN metric = 'power' THEN 'Lord ' || CASE WHEN value % 2 = 0 THEN 'é' ELSE 'e' END || value WHEN id % 9 = 0 THEN 'x' ELSE CAST(value * CASE WHEN metric = 'kill_points' THEN 1 ELSE 2 END AS VARCHAR) END AS value, CAST(value % 101 AS DOUBLE) AS confidence, id % 4 > 0 AS valid FROM obs),
+sc AS (SELECT *, length(regexp_replace(value, '[^0-9]', '', 'g')) AS nd, length(value) AS n FROM cd),
+fs AS (SELECT *, round(confidence / 100 * 0.62::DOUBLE + CASE WHEN field = 'governorName' THEN CASE WHEN n BETWEEN 1 AND 40 THEN 0.12::DOUBLE ELSE -0.18::DOUBLE END + CASE WHEN n > 0 THEN (1 - (n - length(replace(value, 'é', ''))) / n) * 0.2::DOUBLE ELSE 0 END + CASE WHEN valid THEN 0.1::DOUBLE ELSE -0.28::DOUBLE END
+  ELSE CASE WHEN nd > 0 THEN 0.1::DOUBLE ELSE -0.45::DOUBLE END + CASE WHEN field = 'governorId' THEN CASE WHEN nd BETWEEN 6 AND 12 THEN 0.16::DOUBLE ELSE -0.22::DOUBLE END WHEN nd BETWEEN 1 AND 11 THEN 0.08::DOUBLE ELSE -0.16::DOUBLE END + CASE WHEN valid THEN 0.14::DOUBLE ELSE -0.35::DOUBLE END END, 9) AS score FROM sc),
+fp AS (SELECT *, row_number() OVER w AS place, round(score - lead(score) OVER w, 9) AS lead FROM fs WINDOW w AS (PARTITION BY ext, field ORDER BY score DESC, confidence DESC, id)), fc AS (SELECT * FROM fp WHERE place <= 4)"""
+
+
+def fused_candidates(spark, d):
+    o = r.observations(spark, d)
+    m = F.col("metric")
+    field = F.when(m == "kill_points", "kp").when(m == "contribution_points", "t4").when(m == "fort_destroying", "t5").when(m == "power", "governorName").otherwise("governorId")
+    name = F.concat(F.lit("Lord "), F.when(F.col("value") % 2 == 0, "é").otherwise("e"), F.col("value").cast("string"))
+    value = F.when(m == "power", name).when(F.col("id") % 9 == 0, "x").otherwise((F.col("value") * F.when(m == "kill_points", 1).otherwise(2)).cast("string"))
+    return quality.fused_candidates(o.select(F.col("player").alias("ext"), field.alias("field"), "id", value.alias("value"), (F.col("value") % 101).cast("double").alias("confidence"), (F.col("id") % 4 > 0).alias("valid")))
+
+
+@query("w14_fused_candidates", FUSED_SQL + """ SELECT ext, field, id, CAST(place AS INTEGER) AS place, CAST(round(score * 1000000) AS BIGINT) AS score_ppm, CASE WHEN place = 1 THEN concat_ws(',', CASE WHEN NOT valid THEN 'validation-failed' END, CASE WHEN confidence < 70 THEN 'low-ocr-confidence' END, CASE WHEN score < 0.55 THEN 'low-fusion-score' END, CASE WHEN lead < 0.03 THEN 'ambiguous-candidates' END) END AS reasons FROM fc""")
 def candidates(spark, d):
-    c = extractions(spark, d).select(F.col("user_id").alias("ext"), F.col("event_type").alias("field"), (F.col("k") * 137).cast("long").alias("value"), F.col("k").alias("confidence"), (F.col("k") % 4 > 0).alias("valid")).distinct()
-    return quality.fused_candidates(c).select("ext", "field", "value", "place")
+    return fused_candidates(spark, d).select("ext", "field", "id", "place", F.round(F.col("score") * 1000000).cast("long").alias("score_ppm"), "reasons")
+
+
+@query("w15_consistent_fields", FUSED_SQL + """, nm AS (SELECT *, CAST(regexp_replace(value, '[^0-9]', '', 'g') AS BIGINT) AS v, row_number() OVER (PARTITION BY ext, field ORDER BY place) AS p FROM fc WHERE nd > 0),
+cb AS (SELECT a.ext, a.v AS kp, b.v AS t4, c.v AS t5, a.place AS pa, b.place AS pb, c.place AS pc, round(a.score + b.score + c.score - CASE WHEN a.v < b.v + c.v THEN 1.25::DOUBLE + least(2.0::DOUBLE, (b.v + c.v - a.v) / greatest(1, a.v)) ELSE 0 END, 9) AS total
+  FROM nm a JOIN nm b ON a.ext = b.ext JOIN nm c ON a.ext = c.ext WHERE a.field = 'kp' AND b.field = 't4' AND c.field = 't5' AND a.p <= 3 AND b.p <= 3 AND c.p <= 3),
+bs AS (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY total DESC, pa, pb, pc) AS k FROM cb)
+SELECT ext, kp, t4, t5, CAST(round(total * 1000000) AS BIGINT) AS total_ppm, kp < t4 + t5 AS inconsistent, concat_ws(',', CASE WHEN pa > 1 THEN 'kp:adjusted-for-consistency' END, CASE WHEN pb > 1 THEN 't4:adjusted-for-consistency' END, CASE WHEN pc > 1 THEN 't5:adjusted-for-consistency' END) AS reasons FROM bs WHERE k = 1""")
+def consistent(spark, d):
+    return quality.consistent_fields(fused_candidates(spark, d)).select("ext", "kp", "t4", "t5", F.round(F.col("total") * 1000000).cast("long").alias("total_ppm"), "inconsistent", "reasons")
 
 
 @query("a26_run_quality", """, x AS (SELECT run, greatest(0, least(100, (confidence + value % 100 + (value % 50) * 0.35) / 2.35 - CASE WHEN pos % 3 > 0 THEN 0 ELSE 7 END)) AS c, name = 'Kill Points' AS failed FROM captured) SELECT run, CAST(floor(avg(c) * 100 + 0.31415926) AS BIGINT) AS hundredths, avg(c) < 72 OR bool_or(failed) AS low_confidence FROM x GROUP BY 1""")
@@ -315,6 +391,8 @@ def exact_matches(spark, d):
     return identity.exact_matches(q.withColumn("key", F.col("query")), players, reg.select(F.col("key").alias("alias_key"), "player")).select("query", "player", "source")
 
 
-@query("f7_trailing_days", EXT_SQL + " SELECT id FROM ext WHERE created_at >= TIMESTAMP '2024-01-20'")
+@query("f7_trailing_days", EXT_SQL + " SELECT id, 0 AS asked FROM ext WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 1 DAY UNION ALL SELECT id, 30 FROM ext WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY UNION ALL SELECT id, 12 FROM ext WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 12 DAY UNION ALL SELECT id, 999 FROM ext WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 180 DAY")
 def trailing(spark, d):
-    return extractions(spark, d).filter(F.col("created_at") >= F.lit("2024-01-20").cast("timestamp")).select("id")
+    e, now = extractions(spark, d), F.lit("2024-01-31").cast("timestamp")
+    parts = [quality.trailing_days(e, now, days).select("id", F.lit(label).alias("asked")) for days, label in ((0, 0), (None, 30), (12, 12), (999, 999))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -16,7 +16,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = "WITH " + CTES + sql
+            ORACLES[name] = "WITH RECURSIVE " + CTES + sql
         return f
 
     return add
