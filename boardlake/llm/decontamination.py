@@ -114,8 +114,8 @@ class SuffixAutomaton:
             p = link[p]
         return new
 
-    def match(self, ids: list[int], at: int, hit: list[tuple[int, int]], found: set[int]) -> None:
-        """Stream ``ids``, the words from word ``at`` on; add hit word ranges [from, to) and items."""
+    def match(self, ids: list[int], at: int, hit: list[tuple[int, int, bool]], found: set[int]) -> None:
+        """Stream ``ids``, the words from word ``at`` on; add hit word ranges (from, to, whether it is a short item) and items."""
         nxt, link, length, w = self.next, self.link, self.len, self.window
         s = n = 0
         for k, c in enumerate(ids, at + 1):
@@ -129,16 +129,16 @@ class SuffixAutomaton:
                 while length[link[q]] >= w:
                     q = link[q]
                 found |= self.items[q]
-                hit.append((k - w, k))
+                hit.append((k - w, k, False))
             for size, item in self.short[s]:
                 if size <= n:
                     found.add(item)
-                    hit.append((k - size, k))
+                    hit.append((k - size, k, True))
 
-    def scan(self, w: Words, d: int) -> tuple[list[tuple[int, int]], set[int]]:
-        """Hit word ranges, merged and ascending, and item numbers of text ``d`` of ``w``."""
+    def scan(self, w: Words, d: int) -> tuple[list[tuple[int, int, bool]], set[int]]:
+        """Hit word ranges (from, to, whether a short item is within), merged and ascending, and item numbers of text ``d``."""
         a, b = w.doc[d], w.doc[d + 1]
-        hit: list[tuple[int, int]] = []
+        hit: list[tuple[int, int, bool]] = []
         found: set[int] = set()
         if b - a < self.shortest or not len(self.hashes):
             return hit, found
@@ -149,12 +149,12 @@ class SuffixAutomaton:
             if y - x >= self.shortest:
                 self.match(self._checked(w, a, x, y, at), x, hit, found)
         hit.sort()
-        merged: list[tuple[int, int]] = []
-        for x, y in hit:
+        merged: list[tuple[int, int, bool]] = []
+        for x, y, short in hit:
             if merged and x <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(y, merged[-1][1]))
+                merged[-1] = (merged[-1][0], max(y, merged[-1][1]), short or merged[-1][2])
             else:
-                merged.append((x, y))
+                merged.append((x, y, short))
         return merged, found
 
     def _checked(self, w: Words, a: int, x: int, y: int, at: np.ndarray) -> list[int]:
@@ -178,13 +178,14 @@ def automaton(items: DataFrame, k: int, shards: int, window: int = WINDOW) -> Su
     return SuffixAutomaton([(r.item_id, words_of(r.text)) for r in part.toLocalIterator()], window)
 
 
-HITS = "doc_id bigint, n_words bigint, hits array<struct<first:bigint,last:bigint>>, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+_RANGES = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("short", pa.bool_())]))
+HITS = "doc_id bigint, n_words bigint, hits array<struct<first:bigint,last:bigint,short:boolean>>, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
 
-def _char_spans(data: np.ndarray, w: Words, d: int, hits: list[tuple[int, int]], base: int) -> list[tuple[int, int]]:
+def _char_spans(data: np.ndarray, w: Words, d: int, hits: list[tuple], base: int) -> list[tuple[int, int]]:
     """Code-point offsets [start, end) of hit word ranges in text ``d``, whose bytes begin at ``base``."""
     out = []
-    for x, y in hits:
+    for x, y, *_ in hits:
         s, e = w.start[w.doc[d] + x], w.end[w.doc[d] + y - 1]
         lead = int(((data[base:s] & 0xC0) != 0x80).sum())
         out.append((lead, lead + int(((data[s:e] & 0xC0) != 0x80).sum())))
@@ -200,19 +201,19 @@ def _scan_with(automaton) -> callable:
                 hits, spans, items = [], [], []
                 for d in range(rows.num_rows):
                     h, f = sam.scan(w, d)
-                    hits.append([{"first": x, "last": y - 1} for x, y in h])
+                    hits.append([{"first": x, "last": y - 1, "short": z} for x, y, z in h])
                     spans.append([{"start": s, "end": e} for s, e in _char_spans(data, w, d, h, int(offs[d]))])
                     items.append([sam.ids[i] for i in sorted(f)])
-                span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                span = _RANGES, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 own = [rows.column(c) for c in rows.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(w.doc), pa.int64()), pa.array(hits, span[0]), pa.array(spans, span[1]), pa.array(items, pa.list_(pa.string()))], [*[c for c in rows.schema.names if c != "text"], "n_words", "hits", "spans", "items"])
 
     return run
 
 
-def _sharded_hits(rows: DataFrame, items: DataFrame, shards: int, window: int) -> tuple[DataFrame, int]:
-    """(row_no, hits, items) of the rows of ``rows`` (row_no, text) that any shard hits, hits merged over the shards; and
-    the length of the shortest hit. A shard's findings are written before the next automaton is built."""
+def _sharded_hits(rows: DataFrame, items: DataFrame, shards: int, window: int) -> DataFrame:
+    """(row_no, hits, items) of the rows of ``rows`` (row_no, text) that any shard hits, hits merged over the shards. A shard's
+    findings are written before the next automaton is built."""
 
     def run_with(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,25 +223,21 @@ def _sharded_hits(rows: DataFrame, items: DataFrame, shards: int, window: int) -
                     w = Words(data, offs)
                     found = [(i, *sam.scan(w, d)) for d, i in enumerate(part.column(0).to_pylist())]
                     found = [x for x in found if x[1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([[{"first": a, "last": b - 1} for a, b in x[1]] for x in found], _RANGES), pa.array([[sam.ids[i] for i in sorted(x[2])] for x in found], pa.list_(pa.string()))], ["row_no", "hits", "items"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([[{"first": a, "last": b - 1, "short": z} for a, b, z in x[1]] for x in found], _RANGES), pa.array([[sam.ids[i] for i in sorted(x[2])] for x in found], pa.list_(pa.string()))], ["row_no", "hits", "items"])
 
         return run
 
-    merged, shortest = None, window
+    merged = None
     for k in range(shards):
         sam = automaton(items, k, shards, window)
-        shortest = min(shortest, sam.shortest)
         shared = rows.sparkSession.sparkContext.broadcast(sam)
-        part = materialize(rows.mapInArrow(run_with(shared), "row_no bigint, hits array<struct<first:bigint,last:bigint>>, items array<string>"), "shard-hits")
+        part = materialize(rows.mapInArrow(run_with(shared), "row_no bigint, hits array<struct<first:bigint,last:bigint,short:boolean>>, items array<string>"), "shard-hits")
         shared.destroy()
         merged = part if merged is None else merged.union(part)
     return merged.groupBy("row_no").agg(
-        _union_of(F.flatten(F.collect_list("hits")), "first", "last", 1).alias("hits"),
+        _union_of(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ), shortest
-
-
-_RANGES = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    )
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,30 +261,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         return base.mapInArrow(_scan_with(spark.sparkContext.broadcast(automaton(items, 0, 1, window))), HITS)
     # each shard sees every document; a row number that survives retries brings a row's findings together
     rows = materialize(base.withColumn("row_no", F.monotonically_increasing_id()), "documents")
-    merged, _ = _sharded_hits(rows.select("row_no", "text"), items, shards, window)
+    merged = _sharded_hits(rows.select("row_no", "text"), items, shards, window)
     return rows.join(merged, "row_no", "left").select("doc_id", "text", "hits", "items").mapInArrow(_placed, HITS)
 
 
-def _union_of(ranges, a: str, b: str, gap: int):
-    """Merged ascending ranges of an array of structs; at most one entry a shard and range, so the array is small."""
-    start = F.array().cast(f"array<struct<{a}:bigint,{b}:bigint>>")
-    last = lambda acc: F.element_at(acc, -1)
+def _union_of(ranges):
+    """Merged ascending ranges of an array of hits; at most one entry a shard and range, so the array is small."""
+    start = F.array().cast("array<struct<first:bigint,last:bigint,short:boolean>>")
 
     def step(acc, x):
-        joined = F.struct(last(acc)[a].alias(a), F.greatest(last(acc)[b], x[b]).alias(b))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)[b] + gap >= x[a]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+        last = F.get(acc, F.size(acc) - 1)
+        joined = F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"), (last["short"] | x["short"]).alias("short"))
+        return F.when((F.size(acc) > 0) & (last["last"] + 1 >= x["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
 
     return F.aggregate(F.array_sort(ranges), start, step)
 
 
-def n_hit(hits) :
+def n_hit(hits):
     return F.aggregate(hits, F.lit(0).cast("long"), lambda acc, x: acc + x["last"] - x["first"] + 1)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, min_span_words: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
     """``docs`` without contamination; columns and their order stay, ``n_chars`` (if present) follows the text.
 
-    Spans of at least ``min_span_words`` hit words (or a whole shorter item) are cut out of the text. A document of
+    Spans of at least ``min_span_words`` hit words, and spans with a whole item that is shorter than a window, are cut out of the
+    text; other spans stay, though their words count as hit. A document of
     which more than ``max_coverage`` of the words are hit goes altogether. Both are decided once, by the hits of all items
     in the text as it came, however many shards the items take.
     """
@@ -297,15 +295,15 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     shards = shard_count(items, most_words)
     if shards == 1:
         sam = automaton(items, 0, 1, window)
-        return docs.mapInArrow(_clean_with(names, max_coverage, min(min_span_words, sam.shortest), docs.sparkSession.sparkContext.broadcast(sam)), schema)
+        return docs.mapInArrow(_clean_with(names, max_coverage, min_span_words, docs.sparkSession.sparkContext.broadcast(sam)), schema)
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     rows = materialize(plain.withColumn("row_no", F.monotonically_increasing_id()), "documents")
-    merged, shortest = _sharded_hits(rows.select("row_no", F.col(f"_c{names.index('text')}").cast("string").alias("text")), items, shards, window)
-    return rows.join(merged.select("row_no", "hits"), "row_no", "left").select(*plain.columns, "hits").mapInArrow(_clean_with(names, max_coverage, min(min_span_words, shortest)), schema)
+    merged = _sharded_hits(rows.select("row_no", F.col(f"_c{names.index('text')}").cast("string").alias("text")), items, shards, window)
+    return rows.join(merged.select("row_no", "hits"), "row_no", "left").select(*plain.columns, "hits").mapInArrow(_clean_with(names, max_coverage, min_span_words), schema)
 
 
 def _clean_with(names: list[str], max_coverage: float, least: int, shared=None):
-    """Over batches of the columns ``names``: hits of at least ``least`` words are cut. They are those of the automaton
+    """Over batches of the columns ``names``: hits of at least ``least`` words or with a short item are cut. They are those of the automaton
     ``shared``, or without one those that a last column of the batches holds."""
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -317,13 +315,13 @@ def _clean_with(names: list[str], max_coverage: float, least: int, shared=None):
             for rows, data, offs in text_slices(plain):
                 w = Words(data, offs)
                 for d, row in enumerate(rows.column(1).to_pylist()):
-                    hits = shared.value.scan(w, d)[0] if shared else [(x["first"], x["last"] + 1) for x in given[row] or ()]
+                    hits = shared.value.scan(w, d)[0] if shared else [(x["first"], x["last"] + 1, x["short"]) for x in given[row] or ()]
                     if not hits:
                         continue
-                    if sum(y - x for x, y in hits) > max_coverage * (w.doc[d + 1] - w.doc[d]):
+                    if sum(y - x for x, y, _ in hits) > max_coverage * (w.doc[d + 1] - w.doc[d]):
                         keep[row] = False
                         continue
-                    cut = [(int(w.start[w.doc[d] + x] - offs[d]), int(w.end[w.doc[d] + y - 1] - offs[d])) for x, y in hits if y - x >= least]
+                    cut = [(int(w.start[w.doc[d] + x] - offs[d]), int(w.end[w.doc[d] + y - 1] - offs[d])) for x, y, short in hits if short or y - x >= least]
                     raw, done, out = data[offs[d] : offs[d + 1]].tobytes(), 0, []
                     for s, e in cut:
                         out.append(raw[done:s])
