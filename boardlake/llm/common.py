@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised helpers look at in one go; it bounds their memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Words that are hashed in one go; it bounds what a very long text takes.
+_WORDS = 1 << 16
 
 
 _own_dir: list[str] = []
@@ -60,6 +62,24 @@ def held_out_bucket(mod: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame, most: int, most_chars: int) -> DataFrame:
+    """(doc_id, y, text): the distinct rows of ``docs`` whose id is in ``sample`` (doc_id, y; so few that they are broadcast), in
+    order of a hash at most ``most`` rows, and only as many as have ``most_chars`` characters in all. Texts are whole.
+
+    What reaches the driver is a hash and a length of at most ``most`` rows.
+    """
+    base = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = base.join(F.broadcast(sample), "doc_id").withColumn("h", F.xxhash64("doc_id", "text")).dropDuplicates(["h"])
+    rows = materialize(own.select("doc_id", "y", "text", "h"), "fit-rows")
+    last, chars = None, 0
+    for r in rows.select("h", F.length("text").alias("n")).orderBy("h").limit(most).collect():
+        chars += r.n
+        if chars > most_chars and last is not None:
+            break
+        last = r.h
+    return rows.filter(F.col("h") <= (last if last is not None else 0)).select("doc_id", "y", "text")
+
+
 # --- text columns of Arrow batches -------------------------------------------------------------
 
 
@@ -128,10 +148,15 @@ class Words:
         self.stems = [self.hash for _ in stems]
         if not len(starts):
             return
-        lens = ends - starts
-        at = np.zeros(len(lens), np.int64)
-        np.cumsum(lens[:-1], out=at[1:])
-        pos = np.arange(int(at[-1] + lens[-1]), dtype=np.int64) - np.repeat(at, lens)
-        terms = _POW[pos & 511] * (lc[isw].astype(np.uint64) + (pos >> 9).astype(np.uint64) * np.uint64(257))
-        self.hash = mix(np.add.reduceat(terms, at) + lens.astype(np.uint64))
-        self.stems = [mix(np.add.reduceat(np.where(pos < n, terms, np.uint64(0)), at)) for n in stems]
+        parts = [_hashed(lc, starts[a : a + _WORDS], ends[a : a + _WORDS], stems) for a in range(0, len(starts), _WORDS)]
+        self.hash, *self.stems = (np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def _hashed(lc: np.ndarray, starts: np.ndarray, ends: np.ndarray, stems: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the words lc[start:end], and of their first ``stems`` bytes."""
+    lens = ends - starts
+    at = np.cumsum(lens) - lens
+    pos = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(at, lens)
+    terms = _POW[pos & 511] * (lc[pos + np.repeat(starts, lens)].astype(np.uint64) + (pos >> 9).astype(np.uint64) * np.uint64(257))
+    whole = mix(np.add.reduceat(terms, at) + lens.astype(np.uint64))
+    return [whole, *[mix(np.add.reduceat(np.where(pos < n, terms, np.uint64(0)), at)) for n in stems]]

@@ -5,8 +5,8 @@ features; a learnt layer embeds the code; gated attention (Ilse et al., 2018), a
 weighs the passages; the weighted passage representation is scored. Only documents are labelled; the weights of passages
 are learnt from those labels. All passages of a text take part, in fitting and in scoring.
 
-The fit uses at most about ``MOST_FIT`` labelled rows (a documented bound, by a hash of ``doc_id``) of at most
-``MOST_FIT_PASSAGES`` passages each, evenly spaced; what reaches the driver is their codes. Scoring takes whole texts.
+The fit uses at most ``MOST_FIT`` distinct labelled rows of at most ``MOST_FIT_CHARS`` characters in all (documented bounds, by
+a hash); what reaches the driver is the codes of all their passages, some 100,000. Scoring takes whole texts, too.
 
 Defined cases: null and empty texts are one passage without words; rows with a null ``doc_id`` are scored and never
 fitted; of several labels of one id the largest counts; with no labelled rows all scores are 0.5; repeated rows are
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlake.llm.common import SPACED, Words, held_out_bucket, only, table, text_slices
+from boardlake.llm.common import SPACED, Words, held_out_bucket, labelled_texts, only, table, text_slices
 from boardlake.llm.toxicity import labelled_sample
 
 PASSAGE = 64
 MOST_FIT = 3000
-MOST_FIT_PASSAGES = 64
+MOST_FIT_CHARS = 40_000_000
 HASHED = 32
 STATS = 14
 HIDDEN = 16
@@ -135,17 +135,14 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offs in text_slices(batch):
             codes, first = passage_codes(data, offs)
-            out = []
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                pick = np.unique(np.linspace(a, b - 1, min(b - a, MOST_FIT_PASSAGES)).astype(int))
-                out.append(codes[pick].tobytes())
+            out = [codes[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), pa.array(out, pa.binary())], ["doc_id", "y", "codes"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, label: str = "quality", usable: Column | None = None) -> AttentionModel | None:
     sample = labelled_sample(labels, label, most, usable)
-    base = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = sorted((r.doc_id, r.y, bytes(r.codes)) for r in base.join(F.broadcast(sample), "doc_id").mapInArrow(_encode, "doc_id bigint, y int, codes binary").toLocalIterator())
+    texts = labelled_texts(docs, sample, most, MOST_FIT_CHARS)
+    rows = sorted((r.doc_id, r.y, bytes(r.codes)) for r in texts.mapInArrow(_encode, "doc_id bigint, y int, codes binary").toLocalIterator())
     if not rows:
         return None
     bags = [np.frombuffer(c, np.float32).reshape(-1, STATS + HASHED) for _, _, c in rows]

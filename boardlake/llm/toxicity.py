@@ -4,12 +4,13 @@ Features are the words, the words' first four to six bytes (inflected and misspe
 text, hashed to ``2^BITS`` places; each counts once a text. Training follows McMahan et al. (2013): every coordinate has
 its own rate, and L1 keeps most weights at zero, so the model is a small broadcast: at most ``2^BITS`` places.
 
-The fit uses at most about ``MOST_FIT`` labelled rows (a documented bound, taken by a hash of ``doc_id``); every text is
-scored whole. Texts of the fit are hashed to features where they are; one task receives the bounded sample.
+The fit uses at most ``MOST_FIT`` distinct labelled rows of at most ``MOST_FIT_CHARS`` characters in all (documented bounds,
+taken by a hash); their texts and all scored ones are whole. Texts of the fit are hashed to features where they are; one
+task receives the bounded sample.
 
 Defined cases: null and empty texts get the score of a text without words (the intercept); rows with a null ``doc_id``
 are scored and never fitted; rows whose label is null are not fitted; of several labels of one id the largest counts;
-with no labelled rows all scores are 0.0; other columns are ignored or, in ``drop_toxic``, kept.
+with no labelled rows all scores are 0.0 (below 1e-40); other columns are ignored or, in ``drop_toxic``, kept.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boardlake.llm.common import Words, held_out_bucket, mix, only, table, text_slices
+from boardlake.llm.common import Words, held_out_bucket, labelled_texts, mix, only, table, text_slices
 
 BITS = 20
 MOST_FIT = 8000
+MOST_FIT_CHARS = 64_000_000
 THRESHOLD = 0.5
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.0, 4
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)]
@@ -90,8 +92,7 @@ def _fit(alpha: float, beta: float, l1: float, l2: float, epochs: int, bits: int
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, label: str = "toxic", usable: Column | None = None, epochs: int = EPOCHS) -> np.ndarray:
     """Weights by place (place 0: the intercept). ``usable`` picks the labelled ids that may be learnt from."""
     sample = labelled_sample(labels, label, most, usable)
-    base = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = base.join(F.broadcast(sample), "doc_id").mapInArrow(_hash_rows, "doc_id bigint, y int, places binary")
+    rows = labelled_texts(docs, sample, most, MOST_FIT_CHARS).mapInArrow(_hash_rows, "doc_id bigint, y int, places binary")
     model = rows.repartition(1).mapInArrow(_fit(ALPHA, BETA, L1, L2, epochs, BITS), "places binary, weights binary").first()
     w = np.zeros(1 << BITS, np.float32)
     if model is None:
@@ -116,7 +117,7 @@ def score_texts(weights: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.n
     near = weights[place] != 0
     key = np.unique((doc[near] << BITS) | place[near])
     total = np.bincount(key >> BITS, weights[key & ((1 << BITS) - 1)], minlength=len(offs) - 1) + float(weights[0])
-    return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+    return 1 / (1 + np.exp(-np.maximum(total, -700)))
 
 
 def _score_with(shared):
