@@ -73,27 +73,29 @@ def _url_text(host: Column, path: Column) -> Column:
 
 
 def fit(labelled: DataFrame, most: int = MOST_FIT, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and intercept from ``labelled`` (host, path, verdict), by full-batch logistic regression on a bounded sample."""
+    """Weights and intercept from ``labelled`` (host, path, verdict), by full-batch logistic regression on a bounded sample of
+    distinct texts, weighed by how often they come."""
     rows = labelled.filter("verdict is not null").select(_url_text(F.col("host"), F.col("path")).alias("text"), (F.col("verdict") == "block").cast("int").alias("y"))
-    n = rows.count()
+    n = rows.agg(F.approx_count_distinct("text", 0.02)).first()[0]
     if n > most:
         rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(most / n * (1 << 20)))
-    got = sorted((r.text, r.y) for r in rows.toLocalIterator())
+    got = sorted((r.text, r.y, r["count"]) for r in rows.groupBy("text", "y").count().toLocalIterator())
     weights = np.zeros(1 << BITS)
-    y = np.array([v for _, v in got], float)
+    y, times = np.array([v for _, v, _ in got], float), np.array([c for _, _, c in got], float)
+    times /= max(1.0, times.sum())
     if not len(y) or y.min() == y.max():
         return weights, 35.0 if len(y) and y[0] else -35.0
-    texts = [t.encode("utf-8", "surrogatepass") for t, _ in got]
+    texts = [t.encode("utf-8", "surrogatepass") for t, _, _ in got]
     offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     place, row = ngrams(np.frombuffer(b"".join(texts), np.uint8), offs)
     scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
     bias, step = 0.0, np.full(1 << BITS, 1e-6)
     for _ in range(rounds):  # per-coordinate rates
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[place], minlength=len(y)) * scale + bias, -35, 35)))
-        g = np.bincount(place, ((p - y) * scale)[row], minlength=1 << BITS) / len(y) + 1e-5 * weights
+        g = np.bincount(place, ((p - y) * times * scale)[row], minlength=1 << BITS) + 1e-5 * weights
         step += g * g
         weights -= 0.5 * g / np.sqrt(step)
-        bias -= 0.5 * float((p - y).mean())
+        bias -= 0.5 * float(((p - y) * times).sum())
     return weights, bias
 
 
