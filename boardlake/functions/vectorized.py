@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +68,15 @@ def jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
 
+def containment(query: str, other: str) -> float:
+    """What one name's being within the other scores at least."""
+    if len(query) >= 3 and other.startswith(query):
+        return 0.95
+    if len(other) >= 3 and query.startswith(other):
+        return 0.94
+    return 0.9 if (len(query) >= 4 and query in other) or (len(other) >= 4 and other in query) else 0.0
+
+
 def name_score(query: str, other: str) -> float:
     """Jaro-Winkler, at least .95 to .90 where one name contains the other; four decimals."""
     if not query or not other:
@@ -79,47 +87,141 @@ def name_score(query: str, other: str) -> float:
     same = 0
     while same < min(4, len(query), len(other)) and query[same] == other[same]:
         same += 1
-    score = j + same * 0.1 * (1 - j)
-    if len(query) >= 3 and other.startswith(query):
-        score = max(score, 0.95)
-    elif len(other) >= 3 and query.startswith(other):
-        score = max(score, 0.94)
-    elif (len(query) >= 4 and query in other) or (len(other) >= 4 and other in query):
-        score = max(score, 0.9)
+    score = max(j + same * 0.1 * (1 - j), containment(query, other))
     return math.floor(score * 10000 + 0.5) / 10000
 
 
-def score_bound(query: str, count: Counter, other: str) -> float:
-    """At least ``name_score``: letters in common however placed, and no swaps."""
-    m = sum((count & Counter(other)).values())
-    if not m:
-        return 0.0
-    j = (m / len(query) + m / len(other) + 1) / 3
-    return max(j + 0.4 * (1 - j), 0.95 if query in other or other in query else 0.0)
-
-
-def similar_names(queries: DataFrame, players: DataFrame, least: float = 0.72) -> DataFrame:
-    """(query, player, score) of pairs that score ``least`` or more: ``queries`` (query: distinct keys, in many partitions)
-    against all ``players`` (player, key), which stream past in broadcast blocks; pairs below the bound aren't scored."""
-    spark = queries.sparkSession
+#: Longest name of the vectorised comparison; longer ones are compared one by one.
+_LONGEST = 64
+#: Pairs that are scored in one go; it bounds the memory taken.
+_PAIRS = 1 << 15
+
+
+def _letters(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, lengths) of names of at most ``_LONGEST`` letters, padded with 0."""
+    size = np.array([len(x) for x in names], np.int64)
+    out = np.zeros((len(names), max(1, int(size.max(initial=0)))), np.uint32)
+    for i, x in enumerate(names):
+        out[i, : len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4")
+    return out, size
+
+
+def _counts(letters: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How often each name has letters of each of 64 kinds; letters of one kind may differ, so common counts are bounds."""
+    out = np.zeros((len(letters), 64), np.uint8)
+    for j in range(letters.shape[1]):
+        rows = np.flatnonzero(size > j)
+        out[rows, letters[rows, j] & 63] += 1
+    return out
+
+
+def jaro_pairs(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """``jaro`` of many pairs of names that are neither empty nor equal, as code points."""
+    pairs, every = len(a), np.arange(len(a))
+    place = np.arange(b.shape[1])
+    reach = (np.maximum(n_a, n_b) // 2 - 1)[:, None]
+    free = place < n_b[:, None]
+    hit = np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        fits = free & (b == a[:, i : i + 1]) & (np.abs(place - i) <= reach) & (n_a > i)[:, None]
+        first = fits.argmax(axis=1)
+        hit[:, i] = fits[every, first]
+        free[every, first] &= ~hit[:, i]
+    taken = (place < n_b[:, None]) & ~free
+    m = hit.sum(axis=1)
+    left, right = np.zeros((pairs, max(1, int(m.max(initial=0)))), np.uint32), np.zeros((pairs, max(1, int(m.max(initial=0)))), np.uint32)
+    for own, letters, out in ((hit, a, left), (taken, b, right)):
+        row, col = np.nonzero(own)
+        out[row, (np.cumsum(own, axis=1) - 1)[row, col]] = letters[row, col]
+    swaps = (left != right).sum(axis=1) / 2
+    some = np.maximum(m, 1)
+    return np.where(m > 0, (m / n_a + m / n_b + (m - swaps) / some) / 3, 0.0)
+
+
+def scored_pairs(queries: list[str], keys: list[str], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, key, score), by number, of all pairs of distinct ``queries`` and ``keys`` whose ``name_score`` is ``least`` or more.
+
+    For each query, letters in common and the common beginning bound the score of all keys at once; pairs within the bound are
+    scored together, in parts of bounded size.
+    """
+    long_q, long_k = ({i for i, x in enumerate(xs) if len(x) > _LONGEST} for xs in (queries, keys))
+    kq = [x if i not in long_q else "" for i, x in enumerate(queries)]
+    kk = [x if i not in long_k else "" for i, x in enumerate(keys)]
+    (a, n_a), (b, n_b) = _letters(kq), _letters(kk)
+    c_a, c_b = _counts(a, n_a), _counts(b, n_b)
+    head_a, head_b = (np.pad(x[:, :4], ((0, 0), (0, max(0, 4 - x.shape[1])))) for x in (a, b))
+    size_b = np.maximum(n_b, 1)
+
+    def score(q: np.ndarray, k: np.ndarray, same: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        j = jaro_pairs(a[q][:, : int(n_a[q].max())], n_a[q], b[k][:, : int(n_b[k].max())], n_b[k])
+        out = j + same * 0.1 * (1 - j)
+        for i in np.flatnonzero(full).tolist():  # one may contain the other
+            out[i] = max(out[i], containment(queries[q[i]], keys[k[i]]))
+        out = np.floor(out * 10000 + 0.5) / 10000
+        out[[queries[x] == keys[y] for x, y in zip(q.tolist(), k.tolist(), strict=True)]] = 1.0
+        keep = out >= least
+        return q[keep], k[keep], out[keep]
+
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for i, query in enumerate(queries):
+        if i in long_q or not query:
+            continue
+        m = np.minimum(c_b, c_a[i]).sum(axis=1, dtype=np.int64)
+        bound = np.where(m > 0, (m / n_a[i] + m / size_b + 1) / 3, 0.0)
+        same = np.cumprod((head_b == head_a[i]) & (head_b > 0), axis=1).sum(axis=1)
+        full = (m == np.minimum(n_a[i], n_b)) & (n_b > 0)
+        near = np.flatnonzero((bound + same * 0.1 * (1 - bound) >= least - 0.0001) & (n_b > 0) | full & (np.minimum(n_a[i], n_b) >= 3))
+        if len(near):
+            held.append((np.full(len(near), i), near, same[near], full[near]))
+            n += len(near)
+        if n >= _PAIRS:
+            yield score(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield score(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    if long_q or long_k:
+        pairs = [(i, k) for i in range(len(queries)) for k in (range(len(keys)) if i in long_q else long_k)]
+        rows = [(i, k, s) for i, k in pairs if (s := name_score(queries[i], keys[k])) >= least]
+        if rows:
+            yield tuple(np.array(x) for x in zip(*rows, strict=True))
+
+
+def similar_names(queries: DataFrame, players: DataFrame, least: float = 0.72, block: int = 4096) -> DataFrame:
+    """(query, player, key, score) of pairs that score ``least`` or more: ``queries`` (query: distinct keys) against all
+    ``players`` (player, key). Both are dealt by hash into blocks of about ``block`` rows, and each block of the one meets each
+    of the other in a task of its own; names that are alike in letters only in part can score, so no index would do."""
+    cut = lambda df, c: max(1, -(-df.count() // block))
+    players = players.select("player", "key").filter("key <> ''")
+    queries = queries.select("query").filter("query <> ''")
+    n_q, n_p = cut(queries, "query"), cut(players, "key")
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_q = max(n_q, -(-parts // n_p))  # a cell for each task at least
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = queries.select("query", own("query", n_q).alias("i"), every(n_p).alias("j"))
+    p = players.select("player", "key", own("player", n_p).alias("j"), every(n_q).alias("i"))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names, keys, ids = left["query"].tolist(), right["key"].tolist(), right["player"].to_numpy()
+        found = list(scored_pairs(names, keys, least))
+        x, y, z = (np.concatenate([np.zeros(0, t), *v]) for t, v in zip((int, int, float), zip(*found, strict=True), strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        text = lambda xs, at: pd.Series([xs[i] for i in at], dtype=object)
+        return pd.DataFrame({"query": text(names, x), "player": ids[y], "key": text(keys, y), "score": z})
+
+    return q.groupBy("i", "j").cogroup(p.groupBy("i", "j")).applyInPandas(cell, "query string, player bigint, key string, score double")
+
+
+def similar_players(queries: DataFrame, players: DataFrame, least: float = 0.72) -> DataFrame:
+    """(query, player, score): the larger of the similarities of alias keys and of shown names, of ``queries`` (query, key,
+    shown) and ``players`` (player, key, shown)."""
     out = None
-    for block in blocks_of(players.select("player", "key"), 200_000):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = []
-                for q in b.column(0).to_pylist():
-                    count = Counter(q)
-                    for player, key in shared.value:
-                        if key and score_bound(q, count, key) >= least and (s := name_score(q, key)) >= least:
-                            rows.append((q, player, key, s))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["query", "player", "key", "score"])
-
-        part = queries.select("query").mapInArrow(run, "query string, player bigint, key string, score double")
+    for c in ("key", "shown"):
+        names = queries.select("query", F.col(c).alias("_n"))
+        found = similar_names(names.select(F.col("_n").alias("query")).distinct(), players.select("player", F.col(c).alias("key")), least)
+        part = names.join(found.withColumnRenamed("query", "_n").select("_n", "player", "score"), "_n").select("query", "player", "score")
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else queries.sparkSession.createDataFrame([], "query string, player bigint, key string, score double")
+    return out.groupBy("query", "player").agg(F.max("score").alias("score"))
 
 
 def blocks_of(df: DataFrame, size: int) -> Iterator[list[tuple]]:
@@ -142,7 +244,7 @@ def cosine_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = 2000)
     """
     spark = docs.sparkSession
     best = None
-    for rows in blocks_of(queries.select("query_id", "vector"), block):
+    for rows in blocks_of(queries.select("query_id", "vector").filter("vector is not null"), block):
         ids = np.array([r[0] for r in rows], np.int64)
         shared = spark.sparkContext.broadcast((ids, _unit(np.array([r[1] for r in rows], np.float64))))
 
@@ -153,17 +255,32 @@ def cosine_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = 2000)
                 if not len(doc):
                     continue
                 sims = q @ _unit(np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)).T
-                order = np.lexsort((np.broadcast_to(doc, sims.shape), -sims), axis=1)[:, :k]
+                order = _largest(sims, doc, k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])), pa.array(doc[order].ravel()), pa.array(np.take_along_axis(sims, order, axis=1).ravel())], ["query_id", "doc_id", "score"])
 
         part = docs.select("doc_id", "vector").filter("vector is not null").mapInArrow(run, "query_id bigint, doc_id bigint, score double")
         best = part if best is None else best.unionByName(part)
     from pyspark.sql.window import Window
 
+    if best is None:
+        return spark.createDataFrame([], "query_id bigint, doc_id bigint, score double, place int")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def _largest(sims: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest of each row, equal ones by ascending ``doc``; all that tie with the last are weighed."""
+    if sims.shape[1] <= k:
+        return np.lexsort((np.broadcast_to(doc, sims.shape), -sims), axis=1)
+    by_doc = np.argsort(doc, kind="stable")
+    sims = sims[:, by_doc]
+    edge = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
+    rank = np.where(sims > edge, 0, np.where(sims == edge, np.cumsum(sims == edge, axis=1), sims.shape[1] + 1))
+    room = k - (sims > edge).sum(axis=1, keepdims=True)
+    pick = np.nonzero(rank <= room)[1].reshape(len(sims), k)
+    return by_doc[np.take_along_axis(pick, np.argsort(-np.take_along_axis(sims, pick, axis=1), axis=1, kind="stable"), axis=1)]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)

@@ -35,14 +35,15 @@ def uniformity(rows: DataFrame, least: int = 4, ratio: float = 0.8) -> DataFrame
     return g.select("run", F.col("m.value").alias("dominant"), F.col("m.n").alias("dominant_count"), F.round(share, 6).alias("dominant_ratio"), ((F.col("total") >= least) & (F.col("m.n") >= least) & (share >= ratio)).alias("suspicious"))
 
 
-def run_guard(guarded: DataFrame, least_rows: int = 3) -> DataFrame:
-    """per run the reasons to reject it."""
-    counts = drop_counts(guarded)
-    uniform = uniformity(guarded.filter("drop_reason is null").select("run", F.col("digits").cast("decimal(20,0)").alias("value")))
-    few = F.col("n_kept") < least_rows
-    out = counts.join(uniform.select("run", "suspicious"), "run", "left")
-    reasons = F.array_compact(F.array(F.when(few, "insufficient-valid-rows"), F.when(few & (F.col("n_header_row_artifact") > 0), "header-row-artifact"), F.when(~few & F.coalesce("suspicious", F.lit(False)), "uniform-metric-suspect")))
-    return out.select("run", "n_rows", "n_kept", F.array_join(reasons, ",").alias("failures"))
+def run_guard(guarded: DataFrame, least_rows: int = 3, least: int = 4, ratio: float = 0.8) -> DataFrame:
+    """per run the reasons to reject it; counts and uniformity come from one grouping."""
+    value = F.when(F.col("drop_reason").isNull(), F.col("digits").cast("decimal(20,0)"))
+    per = guarded.groupBy("run", value.alias("value"), F.coalesce("drop_reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+    kept = F.col("reason") == ""
+    g = per.groupBy("run").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(kept, F.col("n"))), F.lit(0)).alias("n_kept"), F.coalesce(F.sum(F.when(F.col("reason") == "header-row-artifact", F.col("n"))), F.lit(0)).alias("headers"), F.coalesce(F.max(F.when(kept, F.col("n"))), F.lit(0)).alias("most"))
+    few, uniform = F.col("n_kept") < least_rows, (F.col("n_kept") >= least) & (F.col("most") >= least) & (F.col("most") / F.col("n_kept") >= ratio)
+    reasons = F.array_compact(F.array(F.when(few, "insufficient-valid-rows"), F.when(few & (F.col("headers") > 0), "header-row-artifact"), F.when(~few & uniform, "uniform-metric-suspect")))
+    return g.select("run", "n_rows", "n_kept", F.array_join(reasons, ",").alias("failures"))
 
 
 def sync_safety(power: Column, kp: Column) -> Column:

@@ -7,21 +7,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from boardlake.functions.ranks import stable_ranks
+
 
 def stable_ranking(rows: DataFrame, by: list[str]) -> DataFrame:
     """stable_index, display_rank and tie_group within ``by``: value down, source rank up (nulls last), name, id.
 
-    A tie group also ends where the values are equal but the source rank differs from a known one before.
+    A tie group also ends where the values are equal but the source rank differs from a known one before. A board of any size
+    is ranked over many tasks.
     """
-    order = Window.partitionBy(*by).orderBy(F.desc("value"), F.asc_nulls_last("source_rank"), "name", "id")
-    before = F.lag("source_rank").over(order)
-    new = (F.lag("value").over(order) != F.col("value")) | (before.isNotNull() & ~before.eqNullSafe(F.col("source_rank")))
-    rows = rows.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int"))
-    value_order = Window.partitionBy(*by).orderBy(F.desc("value"))
-    return rows.select(
-        *[c for c in rows.columns if c != "_new"], F.row_number().over(order).alias("stable_index"), F.rank().over(value_order).alias("display_rank"),
-        (1 + F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).cast("int").alias("tie_group"),
-    )
+    return stable_ranks(rows, by)
 
 
 def page_after(ranked: DataFrame, by: list[str], cursor_id: object | None, size: int) -> DataFrame:

@@ -292,19 +292,25 @@ sim AS (SELECT query, player, CASE WHEN query = key THEN 1.0 ELSE floor(greatest
 
 
 def registered(spark, d):
-    from pyspark.sql.window import Window
+    from boardlake.functions.ranks import numbered
 
     p = r.t(spark, d, "part").select(F.regexp_replace(F.lower(F.concat("p_name", "p_type")), "[^a-z0-9]", "").alias("key")).distinct()
-    reg = p.withColumn("player", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("key")).cast("long"))
+    reg = numbered(p.withColumn("all", F.lit(0)), ["all"], ["key"], "player").select("key", "player")
     k = F.col("player") % 3
     q = F.when(k == 0, F.col("key")).when(k == 1, F.expr("substr(key, 1, length(key) - 1)")).otherwise(F.expr("substr(key, 2, 1) || substr(key, 1, 1) || substr(key, 3)"))
     return reg, reg.select(q.alias("query")).distinct()
 
 
+def shown(df, key):
+    """Names as shown: the key cut in two words."""
+    half = F.expr(f"concat(substr({key}, 1, length({key}) div 2), ' ', substr({key}, length({key}) div 2 + 1))")
+    return df.withColumn("shown", half).withColumn("key", F.col(key))
+
+
 @query("j6_similar_names")  # half swaps count here; SQL engines round them down
 def similar(spark, d):
     reg, q = registered(spark, d)
-    return vectorized.similar_names(q.repartition("query"), reg).select("query", "player", F.round(F.col("score") * 10000).cast("long").alias("score_e4"))
+    return vectorized.similar_players(shown(q, "query"), shown(reg, "key")).select("query", "player", F.round(F.col("score") * 10000).cast("long").alias("score_e4"))
 
 
 @query("j15_resolved_names", NAMES_SQL + """, ex AS (SELECT query FROM qs JOIN reg ON query = key), c AS (SELECT query, player, score FROM sim WHERE score >= 0.72 AND (query NOT IN (SELECT query FROM ex) OR score = 1)), g AS (SELECT query, count(*) FILTER (score >= 0.93) AS n, arg_max(player, row(score, -player)) AS player FROM c GROUP BY 1)
@@ -329,7 +335,7 @@ def seeded(spark, d):
 @query("u4_best_suggestions")
 def suggestions(spark, d):
     reg, q = registered(spark, d)
-    s = vectorized.similar_names(q.repartition("query"), reg).select("query", "player", F.lpad(F.col("player").cast("string"), 9, "0").alias("name"), "score", F.lit("fuzzy").alias("source"))
+    s = vectorized.similar_names(q, reg).select("query", "player", F.lpad(F.col("player").cast("string"), 9, "0").alias("name"), "score", F.lit("fuzzy").alias("source"))
     return identity.best_per_player(s).select("query", "player", "place")
 
 
