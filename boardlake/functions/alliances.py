@@ -133,3 +133,14 @@ def cleaned_name(name: Column) -> Column:
     for pattern, by in ((r"[|*_-]{3,}", " "), (r"(?<=\d)[OQ](?=\d)", "0"), (r"(?<=\d)[I|L](?=\d)", "1"), (r"(?<=[A-Za-z])0(?=[A-Za-z])", "O"), (r"(?<=[A-Za-z])1(?=[A-Za-z])", "l"), (r"(?<=\d)S(?=\d)", "5"), (r"(?<=[A-Za-z])5(?=[A-Za-z])", "S"), (r"\s+", " ")):
         c = F.regexp_replace(c, pattern, by)
     return F.trim(c)
+
+
+def canonical_alliances(rows: DataFrame, players: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
+    """``rows`` (linked, alliance_raw) with the alliance to show: the tracked one of the linked player (player, name,
+    alliance; the raw text helps), else the player's own, else the raw one; without a known player the raw one."""
+    known = players.select(F.col("player").alias("linked"), F.col("name").alias("_name"), F.col("alliance").alias("_own"), F.lit(True).alias("_known"))
+    none = lambda c: F.when(F.trim(c) != "", c)
+    tracked = F.coalesce(detected(F.col("_name"), F.col("_own"), catalog=catalog)["label"], detected(F.lit(None).cast("string"), F.col("alliance_raw"), catalog=catalog)["label"])
+    raw = none(F.col("alliance_raw"))
+    out = rows.join(known, "linked", "left").withColumn("alliance", F.when(F.col("_known"), F.coalesce(tracked, F.trim(none(F.col("_own"))), raw)).otherwise(raw))
+    return out.drop("_name", "_own", "_known")

@@ -75,15 +75,26 @@ def with_child_counts(parents: DataFrame, key: str, **children: DataFrame) -> Da
     return parents
 
 
-def overview(**tables: DataFrame) -> DataFrame:
-    """One row with the number of rows of each table."""
-    one = [t.agg(F.count("*").alias(n)) for n, t in tables.items()]
-    return reduce(lambda a, b: a.crossJoin(b), one)
-
-
-def player_figures(players: DataFrame) -> DataFrame:
-    """Players, mean power (whole), total power, alliances."""
-    return players.agg(F.count("*").alias("n"), F.round(F.avg("power"), 4).alias("mean_power"), F.sum("power").alias("total_power"), F.array_join(F.array_sort(F.collect_set("alliance")), ",").alias("alliances"))
+def overview(jobs: DataFrame, extractions: DataFrame, board_rows: DataFrame, identities: DataFrame, last_jobs: int = 8, **tables: DataFrame) -> DataFrame:
+    """One row: the number of rows of each of ``tables`` and of ``jobs`` (created_at, id, total, processed), extractions that
+    wait for review, board rows and identities (status) that wait for a player, files that the last jobs have still to process,
+    and the pressure on the queue: these and the waiting identities."""
+    one = [t.agg(F.count("*").alias(n)) for n, t in {**tables, "jobs": jobs}.items()]
+    one.append(extractions.agg(F.count_if(F.col("status").isin("RAW", "REVIEWED")).alias("profiles_pending")))
+    one.append(board_rows.agg(F.count_if(F.col("status") == "UNRESOLVED").alias("rows_pending")))
+    one.append(identities.agg(F.count_if(F.col("status") == "PENDING").alias("identities_pending")))
+    last = jobs.orderBy(F.desc("created_at"), F.desc("id")).limit(last_jobs)
+    one.append(last.agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.col("total") - F.col("processed"))), F.lit(0)).alias("scan_backlog")))
+    out = reduce(lambda a, b: a.crossJoin(b), one)  # one row each
+    return out.withColumn("queue_pressure", F.col("scan_backlog") + F.col("identities_pending"))
+
+
+def player_figures(players: DataFrame, weekly: DataFrame) -> DataFrame:
+    """Players, mean power, total power, contribution and forts of the week (``weekly``: player, contribution, fort), and the
+    alliances."""
+    own = players.join(weekly, "player", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}")
+    return own.agg(F.count("*").alias("n"), F.round(F.avg("power"), 4).alias("mean_power"), total("power"), total("contribution"), total("fort"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("alliance") != "", F.col("alliance")))), ",").alias("alliances"))
 
 
 def index_tasks(entities: dict[tuple[str, str], DataFrame]) -> DataFrame:

@@ -149,11 +149,42 @@ def golden(cases: DataFrame, least: float = 0.98) -> DataFrame:
     return per.crossJoin(F.broadcast(suite)).withColumn("passed", (F.col("mismatches") == 0) & (F.col("numeric_rate") >= least))
 
 
-def review_queue(rows: DataFrame, players: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Extraction rows with their player (by digits of the id) and the player's snapshot of the same event."""
-    known = rows.withColumn("player", F.regexp_replace("governorId", "[^0-9]", "").try_cast("long")).join(players.select("player", "name"), "player", "left")
-    out = known.join(snapshots.select("player", "event", F.col("power").alias("previous_power")), ["player", "event"], "left")
-    return out.withColumn("changed", F.coalesce(F.col("previous_power") != number_of(F.col("power")), F.lit(False)))
+def review_queue(rows: DataFrame, players: DataFrame, snapshots: DataFrame, backlog: DataFrame) -> DataFrame:
+    """Extraction rows (id, status, event, and a text for each field) beside what is known: the player by the digits of the
+    id, the player's snapshot (player, event, power, kp, t4, t5, deads) of the same event, and the row of the backlog
+    (id, linked_event, sync_status, last_error) that waits for synchronisation. ``previous``: by field; ``changed``: the fields
+    whose known value differs from the text, in order, comma-joined."""
+    numbers = {"power": "power", "killPoints": "kp", "t4Kills": "t4", "t5Kills": "t5", "deads": "deads"}
+    known = rows.withColumn("player", F.regexp_replace("governorId", "[^0-9]", "").try_cast("long")).join(players.select("player", F.col("name").alias("known_name"), F.lit(True).alias("_known")), "player", "left")
+    snaps = snapshots.select("player", "event", *[F.col(c).cast("string").alias(f"_{c}") for c in numbers.values()])
+    waiting = backlog.select("id", "linked_event", "sync_status", "last_error")
+    out = known.join(snaps, ["player", "event"], "left").join(waiting, "id", "left")
+    previous = {"governorId": F.when(F.col("_known"), F.col("player").cast("string")), "governorName": F.col("known_name"), **{f: F.col(f"_{c}") for f, c in numbers.items()}}
+    changed = F.concat_ws(",", *[F.when((v != "") & (v != F.coalesce(F.col(f), F.lit(""))), f) for f, v in previous.items()])
+    pending = F.coalesce(F.col("sync_status").isin("PENDING", "PROCESSING", "FAILED"), F.lit(False))
+    state = F.when(F.col("status") == "APPROVED", F.when(pending | F.col("event").isNull(), "PENDING_WEEK_LINK").otherwise("SYNCED"))
+    return out.select(
+        *rows.columns, F.struct(*[v.alias(f) for f, v in previous.items()]).alias("previous"), changed.alias("changed"), state.alias("sync_state"),
+        F.coalesce("linked_event", "event").alias("linked_event"), F.when(pending, F.col("last_error")).alias("sync_message"),
+    )
+
+
+def repaired_ids(rows: DataFrame, players: DataFrame) -> DataFrame:
+    """Payloads (id, player text, name, alias_key) with the player's id put right from the registry (player text, name,
+    alias_key): an id that is none (6 to 12 digits) becomes that of the player with the same name, without regard to case (the
+    smallest of several), or null if there is none; a sound id that nobody has becomes that of the one player of the same name
+    and alias key. ``repair``: kept, by-name, by-alias or invalid."""
+    sound = lambda c: F.coalesce(F.col(c).rlike("^[0-9]{6,12}$"), F.lit(False))
+    reg = players.select(F.col("player").alias("_p"), F.lower("name").alias("_n"), F.col("alias_key").alias("_k"))
+    by_name = reg.groupBy("_n").agg(F.min("_p").alias("_named"))
+    by_alias = reg.groupBy("_n", F.col("_k").alias("alias_key")).agg(F.count("*").alias("_c"), F.min("_p").alias("_only"))
+    ids = reg.select(F.col("_p").alias("player")).distinct().withColumn("_has", F.lit(True))
+    out = rows.withColumn("_n", F.lower("name")).join(by_name, "_n", "left").join(by_alias, ["_n", "alias_key"], "left").join(ids, "player", "left")
+    named = F.when(sound("_named"), F.col("_named"))
+    alias = F.when(F.col("_has").isNull() & (F.col("_c") == 1) & sound("_only") & ~F.coalesce("alias_key", F.lit("")).isin("", "unknown"), F.col("_only"))
+    repaired = F.when(~sound("player"), named).otherwise(F.coalesce(alias, "player"))
+    how = F.when(~sound("player"), F.when(named.isNotNull(), "by-name").otherwise("invalid")).when(alias.isNotNull() & (alias != F.col("player")), "by-alias").otherwise("kept")
+    return out.select(*[c for c in rows.columns if c != "player"], repaired.alias("player"), how.alias("repair"))
 
 
 def queue_page(rows: DataFrame, level: str | None, by: str, offset: int, limit: int) -> DataFrame:
@@ -224,3 +255,91 @@ def ranking_payload(runs: DataFrame, least: float = 70.0) -> DataFrame:
     reasons = F.array_distinct(F.array_compact(F.concat(F.coalesce("p.failureReasons", F.array().cast("array<string>")), F.array(F.when(F.size("rows") == 0, "no-rows")))))
     low = F.exists("rows", lambda r: r["confidence"] < least) | (F.size(reasons) > 0)
     return p.select("run", kind.alias("archetype"), F.array_join(reasons, ",").alias("reasons"), low.alias("low_confidence"), F.posexplode_outer("rows").alias("at", "r")).select("run", "archetype", "reasons", "low_confidence", "at", "r.*")
+
+
+PROFILE = "struct<governorId:string,governorName:string,power:string,killPoints:string,t4Kills:string,t5Kills:string,deads:string,alliance:string,confidence:double,failureReasons:array<string>>"
+
+
+def _printable(c: Column, most: int) -> Column:
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\\x20-\\x7E]", " "), r"\s+", " ")), 1, most)
+
+
+def profile_payload(rows: DataFrame, least: float = 75.0) -> DataFrame:
+    """(id, payload JSON) -> typed profile fields: digits of ids (16 at most) and metrics (18), printable names (80), percent
+    confidence, distinct reasons, and the flag for low confidence: below ``least``, or without id, name, power or kill points."""
+    e = rows.select("id", F.from_json("payload", PROFILE).alias("p"))
+    digits = lambda f, most=18: F.substring(F.regexp_replace(F.coalesce(F.col(f"p.{f}"), F.lit("")), "[^0-9]", ""), 1, most).alias(f)
+    reasons = F.filter(F.transform(F.array_distinct(F.array_compact(F.coalesce("p.failureReasons", F.array().cast("array<string>")))), lambda r: _printable(r, 220)), lambda r: r != "")
+    out = e.select("id", digits("governorId", 16), _printable(F.col("p.governorName"), 80).alias("governorName"), *[digits(f) for f in FIELDS[2:]], _printable(F.col("p.alliance"), 80).alias("alliance"), percent(F.coalesce("p.confidence", F.lit(0.0))).alias("confidence"), F.array_join(reasons, ",").alias("reasons"))
+    missing = [F.col(c) == "" for c in ("governorId", "governorName", "power", "killPoints")]
+    return out.withColumn("low_confidence", (F.col("confidence") < least) | missing[0] | missing[1] | missing[2] | missing[3])
+
+
+def _member(v: Column, name: str, kinds: str) -> Column:
+    """A member of a variant object if its own type is one of ``kinds``, as a variant."""
+    own = F.try_variant_get(v, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(own).rlike(f"^({kinds})"), own)
+
+
+def run_diagnostics(metadata: Column) -> Column:
+    """What a run's JSON metadata tell of its capture, as a struct; null without any of it. Numbers must be numbers (counts
+    are cut to whole ones, 0 at least), of lists the first 12 texts that are not blank count."""
+    v = F.try_parse_json(metadata)
+    number = lambda n: F.try_variant_get(_member(v, n, "BIGINT|DECIMAL|DOUBLE|FLOAT"), "$", "double")
+    count = lambda n: F.when(number(n).isNotNull(), F.greatest(F.lit(0), F.floor(number(n)))).cast("long")
+    text = lambda e: F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string"))
+    listed = lambda n: F.slice(F.filter(F.transform(F.coalesce(F.try_variant_get(_member(v, n, "ARRAY"), "$", "array<variant>"), F.array().cast("array<variant>")), text), lambda e: F.trim(e) != ""), 1, 12)
+    parts = {
+        "classification_confidence": number("classificationConfidence"), "dropped_rows": count("droppedRowCount"), "guard_failures": listed("guardFailures"), "board_tokens": listed("detectedBoardTokens"),
+        "uniformity": F.to_json(_member(v, "uniformity", "OBJECT")), "worker": F.try_variant_get(_member(v, "worker", "STRING"), "$", "string"), "duration_ms": count("ocrDurationMs"), "slots": count("slotCount"),
+        "detected_rows": count("detectedRows"), "valid_rows": count("validRows"),
+    }
+    some = F.lit(False)
+    for name, c in parts.items():
+        some = some | (F.size(c) > 0 if name in ("guard_failures", "board_tokens") else c.isNotNull())
+    return F.when(some, F.struct(*[c.alias(n) for n, c in parts.items()]))
+
+
+def identity_suggestions(candidates: Column, most: int = 8) -> Column:
+    """The first ``most`` suggestions in JSON candidates, as an array of (id, game_id, name, source): those with all four,
+    the source being alias or name, each id once."""
+    raw = F.from_json(candidates, "identitySuggestions array<struct<governorId:string,governorGameId:string,name:string,source:string>>")["identitySuggestions"]
+    whole = F.filter(F.coalesce(raw, F.array().cast("array<struct<governorId:string,governorGameId:string,name:string,source:string>>")), lambda e: (e["governorId"] != "") & (e["governorGameId"] != "") & (F.trim(e["name"]) != "") & e["source"].isin("alias", "name"))
+    ids = F.transform(whole, lambda e: e["governorId"])
+    once = F.filter(whole, lambda e, i: F.array_position(ids, e["governorId"]) == i + 1)
+    return F.transform(F.slice(once, 1, most), lambda e: F.struct(e["governorId"].alias("id"), e["governorGameId"].alias("game_id"), F.trim(e["name"]).alias("name"), e["source"].alias("source")))
+
+
+#: Under which names a cell may come, in order of preference.
+CELLS = {
+    "rank": ["sourceRank", "rank", "position"],
+    "player": ["governorNameRaw", "governorName", "name", "governorNameNormalized"],
+    "player_id": ["governorId", "governorGameId", "governorDbId", "linkedGovernorId"],
+    "alliance": ["allianceRaw", "alliance", "linkedAlliance", "allianceTag"],
+    "kp": ["killPoints", "kp", "killPoint", "killpoints", "currentKillPoints", "totalKillPoints", "kpRaw", "deltaKillPoints"],
+    "power": ["power", "currentPower", "totalPower", "powerRaw", "powerValue", "deltaPower"],
+    "metric": ["metricValue", "metricRaw", "deltaKillPoints", "deltaPower", "deltaDeads", "score"],
+    "confidence": ["confidence", "identityConfidence"],
+}
+
+
+def analysis_rows(reads: DataFrame, a_read: int = 40, most: int = 20) -> DataFrame:
+    """Rows of unlike shape (plan, read, at, row JSON) as one table of text cells: each takes the first of its names that
+    holds something (no null, empty text, 0 or false), else the metric if that is of its kind, else ``-``. The first ``a_read``
+    rows of a read and the first ``most`` rows of a plan that name a player count."""
+    def some(name: str) -> Column:
+        """The cell of that name as text, unless it is null, empty text, the number 0 or false."""
+        own = F.try_variant_get(F.col("_v"), f"$.{name}", "variant")
+        text, type_ = F.try_variant_get(own, "$", "string"), F.schema_of_variant(own)
+        nothing = (text == "") | ((type_ == "BOOLEAN") & (text == "false")) | (type_.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (text.try_cast("double") == 0))
+        return F.when(~nothing, text)
+
+    kind = F.lower(F.trim(F.coalesce(F.try_variant_get(F.col("_v"), "$.metricKey", "string"), F.lit(""))))
+    metric = F.coalesce(some("metricValue"), some("metricRaw"))
+    own = {"power": F.when(kind.contains("power"), metric), "kp": F.when(kind.contains("kill") | kind.contains("kp"), metric)}
+    shown = lambda c: F.coalesce(F.nullif(F.substring(F.trim(F.regexp_replace(c, r"[\s\p{C}]+", " ")), 1, 120), F.lit("")), F.lit("-"))
+    cells = {name: shown(F.coalesce(*map(some, names), *([own[name]] if name in own else []))) for name, names in CELLS.items()}
+    in_read, in_plan = Window.partitionBy("plan", "read").orderBy("at"), Window.partitionBy("plan").orderBy("read", "at")
+    rows = reads.withColumn("_v", F.try_parse_json("row")).withColumn("_n", F.row_number().over(in_read)).filter(F.col("_n") <= a_read).select("plan", "read", "at", *[c.alias(n) for n, c in cells.items()])
+    rows = rows.filter((F.col("player") != "-") | (F.col("player_id") != "-"))
+    return rows.withColumn("place", F.row_number().over(in_plan)).filter(F.col("place") <= most)

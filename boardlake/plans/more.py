@@ -40,11 +40,13 @@ def split_name(spark, d):
     return tagged(spark, d).select("player", alliances.stripped(nfkc_sanitize("raw")).alias("clean"))
 
 
-@query("p14_canonical_alliance", " SELECT b.id, coalesce(p.alliance, 'raw ' || b.type) AS alliance FROM board b LEFT JOIN players p ON p.player = b.identity AND b.id % 3 > 0")
+@query("p14_canonical_alliance", f""", k AS (SELECT id, type, identity, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN identity ELSE -1 END AS linked, CASE WHEN id % 7 = 0 THEN '[V57] x' WHEN id % 4 = 0 THEN '' ELSE 'raw ' || type END AS raw FROM board)
+SELECT k.id, CASE WHEN p.player IS NULL THEN nullif(raw, '') ELSE coalesce({_case(1)}, CASE WHEN k.id % 7 = 0 THEN '[V57] Legacy of Velmora' END, p.alliance) END AS alliance FROM k LEFT JOIN players p ON p.player = linked""")
 def canonical(spark, d):
-    p = r.players(spark, d).select(F.col("player").alias("linked"), "alliance")
-    b = r.boards(spark, d).withColumn("linked", F.when(F.col("id") % 3 > 0, F.col("identity")))
-    return b.join(p, "linked", "left").select("id", F.coalesce("alliance", F.concat(F.lit("raw "), "type")).alias("alliance"))
+    k = F.col("id")
+    raw = F.when(k % 7 == 0, "[V57] x").when(k % 4 == 0, "").otherwise(F.concat(F.lit("raw "), "type"))
+    b = r.boards(spark, d).select("id", F.when(k % 3 == 1, F.col("identity")).when(k % 3 == 2, -1).alias("linked"), raw.alias("alliance_raw"))
+    return alliances.canonical_alliances(b, tagged(spark, d).select("player", F.col("raw").alias("name"), "alliance")).select("id", "alliance")
 
 
 @query("p7_display_name", " SELECT player, substr(regexp_replace(name, '#', '#', 'g') || ' ' || alliance, 1, 64) AS shown FROM players")
@@ -127,18 +129,40 @@ def csv_export(spark, d):
     return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
-@query("p29_diagnostics", " SELECT id AS id, k AS k_value, k >= 50 AS high FROM (SELECT event_id AS id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)")
+@query("p29_diagnostics", """, e AS (SELECT event_id AS id, event_type AS w, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT id, CASE WHEN id % 5 > 0 THEN k / 100 END AS confidence, CASE WHEN id % 5 > 0 THEN CAST(k AS BIGINT) END AS dropped, CASE WHEN id % 5 > 0 THEN CASE id % 3 WHEN 0 THEN 'blur,' || w WHEN 1 THEN '' ELSE 'a' END END AS failures, CASE WHEN id % 5 > 0 AND id % 2 = 0 THEN w END AS worker, CASE WHEN id % 5 > 0 THEN '{"ratio":' || k || '}' END AS uniformity, id % 5 > 0 AS known FROM e""")
 def diagnostics(spark, d):
-    e = r.t(spark, d, "events")
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    return e.select(F.col("event_id").alias("id"), k.alias("k_value"), (k >= 50).alias("high"))
-
-
-@query("p28_coalesced_rows", " SELECT o_orderkey AS id, coalesce(p.name, 'order ' || o_orderkey) AS title, coalesce(b.source_rank, 0) AS rank FROM orders JOIN board b ON b.id = o_orderkey LEFT JOIN players p ON p.player = o_custkey AND o_orderkey % 2 = 0")
-def coalesced(spark, d):
-    b = r.boards(spark, d)
-    p = r.players(spark, d).select(F.col("player").alias("linked"), F.col("name").alias("known"))
-    return b.withColumn("linked", F.when(F.col("id") % 2 == 0, F.col("identity"))).join(p, "linked", "left").select("id", F.coalesce("known", F.concat(F.lit("order "), F.col("id").cast("string"))).alias("title"), F.coalesce("source_rank", F.lit(0)).alias("rank"))
+    e = r.t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("w"), F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+    i = F.col("id")
+    listed = F.when(i % 3 == 0, F.concat(F.lit('["blur", 7, " ", "'), "w", F.lit('"]'))).when(i % 3 == 1, "7").otherwise('["a", null]')
+    text = F.concat(F.lit('{"classificationConfidence":'), (F.col("k") / 100).cast("string"), F.lit(',"droppedRowCount":'), (F.col("k") + 0.5).cast("string"), F.lit(',"guardFailures":'), listed, F.lit(',"worker":'), F.when(i % 2 == 0, F.concat(F.lit('"'), "w", F.lit('"'))).otherwise("3"), F.lit(',"slotCount":"x","uniformity":{"ratio":'), F.col("k").cast("string"), F.lit("}}"))
+    meta = F.when(i % 5 == 0, F.when(i % 2 == 0, '{"other":1}').otherwise("[1]")).otherwise(text)
+    g = quality.run_diagnostics(meta)
+    return e.select("id", g.alias("g")).select("id", F.col("g.classification_confidence").alias("confidence"), F.col("g.dropped_rows").alias("dropped"), F.array_join("g.guard_failures", ",").alias("failures"), F.col("g.worker").alias("worker"), F.col("g.uniformity").alias("uniformity"), F.col("g").isNotNull().alias("known"))
+
+
+@query("p29_suggestions", """, b AS (SELECT type, identity AS run, 'g' || (id % 7) AS g, CASE WHEN id % 5 > 0 THEN name ELSE ' ' END AS name, CASE id % 3 WHEN 0 THEN 'alias' WHEN 1 THEN 'name' ELSE 'guess' END AS source, row_number() OVER (PARTITION BY identity ORDER BY id) AS n FROM board),
+u AS (SELECT *, row_number() OVER (PARTITION BY run, g ORDER BY n) AS k FROM b WHERE name <> ' ' AND source <> 'guess'), v AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY n) AS place FROM u WHERE k = 1)
+SELECT r.run, coalesce(string_agg(g || ':' || source, ',' ORDER BY place) FILTER (place <= 8), '') AS suggestions FROM (SELECT DISTINCT run FROM b) r LEFT JOIN v USING (run) GROUP BY 1""")
+def suggestions(spark, d):
+    i = F.col("id")
+    one = F.struct(F.concat(F.lit("g"), (i % 7).cast("string")).alias("governorId"), F.lit("1").alias("governorGameId"), F.when(i % 5 > 0, F.col("name")).otherwise(" ").alias("name"), F.when(i % 3 == 0, "alias").when(i % 3 == 1, "name").otherwise("guess").alias("source"))
+    runs = r.boards(spark, d).groupBy(F.col("identity").alias("run")).agg(F.array_sort(F.collect_list(F.struct("id", one.alias("s")))).alias("a"))
+    found = runs.select("run", quality.identity_suggestions(F.to_json(F.struct(F.transform("a", lambda x: x["s"]).alias("identitySuggestions")))).alias("s"))
+    return found.select("run", F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["id"], x["source"])), ",").alias("suggestions"))
+
+
+@query("p28_analysis_rows", """, c AS (SELECT identity AS plan, type AS read, id, row_number() OVER (PARTITION BY identity, type ORDER BY id) AS n, CASE id % 4 WHEN 0 THEN name WHEN 1 THEN 'raw ' || name ELSE '-' END AS player, CASE WHEN id % 4 = 3 OR identity = 0 THEN '-' ELSE CAST(identity AS VARCHAR) END AS pid, CASE WHEN id % 3 = 0 THEN CAST(value AS VARCHAR) ELSE '-' END AS power, CASE WHEN id % 3 = 1 THEN CAST(value AS VARCHAR) ELSE '-' END AS kp, coalesce(CAST(source_rank AS VARCHAR), '-') AS rank, CAST(value AS VARCHAR) AS metric FROM board),
+k AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY read, id) AS place FROM c WHERE n <= 40 AND (player <> '-' OR pid <> '-')) SELECT plan, id, CAST(place AS INTEGER) AS place, player, pid AS player_id, power, kp, rank, metric FROM k WHERE place <= 20""")
+def analysis(spark, d):
+    b, i = r.boards(spark, d), F.col("id")
+    kind = F.when(i % 3 == 0, "Power").when(i % 3 == 1, "kill_points").otherwise("x")
+    row = F.to_json(F.struct(
+        F.when(i % 4 == 0, F.col("name")).alias("name"), F.when(i % 4 == 1, F.concat(F.lit("raw\t"), "name")).otherwise("").alias("governorNameRaw"), F.when(i % 4 != 3, F.col("identity")).otherwise(0).alias("governorId"),
+        F.col("value").cast("string").alias("metricRaw"), kind.alias("metricKey"), F.col("source_rank").alias("rank"),
+    ))
+    out = quality.analysis_rows(b.select(F.col("identity").alias("plan"), F.col("type").alias("read"), i.alias("at"), row.alias("row")))
+    return out.select("plan", F.col("at").alias("id"), "place", "player", "player_id", "power", "kp", "rank", "metric")
 
 
 def stream(spark, d):
@@ -214,6 +238,19 @@ def ranking_payload(spark, d):
     return quality.ranking_payload(runs)
 
 
+@query("p30_profile_payload", """, x AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey * 1000 AS VARCHAR) ELSE '' END AS "governorId", c_name AS "governorName", CAST(round(abs(c_acctbal) * 100) AS BIGINT) || '' AS power, CASE WHEN c_custkey % 7 > 0 THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS "killPoints", CAST(CASE WHEN c_custkey % 2 = 0 THEN 80 ELSE 70 END AS DOUBLE) AS confidence FROM customer)
+SELECT *, CASE WHEN id % 5 = 0 THEN 'blur' ELSE '' END AS reasons, confidence < 75 OR "governorId" = '' OR "killPoints" = '' AS low_confidence FROM x""")
+def profile_payload(spark, d):
+    c, k = r.t(spark, d, "customer"), F.col("c_custkey")
+    cents = F.round(F.abs("c_acctbal") * 100).cast("long").cast("string")
+    payload = F.to_json(F.struct(
+        F.when(k % 3 > 0, F.concat(F.lit("ID:"), (k * 1000).cast("string"))).alias("governorId"), F.concat(F.lit(" "), "c_name", F.lit("é")).alias("governorName"), F.concat(cents, F.lit(" pts")).alias("power"),
+        F.when(k % 7 > 0, k.cast("string")).alias("killPoints"), F.when(k % 2 == 0, 0.8).otherwise(70.0).alias("confidence"), F.when(k % 5 == 0, F.array(F.lit("blur"), F.lit(" "), F.lit("blur"))).alias("failureReasons"),
+    ))
+    out = quality.profile_payload(c.select(k.alias("id"), payload.alias("payload")))
+    return out.select("id", "governorId", "governorName", "power", "killPoints", "confidence", "reasons", "low_confidence")
+
+
 @query("s1_scoped_read", " SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
 def scoped(spark, d):
     from boardlake.sources.tables import read_table

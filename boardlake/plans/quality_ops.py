@@ -114,10 +114,36 @@ def queue(spark, d):
     return quality.queue_page(e, "PENDING", "confidence", 100, 50).select("id")
 
 
-@query("j10_review_queue", EXT_SQL + ', y AS (SELECT id, user_id, strftime(created_at, \'%G-W%V\') AS event, k FROM ext) SELECT id, p.name, s.power AS previous_power, coalesce(s.power <> y.k, false) AS changed FROM y LEFT JOIN players p ON p.player = y.user_id LEFT JOIN snaps s ON s.player = y.user_id AND s."at" = y.event')
+@query("j10_review_queue", FIELD_SQL + """, y AS (SELECT f.*, e.status, CASE WHEN e.id % 6 > 0 THEN strftime(created_at, '%G-W%V') END AS event, user_id, CASE WHEN e.id % 2 = 0 THEN p.name ELSE 'other' END AS nm, p.name, p.player FROM fields f JOIN ext e USING (id) LEFT JOIN players p ON p.player = 100000 + user_id - CASE WHEN e.id % 3 = 0 THEN 0 ELSE 100000 END),
+bl AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'FAILED' ELSE 'DONE' END AS ss FROM events WHERE event_id % 5 = 0),
+z AS (SELECT y.*, s.power AS sp, s.kp AS sk, s.t4 AS s4, s.t5 AS s5, s.deads AS sd, ss FROM y LEFT JOIN snaps s ON s.player = y.player AND s."at" = y.event LEFT JOIN bl USING (id))
+SELECT id, CAST(sp AS VARCHAR) AS previous_power, concat_ws(',', CASE WHEN name <> nm THEN 'governorName' END, CASE WHEN CAST(sp AS VARCHAR) <> power THEN 'power' END, CASE WHEN CAST(sk AS VARCHAR) <> "killPoints" THEN 'killPoints' END, CASE WHEN CAST(s4 AS VARCHAR) <> "t4Kills" THEN 't4Kills' END, CASE WHEN CAST(s5 AS VARCHAR) <> "t5Kills" THEN 't5Kills' END, CASE WHEN CAST(sd AS VARCHAR) <> deads THEN 'deads' END) AS changed,
+  CASE WHEN status = 'APPROVED' THEN CASE WHEN coalesce(ss IN ('PENDING', 'FAILED'), false) OR event IS NULL THEN 'PENDING_WEEK_LINK' ELSE 'SYNCED' END END AS sync_state, coalesce(CASE WHEN ss IS NOT NULL AND id % 2 = 0 THEN 'w' END, event) AS linked_event, CASE WHEN ss IN ('PENDING', 'FAILED') THEN 'e' || id END AS sync_message FROM z""")
 def review(spark, d):
-    e = extractions(spark, d).withColumn("ts", F.col("created_at")).select("id", F.col("user_id").cast("string").alias("governorId"), r.period().alias("event"), F.col("k").cast("string").alias("power"))
-    return quality.review_queue(e, r.players(spark, d), r.snapshots(spark, d).withColumnRenamed("at", "event")).select("id", "name", "previous_power", "changed")
+    e = extractions(spark, d).withColumn("ts", F.col("created_at")).select("id", "status", "user_id", F.when(F.col("id") % 6 > 0, r.period()).alias("event"))
+    p = r.players(spark, d)
+    named = e.join(p.select(F.col("player").alias("user_id"), F.col("name").alias("_name")), "user_id", "left")
+    mine = F.when(F.col("id") % 3 == 0, 100000 + F.col("user_id")).otherwise(F.col("user_id"))
+    rows = fields(spark, d).drop("governorId").join(named, "id").withColumn("governorId", mine.cast("string")).withColumn("governorName", F.when((F.col("id") % 2 == 0) & (F.col("id") % 3 > 0), F.col("_name")).otherwise("other")).drop("_name", "user_id")
+    k = F.col("event_id")
+    status = F.when(k % 4 == 0, "PENDING").when(k % 4 == 1, "FAILED").otherwise("DONE")
+    backlog = r.t(spark, d, "events").filter("event_id % 5 = 0").select(k.alias("id"), F.when(k % 2 == 0, "w").alias("linked_event"), status.alias("sync_status"), F.concat(F.lit("e"), k.cast("string")).alias("last_error"))
+    out = quality.review_queue(rows, p, r.snapshots(spark, d).withColumnRenamed("at", "event"), backlog)
+    return out.select("id", F.col("previous.power").alias("previous_power"), "changed", "sync_state", "linked_event", "sync_message")
+
+
+@query("n5_repaired_ids", """, pl AS (SELECT CAST(n_nationkey * 50000 + 10000 AS VARCHAR) AS player, CASE WHEN n_nationkey % 5 = 0 THEN 'Twin' ELSE n_name END AS name, CASE WHEN n_nationkey % 7 = 0 THEN 'unknown' ELSE lower(CASE WHEN n_nationkey % 5 = 0 THEN 'Twin' ELSE n_name END) END AS k FROM nation),
+x AS (SELECT p_partkey AS id, CAST(CASE p_partkey % 3 WHEN 0 THEN p_partkey % 900 WHEN 1 THEN 500000 + p_partkey ELSE (p_partkey % 25) * 50000 + 10000 END AS VARCHAR) AS player, upper(CASE WHEN p_partkey % 25 % 5 = 0 THEN 'Twin' ELSE n_name END) AS name, CASE WHEN p_partkey % 25 % 7 = 0 THEN 'unknown' ELSE lower(CASE WHEN p_partkey % 25 % 5 = 0 THEN 'Twin' ELSE n_name END) END AS k FROM part JOIN nation ON n_nationkey = p_partkey % 25),
+y AS (SELECT x.*, length(x.player) BETWEEN 6 AND 12 AS sound, (SELECT min(player) FROM pl WHERE lower(pl.name) = lower(x.name)) AS named, (SELECT count(*) FROM pl WHERE lower(pl.name) = lower(x.name) AND pl.k = x.k) AS c, (SELECT min(player) FROM pl WHERE lower(pl.name) = lower(x.name) AND pl.k = x.k) AS sole, x.player IN (SELECT player FROM pl) AS has FROM x)
+SELECT id, CASE WHEN NOT sound THEN CASE WHEN length(named) BETWEEN 6 AND 12 THEN named END WHEN NOT has AND c = 1 AND length(sole) BETWEEN 6 AND 12 AND k <> 'unknown' THEN sole ELSE player END AS player, CASE WHEN NOT sound THEN CASE WHEN length(named) BETWEEN 6 AND 12 THEN 'by-name' ELSE 'invalid' END WHEN NOT has AND c = 1 AND length(sole) BETWEEN 6 AND 12 AND k <> 'unknown' THEN 'by-alias' ELSE 'kept' END AS repair FROM y""")
+def repaired(spark, d):
+    n, k = F.col("n_nationkey"), F.col("p_partkey")
+    name = F.when(n % 5 == 0, "Twin").otherwise(F.col("n_name"))
+    key = F.when(n % 7 == 0, "unknown").otherwise(F.lower(name))
+    nation = r.t(spark, d, "nation").select(n.alias("own"), (n * 50000 + 10000).cast("string").alias("player"), name.alias("name"), key.alias("alias_key"))
+    text_ = F.when(k % 3 == 0, k % 900).when(k % 3 == 1, 500000 + k).otherwise(k % 25 * 50000 + 10000).cast("string")
+    rows = r.t(spark, d, "part").select(k.alias("id"), text_.alias("player"), (k % 25).alias("own")).join(F.broadcast(nation.select("own", F.upper("name").alias("name"), "alias_key")), "own").drop("own")
+    return quality.repaired_ids(rows, nation).select("id", "player", "repair")
 
 
 @query("a15_job_progress", EXT_SQL + """, t AS (SELECT user_id AS job, CASE WHEN user_id % 5 = 0 THEN 'COMPLETED' WHEN user_id % 5 = 1 THEN 'FAILED' WHEN user_id % 5 = 2 THEN 'QUEUED' ELSE CASE id % 3 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'COMPLETED' ELSE 'FAILED' END END AS s, k < 30 AS low FROM ext)
@@ -171,14 +197,22 @@ def children(spark, d):
     return ops.with_child_counts(r.players(spark, d).select("player"), "player", orders=r.boards(spark, d).select(F.col("identity").alias("player")), events=r.observations(spark, d).select("player"))
 
 
-@query("a21_overview", " SELECT (SELECT count(*) FROM players) AS players, (SELECT count(*) FROM board) AS rows, (SELECT count(*) FROM obs) AS observations")
+@query("a21_overview", """, jb AS (SELECT o_orderkey AS id, o_orderdate AS made, o_orderkey % 20 AS total, o_orderkey % 15 AS done FROM orders), lj AS (SELECT greatest(0, total - done) AS n FROM jb ORDER BY made DESC, id DESC LIMIT 8), c AS (SELECT (SELECT count(*) FROM players) AS players, (SELECT count(DISTINCT period) FROM obs) AS weeks, (SELECT count(*) FROM jb) AS jobs,
+  (SELECT count(*) FROM events WHERE event_type IN ('click', 'view')) AS profiles_pending, (SELECT count(*) FROM board WHERE status = 'UNRESOLVED') AS rows_pending, (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O') AS identities_pending, (SELECT CAST(sum(n) AS BIGINT) FROM lj) AS scan_backlog) SELECT *, scan_backlog + identities_pending AS queue_pressure FROM c""")
 def overview(spark, d):
-    return ops.overview(players=r.players(spark, d), rows=r.boards(spark, d), observations=r.observations(spark, d))
+    k = F.col("o_orderkey")
+    jobs = r.t(spark, d, "orders").select(k.alias("id"), F.col("o_orderdate").alias("created_at"), (k % 20).alias("total"), (k % 15).alias("processed"))
+    e = r.t(spark, d, "events").select(F.when(F.col("event_type") == "click", "RAW").when(F.col("event_type") == "view", "REVIEWED").otherwise("APPROVED").alias("status"))
+    waiting = r.t(spark, d, "lineitem").select(F.when(F.col("l_linestatus") == "O", "PENDING").otherwise("DONE").alias("status"))
+    return ops.overview(jobs, e, r.boards(spark, d), waiting, players=r.players(spark, d), weeks=r.observations(spark, d).select("period").distinct())
 
 
-@query("a22_player_figures", " SELECT count(*) AS n, CAST(round(avg(power), 4) AS DOUBLE) AS mean_power, CAST(sum(power) AS BIGINT) AS total_power, string_agg(DISTINCT alliance, ',' ORDER BY alliance) AS alliances FROM players")
+@query("a22_player_figures", """, wk AS (SELECT player, coalesce(max(CASE metric WHEN 'contribution_points' THEN value END), 0) AS c, coalesce(max(CASE metric WHEN 'fort_destroying' THEN value END), 0) AS f FROM obs WHERE period = '2024-W03' GROUP BY 1)
+SELECT count(*) AS n, CAST(round(avg(power), 4) AS DOUBLE) AS mean_power, CAST(sum(power) AS BIGINT) AS total_power, CAST(coalesce(sum(c), 0) AS BIGINT) AS total_contribution, CAST(coalesce(sum(f), 0) AS BIGINT) AS total_fort, string_agg(DISTINCT alliance, ',' ORDER BY alliance) AS alliances FROM players LEFT JOIN wk USING (player)""")
 def player_figures(spark, d):
-    return ops.player_figures(r.players(spark, d))
+    of = lambda m, c: F.coalesce(F.max(F.when(F.col("metric") == m, F.col("value"))), F.lit(0)).alias(c)
+    week = r.observations(spark, d).filter("period = '2024-W03'").groupBy("player").agg(of("contribution_points", "contribution"), of("fort_destroying", "fort"))
+    return ops.player_figures(r.players(spark, d), week)
 
 
 @query("u1_index_tasks", """, e AS (SELECT 'governor_identity' AS corpus, 'governor' AS entity_type, CAST(player AS VARCHAR) AS entity FROM players UNION SELECT 'events', 'event', period FROM obs UNION SELECT 'ocr_extractions', 'ocr_extraction', CAST(id AS VARCHAR) FROM obs UNION SELECT 'ranking', 'ranking_run', CAST(id AS VARCHAR) FROM board
