@@ -118,15 +118,23 @@ def failure_status(attempts: Column, most: int = 3) -> Column:
     return F.when(attempts >= most, "FAILED").otherwise("QUEUED")
 
 
+#: The status changes that a task may make, beside staying as it is.
+CHANGES = [("QUEUED", "PROCESSING"), ("QUEUED", "FAILED"), ("PROCESSING", "QUEUED"), ("PROCESSING", "COMPLETED"), ("PROCESSING", "FAILED"), ("FAILED", "QUEUED")]
+
+
 def may_change(before: Column, after: Column) -> Column:
     """ST4: whether a task's status may change so."""
-    pairs = [("QUEUED", "PROCESSING"), ("QUEUED", "FAILED"), ("PROCESSING", "QUEUED"), ("PROCESSING", "COMPLETED"), ("PROCESSING", "FAILED"), ("FAILED", "QUEUED")]
     ok = before == after
-    for a, b in pairs:
+    for a, b in CHANGES:
         ok = ok | ((before == a) & (after == b))
     return ok
 
 
+def allowed(before: str, after: str) -> bool:
+    """``may_change`` of two values."""
+    return before == after or (before, after) in CHANGES
+
+
 def members(players: DataFrame, *keys: DataFrame) -> DataFrame:
     """Players that any of the key sets (player) names."""
     every = reduce(DataFrame.unionByName, [k.select("player") for k in keys]).filter("player is not null").distinct()

@@ -176,11 +176,7 @@ def stream(spark, d):
 def stream_current(spark, d):
     path = scratch(spark, "state")
     jobs.upsert_stream(stream(spark, d), path, scratch(spark, "stream")).awaitTermination()
-    from boardlake.operators.observations import KEYS
-
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("v")).first()[0]
-    return versions.filter(F.col("v") == newest).select(*KEYS, "value")
+    return jobs.read_state(spark, path).select("period", "player", "metric", "value")
 
 
 @query("st2_idempotent_ingest", " SELECT DISTINCT player % 20 AS ws, event_type AS scope, player || '-' || (value % 50) AS key FROM obs JOIN (SELECT event_id, event_type FROM events) ON event_id = id")
@@ -201,24 +197,38 @@ def stream_weekly(spark, d):
     return out.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd HH:mm"))
 
 
-@query("st4_stream_progress", """, l AS (SELECT player AS job, id % 400 AS task, arg_max(event_type, row(observed_at, id)) AS t FROM obs JOIN (SELECT event_id, event_type FROM events) ON event_id = id GROUP BY 1, 2), s AS (SELECT job, CASE t WHEN 'click' THEN 'QUEUED' WHEN 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS s FROM l)
-SELECT job, count(*) AS total, count(*) FILTER (s <> 'QUEUED') AS processed, CASE WHEN count(*) FILTER (s = 'QUEUED') > 0 AND count(*) FILTER (s <> 'QUEUED') > 0 THEN 'PROCESSING' WHEN count(*) FILTER (s = 'QUEUED') > 0 THEN 'QUEUED' WHEN count(*) FILTER (s = 'FAILED') = count(*) THEN 'FAILED' ELSE 'REVIEW' END AS job_status FROM s GROUP BY 1""")
+@query("st4_stream_progress", """, cg AS (SELECT player AS job, id % 400 AS task, CASE event_type WHEN 'click' THEN 'QUEUED' WHEN 'view' THEN 'PROCESSING' WHEN 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS s, row_number() OVER (PARTITION BY player, id % 400 ORDER BY observed_at, id) AS n FROM obs JOIN (SELECT event_id, event_type FROM events) ON event_id = id),
+st AS (SELECT job, task, n, s FROM cg WHERE n = 1 UNION ALL SELECT c.job, c.task, c.n, CASE WHEN st.s || '>' || c.s IN ('QUEUED>PROCESSING', 'QUEUED>FAILED', 'PROCESSING>QUEUED', 'PROCESSING>COMPLETED', 'PROCESSING>FAILED', 'FAILED>QUEUED') THEN c.s ELSE st.s END FROM st JOIN cg c ON c.job = st.job AND c.task = st.task AND c.n = st.n + 1),
+s AS (SELECT job, task, arg_max(s, n) AS s FROM st GROUP BY 1, 2)
+SELECT job, count(*) AS total, count(*) FILTER (s IN ('COMPLETED', 'FAILED')) AS processed, CASE WHEN count(*) FILTER (s = 'PROCESSING') > 0 THEN 'PROCESSING' WHEN count(*) FILTER (s = 'QUEUED') > 0 AND count(*) FILTER (s IN ('COMPLETED', 'FAILED')) > 0 THEN 'PROCESSING' WHEN count(*) FILTER (s = 'QUEUED') > 0 THEN 'QUEUED' WHEN count(*) FILTER (s = 'FAILED') = count(*) THEN 'FAILED' ELSE 'REVIEW' END AS job_status FROM s GROUP BY 1""")
 def stream_progress(spark, d):
-    from boardlake.operators.ops import job_progress
+    m = F.col("metric")
+    status = F.when(m == "click", "QUEUED").when(m == "view", "PROCESSING").when(m == "error", "FAILED").otherwise("COMPLETED")
+    changes = stream(spark, d).select(F.col("player").alias("job"), (F.col("id") % 400).alias("task"), status.alias("status"), F.lit(False).alias("low_confidence"), F.col("observed_at").alias("updated_at"), "id")
+    states = jobs.run_to_table(jobs.moved(changes), scratch(spark, "tasks"), scratch(spark, "stream"), "update")
+    return jobs.progress(states).select("job", "total", "processed", "job_status")
+
+
+DRAIN_SQL = """, dr AS (SELECT id, player % 3 = 0 AS no_player, period = '2024-W05' AS no_period, value - 500 AS value, id % 3 AS attempts, CASE id % 4 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'SUCCEEDED' ELSE 'PROCESSING' END AS before FROM obs),
+dn AS (SELECT id, before IN ('PENDING', 'FAILED') AS tried, CASE WHEN value <= 0 THEN 'Skipped invalid profile metrics' WHEN no_player THEN 'unknown player' WHEN no_period THEN 'unknown event' END AS e, before, attempts FROM dr)"""
 
-    s = stream(spark, d)
-    status = F.when(F.col("metric") == "click", "QUEUED").when(F.col("metric") == "error", "FAILED").otherwise("COMPLETED")
-    last = s.groupBy(F.col("player").alias("job"), (F.col("id") % 400).alias("task")).agg(F.max_by(status, F.struct("observed_at", "id")).alias("status"))
-    table = jobs.run_to_table(last, scratch(spark, "tasks"), scratch(spark, "stream"))
-    return job_progress(table.withColumn("low_confidence", F.lit(False))).select("job", "total", "processed", "job_status")
 
+def drained_rows(spark, d):
+    k = F.col("id") % 4
+    s = stream(spark, d).select("id", "player", "period", (F.col("value") - 500).alias("value"), F.when(k == 0, "PENDING").when(k == 1, "FAILED").when(k == 2, "SUCCEEDED").otherwise("PROCESSING").alias("status"), (F.col("id") % 3).alias("attempts"))
+    players = r.observations(spark, d).filter("player % 3 > 0").select("player")
+    periods = r.observations(spark, d).filter("period <> '2024-W05'").select("period")
+    return jobs.run_to_table(jobs.drained(s, players, periods), scratch(spark, "drained"), scratch(spark, "stream"), "append")
 
-@query("st5_drained_backlog", " SELECT id, CASE WHEN value <= 500 THEN 'failed' WHEN player % 3 = 0 OR period = '2024-W05' THEN 'pending' ELSE 'succeeded' END AS outcome FROM obs")
+
+@query("st5_drained_backlog", DRAIN_SQL + " SELECT id, CASE WHEN tried THEN CASE WHEN e IS NULL THEN 'SUCCEEDED' ELSE 'FAILED' END ELSE before END AS status, attempts + CASE WHEN tried THEN 1 ELSE 0 END AS attempts, CASE WHEN tried THEN e END AS error FROM dn")
 def drained(spark, d):
-    s = stream(spark, d).select("id", "player", "period", (F.col("value") - 500).alias("value"))
-    players = r.players(spark, d).filter("player % 3 > 0")
-    periods = r.observations(spark, d).filter("period <> '2024-W05'").select("period").distinct()
-    return jobs.run_to_table(jobs.drained(s, players, periods), scratch(spark, "drained"), scratch(spark, "stream"), "append").select("id", "outcome")
+    return drained_rows(spark, d).select("id", "status", "attempts", "error")
+
+
+@query("st5_drain_counts", DRAIN_SQL + " SELECT count(*) FILTER (tried) AS processed, count(*) FILTER (tried AND e IS NULL) AS succeeded, count(*) FILTER (tried AND e IS NOT NULL) AS failed FROM dn")
+def drain_counts(spark, d):
+    return jobs.drain_counts(drained_rows(spark, d))
 
 
 @query("a11_workspace_tasks", " SELECT type, status, CAST(n AS BIGINT) AS n, CAST(rank() OVER (PARTITION BY type ORDER BY n DESC, status) AS INTEGER) AS place FROM (SELECT type, status, count(*) AS n FROM board GROUP BY 1, 2)")

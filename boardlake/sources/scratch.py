@@ -11,9 +11,12 @@ _own_dir: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a local folder of our own only where that is unset."""
+    """A new path below ``spark.checkpoint.dir``; below a local folder of our own where that is unset and all runs on one
+    machine. On a cluster it has to be set, as executors don't see one another's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = _own_dir[0]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from boardlake.operators import observations, ops
-from boardlake.sources.sinks import upserted
 
 
 def latest_observations(obs: DataFrame, keys: list[str] = observations.KEYS) -> DataFrame:  # noqa: B006
@@ -32,39 +35,77 @@ def weekly(obs: DataFrame, reset_minutes: int = 0, late: str = "14 days") -> Dat
     return obs.withWatermark("observed_at", late).groupBy(F.window("observed_at", "7 days", "7 days", start).alias("w"), "player", "metric").agg(F.max("value").alias("value"), F.count("*").alias("n")).select(F.col("w.start").alias("week_start"), "player", "metric", "value", "n")
 
 
-def progress(changes: DataFrame) -> DataFrame:
-    """ST4: task changes (task, job, status, low_confidence, updated_at) -> latest status of each task -> job progress."""
-    last = changes.groupBy("task", "job").agg(F.max_by(F.struct("status", "low_confidence"), "updated_at").alias("t")).select("task", "job", "t.*")
-    return ops.job_progress(last)
+def moved(changes: DataFrame) -> DataFrame:
+    """ST4: task changes (task, job, status, low_confidence, updated_at, id) as a stream -> each task's state after every batch
+    in which it changed (job, task, status, low_confidence, seen), in update mode. Within a batch changes go by time and id, and
+    only those that ``ops.may_change`` allows take effect; a task's first change sets its state. State is one row a task."""
 
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get if state.exists else None
+        for r in pd.concat(list(frames)).sort_values(["updated_at", "id"]).itertuples():
+            if now is None or ops.allowed(now[0], r.status):
+                now = (r.status, bool(r.low_confidence), (now[2] if now else 0) + 1)
+            else:
+                now = (*now[:2], now[2] + 1)
+        state.update(now)
+        yield pd.DataFrame({"job": [key[0]], "task": [key[1]], "status": [now[0]], "low_confidence": [now[1]], "seen": [now[2]]}, dtype=object)
 
-def drained(backlog: DataFrame, players: DataFrame, periods: DataFrame) -> DataFrame:
-    """ST5: each backlog row's fate: failed if suspicious, pending while its player or period is unknown, else succeeded."""
-    known = backlog.join(F.broadcast(players.select("player").distinct().withColumn("_p", F.lit(1))), "player", "left").join(F.broadcast(periods.select("period").distinct().withColumn("_e", F.lit(1))), "period", "left")
-    return known.withColumn("outcome", F.when(F.col("value") <= 0, "failed").when(F.col("_p").isNull() | F.col("_e").isNull(), "pending").otherwise("succeeded")).drop("_p", "_e")
+    return changes.groupBy("job", "task").applyInPandasWithState(step, "job bigint, task bigint, status string, low_confidence boolean, seen bigint", "status string, low_confidence boolean, seen bigint", "update", "NoTimeout")
 
 
-def upsert_stream(obs: DataFrame, state_path: str, checkpoint: str, keys: list[str] = observations.KEYS) -> StreamingQuery:  # noqa: B006
-    """ST1, S4: keep the current observations as a table: each batch is folded, merged by precedence and written under a new
-    version, so a repeated batch gives the same table."""
+def progress(states: DataFrame) -> DataFrame:
+    """ST4: what ``moved`` gave, batch after batch, -> each task's last state -> job progress."""
+    last = states.groupBy("task", "job").agg(F.max_by(F.struct("status", "low_confidence"), "seen").alias("t")).select("task", "job", "t.*")
+    return ops.job_progress(last)
+
+
+def drained(backlog: DataFrame, players: DataFrame, periods: DataFrame) -> DataFrame:
+    """ST5: one pass over the backlog (id, player, period, value, status, attempts). Rows that wait (PENDING) or failed before
+    (FAILED) are tried, which counts an attempt: they fail if the value is suspicious, or the player or the period unknown, and
+    succeed otherwise. All others are left as they are. ``tried`` tells which; failed rows wait for the next pass."""
+    known = lambda df, c: df.select(c).filter(F.col(c).isNotNull()).distinct().withColumn(f"_{c}", F.lit(True))
+    rows = backlog.join(known(players, "player"), "player", "left").join(known(periods, "period"), "period", "left")
+    tried = F.col("status").isin("PENDING", "FAILED")
+    error = F.when(F.col("value") <= 0, "Skipped invalid profile metrics").when(F.col("_player").isNull(), "unknown player").when(F.col("_period").isNull(), "unknown event")
+    rows = rows.withColumns({"tried": tried, "error": F.when(tried, error)})
+    rows = rows.withColumns({"attempts": F.col("attempts") + F.when(tried, 1).otherwise(0), "status": F.when(tried, F.when(F.col("error").isNull(), "SUCCEEDED").otherwise("FAILED")).otherwise(F.col("status"))})
+    return rows.drop("_player", "_period")
+
+
+def drain_counts(rows: DataFrame) -> DataFrame:
+    """ST5: how many rows of a pass were tried, succeeded and failed."""
+    own = F.col("tried")
+    return rows.agg(F.count_if(own).alias("processed"), F.count_if(own & (F.col("status") == "SUCCEEDED")).alias("succeeded"), F.count_if(own & (F.col("status") == "FAILED")).alias("failed"))
+
+
+def upsert_stream(obs: DataFrame, state_path: str, checkpoint: str, keys: list[str] = observations.KEYS, compact_every: int = 16) -> StreamingQuery:  # noqa: B006
+    """ST1, S4: keep the current observations as a table of deltas: each batch is folded and written by itself, under its number,
+    so a repeated batch gives the same table; every ``compact_every`` batches what stands is folded into one, and a row that
+    names it is added last, so readers never see half of it. ``read_state`` folds that and the deltas since."""
+    spark = obs.sparkSession
+    spark.createDataFrame([(-1,)], "newest bigint").write.mode("overwrite").parquet(f"{state_path}/newest/v=-1")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        now = observations.current(batch, keys)
-        before = read_state(spark, state_path, batch_id - 1)
-        merged = now if before is None else upserted(before.select(*now.columns), now, keys, observations.PRECEDENCE)
-        merged.write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
+        observations.current(batch, keys).write.mode("overwrite").parquet(f"{state_path}/delta/v={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            read_state(batch.sparkSession, state_path, keys).write.mode("overwrite").parquet(f"{state_path}/whole/v={batch_id}")
+            batch.sparkSession.createDataFrame([(batch_id,)], "newest bigint").write.mode("overwrite").parquet(f"{state_path}/newest/v={batch_id}")
 
     return obs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_state(spark: SparkSession, state_path: str, version: int) -> DataFrame | None:
-    return spark.read.parquet(f"{state_path}/v={version}") if version >= 0 else None
+def read_state(spark: SparkSession, state_path: str, keys: list[str] = observations.KEYS) -> DataFrame:  # noqa: B006
+    """The current observations of ``upsert_stream``; only deltas since the last compaction are read."""
+    newest = spark.read.parquet(f"{state_path}/newest").agg(F.max("newest")).first()[0]
+    rows = spark.read.parquet(f"{state_path}/delta").filter(F.col("v") > newest).drop("v")
+    if newest >= 0:
+        rows = spark.read.parquet(f"{state_path}/whole/v={newest}").unionByName(rows)
+    return observations.current(rows, keys)
 
 
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there now, write every batch's result under a version, and read the last one (of a stream
-    that appends: all of them)."""
+    that appends or updates: all of them)."""
     last = {"v": -1}
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -76,4 +117,4 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "complet
     spark = df.sparkSession
     if last["v"] < 0:
         return spark.createDataFrame([], df.schema)
-    return spark.read.parquet(path).drop("v") if mode == "append" else spark.read.parquet(f"{path}/v={last['v']}")
+    return spark.read.parquet(path).drop("v") if mode in ("append", "update") else spark.read.parquet(f"{path}/v={last['v']}")
