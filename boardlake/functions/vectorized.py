@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,6 +92,15 @@ def name_score(query: str, other: str) -> float:
     return math.floor(score * 10000 + 0.5) / 10000
 
 
+def score_bound(query: str, count: Counter, other: str) -> float:
+    """At least ``name_score``: letters in common however placed, and no swaps."""
+    m = sum((count & Counter(other)).values())
+    if not m:
+        return 0.0
+    j = (m / len(query) + m / len(other) + 1) / 3
+    return max(j + 0.4 * (1 - j), 0.95 if query in other or other in query else 0.0)
+
+
 #: Longest name of the vectorised comparison; longer ones are compared one by one.
 _LONGEST = 64
 #: Pairs that are scored in one go; it bounds the memory taken.
@@ -182,7 +192,7 @@ def scored_pairs(queries: list[str], keys: list[str], least: float) -> Iterator[
         yield score(*(np.concatenate(x) for x in zip(*held, strict=True)))
     if long_q or long_k:
         pairs = [(i, k) for i in range(len(queries)) for k in (range(len(keys)) if i in long_q else long_k)]
-        rows = [(i, k, s) for i, k in pairs if (s := name_score(queries[i], keys[k])) >= least]
+        rows = [(i, k, s) for i, k in pairs if keys[k] and queries[i] and score_bound(queries[i], Counter(queries[i]), keys[k]) >= least and (s := name_score(queries[i], keys[k])) >= least]
         if rows:
             yield tuple(np.array(x) for x in zip(*rows, strict=True))
 

@@ -166,15 +166,18 @@ def test_consistent_fields_are_brute_force(spark):
     from boardlake.operators.quality import consistent_fields, fused_candidates
 
     r = random.Random(4)
-    rows = [(e, f, r.randrange(1, 9) * 10 ** r.randrange(1, 5), float(r.randrange(100)), r.random() < 0.7) for e in range(12) for f in ("kp", "t4", "t5") for _ in range(r.randrange(1, 7))]
-    rows = list(dict.fromkeys(rows))
-    ranked = fused_candidates(spark.createDataFrame(rows, "ext int, field string, value bigint, confidence double, valid boolean")).cache()
+    rows = [(e, f, i, str(r.randrange(1, 9) * 10 ** r.randrange(1, 5)), float(r.randrange(100)), r.random() < 0.7) for e in range(12) for f in ("kp", "t4", "t5") for i in range(r.randrange(1, 7))]
+    ranked = fused_candidates(spark.createDataFrame(rows, "ext int, field string, id int, value string, confidence double, valid boolean")).cache()
     top = {}
     for x in ranked.filter("place <= 3").collect():
-        top.setdefault(x.ext, {}).setdefault(x.field, []).append((x.value, x.score))
+        top.setdefault(x.ext, {}).setdefault(x.field, []).append((int(x.value), x.score, -x.place))
     for got in consistent_fields(ranked).collect():
-        combos = [(round(a[1] + b[1] + c[1] - (0.25 if a[0] < b[0] + c[0] else 0), 6), a[0], b[0], c[0]) for a, b, c in itertools.product(*(top[got.ext][f] for f in ("kp", "t4", "t5")))]
-        assert (got.total, got.kp, got.t4, got.t5) == max(combos)
+        combos = []
+        for a, b, c in itertools.product(*(top[got.ext][f] for f in ("kp", "t4", "t5"))):
+            excess = b[0] + c[0] - a[0]
+            combos.append((round(a[1] + b[1] + c[1] - (1.25 + min(2, excess / max(1, a[0])) if excess > 0 else 0), 9), a[2], b[2], c[2], a[0], b[0], c[0]))
+        best = max(combos)
+        assert (got.total, got.kp, got.t4, got.t5) == (best[0], *best[4:]) and got.inconsistent == (best[4] < best[5] + best[6])
 
 
 def test_best_suggestions(spark):
