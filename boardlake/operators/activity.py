@@ -19,7 +19,7 @@ def period_of(rows: DataFrame, periods: DataFrame, ts: str = "observed_at") -> D
     """Rows with the period whose interval [starts_at, ends_at) holds them. Weeks are an equi-join on their start."""
     week = F.date_trunc("week", F.col(ts))
     own = periods.select(F.date_trunc("week", "starts_at").alias("_w"), "period", "starts_at", "ends_at")
-    hit = rows.withColumn("_w", week).join(F.broadcast(own), "_w", "left")
+    hit = rows.withColumn("_w", week).join(own, "_w", "left")
     inside = (F.col(ts) >= F.col("starts_at")) & (F.col(ts) < F.col("ends_at"))
     return hit.withColumn("period", F.when(inside, F.col("period"))).drop("_w", "starts_at", "ends_at")
 
@@ -54,7 +54,7 @@ def growth(metrics: DataFrame, periods: DataFrame) -> DataFrame:
     A row is sent to its own and to the following period, so both weeks meet in one grouping.
     """
     nxt = periods.select(F.col("previous").alias("period"), F.col("period").alias("following")).filter("period is not null")
-    both = metrics.join(F.broadcast(nxt), "period", "left")
+    both = metrics.join(nxt, "period", "left")
     now = both.withColumn("_of", F.explode(F.array_compact(F.array(F.struct("period", F.lit(True).alias("now")), F.when(F.col("following").isNotNull(), F.struct(F.col("following").alias("period"), F.lit(False).alias("now")))))))
     cols = ["contribution", "fort", "kp", "power", "t4", "t5", "deads"]
     own = lambda c, now_: F.max(F.when(F.col("_of.now") == now_, F.col(c))).alias(c if now_ else f"p_{c}")
@@ -96,7 +96,7 @@ def scored(members: DataFrame, standards: DataFrame) -> DataFrame:
     """Members (alliance and the four metrics) with minimums, statuses and the overall status. Standards are few:
     (alliance, metric, minimum), pivoted to a row for each alliance."""
     wide = standards.groupBy("alliance").agg(*[F.max(F.when(F.col("metric") == m, F.col("minimum"))).alias(f"min_{m}") for m in METRICS])
-    out = members.join(F.broadcast(wide), "alliance", "left")
+    out = members.join(wide, "alliance", "left")
     out = out.withColumns({f"status_{m}": metric_status(F.col(m), F.col(f"min_{m}")) for m in METRICS})
     return out.withColumn("overall", overall_status(F.array(*[f"status_{m}" for m in METRICS])))
 
@@ -107,7 +107,7 @@ def alliance_summary(scored_rows: DataFrame, catalog: DataFrame) -> DataFrame:
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     own = scored_rows.groupBy("period", "alliance").agg(F.count("*").alias("members"), n("PASS").alias("passed"), n("FAIL").alias("failed"), n("PARTIAL").alias("partial"), n("NO_STANDARD").alias("no_standard"), total("contribution").alias("contribution"), total("power_growth").alias("power_growth"), total("fort").alias("fort"), total("kp_growth").alias("kp_growth"))
     counts = ["members", "passed", "failed", "partial", "no_standard", "contribution", "power_growth", "fort", "kp_growth"]
-    return F.broadcast(catalog).join(own, ["period", "alliance"], "left").select("period", "alliance", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+    return catalog.join(own, ["period", "alliance"], "left").select("period", "alliance", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
 def insights(scored_rows: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def performance(rows: DataFrame) -> DataFrame:
     """Per period the share of the best in four metrics, weighed 45, 30, 15, 10 and cut to thousandths."""
     parts = {"contribution": 45, "power_growth": 30, "fort": 15, "kp_growth": 10}
     most = rows.groupBy("period").agg(*[F.max(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))).alias(f"_{c}") for c in parts])
-    out = rows.join(F.broadcast(most), "period")
+    out = rows.join(most, "period")
     share = lambda c: F.when(F.col(f"_{c}") > 0, F.expr(f"(greatest(coalesce({c}, 0), 0) * 1000) div _{c}")).otherwise(0) / 1000.0
     total = sum((share(c) * w for c, w in parts.items()), F.lit(0.0))
     return out.withColumn("score", F.round(total, 3)).drop(*[f"_{c}" for c in parts])
@@ -149,7 +149,7 @@ def movement(scores: DataFrame, periods: DataFrame, k: int = 4) -> DataFrame:
     """Change of score since the previous period, where a player has both; of those that rose and of those that fell
     the ``k`` with the greatest change, and how many were compared. A task passes on its own best ``k`` of a period only."""
     w = Window.partitionBy("player").orderBy("period")
-    both = scores.withColumns({"_was": F.lag("score").over(w), "_then": F.lag("period").over(w)}).join(F.broadcast(periods.select("period", "previous")), "period")
+    both = scores.withColumns({"_was": F.lag("score").over(w), "_then": F.lag("period").over(w)}).join(periods.select("period", "previous"), "period")
     moved = both.filter(F.col("_then") == F.col("previous")).withColumn("delta", F.round(F.col("score") - F.col("_was"), 1)).select("period", "player", "score", "delta")
     compared = moved.groupBy("period").agg(F.count("*").alias("compared"))
 
@@ -157,7 +157,7 @@ def movement(scores: DataFrame, periods: DataFrame, k: int = 4) -> DataFrame:
         order = Window.partitionBy("period").orderBy(F.col("delta") * -sign, "player")
         return moved.filter(F.col("delta") * sign > 0).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).withColumn("side", F.lit(side))
 
-    return best(1, "up").unionByName(best(-1, "down")).join(F.broadcast(compared), "period")
+    return best(1, "up").unionByName(best(-1, "down")).join(compared, "period")
 
 
 def history(scores: DataFrame, weeks: int) -> DataFrame:

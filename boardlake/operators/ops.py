@@ -20,7 +20,7 @@ def job_progress(tasks: DataFrame) -> DataFrame:
 def retention(rows: DataFrame, settings: DataFrame, now: Column, terminal: list[str], default_days: int = 180) -> DataFrame:
     """terminal rows older than their workspace's retention (settings: ws, days; few)."""
     days = F.coalesce("days", F.lit(default_days))
-    return rows.join(F.broadcast(settings), "ws", "left").filter(F.col("status").isin(terminal) & (F.col("created_at") < now - F.make_dt_interval(days))).drop("days")
+    return rows.join(settings, "ws", "left").filter(F.col("status").isin(terminal) & (F.col("created_at") < now - F.make_dt_interval(days))).drop("days")
 
 
 def metering(requests: DataFrame, settings: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def metering(requests: DataFrame, settings: DataFrame) -> DataFrame:
     whole units. Only successes that got through cost anything, so what is spent before a request is the cost of the successes
     before it in its workspace and month, up to as many as the budget pays for."""
     w = Window.partitionBy("ws", "month").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = requests.join(F.broadcast(settings), "ws", "left").withColumn("month", F.date_format("at", "yyyy-MM"))
+    rows = requests.join(settings, "ws", "left").withColumn("month", F.date_format("at", "yyyy-MM"))
     open_ = F.coalesce("enabled", F.lit(False)) & (F.coalesce("budget", F.lit(0)) > 0)
     paid = F.when(open_, F.least(F.coalesce(F.sum(F.col("ok").cast("long")).over(w), F.lit(0)), F.expr("budget div cost")) * F.col("cost")).otherwise(0)
     reason = (

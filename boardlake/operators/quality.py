@@ -101,18 +101,24 @@ def approved_payload(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.regexp_replace("governorId", "[^0-9]", "").alias("player"), F.when(F.trim("governorName") == "", "Unknown").otherwise(F.trim("governorName")).alias("name"), *[number_of(F.col(f)).alias(c) for f, c in (("power", "power"), ("killPoints", "kp"), ("t4Kills", "t4"), ("t5Kills", "t5"), ("deads", "deads"))])
 
 
-def combat_cleanup(rows: DataFrame, least: float = 75.0) -> DataFrame:
-    """t4, t5 and deads are 0 where their confidence is low, they have over 12 digits, or they cannot fit kp or power."""
-    for c in ("t4", "t5", "deads"):
-        low = (F.col(f"{c}_conf") < least) & (F.col(c) > 0)
-        long = ~low & (F.length(F.col(c).cast("string")) > 12) & (F.col(c) > 0)
-        rows = rows.withColumns({f"_n_{c}": F.when(low, f"{c} low confidence").when(long, f"{c} implausible digits"), c: F.when(low | long, 0).otherwise(F.col(c))})
-    over = (F.col("kp") > 0) & (F.col("t4") + F.col("t5") > F.col("kp") * 3)
-    dead = (F.col("power") > 0) & (F.col("deads") > F.col("power") * 2)
+def combat_cleanup(rows: DataFrame, least: float = 75.0, most_digits: int = 12) -> DataFrame:
+    """t4, t5 and deads are 0 where their confidence is below ``least``, they have over ``most_digits`` digits, or they cannot
+    fit kill points or power; ``notes`` says so, an array in the order of these rules."""
+    names = {"t4": "t4Kills", "t5": "t5Kills", "deads": "deads"}
+    low, long = {}, {}
+    for c, name in names.items():
+        conf = F.coalesce(F.col(f"{c}_conf"), F.lit(0.0))
+        poor = (conf < least) & (F.col(c) > 0)
+        much = ~poor & (F.col(c) > 0) & (F.length(F.col(c).cast("string")) > most_digits)
+        low[f"_l_{c}"] = F.when(poor, F.concat(F.lit(f"{name} reset to 0 (low confidence "), F.floor(conf + 0.5).cast("int").cast("string"), F.lit("%)")))
+        long[f"_d_{c}"] = F.when(much, f"{name} reset to 0 (implausible digit length)")
+    rows = rows.withColumns(low | long).withColumns({c: F.when(F.col(f"_l_{c}").isNotNull() | F.col(f"_d_{c}").isNotNull(), 0).otherwise(F.col(c)) for c in names})
+    over = F.coalesce((F.col("kp") > 0) & (F.col("t4") + F.col("t5") > F.col("kp") * 3), F.lit(False))
+    dead = F.coalesce((F.col("power") > 0) & (F.col("deads") > F.col("power") * 2), F.lit(False))
     rows = rows.withColumns({"_over": over, "_dead": dead})
-    notes = F.concat_ws("; ", "_n_t4", "_n_t5", "_n_deads", F.when(F.col("_over"), "t4/t5 implausible vs kill points"), F.when(F.col("_dead"), "deads implausible vs power"))
+    notes = F.array_compact(F.array(*[F.col(n) for n in (*low, *long)], F.when(F.col("_over"), "t4/t5 reset to 0 (implausible vs kill points)"), F.when(F.col("_dead"), "deads reset to 0 (implausible vs power)")))
     rows = rows.withColumns({"notes": notes, "t4": F.when(F.col("_over"), 0).otherwise(F.col("t4")), "t5": F.when(F.col("_over"), 0).otherwise(F.col("t5")), "deads": F.when(F.col("_dead"), 0).otherwise(F.col("deads"))})
-    return rows.drop("_n_t4", "_n_t5", "_n_deads", "_over", "_dead")
+    return rows.drop(*low, *long, "_over", "_dead")
 
 
 def limit_problems(rows: DataFrame) -> DataFrame:
@@ -197,7 +203,7 @@ def queue_page(rows: DataFrame, level: str | None, by: str, offset: int, limit:
 def timeline(snapshots: DataFrame, events: DataFrame) -> DataFrame:
     """Each player's snapshots in order of event time, with their place and the change of power."""
     w = Window.partitionBy("player").orderBy("at", "event")
-    out = snapshots.join(F.broadcast(events), "event")
+    out = snapshots.join(events, "event")
     return out.withColumns({"place": F.row_number().over(w), "power_change": F.col("power") - F.lag("power").over(w)})
 
 

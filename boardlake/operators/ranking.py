@@ -22,7 +22,7 @@ def stable_ranking(rows: DataFrame, by: list[str]) -> DataFrame:
 def page_after(ranked: DataFrame, by: list[str], cursor_id: object | None, size: int) -> DataFrame:
     """The ``size`` rows of each group after the row with ``cursor_id``; from the start where it isn't found."""
     at = ranked.filter(F.col("id") == F.lit(cursor_id)).select(*by, F.col("stable_index").alias("_at"))
-    page = ranked.join(F.broadcast(at.dropDuplicates(by)), by, "left").withColumn("_from", F.coalesce("_at", F.lit(0)))
+    page = ranked.join(at.dropDuplicates(by), by, "left").withColumn("_from", F.coalesce("_at", F.lit(0)))
     return page.filter((F.col("stable_index") > F.col("_from")) & (F.col("stable_index") <= F.col("_from") + size)).drop("_at", "_from")
 
 

@@ -78,12 +78,14 @@ def payload(spark, d):
     return quality.approved_payload(fields(spark, d).withColumn("governorName", F.lit(" x "))).select("id", "player", "power", "kp", "t4")
 
 
-@query("p27_combat_cleanup", EXT_SQL + """, a AS (SELECT id, CASE WHEN k < 75 AND k > 0 THEN 0 ELSE CAST(k AS BIGINT) * 100 END AS t4, CAST(k AS BIGINT) AS t5, CASE WHEN id % 3 = 0 THEN CAST(k AS BIGINT) * 500 ELSE 7 END AS deads, CAST(k AS BIGINT) * 20 AS kp, CAST(k AS BIGINT) * 100 AS power FROM ext)
-SELECT id, CASE WHEN kp > 0 AND t4 + t5 > kp * 3 THEN 0 ELSE t4 END AS t4, CASE WHEN kp > 0 AND t4 + t5 > kp * 3 THEN 0 ELSE t5 END AS t5, CASE WHEN power > 0 AND deads > power * 2 THEN 0 ELSE deads END AS deads FROM a""")
+@query("p27_combat_cleanup", EXT_SQL + """, a AS (SELECT id, k, CAST(k AS BIGINT) * 100 AS t4, CASE WHEN id % 11 = 0 THEN 1234567890123 ELSE CAST(k AS BIGINT) END AS t5, CASE WHEN id % 3 = 0 THEN CAST(k AS BIGINT) * 500 ELSE 7 END AS deads, CAST(k AS BIGINT) * 20 AS kp, CAST(k AS BIGINT) * 100 AS power FROM ext),
+b AS (SELECT *, k < 75 AND t4 > 0 AS l4, t5 > 999999999999 AS d5 FROM a), c AS (SELECT id, k, kp, power, deads, l4, d5, CASE WHEN l4 THEN 0 ELSE t4 END AS t4, CASE WHEN d5 THEN 0 ELSE t5 END AS t5 FROM b), e AS (SELECT *, kp > 0 AND t4 + t5 > kp * 3 AS ov, power > 0 AND deads > power * 2 AS dd FROM c)
+SELECT id, CASE WHEN ov THEN 0 ELSE t4 END AS t4, CASE WHEN ov THEN 0 ELSE t5 END AS t5, CASE WHEN dd THEN 0 ELSE deads END AS deads, concat_ws('|', CASE WHEN l4 THEN 't4Kills reset to 0 (low confidence ' || k || '%)' END, CASE WHEN d5 THEN 't5Kills reset to 0 (implausible digit length)' END, CASE WHEN ov THEN 't4/t5 reset to 0 (implausible vs kill points)' END, CASE WHEN dd THEN 'deads reset to 0 (implausible vs power)' END) AS notes FROM e""")
 def cleanup(spark, d):
     k = F.col("k").cast("long")
-    e = extractions(spark, d).select("id", (k * 100).alias("t4"), k.alias("t5"), F.when(F.col("id") % 3 == 0, k * 500).otherwise(7).alias("deads"), (k * 20).alias("kp"), (k * 100).alias("power"), k.alias("t4_conf"), F.lit(90).alias("t5_conf"), F.lit(90).alias("deads_conf"))
-    return quality.combat_cleanup(e).select("id", "t4", "t5", "deads")
+    t5 = F.when(F.col("id") % 11 == 0, F.lit(1234567890123)).otherwise(k)
+    e = extractions(spark, d).select("id", (k * 100).alias("t4"), t5.alias("t5"), F.when(F.col("id") % 3 == 0, k * 500).otherwise(7).alias("deads"), (k * 20).alias("kp"), (k * 100).alias("power"), k.alias("t4_conf"), F.lit(90).alias("t5_conf"), F.lit(90).alias("deads_conf"))
+    return quality.combat_cleanup(e).select("id", "t4", "t5", "deads", F.array_join("notes", "|").alias("notes"))
 
 
 @query("a13_quality", EXT_SQL + """, e AS (SELECT *, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = ext.id AND l.quality = 0) AS edited FROM ext WHERE created_at >= TIMESTAMP '2024-01-05')
