@@ -22,9 +22,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where none is named."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one of our own where none is named and all
+    runs on one machine. On a cluster it has to be named, as executors don't see one another's folders."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         path = _own_dir[0]

@@ -4,7 +4,8 @@ Fingerprints are linked when they differ in at most ``radius`` bits. The candida
 bit masks are made from a linear map of bit positions to vectors of ``radius + 1`` bits, as in covering LSH (Pagh, 2016).
 Whatever ``radius`` positions two fingerprints differ in, some mask leaves all of them out, so each such pair meets in
 some table. A table's buckets are compared in numpy, and each bucket gives a spanning set of links rather than all pairs.
-Buckets above ``block`` fingerprints are dealt as pairs of blocks over many tasks, so no bucket is held by one task.
+Buckets above ``block`` fingerprints are dealt as pairs of blocks over many tasks, so no bucket is held by one task; those
+above ``DEEP`` blocks are first cut by a second family of masks, which again covers every pair within the radius.
 
 Defined cases: null text has no words (fingerprint zero, linked like any other); rows with a null ``doc_id`` keep their
 fingerprint and take their component's smallest id, null if it has none; repeated rows come back repeated; an empty
@@ -29,6 +30,8 @@ SHINGLE = 4
 RADIUS = 4
 #: Fingerprints of one bucket that one task compares with one another.
 BLOCK = 4096
+#: Buckets of more than this many blocks are cut by more masks before all their pairs are compared.
+DEEP = 32
 #: Hot buckets are broadcast up to this many rows (24 bytes each); above, they are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -66,14 +69,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return _printed(docs, shingle, seed)
 
 
-def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
+def masks(radius: int = RADIUS, bits: int = 64, family: int = 0) -> list[int]:
     """One mask for each nonzero v in GF(2)^(radius+1): bit i is kept if <phi(i), v> = 1.
 
     The phi(i) of differing bits span at most ``radius`` dimensions, so some v is orthogonal to all of them.
-    phi runs through the nonzero vectors in turn, so every mask keeps about half of the bits.
+    phi runs through the nonzero vectors in turn, so every mask keeps about half of the bits; each ``family`` in another order.
     """
     size = 1 << (radius + 1)
-    phi = [1 + (i * 7 + i // (size - 1)) % (size - 1) for i in range(bits)]
+    phi = [1 + (i * (7 + 4 * family) + i // (size - 1) + 5 * family) % (size - 1) for i in range(bits)]
     out = []
     for v in range(1, size):
         m = sum(1 << i for i in range(bits) if (phi[i] & v).bit_count() & 1)
@@ -137,11 +140,26 @@ def _bucket_links(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def _among(keyed: DataFrame, buckets: DataFrame, how: str) -> DataFrame:
+    """Rows of ``keyed`` in (left_semi) or out of (left_anti) the few ``buckets`` (t, key)."""
+    side = buckets.select("t", "key")
+    return keyed.join(F.broadcast(side) if buckets.count() <= MOST_BROADCAST else side, ["t", "key"], how)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, deep: int = DEEP) -> DataFrame:
     """(a, b): links that span all components of the distinct values of ``fps.fp`` under ``radius`` differing bits."""
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("m")) for t, m in enumerate(masks(radius))])
-    keyed = fps.select("fp", F.explode(tables).alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
+    first, second = masks(radius), masks(radius, family=1)
+    longs = lambda ms: F.array(*[F.lit(m).cast("long") for m in ms])
+    keyed = fps.select("fp", F.posexplode(longs(first)).alias("t", "m")).select("t", F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
     hot = materialize(keyed.groupBy("t", "key").count().filter(F.col("count") > block), "hot-buckets")
+    very = hot.filter(F.col("count") > deep * block)
+    if very.count():
+        # both keys agree exactly where the fingerprints do on the bits of either mask
+        both = F.get(longs(first), F.col("t")).bitwiseOR(F.col("m"))
+        inner = _among(keyed, very, "left_semi").select("t", "fp", F.posexplode(longs(second)).alias("u", "m"))
+        inner = inner.select(((F.col("t") + 1) * len(first) + F.col("u")).alias("t"), F.col("fp").bitwiseAND(both).alias("key"), "fp")
+        keyed = _among(keyed, very, "left_anti").unionByName(inner)
+        hot = materialize(keyed.groupBy("t", "key").count().filter(F.col("count") > block), "hot-buckets")
     n_hot = hot.count()
     cut = keyed.withColumns({"i": F.lit(0), "j": F.lit(0)})
     if n_hot:
