@@ -123,7 +123,7 @@ def read_token_files(spark: SparkSession, path: str, keep_ids: bool = False) ->
 def file_order() -> list[Column]:
     """Files by the numbers that Spark names them by: the task's, then that of the file among the task's."""
     number = lambda p: F.regexp_extract("file", p, 1).try_cast("long")
-    return [number(r"part-(\d+)[^/]*$"), number(r"-c(\d+)[^/]*$"), F.col("file")]
+    return [number(r"part-(\d+)[^/]*$"), number(r"-c(\d+)(?:\.[^/]*)?$"), F.col("file")]
 
 
 def with_start(rows: DataFrame) -> DataFrame:

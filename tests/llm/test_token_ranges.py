@@ -111,3 +111,9 @@ def test_a_very_long_text(monkeypatch):
     ids, offs = e.many([text, "x"], 2)
     assert offs[-1] == len(ids) and ids[offs[1] :].tolist() == [87, 2]
     assert ids[: offs[1] - 1].astype("<u4").tobytes() == e.whole(text)
+
+
+def test_numbers_are_read_behind_the_job_id(spark):
+    names = ["part-00001-1a2b-c001-4abc-c010.txt", "part-00001-1a2b-c001-4abc-c009.txt", "part-00000-1a2b-c001-4abc-c1000.txt", "tokens.bin"]
+    df = spark.createDataFrame([(f"/a/{n}",) for n in names], "file string").orderBy(*token_files.file_order())
+    assert [r.file.rsplit("/", 1)[1] for r in df.collect()] == [names[3], names[2], names[1], names[0]]
