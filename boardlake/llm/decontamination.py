@@ -184,11 +184,13 @@ HITS = "doc_id bigint, n_words bigint, hits array<struct<first:bigint,last:bigin
 
 def _char_spans(data: np.ndarray, w: Words, d: int, hits: list[tuple], base: int) -> list[tuple[int, int]]:
     """Code-point offsets [start, end) of hit word ranges in text ``d``, whose bytes begin at ``base``."""
-    out = []
+    out, at, lead = [], base, 0
+    count = lambda a, b: int(((data[a:b] & 0xC0) != 0x80).sum())
     for x, y, *_ in hits:
-        s, e = w.start[w.doc[d] + x], w.end[w.doc[d] + y - 1]
-        lead = int(((data[base:s] & 0xC0) != 0x80).sum())
-        out.append((lead, lead + int(((data[s:e] & 0xC0) != 0x80).sum())))
+        s, e = int(w.start[w.doc[d] + x]), int(w.end[w.doc[d] + y - 1])
+        first = lead + count(at, s)
+        at, lead = e, first + count(s, e)
+        out.append((first, lead))
     return out
 
 

@@ -85,3 +85,22 @@ def test_scores_without_labels_are_nought(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert all(r.score < 1e-40 for r in toxicity.score(docs, toxicity.fit(docs, none)).collect())
+
+
+def test_personal_data_in_a_very_long_text():
+    parts = []
+    for i in range(20_000):
+        parts.append(f"so mail a{i}@b.com or token=Ab12cd34ef{i} at 10.0.{i % 250}.7 and " + "words " * 20)
+    text = "".join(parts)
+    model = pii.Model(sorted(pii.examples(text[:100_000])))
+    base, spans = model.spans(text)
+    assert len(base) == 40_000 and len(spans) >= 59_000 and sorted(set(spans)) == sorted(spans)
+
+
+def test_code_points_of_hits_in_a_long_text(spark):
+    item = " ".join(words(12, 1))
+    text = f"é日 {item} ü " * 3000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", item)], "item_id string, text string")
+    r = decontamination.find_contamination(docs, bench).first()
+    assert len(r.spans) == 3000 and all(text[s.start : s.end] == item for s in r.spans)
