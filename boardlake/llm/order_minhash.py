@@ -9,7 +9,8 @@ among those that are filled in either, in which they hold the same tuple.
 All is SQL expressions on one row's arrays and one shuffle, by ranges of ``doc_id``, for a document and its successor.
 
 Defined cases: null text is empty; a text without words has an empty fingerprint, and two of those are alike (1.0);
-rows with a null ``doc_id`` come last in descending order; rows that repeat an id follow one another in order of text;
+rows with a null ``doc_id`` come last in descending order; rows that repeat an id follow one another in order of text, those of
+an id with more rows than a range in no particular order, dealt to several tasks;
 a single row is its own successor; an empty table gives no rows; other columns, whatever their names, are ignored.
 Positions take 30 bits, so a text may have 2^30 words; no string in Spark holds more.
 """
@@ -100,23 +101,35 @@ def _range_of(ord_: Column, bounds: list[int]) -> Column:
 def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
     """``docs`` with ``next_<column>``: the values of the next row in descending order of ``ord`` (after the last: the first).
 
-    Rows are dealt by ranges of ``ord``, cut at quantiles, and each range also gets the first row of the range below it.
-    What reaches the driver is one number for each range, of which there are four for each shuffle partition.
+    Rows are dealt by ranges of ``ord``, cut at quantiles, and each range also gets the first row of the range below it. A value
+    that takes several quantiles has as many parts of its own, each in order of row numbers. What reaches the driver is a row
+    for each range, of which there are some four for each shuffle partition.
     """
     spark = docs.sparkSession
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [(i + 1) / ranges for i in range(ranges - 1)]
     got = docs.select(F.percentile_approx("ord", cuts or [0.5], 20 * ranges)).first()[0] or []
-    bounds = sorted(set(got))
-    docs = docs.withColumn("range", _range_of(F.col("ord"), bounds))
-    tops = sorted((r["range"], r["top"]) for r in docs.groupBy("range").agg(F.max("ord").alias("top")).collect())
-    lent = [(tops[i - 1][1], tops[i][0]) for i in range(len(tops))]
-    lent_rows = spark.createDataFrame(lent, T.StructType([T.StructField("ord", T.LongType()), T.StructField("lent_to", T.IntegerType())]))
-    both = docs.join(F.broadcast(lent_rows), "ord", "left")
-    both = both.withColumn("to", F.explode(F.when(F.col("lent_to").isNull(), F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("lent")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("lent")), F.struct(F.col("lent_to").alias("range"), F.lit(True).alias("lent"))))))
-    w = Window.partitionBy("to.range").orderBy(F.col("to.lent"), F.col("ord").desc(), F.col("text"))
+    hot = {v: got.count(v) for v in got if got.count(v) > 1}
+    bounds = sorted({*got, *(v + 1 for v in hot if v < (1 << 63) - 1)})
+    part, row = F.lit(0), F.lit(-1).cast("long")
+    numbered = F.monotonically_increasing_id()
+    for v, n in hot.items():
+        own = F.col("ord") == F.lit(v).cast("long")
+        part, row = F.when(own, F.pmod(F.xxhash64(numbered), F.lit(n + 1)).cast("int")).otherwise(part), F.when(own, numbered).otherwise(row)
+    docs = docs.withColumns({"range": _range_of(F.col("ord"), bounds), "part": part, "row": row})
+    tops = docs.groupBy("range", "part").agg(F.max("ord").alias("top"), F.min("row").alias("first")).collect()
+    tops = sorted(tops, key=lambda r: (-r["range"], r["part"]))
+    after = [tops[(i + 1) % len(tops)] for i in range(len(tops))]
+    lent = [(b["top"], b["part"], b["first"], a["range"], a["part"]) for a, b in zip(tops, after, strict=True)]
+    fields = [("ord", T.LongType()), ("part", T.IntegerType()), ("row", T.LongType()), ("to_range", T.IntegerType()), ("to_part", T.IntegerType())]
+    lent_rows = spark.createDataFrame(lent, T.StructType([T.StructField(n, t) for n, t in fields]))
+    both = docs.join(F.broadcast(lent_rows), ["ord", "part", "row"], "left")
+    place = lambda r, p, lent: F.struct(r.alias("range"), p.alias("part"), F.lit(lent).alias("lent"))
+    own, other = place(F.col("range"), F.col("part"), False), place(F.col("to_range"), F.col("to_part"), True)
+    both = both.withColumn("to", F.explode(F.when(F.col("to_range").isNull(), F.array(own)).otherwise(F.array(own, other))))
+    w = Window.partitionBy("to.range", "to.part").orderBy(F.col("to.lent"), F.col("ord").desc(), F.col("row"), F.col("text"))
     both = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
-    return both.filter("not to.lent").drop("to", "lent_to", "range")
+    return both.filter("not to.lent").drop("to", "to_range", "to_part", "range", "part", "row")
 
 
 def fingerprints(docs: DataFrame, k: int = KMER) -> DataFrame:
