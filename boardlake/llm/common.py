@@ -47,6 +47,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; names that clash only by case are told apart by exact spelling."""
     exact = {c: i for i, c in enumerate(df.columns)}

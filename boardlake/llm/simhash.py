@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boardlake.llm.common import materialize, only, table
+from boardlake.llm.common import discard, materialize, only, scratch, table
 
 SEED = 42
 SHINGLE = 4
@@ -176,9 +176,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each linked node's component, by alternating large and small stars.
 
     Each round is joins and grouped minima only, with partial sums on the map side, and is written to the shared
-    folder. The number of rounds grows with the logarithm of the longest path.
+    folder, and the round before is removed. The number of rounds grows with the logarithm of the longest path.
     """
-    edges = materialize(edges.select("a", "b").filter("a <> b"), "links")
+    spark = edges.sparkSession
+
+    def written(df: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch(spark, "star")
+        df.write.parquet(path)
+        return spark.read.schema("a bigint, b bigint").parquet(path), path
+
+    edges, path = written(edges.select("a", "b").filter("a <> b"))
     before = None
     for _ in range(most_rounds):
         for large in (True, False):
@@ -186,7 +193,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
             moved = both.join(low, "a")
             new = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-            edges = materialize(new.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "star")
+            old = path
+            edges, path = written(new.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+            discard(spark, old)  # all of it went into the new table
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
