@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised helpers look at in one go; it bounds their memory.
 SLICE_BYTES = 1 << 20
+#: Rows whose texts are looked at together, at most.
+_ROWS = 512
 #: Words that are hashed in one go; it bounds what a very long text takes.
 _WORDS = 1 << 16
 
@@ -94,18 +96,18 @@ def labelled_texts(docs: DataFrame, sample: DataFrame, most: int, most_chars: in
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows with about ``most`` bytes of text: (rows, bytes, offsets). Null texts are empty."""
-    texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
-    n = len(texts)
-    if not n:
-        return
-    bufs = texts.buffers()
-    offs = np.frombuffer(bufs[1], np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
-        yield batch.slice(at, to - at), data[offs[at] : offs[to]], (offs[at : to + 1] - offs[at])
-        at = to
+    for first in range(0, batch.num_rows, _ROWS):  # texts are copied a few rows at a time
+        part = batch.slice(first, _ROWS)
+        texts = pc.fill_null(part.column(column), "").cast(pa.large_string())
+        n = len(texts)
+        bufs = texts.buffers()
+        offs = np.frombuffer(bufs[1], np.int64)[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
+            yield part.slice(at, to - at), data[offs[at] : offs[to]], (offs[at : to + 1] - offs[at])
+            at = to
 
 
 def _lut(keep) -> np.ndarray:
