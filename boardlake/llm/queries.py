@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boardlake.llm import decontamination, order_minhash, packing, pii, quality, simhash, token_counts, token_files, toxicity, url_filter
+from boardlake.llm import collocations, decontamination, order_minhash, packing, pii, quality, simhash, token_counts, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality": quality.op10_quality,
+    "op11_collocations": collocations.op11_collocations,
 }
 
 ORACLES = {
     "op1_decontamination": decontamination.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
