@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boardlake.llm import collocations, conversation_repair, decontamination, order_minhash, packing, pii, quality, simhash, token_counts, token_files, toxicity, url_filter
+from boardlake.llm import collocations, conversation_repair, credentials, decontamination, order_minhash, packing, pii, quality, simhash, token_counts, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality": quality.op10_quality,
     "op11_collocations": collocations.op11_collocations,
+    "op12_credentials": credentials.op12_credentials,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
