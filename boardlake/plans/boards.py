@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boardlake.functions import hashing, text
-from boardlake.operators import dedupe, guards, ops, ranking
+from boardlake.operators import dedupe, guards, ops, ranking, reconcile
 from boardlake.plans import registry as r
 from boardlake.plans.registry import query
 from boardlake.sources import sinks
@@ -119,6 +119,56 @@ def merge(spark, d):
     return ranking.merge_decisions(r.boards(spark, d).withColumn("updated_at", crossed), ["type", "identity"]).select("id", "decision")
 
 
+#: Runs are months of a type, and come in by month of the year, so that older runs follow newer ones; those of February have no event.
+RECONCILED_SQL = """, rx AS (SELECT id, type || strftime(created_at, '%Y-%m') AS run, created_at AS run_at, CAST(month(created_at) AS BIGINT) AS arrival, CASE WHEN month(created_at) <> 2 THEN 'e' || (year(created_at) % 2) END AS event, type, CASE WHEN identity % 4 > 0 THEN 'power' ELSE 'contribution_points' END AS metric,
+  CASE WHEN identity % 3 > 0 THEN identity END AS player, name, source_rank, value, status, TIMESTAMP '2000-01-01' - INTERVAL 1 DAY * (id % 97) AS upd FROM board),
+ry AS (SELECT *, coalesce('gov:' || player, 'name:' || name) AS key, CASE WHEN event IS NULL THEN 'none' WHEN player IS NOT NULL AND metric = 'power' THEN 'observation' ELSE 'board' END AS route FROM rx),
+rz AS (SELECT *, row_number() OVER (PARTITION BY event, type, key ORDER BY arrival, run, upd, id) AS n FROM ry WHERE route = 'board'),
+rm AS (SELECT id, run, event, type, key, n, id AS s_id, run AS s_run, run_at AS s_at, upd AS s_upd, status AS s_status, value AS s_value, 'created' AS decision FROM rz WHERE n = 1
+  UNION ALL SELECT x.id, x.run, x.event, x.type, x.key, x.n, CASE WHEN ok THEN x.id ELSE s_id END, CASE WHEN ok THEN x.run ELSE s_run END, CASE WHEN ok THEN x.run_at ELSE s_at END, CASE WHEN ok THEN x.upd ELSE s_upd END, CASE WHEN ok THEN x.status ELSE s_status END, CASE WHEN ok THEN x.value ELSE s_value END,
+    CASE WHEN s_at > x.run_at THEN 'existing-run-is-newer' WHEN s_at = x.run_at AND s_upd > x.upd THEN 'existing-row-is-newer' WHEN NOT ok THEN 'non-active-row-cannot-overwrite-active' ELSE 'updated' END
+  FROM (SELECT x.*, s_id, s_run, s_at, s_upd, s_status, s_value, NOT (s_at > x.run_at) AND NOT (s_at = x.run_at AND s_upd > x.upd) AND NOT (s_status = 'ACTIVE' AND x.status <> 'ACTIVE') AS ok FROM rm JOIN rz x ON x.event = rm.event AND x.type = rm.type AND x.key = rm.key AND x.n = rm.n + 1) x),
+ro AS (SELECT event, player, metric, arg_max(value, row(upd, value, CAST(id AS VARCHAR))) AS value, arg_max(name, row(arrival, run, upd, id)) AS name FROM ry WHERE route = 'observation' GROUP BY ALL),
+rd AS (SELECT run, id, decision FROM rm UNION ALL SELECT run, id, CASE route WHEN 'none' THEN 'missing-event' ELSE route END FROM ry WHERE route <> 'board')"""
+
+
+def capture_rows(spark, d):
+    b, month = r.boards(spark, d), F.month("created_at")
+    player = F.when(F.col("identity") % 3 > 0, F.col("identity"))
+    event = F.when(month != 2, F.concat(F.lit("e"), F.year("created_at") % 2))
+    crossed = F.timestamp_add("DAY", -(F.col("id") % 97).cast("int"), F.lit("2000-01-01").cast("timestamp"))
+    metric = F.when(F.col("identity") % 4 > 0, "power").otherwise("contribution_points")
+    return b.select("id", F.concat("type", F.date_format("created_at", "yyyy-MM")).alias("run"), F.col("created_at").alias("run_at"), month.cast("long").alias("arrival"), event.alias("event"), "type", metric.alias("metric"), player.alias("player"), "name", F.col("name").alias("name_key"), "source_rank", "value", F.col("status").alias("identity_status"), crossed.alias("updated_at"))
+
+
+def reconciled(spark, d):
+    """In two instalments, the second of which goes on from the tables that the first one left."""
+    rows = capture_rows(spark, d)
+    first, second = rows.filter("arrival <= 6"), rows.filter("arrival > 6")
+    one = reconcile.reconcile(first)
+    two = reconcile.reconcile(second, one[1], one[2])
+    return one, two
+
+
+@query("w6_reconciled_decisions", RECONCILED_SQL + " SELECT id, run, decision FROM rd")
+def reconciled_decisions(spark, d):
+    one, two = reconciled(spark, d)
+    return one[0].unionByName(two[0])
+
+
+@query("w6_reconciled_state", RECONCILED_SQL + """ SELECT event, type, key AS identity_key, s_value AS value, s_status AS status, s_run AS last_run, s_id AS last_row FROM (SELECT *, row_number() OVER (PARTITION BY event, type, key ORDER BY n DESC) AS back FROM rm) WHERE back = 1
+UNION ALL SELECT event, 'individual_power', 'gov:' || player, value, 'ACTIVE', NULL, NULL FROM ro""")
+def reconciled_state(spark, d):
+    return reconciled(spark, d)[1][1].select("event", "type", "identity_key", "value", "status", "last_run", "last_row")
+
+
+@query("w6_reconciled_runs", RECONCILED_SQL + """, rc AS (SELECT run, count(*) FILTER (decision IN ('created', 'updated', 'observation')) AS merged, count(*) FILTER (decision NOT IN ('created', 'updated', 'observation')) AS skipped FROM rd GROUP BY 1)
+SELECT run, merged, skipped, merged AS revisions, count(*) FILTER (status = 'UNRESOLVED') AS unresolved, count(*) FILTER (status = 'REJECTED') AS rejected, CASE WHEN max(event) IS NULL OR count(*) FILTER (status = 'UNRESOLVED') > 0 THEN 'REVIEW' ELSE 'MERGED' END AS status FROM ry JOIN rc USING (run) GROUP BY run, merged, skipped""")
+def reconciled_runs(spark, d):
+    one, two = reconciled(spark, d)
+    return one[3].unionByName(two[3])
+
+
 @query("w17_latest_revisions", " SELECT identity, id, place FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY created_at DESC, id DESC) AS place FROM board) WHERE place <= 3")
 def revisions(spark, d):
     return ranking.latest_revisions(r.boards(spark, d), "identity", 3).select("identity", "id", "place")

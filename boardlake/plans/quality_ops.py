@@ -349,12 +349,42 @@ def similar(spark, d):
     return vectorized.similar_players(shown(q, "query"), shown(reg, "key")).select("query", "player", F.round(F.col("score") * 10000).cast("long").alias("score_e4"))
 
 
-@query("j15_resolved_names", NAMES_SQL + """, ex AS (SELECT query FROM qs JOIN reg ON query = key), c AS (SELECT query, player, score FROM sim WHERE score >= 0.72 AND (query NOT IN (SELECT query FROM ex) OR score = 1)), g AS (SELECT query, count(*) FILTER (score >= 0.93) AS n, arg_max(player, row(score, -player)) AS player FROM c GROUP BY 1)
-SELECT qs.query, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN g.player END AS player FROM qs LEFT JOIN g USING (query)""")
-def resolved(spark, d):
+#: Every second player has an alias, every eleventh a namesake; names that stay open are looked up as one of five vectors.
+IDENTITY_SQL = NAMES_SQL + VEC_SQL + """, pl AS (SELECT player, key AS name FROM reg UNION ALL SELECT player + 1000000, key FROM reg WHERE player % 11 = 0),
+ex AS (SELECT query, player, min(mode) AS mode FROM (SELECT query, player, 'exact_alias' AS mode FROM qs JOIN reg ON query = key WHERE player % 2 = 0 UNION ALL SELECT query, player, 'exact_name' FROM qs JOIN pl ON lower(query) = lower(name)) GROUP BY ALL),
+fz AS (SELECT query, player, score FROM sim WHERE score >= 0.72 AND query NOT IN (SELECT query FROM ex) UNION ALL SELECT query, player + 1000000, score FROM sim WHERE score >= 0.72 AND player % 11 = 0 AND query NOT IN (SELECT query FROM ex)),
+st AS (SELECT query, count(*) FILTER (score >= 0.93) AS n, max(CASE WHEN score >= 0.93 THEN player END) AS player, max(CASE WHEN score >= 0.93 THEN mode END) AS mode FROM (SELECT query, player, 1.0 AS score, mode FROM ex UNION ALL SELECT query, player, score, 'fuzzy' FROM fz) GROUP BY 1),
+hit AS (SELECT query, doc_id % 40 + 1 AS player, max(greatest(0, least(1, greatest(score, 60.0 / (60 + place))))) AS s FROM qs LEFT JOIN st USING (query) JOIN vk ON query_id = length(query) % 5 * 100 WHERE place <= 10 AND place % (1 + length(query) % 3) = 0 AND coalesce(n, 0) <> 1 GROUP BY ALL),
+em AS (SELECT h.query, h.player, s, row_number() OVER w AS k, s - coalesce(lead(s) OVER w, 0) AS lead FROM hit h JOIN pl USING (player) WINDOW w AS (PARTITION BY h.query ORDER BY s DESC, name, h.player)),
+out AS (SELECT qs.query, n, st.player, mode, s, em.player AS e_player, lead FROM qs LEFT JOIN st USING (query) LEFT JOIN em ON em.query = qs.query AND em.k = 1)
+SELECT query, CASE WHEN (s >= 0.93 AND lead >= 0.04) OR n = 1 THEN 'AUTO_LINKED' ELSE 'UNRESOLVED' END AS status, CASE WHEN s >= 0.93 AND lead >= 0.04 THEN e_player WHEN n = 1 THEN player END AS player,
+  CASE WHEN s >= 0.93 AND lead >= 0.04 THEN 'embedding-fallback-high-confidence' WHEN n = 1 AND mode = 'exact_alias' THEN 'alias-exact' WHEN n = 1 AND mode = 'exact_name' THEN 'name-exact' WHEN n = 1 THEN 'name-fuzzy-high-confidence' WHEN n > 1 OR s >= 0.93 THEN 'ambiguous' ELSE 'no-unique-match' END AS reason FROM out"""
+
+
+def identities(spark, d):
     reg, q = registered(spark, d)
-    players = reg.select("player", F.concat(F.lit("~"), "key").alias("name"), "key")
-    return identity.resolve(q.withColumn("key", F.col("query")), players, reg.select(F.col("key").alias("alias_key"), "player")).select("query", "status", "player")
+    again = reg.filter("player % 11 = 0").select((F.col("player") + 1000000).alias("player"), "key")
+    players = reg.select("player", "key").unionByName(again).select("player", F.concat(F.lit("g"), "player").alias("game_id"), F.col("key").alias("name"), "key", F.col("key").alias("shown"))
+    near = vectors(spark, d).select("query_id", (F.col("doc_id") % 40 + 1).alias("player"), F.col("score").alias("similarity"), "place")
+
+    def search(left):
+        n = F.length("query")
+        asked = left.select("query", (n % 5 * 100).alias("query_id"), (1 + n % 3).alias("step"))
+        return asked.join(near, "query_id").filter("place % step = 0").select("query", "player", "similarity", (1 / (F.lit(60.0) + F.col("place"))).alias("fused"))
+
+    aliases = reg.filter("player % 2 = 0").select(F.col("key").alias("alias_key"), "player")
+    return identity.resolve_identities(q.withColumns({"key": F.col("query"), "shown": F.col("query")}), players, aliases, search)
+
+
+@query("j15_resolved_names", IDENTITY_SQL)
+def resolved(spark, d):
+    return identities(spark, d).select("query", "status", "player", "reason")
+
+
+@query("j15_suggestions")  # half swaps count in scores, as in J6
+def identity_suggestions(spark, d):
+    s = F.transform("suggestions", lambda x: F.concat_ws(":", x["player"], x["source"]))
+    return identities(spark, d).select("query", F.array_join(s, ",").alias("suggestions"))
 
 
 @query("j14_seeded_aliases", """, cand AS (SELECT p_partkey AS seq, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS alias_key, p_partkey % 10 AS player FROM part), al AS (SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS alias_key, 3 AS owner FROM part WHERE p_name LIKE 'r%'),

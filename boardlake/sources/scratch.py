@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
 
@@ -21,3 +21,10 @@ def scratch(spark: SparkSession, name: str) -> str:
             _own_dir.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = _own_dir[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so that what follows survives lost executors and computes nothing twice."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
