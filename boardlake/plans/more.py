@@ -11,7 +11,7 @@ from boardlake.plans import registry as r
 from boardlake.plans.registry import query
 from boardlake.sources import sinks
 from boardlake.sources.scratch import scratch
-from boardlake.streaming import jobs
+from boardlake.streaming import jobs, retry, stateful
 
 TAGGED = [("'[GODt] Gd ' || name", "[GODt] GOD of Thunder", "name-tag", 98), ("'V 57 - ' || name", "[V57] Legacy of Velmora", "name-tag", 93), ("'(P57R] ' || name", "[P57R] PHOENIX RISING 4057", "name-tag", 98), ("'gd_' || name", "[GODt] GOD of Thunder", "name-tag", 60), ("name", None, None, None)]
 
@@ -185,6 +185,30 @@ def idempotent(spark, d):
     return jobs.run_to_table(jobs.once(s), scratch(spark, "once"), scratch(spark, "stream"), "append").select("ws", "scope", "key")
 
 
+#: Of a user's requests every twentieth has no key; a request takes up to two hours, and every seventh fails.
+REQUEST_SQL = """, rq AS (SELECT id, player % 20 AS ws, metric AS scope, CASE WHEN id % 20 > 0 THEN CAST(player % 60 AS VARCHAR) END AS key, CAST(value % 3 AS VARCHAR) AS h, epoch_ms(observed_at) AS t, id % 7 > 0 AS ok, (id % 120) * 60000 AS took FROM obs),
+rn AS (SELECT *, row_number() OVER (PARTITION BY ws, scope, key ORDER BY t, id) AS n FROM rq WHERE key IS NOT NULL),
+rs AS (SELECT id, ws, scope, key, n, h, id AS owner, t + took AS done, CASE WHEN ok THEN t + 86400000 ELSE t + took END AS expires, ok, 'processed' AS outcome FROM rn WHERE n = 1
+  UNION ALL SELECT x.id, x.ws, x.scope, x.key, x.n, CASE WHEN free THEN x.h ELSE s_h END, CASE WHEN free THEN x.id ELSE owner END, CASE WHEN free THEN x.t + x.took ELSE done END, CASE WHEN free THEN CASE WHEN x.ok THEN x.t + 86400000 ELSE x.t + x.took END ELSE expires END, CASE WHEN free THEN x.ok ELSE s_ok END,
+    CASE WHEN free THEN 'processed' WHEN s_h <> x.h THEN 'PAYLOAD_MISMATCH' WHEN s_ok AND x.t >= done THEN 'replayed' ELSE 'IN_PROGRESS' END
+  FROM (SELECT x.*, rs.h AS s_h, owner, done, expires, rs.ok AS s_ok, x.t >= expires AS free FROM rs JOIN rn x ON x.ws = rs.ws AND x.scope = rs.scope AND x.key = rs.key AND x.n = rs.n + 1) x)"""
+
+
+@query("st2_request_outcomes", REQUEST_SQL + " SELECT id, outcome, CASE WHEN outcome IN ('processed', 'replayed') THEN owner END AS answer_of FROM rs UNION ALL SELECT id, 'processed', id FROM rq WHERE key IS NULL")
+def request_outcomes(spark, d):
+    metric = {"click": "power", "view": "kill_points", "purchase": "contribution_points", "signup": "fort_destroying"}
+    names = F.create_map(*[F.lit(x) for kv in metric.items() for x in kv])
+    s = stream(spark, d).select("id", (F.col("player") % 20).alias("ws"), F.coalesce(names[F.col("metric")], F.lit("deads")).alias("scope"), F.when(F.col("id") % 20 > 0, (F.col("player") % 60).cast("string")).alias("key"), (F.col("value") % 3).cast("string").alias("payload_hash"), F.col("observed_at").alias("at"), (F.col("id") % 120 * 60000).alias("took_ms"), (F.col("id") % 7 > 0).alias("ok"))
+    return jobs.run_to_table(stateful.idempotent(s), scratch(spark, "outcomes"), scratch(spark, "stream"), "append")
+
+
+@query("st7_stream_decisions", """, a AS (SELECT *, (id * 7919) % 100003 AS arrival FROM obs), b AS (SELECT *, max(row(observed_at, value, ref)) OVER (PARTITION BY period, player, metric ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT a.* EXCLUDE (metric), event_type AS metric FROM a JOIN events ON event_id = id))
+SELECT id, CASE WHEN best IS NULL THEN 'created' WHEN best < row(observed_at, value, ref) THEN 'updated' WHEN best = row(observed_at, value, ref) THEN 'equal-precedence' ELSE 'existing-is-newer' END AS decision FROM b""")
+def stream_decisions(spark, d):
+    s = stream(spark, d).withColumn("arrival", F.col("id") * 7919 % 100003)
+    return jobs.run_to_table(stateful.decided(s), scratch(spark, "decided"), scratch(spark, "stream"), "append")
+
+
 @query("st2_key_conflicts", " SELECT ws, scope, key, count(DISTINCT h) AS payloads FROM (SELECT player % 20 AS ws, metric AS scope, player || '-' || (value % 50) AS key, value AS h FROM obs) GROUP BY 1, 2, 3 HAVING count(DISTINCT h) > 1")
 def conflicts(spark, d):
     o = r.observations(spark, d).select((F.col("player") % 20).alias("ws"), F.col("metric").alias("scope"), F.concat_ws("-", "player", (F.col("value") % 50)).alias("key"), F.col("value").alias("payload_hash"))
@@ -231,6 +255,44 @@ def drain_counts(spark, d):
     return jobs.drain_counts(drained_rows(spark, d))
 
 
+#: Events as profiles that wait to be synchronised: every third has no event of its own, every fifth names its player by game id.
+QUEUE_SQL = """, qu AS (SELECT id, player, CASE WHEN id % 3 > 0 THEN period WHEN id % 2 = 0 THEN '2024-W01' END AS ev, value % 1000 - 50 AS power, value AS kp, value % 7 AS t4, value % 5 AS t5, value % 3 AS deads, observed_at, player % 4 > 0 AS known FROM obs),
+qt AS (SELECT *, coalesce(ev, '2024-W02') AS event, CASE WHEN power <= 0 THEN 'Skipped invalid profile metrics: power is zero or missing' WHEN coalesce(ev, '2024-W02') = '2024-W03' THEN 'Event missing for backlog entry.' WHEN NOT known THEN 'Governor mapping missing for backlog entry.' END AS error, max(observed_at) OVER () AS now FROM qu)"""
+
+
+def drained_queue(spark, d):
+    s, i = stream(spark, d), F.col("id")
+    by_game = i % 5 == 0
+    none = F.lit(None).cast("string")
+    rows = s.select(
+        "id", F.col("observed_at").alias("created_at"), F.when(~by_game, F.col("player")).alias("player"), F.when(by_game, F.concat(F.lit("g"), "player")).otherwise(none).alias("game_id"), F.when(i % 3 > 0, F.col("period")).alias("linked_event"), F.when((i % 3 == 0) & (i % 2 == 0), "2024-W01").alias("job_event"),
+        (F.col("value") % 1000 - 50).alias("power"), F.col("value").alias("kp"), (F.col("value") % 7).alias("t4"), (F.col("value") % 5).alias("t5"), (F.col("value") % 3).alias("deads"), "observed_at", none.alias("ref"),
+    )
+    o = r.observations(spark, d)
+    players = o.filter("player % 4 > 0").select("player").distinct().withColumn("game_id", F.concat(F.lit("g"), "player"))
+    events = o.select(F.col("period").alias("event")).unionByName(spark.createDataFrame([("2024-W01",), ("2024-W02",)], "event string")).distinct().filter("event <> '2024-W03'")
+    path = scratch(spark, "retry")
+    retry.drain_stream(rows, path, scratch(spark, "stream"), players, events, "2024-W02").awaitTermination()
+    return path
+
+
+@query("st5_retry_queue", QUEUE_SQL + " SELECT id, CASE WHEN error IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status, 1 AS attempts, error, CASE WHEN error IS NULL THEN event END AS event, strftime(CASE WHEN error IS NULL THEN observed_at ELSE now + INTERVAL 2 SECOND END, '%Y-%m-%d %H:%M:%S') AS available_at FROM qt")
+def retry_queue(spark, d):
+    q = retry.read_queue(spark, drained_queue(spark, d))
+    return q.select("id", "status", "attempts", "error", "event", F.date_format("available_at", "yyyy-MM-dd HH:mm:ss").alias("available_at"))
+
+
+@query("st5_drained_snapshots", QUEUE_SQL + " SELECT event, player, arg_max(power, id) AS power, arg_max(kp, id) AS kp, arg_max(t4, id) AS t4, arg_max(t5, id) AS t5, arg_max(deads, id) AS deads FROM qt WHERE error IS NULL GROUP BY 1, 2")
+def drained_snapshots(spark, d):
+    return retry.read_effects(spark, drained_queue(spark, d))[0].drop("confidence")
+
+
+@query("st5_drained_observations", QUEUE_SQL + """, ob AS (SELECT event, player, 'power' AS metric, power AS value, observed_at AS at, 'backlog:' || id || ':power' AS ref FROM qt WHERE error IS NULL UNION ALL SELECT event, player, 'kill_points', kp, observed_at, 'backlog:' || id || ':kill_points' FROM qt WHERE error IS NULL)
+SELECT event, player, metric, arg_max(value, row("at", value, ref)) AS value, arg_max(ref, row("at", value, ref)) AS ref FROM ob GROUP BY 1, 2, 3""")
+def drained_observations(spark, d):
+    return retry.read_effects(spark, drained_queue(spark, d))[1].select("event", "player", "metric", "value", "ref")
+
+
 @query("a11_workspace_tasks", " SELECT type, status, CAST(n AS BIGINT) AS n, CAST(rank() OVER (PARTITION BY type ORDER BY n DESC, status) AS INTEGER) AS place FROM (SELECT type, status, count(*) AS n FROM board GROUP BY 1, 2)")
 def workspace_tasks(spark, d):
     n = r.boards(spark, d).groupBy("type", "status").agg(F.count("*").alias("n"))
