@@ -130,10 +130,22 @@ def ingestion_domain(kind: Column) -> Column:
     return F.when(kind == "ranking_board", "RANKING_CAPTURE").otherwise("PROFILE_SNAPSHOT")
 
 
+def _tenths(x: Column) -> Column:
+    """Tenths of ``x`` (0 or more), rounded by the number that the double is, away from 0 on ties. 1.15 is a little less than that, so
+    11. A double of 1 or more has no bits below 2^-52, so its fraction is a whole number of those, and all is exact."""
+    unit = 1 << 52
+    twenty = ((x - F.floor(x)) * float(unit)).cast("long") * 20
+    down = F.floor(twenty / F.lit(2 * unit).cast("decimal(20,0)")).cast("long")
+    return F.floor(x).cast("long") * 10 + down + F.when(twenty - down * (2 * unit) >= unit, 1).otherwise(0)
+
+
 def compact(n: Column) -> Column:
     """1234 -> 1.2K, and so on for M and B."""
-    short = lambda by, unit: F.concat(F.regexp_replace(F.format_string("%.1f", n / by), r"\.0$", ""), F.lit(unit))
-    a = F.abs(n)
+    def short(by: float, unit: str) -> Column:
+        t = _tenths(F.abs(n.cast("double")) / by)
+        return F.concat(F.when(n < 0, "-").otherwise(""), F.floor(t / 10).cast("string"), F.when(t % 10 > 0, F.concat(F.lit("."), (t % 10).cast("string"))).otherwise(""), F.lit(unit))
+
+    a = F.abs(n.cast("double"))
     return F.when(a >= 1e9, short(1e9, "B")).when(a >= 1e6, short(1e6, "M")).when(a >= 1e3, short(1e3, "K")).otherwise(n.cast("string"))
 
 

@@ -296,27 +296,43 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+_CONTROLS = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]")
+
+
+def context_text(text: str | None, most: int = 30_000) -> str:
+    """A text as contexts hold it: composed, with plain line ends, no control characters and at most one empty line, trimmed, cut."""
+    text = unicodedata.normalize("NFKC", text or "").replace("\r\n", "\n").replace("\r", "\n")
+    return re.sub(r"\n{3,}", "\n\n", _CONTROLS.sub(" ", text)).strip()[:most]
+
+
 def pack_context(sources: DataFrame) -> DataFrame:
     """Per pack the sources chosen under its token budget (a token is four characters, rounded up).
 
-    In order of critical, priority and place a source is taken whole if it fits, else its summary, else, if it is critical
-    and something is left, its beginning. Columns: pack, place, content, summary, critical, priority, budget.
+    Texts are cleaned first (``context_text``; summaries of 12,000 characters at most); a source without content is left out. In
+    order of critical, priority (50 if null) and place a source is taken whole if it fits, else its summary. A critical one of which
+    neither fits is clipped to what is left, from its summary if that fits no better, but to 120 characters at least, so
+    it is dropped where less than that is left and it is longer. Columns: pack, place, content, summary, critical, priority, budget.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf["priority"] = pdf["priority"].fillna(50)
         pdf = pdf.sort_values(["critical", "priority", "place"], ascending=[False, False, True], kind="stable")
         left, out = int(pdf["budget"].iloc[0]) if len(pdf) else 0, []
+        tokens = lambda t: -(-len(t) // 4)
         for r in pdf.itertuples():
-            for how, text in (("full", r.content), ("summary", r.summary)):
-                need = -(-len(text or "") // 4)
-                if text and need <= left:
-                    out.append((r.pack, r.place, how, need))
-                    left -= need
-                    break
-            else:
-                if r.critical and left > 0 and r.content:
-                    out.append((r.pack, r.place, "clipped", left))
-                    left = 0
+            body, short = context_text(r.content), context_text(r.summary, 12_000)
+            if not body:
+                continue
+            how, text = "full", body
+            if tokens(text) > left and short and tokens(short) <= left:
+                how, text = "summary", short
+            if tokens(text) > left and r.critical:
+                clipped = context_text(text, max(120, left * 4))
+                if clipped and tokens(clipped) <= left:
+                    how, text = "clipped", clipped
+            if tokens(text) <= left:
+                out.append((r.pack, r.place, how, tokens(text)))
+                left -= tokens(text)
         return pd.DataFrame(out, columns=["pack", "place", "how", "tokens"])
 
     return sources.groupBy("pack").applyInPandas(one, "pack bigint, place bigint, how string, tokens bigint")

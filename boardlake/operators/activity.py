@@ -123,13 +123,20 @@ def insights(scored_rows: DataFrame) -> DataFrame:
     return out.withColumn("place", F.when(F.col("alliance").isNotNull(), F.row_number().over(w)))
 
 
-def top_by_metric(scored_rows: DataFrame, k: int = 5) -> DataFrame:
+def top_by_metric(scored_rows: DataFrame, k: int = 5, metrics: list[str] = METRICS) -> DataFrame:  # noqa: B006
     """Per period and metric the ``k`` best members; a growth that is null counts 0."""
-    long = scored_rows.unpivot(["period", "player", "name"], METRICS, "metric", "value").withColumn("value", F.coalesce("value", F.lit(0)))
+    long = scored_rows.unpivot(["period", "player", "name"], metrics, "metric", "value").withColumn("value", F.coalesce("value", F.lit(0)))
     place = F.row_number().over(Window.partitionBy("period", "metric").orderBy(F.desc("value"), "name", "player"))
     return long.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def leaders(scored_rows: DataFrame) -> DataFrame:
+    """The lists that are broadcast: per period the five members with the largest growth in kill points, and the three with the
+    largest in deads; growths that are null count 0."""
+    best = top_by_metric(scored_rows, 5, ["kp_growth", "deads_growth"])
+    return best.filter((F.col("metric") == "kp_growth") | (F.col("place") <= 3))
+
+
 def inactive(scored_rows: DataFrame) -> DataFrame:
     """Members that fail, without growth in kill points and without forts."""
     return scored_rows.filter((F.col("overall") == "FAIL") & (F.coalesce("kp_growth", F.lit(0)) <= 0) & (F.col("fort") <= 0))

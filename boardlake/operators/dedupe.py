@@ -41,8 +41,12 @@ def near_duplicates(items: DataFrame, runs: DataFrame, back: int = 8, least: flo
     return best.select(F.col("new").alias("run"), "b.other", F.round("b.similarity", 6).alias("similarity"))
 
 
-def first_artifacts(artifacts: DataFrame) -> DataFrame:
-    """The first artifact (by created_at, id) of each completed task; metadata maps are joined, the task's wins."""
-    first = artifacts.filter("status = 'COMPLETED'").groupBy("task").agg(F.min_by(F.struct("id", "created_at", "meta", "task_meta"), F.struct("created_at", "id")).alias("a"))
-    own = F.map_filter("a.meta", lambda k, v: ~F.array_contains(F.map_keys("a.task_meta"), k))
-    return first.select("task", "a.id", "a.created_at", F.map_concat(own, "a.task_meta").alias("meta"))
+def first_artifacts(tasks: DataFrame) -> DataFrame:
+    """The artifacts of a job's COMPLETED tasks (job, task, status, created_at, artifact, url, meta, task_meta), each under its first
+    task that has a URL for it (by created_at, then task); rows without an id or a URL go. Metadata maps are joined, the task's wins."""
+    own = tasks.withColumn("artifact", F.trim("artifact")).filter((F.col("status") == "COMPLETED") & (F.col("artifact") != "") & (F.col("url") != ""))
+    first = own.groupBy("job", "artifact").agg(F.min_by(F.struct("task", "created_at", "url", "meta", "task_meta"), F.struct("created_at", "task")).alias("a"))
+    empty = F.create_map().cast("map<string,string>")
+    theirs = F.coalesce("a.task_meta", empty)
+    kept = F.map_filter(F.coalesce("a.meta", empty), lambda k, v: ~F.array_contains(F.map_keys(theirs), k))
+    return first.select("job", "artifact", "a.task", "a.created_at", "a.url", F.map_concat(kept, theirs).alias("meta"))

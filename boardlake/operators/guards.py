@@ -66,10 +66,14 @@ def digit_plausibility(rows: DataFrame, tolerance: int = 1) -> DataFrame:
 
 
 def repeated_values(rows: DataFrame) -> DataFrame:
-    """Whether a row's kill points (4 digits at least) repeat in two peers of its job, or both its power and its kill
-    points do and its power isn't positive."""
-    peers = lambda *c: F.count("*").over(Window.partitionBy("job", *c)) - 1
-    same_kp = (F.length(F.col("kp").cast("string")) >= 4) & (peers("kp") >= 2)
+    """Which approvals (job, id, status, power, kp) aren't to be synchronised, since their values repeat: kill points above 0, of 4
+    digits at least, in two other APPROVED rows of the job, or power and kill points both, where the power isn't positive."""
+    approved = F.col("status") == "APPROVED"
+
+    def peers(*c: str) -> Column:
+        return F.count_if(approved).over(Window.partitionBy("job", *c)) - approved.cast("int")
+
+    same_kp = (F.col("kp") > 0) & (F.length(F.col("kp").cast("string")) >= 4) & (peers("kp") >= 2)
     same_pair = (peers("power", "kp") >= 2) & (F.col("power") <= 0)
     return rows.withColumns({"kp_peers": peers("kp"), "skip_sync": same_kp | same_pair})
 
@@ -103,8 +107,13 @@ def monotonic_guard(rows: DataFrame, least_digits: int = 1) -> DataFrame:
     return rows.withColumns({"fixed": F.when(corrected, F.col("_best.value")).otherwise(F.col("value")), "confidence": F.greatest(F.lit(0.0), F.when(corrected, mean).otherwise(lost))}).drop("_prev", "_next", "_n", "_best")
 
 
-def run_quality(rows: DataFrame, least: float = 72.0) -> DataFrame:
-    """Row confidence (mean of its fields, the title at weight .35, 7 less for bad grouping), per run its mean and flag."""
-    weighted = (F.col("name_conf") + F.col("metric_conf") + F.col("title_conf") * 0.35) / 2.35 - F.when(F.col("grouping_ok"), 0.0).otherwise(7.0)
-    conf = F.greatest(F.lit(0.0), F.least(F.lit(100.0), weighted))
-    return rows.withColumn("c", conf).groupBy("run").agg(F.round(F.avg("c"), 4).alias("confidence"), ((F.avg("c") < least) | F.bool_or(F.col("failed"))).alias("low_confidence"))
+def run_quality(rows: DataFrame, runs: DataFrame, least: float = 72.0) -> DataFrame:
+    """Per run of ``runs`` (run, guard_failures: an array) the mean confidence of its rows and whether that is low: below ``least``,
+    no rows, a row with reasons of failure (``failed``), or failures of the guard. A row's confidence is the mean of its rank, name,
+    metric and sub-name (at weight .35), 7 less (0 at least) for a metric whose separators do not group."""
+    mean = (F.col("rank_conf") + F.col("name_conf") + F.col("metric_conf") + F.col("title_conf") * 0.35) / 3.35
+    conf = F.when(F.col("grouping_ok"), mean).otherwise(F.greatest(F.lit(0.0), mean - 7.0))
+    per = rows.withColumn("c", conf).groupBy("run").agg(F.avg("c").alias("mean"), F.bool_or("failed").alias("failed"))
+    out = runs.join(per, "run", "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    low = (F.col("mean") < least) | F.coalesce("failed", F.lit(True)) | (F.size(F.coalesce("guard_failures", F.array().cast("array<string>"))) > 0)
+    return out.select("run", F.round("mean", 4).alias("confidence"), low.alias("low_confidence"))

@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def job_progress(tasks: DataFrame) -> DataFrame:
-    """Per job tasks by status, how many are processed, the job's status and low-confidence tasks."""
+def job_progress(tasks: DataFrame, jobs: DataFrame | None = None, extractions: DataFrame | None = None) -> DataFrame:
+    """Per job tasks by status, how many are processed, the job's status and low-confidence extractions.
+
+    A job is PROCESSING while any task is neither COMPLETED nor FAILED, FAILED if all of them failed, else in REVIEW; those of ``jobs``
+    without tasks are QUEUED. Low confidence is counted from ``extractions`` (job, low_confidence), or from the tasks where none
+    are given."""
     n = lambda s: F.count_if(F.col("status") == s)
-    g = tasks.groupBy("job").agg(F.count("*").alias("total"), n("QUEUED").alias("queued"), n("PROCESSING").alias("processing"), n("COMPLETED").alias("completed"), n("FAILED").alias("failed"), F.count_if(F.col("low_confidence")).alias("low_confidence"))
-    status = F.when(F.col("processing") > 0, "PROCESSING").when((F.col("queued") > 0) & (F.col("completed") + F.col("failed") > 0), "PROCESSING").when(F.col("queued") > 0, "QUEUED").when(F.col("failed") == F.col("total"), "FAILED").otherwise("REVIEW")
-    return g.withColumns({"processed": F.col("completed") + F.col("failed"), "job_status": status})
+    low = F.count_if(F.col("low_confidence")).alias("low_confidence")
+    g = tasks.groupBy("job").agg(F.count("*").alias("total"), n("QUEUED").alias("queued"), n("PROCESSING").alias("processing"), n("COMPLETED").alias("completed"), n("FAILED").alias("failed"), *([low] if extractions is None else []))
+    if jobs is not None:
+        g = jobs.select("job").distinct().join(g, "job", "left")
+    if extractions is not None:
+        g = g.join(extractions.groupBy("job").agg(low), "job", "left")
+    g = g.na.fill(0, [c for c in g.columns if c != "job"])
+    g = g.withColumn("processed", F.col("completed") + F.col("failed"))
+    status = F.when(F.col("total") == 0, "QUEUED").when(F.col("processed") < F.col("total"), "PROCESSING").when(F.col("failed") == F.col("total"), "FAILED").otherwise("REVIEW")
+    return g.withColumn("job_status", status)
 
 
 def retention(rows: DataFrame, settings: DataFrame, now: Column, terminal: list[str], default_days: int = 180) -> DataFrame:
@@ -26,11 +37,11 @@ def retention(rows: DataFrame, settings: DataFrame, now: Column, terminal: list[
 def metering(requests: DataFrame, settings: DataFrame) -> DataFrame:
     """The outcome of each request (id, ws, at, ok) in order of time. ``settings`` (ws, enabled, budget, cost; few): in
     whole units. Only successes that got through cost anything, so what is spent before a request is the cost of the successes
-    before it in its workspace and month, up to as many as the budget pays for."""
+    before it in its workspace and month, up to as many as the budget pays for. Free requests (cost 0) always get through."""
     w = Window.partitionBy("ws", "month").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = requests.join(settings, "ws", "left").withColumn("month", F.date_format("at", "yyyy-MM"))
     open_ = F.coalesce("enabled", F.lit(False)) & (F.coalesce("budget", F.lit(0)) > 0)
-    paid = F.when(open_, F.least(F.coalesce(F.sum(F.col("ok").cast("long")).over(w), F.lit(0)), F.expr("budget div cost")) * F.col("cost")).otherwise(0)
+    paid = F.when(open_, F.least(F.coalesce(F.sum(F.col("ok").cast("long")).over(w), F.lit(0)), F.expr("budget div nullif(cost, 0)")) * F.col("cost")).otherwise(0)
     reason = (
         F.when(~F.coalesce("enabled", F.lit(False)), "fallback-disabled").when(F.coalesce("budget", F.lit(0)) <= 0, "monthly-budget-cap-zero")
         .when(F.col("spent") + F.col("cost") > F.col("budget"), "monthly-budget-exceeded").when(~F.col("ok"), "provider-failed").otherwise("ok")
@@ -62,10 +73,28 @@ def best_profile(images: DataFrame, profiles: DataFrame, archetype: str | None =
     return images.join(best, ["width", "height"], "left").select("id", "width", "height", "b.profile", "b.penalty", kind.alias("match"))
 
 
-def manifest_gaps(expected: DataFrame, uploaded: DataFrame) -> DataFrame:
-    """Per job expected and enqueued entries, and how many are missing."""
-    have = uploaded.select("job", "entry").distinct().withColumn("have", F.lit(1))
-    return expected.join(have, ["job", "entry"], "left").groupBy("job").agg(F.count("*").alias("expected"), F.count("have").alias("enqueued"), F.count_if(F.col("have").isNull()).alias("missing"))
+def manifest_gaps(jobs: DataFrame, manifest: DataFrame, tasks: DataFrame, listed: int = 200) -> DataFrame:
+    """What each finished upload lacks: job, expected, enqueued, missing, entries (at most ``listed`` of the failed ones, in order
+    of ``place``, as row, file, status, reason), status and error.
+
+    ``jobs``: job, total, expected, status; ``manifest``: job, place, row, file, task, status, error; ``tasks``: job. The larger of both
+    numbers of files is expected. Entries without a task that failed, or have an error, are told only where there are fewer tasks
+    than expected; then at least as many are missing, and the job FAILED."""
+    lost = manifest.filter(F.col("task").isNull() & ((F.lower("status") == "failed") | (F.coalesce("error", F.lit("")) != "")))
+    entry = F.struct("place", "row", F.nullif("file", F.lit("")).alias("file"), F.coalesce(F.nullif("status", F.lit("")), F.lit("failed")).alias("status"), F.coalesce(F.nullif("error", F.lit("")), F.lit("not-enqueued")).alias("reason"))
+    first = F.row_number().over(Window.partitionBy("job").orderBy("place"))
+    told = lost.select("job", entry.alias("e"), first.alias("n")).filter(F.col("n") <= listed).groupBy("job").agg(F.array_sort(F.collect_list("e")).alias("entries"))
+    counts = lost.groupBy("job").agg(F.count("*").alias("lost"))
+    have = tasks.groupBy("job").agg(F.count("*").alias("enqueued"))
+    out = jobs.join(have, "job", "left").join(counts, "job", "left").join(told, "job", "left").na.fill(0, ["enqueued", "lost"])
+    expected = F.greatest("total", "expected")
+    short = F.greatest(F.lit(0), expected - F.col("enqueued"))
+    missing = F.when(short > 0, F.greatest(short, F.col("lost"))).otherwise(0).cast("long")
+    error = F.concat(F.lit("Upload finalize mismatch: expected "), F.col("expected"), F.lit(" files but enqueued "), F.col("enqueued"), F.lit(" ingestion tasks."))
+    out = out.withColumns({"missing": missing, "expected": expected.cast("long")})
+    gap = F.col("missing") > 0
+    entries = F.when(gap, F.transform("entries", lambda e: e.dropFields("place")))
+    return out.select("job", "expected", "enqueued", "missing", entries.alias("entries"), F.when(gap, "FAILED").otherwise(F.col("status")).alias("status"), F.when(gap, error).alias("error"))
 
 
 def with_child_counts(parents: DataFrame, key: str, **children: DataFrame) -> DataFrame:
@@ -103,10 +132,13 @@ def index_tasks(entities: dict[tuple[str, str], DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def index_status(tasks: DataFrame, now: Column) -> DataFrame:
-    """Tasks by corpus: pending, processing, failed, completed within a day."""
+def index_status(documents: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
+    """One row: documents of the index in all and by corpus (a map), tasks that wait, run or failed, and that were completed within
+    a day. ``documents``: corpus; ``tasks``: status, completed_at. Corpora are few."""
     n = lambda s: F.count_if(F.col("status") == s)
-    return tasks.groupBy("corpus").agg(F.count("*").alias("total"), n("PENDING").alias("pending"), n("PROCESSING").alias("processing"), n("FAILED").alias("failed"), F.count_if((F.col("status") == "COMPLETED") & (F.col("updated_at") >= now - F.expr("interval 24 hours"))).alias("completed_24h"))
+    counts = tasks.agg(n("PENDING").alias("pending"), n("PROCESSING").alias("processing"), n("FAILED").alias("failed"), F.count_if((F.col("status") == "COMPLETED") & (F.col("completed_at") >= now - F.expr("interval 24 hours"))).alias("completed_24h"))
+    by = documents.groupBy("corpus").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("corpus", "n")))).alias("by_corpus"))
+    return by.crossJoin(counts)  # one row each
 
 
 def retry_at(now: Column, attempts: Column) -> Column:

@@ -92,8 +92,9 @@ def severity_reasons(status: Column, low_confidence: Column, min_conf: Column, e
 
 
 def number_of(text: Column) -> Column:
+    """The number that the digits of ``text`` spell; 0 without any, null for one that a long does not hold."""
     d = F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9-]", "")
-    return F.coalesce(d.try_cast("long"), F.lit(0))
+    return F.when(d.rlike("^-?[0-9]+$"), d.try_cast("long")).otherwise(0)
 
 
 def approved_payload(rows: DataFrame) -> DataFrame:
@@ -129,30 +130,62 @@ def limit_problems(rows: DataFrame) -> DataFrame:
     return long.select("id", "field", field_problem(F.col("field"), F.col("value")).alias("reason")).filter("reason is not null")
 
 
-def daily_quality(extractions: DataFrame, corrections: DataFrame, since: Column | None = None) -> DataFrame:
-    """Per profile: extractions, approval, low-confidence and edit rates; F7: from ``since`` on."""
+def quality_figures(extractions: DataFrame, corrections: DataFrame, since: Column | None = None) -> DataFrame:
+    """One row: extractions, those reviewed, approved, rejected and of low confidence, corrections, extractions that were
+    corrected, and the rates of approvals, of low confidence and of corrections to extractions (0 without extractions); F7: from
+    ``since`` on."""
     if since is not None:
         extractions, corrections = extractions.filter(F.col("created_at") >= since), corrections.filter(F.col("created_at") >= since)
-    edited = corrections.select("id").distinct().withColumn("edited", F.lit(1))
-    rate = lambda c: F.round(F.try_divide(F.count_if(c), F.count("*")), 6)
-    return extractions.join(edited, "id", "left").groupBy("profile").agg(F.count("*").alias("n"), rate(F.col("status") == "APPROVED").alias("approval_rate"), rate(F.col("low_confidence")).alias("low_confidence_rate"), rate(F.col("edited") == 1).alias("edit_rate"))
+    of = lambda *s: F.count_if(F.col("status").isin(*s))
+    counts = extractions.agg(F.count("*").alias("total"), of("REVIEWED", "APPROVED", "REJECTED").alias("reviewed"), of("APPROVED").alias("approved"), of("REJECTED").alias("rejected"), F.count_if("low_confidence").alias("low_confidence"))
+    fixes = corrections.agg(F.count("*").alias("corrections"), F.count_distinct("id").alias("corrected"))
+    rate = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.col("total")), F.lit(0.0)), 6)
+    both = counts.crossJoin(fixes)  # one row each
+    return both.withColumns({"approval_rate": rate("approved"), "low_confidence_rate": rate("low_confidence"), "edit_rate": rate("corrections")})
+
+
+def profile_figures(extractions: DataFrame, since: Column | None = None) -> DataFrame:
+    """Per profile (``unassigned`` without one) extractions, those of low confidence, and their rate."""
+    own = extractions if since is None else extractions.filter(F.col("created_at") >= since)
+    g = own.groupBy(F.coalesce("profile", F.lit("unassigned")).alias("profile")).agg(F.count("*").alias("total"), F.count_if("low_confidence").alias("low_confidence"))
+    return g.withColumn("low_confidence_rate", F.round(F.col("low_confidence") / F.col("total"), 6))
 
 
 def corrections_by(corrections: DataFrame) -> DataFrame:
-    """Corrections by field and by reason, and how many extractions they touch."""
-    return corrections.groupingSets([["field"], ["reason"]], "field", "reason").agg(F.count("*").alias("n"), F.countDistinct("id").alias("extractions"))
+    """Corrections by field and by reason (``unspecified`` without one), and how many extractions they touch: by, value, n,
+    extractions."""
+    rows = corrections.select("id", "field", F.coalesce(F.nullif("reason", F.lit("")), F.lit("unspecified")).alias("reason"))
+    g = rows.groupingSets([["field"], ["reason"]], "field", "reason").agg(F.grouping("field").alias("_g"), F.count("*").alias("n"), F.count_distinct("id").alias("extractions"))
+    return g.select(F.when(F.col("_g") == 0, "field").otherwise("reason").alias("by"), F.when(F.col("_g") == 0, F.col("field")).otherwise(F.col("reason")).alias("value"), "n", "extractions")
+
+
+def _plain(c: Column) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""))
 
 
-def golden(cases: DataFrame, least: float = 0.98) -> DataFrame:
-    """Per case mismatches, low-confidence fields and mean confidence; the suite's numeric rate on each row.
+def golden(cases: DataFrame) -> DataFrame:
+    """Per case fields that mismatch, fields that match with too low a confidence, whether the mean confidence is below the case's
+    least one, that mean, and whether the case passed, which is none of these.
 
-    ``cases``: case, field, expected, actual, confidence, least, numeric. White space and case don't count.
+    ``cases``: case, field, expected, actual, confidence, least, least_mean, numeric. White space and case don't count.
     """
-    norm = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""))
-    cases = cases.withColumn("ok", norm(F.col("expected")) == norm(F.col("actual")))
-    per = cases.groupBy("case").agg(F.count_if(~F.col("ok")).alias("mismatches"), F.count_if(F.col("confidence") < F.col("least")).alias("low"), F.round(F.avg("confidence"), 4).alias("confidence"))
-    suite = cases.filter("numeric").agg(F.round(F.coalesce(F.avg(F.col("ok").cast("double")), F.lit(1.0)), 6).alias("numeric_rate"))
-    return per.crossJoin(F.broadcast(suite)).withColumn("passed", (F.col("mismatches") == 0) & (F.col("numeric_rate") >= least))
+    same = _plain(F.col("expected")) == _plain(F.col("actual"))
+    g = cases.groupBy("case").agg(F.count_if(~same).alias("mismatches"), F.count_if(same & (F.col("confidence") < F.col("least"))).alias("low"), F.avg("confidence").alias("_mean"), F.max("least_mean").alias("_least"))
+    g = g.withColumn("low_mean", F.coalesce(F.col("_mean") < F.col("_least"), F.lit(False)))
+    passed = (F.col("mismatches") == 0) & (F.col("low") == 0) & ~F.col("low_mean")
+    return g.select("case", "mismatches", "low", "low_mean", F.round("_mean", 4).alias("confidence"), passed.alias("passed"))
+
+
+def golden_suite(cases: DataFrame, least: float = 0.98) -> DataFrame:
+    """One row: cases, passed and failed ones, numeric fields, those with equal digits, their rate (1 without any) and whether it is
+    at least ``least``."""
+    digits = lambda c: F.regexp_replace(_plain(F.col(c)), "[^0-9]", "")
+    own = F.col("numeric")
+    numbers = cases.agg(F.count_if(own).alias("numeric_total"), F.count_if(own & (digits("expected") == digits("actual"))).alias("numeric_exact"))
+    per = golden(cases).agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+    rate = F.coalesce(F.try_divide("numeric_exact", "numeric_total"), F.lit(1.0))
+    both = per.crossJoin(numbers)  # one row each
+    return both.withColumns({"numeric_rate": F.round(rate, 6), "numeric_passed": rate >= least})
 
 
 def review_queue(rows: DataFrame, players: DataFrame, snapshots: DataFrame, backlog: DataFrame) -> DataFrame:
@@ -200,6 +233,20 @@ def queue_page(rows: DataFrame, level: str | None, by: str, offset: int, limit:
     return own.orderBy(*order).offset(offset).limit(limit)
 
 
+def queue_summary(rows: DataFrame) -> DataFrame:
+    """How many rows there are of each severity."""
+    n = lambda s: F.count_if(F.col("severity") == s).alias(s.lower())
+    return rows.agg(F.count("*").alias("total"), n("HIGH"), n("MEDIUM"), n("LOW"))
+
+
+def read_severity(status: Column, low_confidence: Column, failures: Column, confidence: Column) -> Column:
+    """N4, as lists of profiles show it: HIGH for RAW rows of low confidence and for any reason of failure, MEDIUM for low confidence
+    otherwise or below 70, else LOW."""
+    any_ = F.size(F.coalesce(failures, F.array().cast("array<string>"))) > 0
+    low = F.coalesce(low_confidence, F.lit(False))
+    return F.when(((status == "RAW") & low) | any_, "HIGH").when(low | (confidence < 70), "MEDIUM").otherwise("LOW")
+
+
 def timeline(snapshots: DataFrame, events: DataFrame) -> DataFrame:
     """Each player's snapshots in order of event time, with their place and the change of power."""
     w = Window.partitionBy("player").orderBy("at", "event")
@@ -207,10 +254,11 @@ def timeline(snapshots: DataFrame, events: DataFrame) -> DataFrame:
     return out.withColumns({"place": F.row_number().over(w), "power_change": F.col("power") - F.lag("power").over(w)})
 
 
-def fused_candidates(cands: DataFrame, alternatives: int = 4) -> DataFrame:
-    """Candidates (ext, field, id, value text, confidence 0 to 100, valid) scored by confidence, form and validity: names
-    by length and signs, ids and numbers by their digits. Adds the place within the field (by score, confidence, id), and for the
-    selected one the reasons to doubt it, comma-joined. ``alternatives`` candidates of each field are kept."""
+def scored_candidates(cands: DataFrame) -> DataFrame:
+    """Candidates (ext, field, id, value text, confidence 0 to 100, valid, and maybe problem: why it is not) scored by confidence,
+    form and validity: names by length and signs, ids and numbers by their digits. Adds the place within the field (by score,
+    confidence, id), and for the selected one the reasons to doubt it, or ``selected-highest-fusion-score``, comma-joined, and
+    whether there are any (``low_confidence``). An invalid one tells its problem, or ``validation-failed``."""
     value = F.coalesce(F.col("value"), F.lit(""))
     n, digits = F.length(value), F.length(F.regexp_replace(value, "[^0-9]", ""))
     signs = F.when(n > 0, F.length(F.regexp_replace(value, NAME_SIGNS, "")) / n)
@@ -220,25 +268,39 @@ def fused_candidates(cands: DataFrame, alternatives: int = 4) -> DataFrame:
     score = F.round(F.col("confidence") / 100 * 0.62 + F.when(F.col("field") == "governorName", name).otherwise(number), 9)
     w = Window.partitionBy("ext", "field").orderBy(F.desc("score"), F.desc("confidence"), "id")
     ranked = cands.withColumn("score", score).withColumns({"place": F.row_number().over(w), "lead": F.round(F.col("score") - F.lead("score").over(w), 9)})
-    reasons = F.concat_ws(",", F.when(~F.col("valid"), "validation-failed"), F.when(F.col("confidence") < 70, "low-ocr-confidence"), F.when(F.col("score") < 0.55, "low-fusion-score"), F.when(F.col("lead") < 0.03, "ambiguous-candidates"))
-    return ranked.withColumn("reasons", F.when(F.col("place") == 1, reasons)).filter(F.col("place") <= alternatives)
+    problem = F.coalesce(F.nullif("problem", F.lit("")), F.lit("validation-failed")) if "problem" in cands.columns else F.lit("validation-failed")
+    reasons = F.concat_ws(",", F.when(~F.col("valid"), problem), F.when(F.col("confidence") < 70, "low-ocr-confidence"), F.when(F.col("score") < 0.55, "low-fusion-score"), F.when(F.col("lead") < 0.03, "ambiguous-candidates"))
+    first = F.col("place") == 1
+    return ranked.withColumns({"reasons": F.when(first, F.when(reasons == "", "selected-highest-fusion-score").otherwise(reasons)), "low_confidence": F.when(first, reasons != "")})
+
+
+def fused_candidates(cands: DataFrame, alternatives: int = 4) -> DataFrame:
+    """The selected candidate of each field and the next best ones, ``alternatives`` in all, as ``scored_candidates`` has them."""
+    return scored_candidates(cands).filter(F.col("place") <= alternatives)
 
 
-def consistent_fields(ranked: DataFrame, top: int = 3) -> DataFrame:
-    """Of the best three numeric candidates of kp, t4 and t5 the combination with the largest sum of scores, less 1.25 and
-    the relative excess (2 at most) where kp < t4 + t5; the first in order of places of equals. Tells which fields it changes.
-    At most 27 combinations an extraction, made after the cut."""
-    numeric = ranked.withColumn("n", F.regexp_replace("value", "[^0-9]", "").try_cast("long")).filter("n is not null")
+def consistent_fields(scored: DataFrame, top: int = 3) -> DataFrame:
+    """Of the best three numeric candidates of kp, t4 and t5 (of all ``scored_candidates``, with digits in their value) the
+    combination with the largest sum of scores, less 1.25 and the relative excess (2 at most) where kp < t4 + t5; the first in
+    order of places of equals. Tells which fields it changes. One grouping, at most 27 combinations an extraction; numbers of up to
+    38 digits, longer ones are no candidates."""
+    fields = ("kp", "t4", "t5")
+    numeric = scored.filter(F.col("field").isin(*fields)).withColumn("n", F.nullif(F.regexp_replace("value", "[^0-9]", ""), F.lit("")).try_cast("decimal(38,0)")).filter("n is not null")
     place = F.row_number().over(Window.partitionBy("ext", "field").orderBy("place"))
-    numeric = numeric.withColumn("_p", place).filter(F.col("_p") <= top)
-    of = lambda f: numeric.filter(F.col("field") == f).select("ext", F.col("n").alias(f), F.col("score").alias(f"s_{f}"), F.col("place").alias(f"p_{f}"))
-    combos = of("kp").join(of("t4"), "ext").join(of("t5"), "ext")
-    excess = F.col("t4") + F.col("t5") - F.col("kp")
-    penalty = F.when(excess > 0, 1.25 + F.least(F.lit(2.0), excess / F.greatest(F.lit(1), F.col("kp")))).otherwise(0.0)
-    total = F.round(F.col("s_kp") + F.col("s_t4") + F.col("s_t5") - penalty, 9)
-    places = [F.col(f"p_{f}") for f in ("kp", "t4", "t5")]
-    best = combos.groupBy("ext").agg(F.max_by(F.struct("kp", "t4", "t5", total.alias("total"), (excess > 0).alias("inconsistent"), *places), F.struct(total, *[-p for p in places])).alias("b"))
-    changed = F.concat_ws(",", *[F.when(F.col(f"b.p_{f}") > 1, f"{f}:adjusted-for-consistency") for f in ("kp", "t4", "t5")])
+    kept = numeric.withColumn("_p", place).filter(F.col("_p") <= top)
+    best_of = lambda f: F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("place", "n", "score")))).alias(f)
+    g = kept.groupBy("ext").agg(*[best_of(f) for f in fields]).filter(" and ".join(f"size({f}) > 0" for f in fields))
+
+    def combo(kp: Column, t4: Column, t5: Column) -> Column:
+        excess = t4["n"].cast("double") + t5["n"].cast("double") - kp["n"].cast("double")
+        over = kp["n"] - t4["n"] < t5["n"]
+        penalty = F.when(over, 1.25 + F.least(F.lit(2.0), excess / F.greatest(F.lit(1.0), kp["n"].cast("double")))).otherwise(0.0)
+        total = F.round(kp["score"] + t4["score"] + t5["score"] - penalty, 9)
+        return F.struct(total.alias("total"), *[(-x["place"]).alias(f"p_{f}") for f, x in zip(fields, (kp, t4, t5), strict=True)], *[x["n"].alias(f) for f, x in zip(fields, (kp, t4, t5), strict=True)], over.alias("inconsistent"))
+
+    every = F.flatten(F.transform("kp", lambda a: F.flatten(F.transform("t4", lambda b: F.transform("t5", lambda c: combo(a, b, c))))))
+    best = g.select("ext", F.array_max(every).alias("b"))
+    changed = F.concat_ws(",", *[F.when(F.col(f"b.p_{f}") < -1, f"{f}:adjusted-for-consistency") for f in fields])
     return best.select("ext", "b.kp", "b.t4", "b.t5", "b.total", "b.inconsistent", changed.alias("reasons"))
 
 
@@ -307,13 +369,15 @@ def run_diagnostics(metadata: Column) -> Column:
 
 
 def identity_suggestions(candidates: Column, most: int = 8) -> Column:
-    """The first ``most`` suggestions in JSON candidates, as an array of (id, game_id, name, source): those with all four,
-    the source being alias or name, each id once."""
-    raw = F.from_json(candidates, "identitySuggestions array<struct<governorId:string,governorGameId:string,name:string,source:string>>")["identitySuggestions"]
-    whole = F.filter(F.coalesce(raw, F.array().cast("array<struct<governorId:string,governorGameId:string,name:string,source:string>>")), lambda e: (e["governorId"] != "") & (e["governorGameId"] != "") & (F.trim(e["name"]) != "") & e["source"].isin("alias", "name"))
-    ids = F.transform(whole, lambda e: e["governorId"])
-    once = F.filter(whole, lambda e, i: F.array_position(ids, e["governorId"]) == i + 1)
-    return F.transform(F.slice(once, 1, most), lambda e: F.struct(e["governorId"].alias("id"), e["governorGameId"].alias("game_id"), F.trim(e["name"]).alias("name"), e["source"].alias("source")))
+    """The first ``most`` suggestions in JSON candidates, as an array of (id, game_id, name, source): objects that have an id, a
+    game id and a name (trimmed), which are texts and not empty, and the source alias or name; each id once."""
+    items = F.coalesce(F.try_variant_get(_member(F.try_parse_json(candidates), "identitySuggestions", "ARRAY"), "$", "array<variant>"), F.array().cast("array<variant>"))
+    text = lambda e, n: F.coalesce(F.try_variant_get(_member(e, n, "STRING"), "$", "string"), F.lit(""))
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    typed = F.transform(items, lambda e: F.struct(text(e, "governorId").alias("id"), text(e, "governorGameId").alias("game_id"), trimmed(text(e, "name")).alias("name"), text(e, "source").alias("source")))
+    whole = F.filter(typed, lambda e: (e["id"] != "") & (e["game_id"] != "") & (e["name"] != "") & e["source"].isin("alias", "name"))
+    ids = F.transform(whole, lambda e: e["id"])
+    return F.slice(F.filter(whole, lambda e, i: F.array_position(ids, e["id"]) == i + 1), 1, most)
 
 
 #: Under which names a cell may come, in order of preference.

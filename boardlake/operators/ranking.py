@@ -148,3 +148,14 @@ def latest_revisions(revisions: DataFrame, key: str, n: int) -> DataFrame:
     """The last ``n`` revisions of each row."""
     w = Window.partitionBy(key).orderBy(F.desc("created_at"), F.desc("id"))
     return revisions.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
+def bars(rows: DataFrame, page: list[str], now: Column) -> DataFrame:
+    """Rows with the length of their bar, in hundredths of a per cent of the page's largest value (0 to 10,000), and the tone of
+    the page by the age of its newest row: good up to 24 whole hours, warn up to 72, else bad."""
+    g = rows.groupBy(*page).agg(F.greatest(F.lit(0), F.max("value")).alias("_most"), F.max("updated_at").alias("_newest"))
+    hours = F.floor((F.unix_micros(now) - F.unix_micros("_newest")) / 3_600_000_000)
+    tone = F.when(hours <= 24, "good").when(hours <= 72, "warn").when(hours.isNotNull(), "bad")
+    share = F.expr("cast(cast(value as decimal(38,0)) * 10000 div nullif(_most, 0) as bigint)")
+    length = F.greatest(F.lit(0), F.least(F.lit(10000), F.coalesce(share, F.lit(0))))
+    return rows.join(g, page).withColumns({"hundredths": length.cast("long"), "tone": tone}).drop("_most", "_newest")

@@ -228,10 +228,13 @@ def plausibility(spark, d):
     return guards.digit_plausibility(c).select("run", "pos", "baseline", "outlier", "confidence")
 
 
-@query("a18_repeated_values", """, x AS (SELECT id, identity % 50 AS job, value // 1000000 + 1000 AS kp, CASE WHEN id % 5 = 0 THEN 0 ELSE id % 3 END AS power FROM board)
-SELECT id, count(*) OVER (PARTITION BY job, kp) - 1 AS kp_peers, (length(CAST(kp AS VARCHAR)) >= 4 AND count(*) OVER (PARTITION BY job, kp) - 1 >= 2) OR (power <= 0 AND count(*) OVER (PARTITION BY job, power, kp) - 1 >= 2) AS skip_sync FROM x""")
+@query("a18_repeated_values", """, x AS (SELECT id, identity % 50 AS job, CASE WHEN id % 11 = 0 THEN -1234 ELSE value // 10000000 + 999 END AS kp, CASE WHEN id % 5 = 0 THEN 0 ELSE id % 3 END AS power, status = 'ACTIVE' AS ok FROM board),
+p AS (SELECT id, kp, power, (SELECT count(*) FROM x o WHERE o.ok AND o.job = x.job AND o.kp = x.kp AND o.id <> x.id) AS same_kp, (SELECT count(*) FROM x o WHERE o.ok AND o.job = x.job AND o.kp = x.kp AND o.power = x.power AND o.id <> x.id) AS same_pair FROM x)
+SELECT id, same_kp AS kp_peers, (kp > 0 AND length(CAST(kp AS VARCHAR)) >= 4 AND same_kp >= 2) OR (power <= 0 AND same_pair >= 2) AS skip_sync FROM p""")
 def repeated(spark, d):
-    b = r.boards(spark, d).select("id", (F.col("identity") % 50).alias("job"), F.expr("value div 1000000 + 1000").alias("kp"), F.when(F.col("id") % 5 == 0, 0).otherwise(F.col("id") % 3).alias("power"))
+    i = F.col("id")
+    status = F.when(F.col("status") == "ACTIVE", "APPROVED").otherwise(F.col("status"))
+    b = r.boards(spark, d).select("id", (F.col("identity") % 50).alias("job"), status.alias("status"), F.when(i % 11 == 0, -1234).otherwise(F.expr("value div 10000000 + 999")).alias("kp"), F.when(i % 5 == 0, 0).otherwise(i % 3).alias("power"))
     return guards.repeated_values(b).select("id", "kp_peers", "skip_sync")
 
 

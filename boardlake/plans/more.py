@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boardlake.functions import alliances
-from boardlake.operators import dedupe, identity, quality
+from boardlake.operators import dedupe, identity, quality, ranking
 from boardlake.plans import registry as r
 from boardlake.plans.registry import query
 from boardlake.sources import sinks
@@ -97,12 +97,13 @@ def labels(spark, d):
     return alliances.filter_labels(r.t(spark, d, "nation").select(k.cast("long").alias("seq"), raw.alias("raw")))
 
 
-@query("w11_bars", " SELECT id, CAST((value * 10000) // max(value) OVER (PARTITION BY type) AS BIGINT) AS hundredths, CASE WHEN date_diff('hour', updated_at, TIMESTAMP '1998-08-01') <= 24 THEN 'good' WHEN date_diff('hour', updated_at, TIMESTAMP '1998-08-01') <= 72 THEN 'warn' ELSE 'bad' END AS tone FROM board")
+@query("w11_bars", """, wv AS (SELECT id, type, CASE WHEN id % 50 = 0 THEN -value WHEN id % 51 > 0 THEN value END AS value, CASE WHEN type = '1-URGENT' THEN updated_at - INTERVAL 2 DAY ELSE updated_at END AS updated_at FROM board),
+wp AS (SELECT type, greatest(0, max(value)) AS most, CASE WHEN date_diff('second', max(updated_at), TIMESTAMP '1998-08-04') // 3600 <= 24 THEN 'good' WHEN date_diff('second', max(updated_at), TIMESTAMP '1998-08-04') // 3600 <= 72 THEN 'warn' ELSE 'bad' END AS tone FROM wv GROUP BY 1)
+SELECT id, CAST(greatest(0, least(10000, coalesce(value * 10000 // nullif(most, 0), 0))) AS BIGINT) AS hundredths, tone FROM wv JOIN wp USING (type)""")
 def bars(spark, d):
-    b = r.boards(spark, d)
-    most = b.groupBy("type").agg(F.max("value").alias("_m"))
-    age = F.timestamp_diff("HOUR", F.col("updated_at"), F.lit("1998-08-01").cast("timestamp"))
-    return b.join(F.broadcast(most), "type").select("id", F.expr("value * 10000 div _m").alias("hundredths"), F.when(age <= 24, "good").when(age <= 72, "warn").otherwise("bad").alias("tone"))
+    i = F.col("id")
+    b = r.boards(spark, d).withColumns({"value": F.when(i % 50 == 0, -F.col("value")).when(i % 51 > 0, F.col("value")), "updated_at": F.when(F.col("type") == "1-URGENT", F.timestamp_add("DAY", F.lit(-2), F.col("updated_at").cast("timestamp"))).otherwise(F.col("updated_at").cast("timestamp"))})
+    return ranking.bars(b, ["type"], F.lit("1998-08-04").cast("timestamp")).select("id", "hundredths", "tone")
 
 
 @query("j16_rerun_match", """, a AS (SELECT identity % 300 AS run, min(id) AS id, source_rank AS rank, name FROM board WHERE type = '1-URGENT' AND source_rank IS NOT NULL GROUP BY ALL), b AS (SELECT identity % 300 AS run, id AS new_id, source_rank AS rank, name, id AS pos FROM board WHERE type = '2-HIGH'),
@@ -114,12 +115,13 @@ def rerun(spark, d):
     return identity.rerun_match(a, b.filter("type = '2-HIGH'").select("run", F.col("id").alias("new_id"), "rank", "name", F.col("id").alias("pos")))
 
 
-@query("u5_first_artifacts", " SELECT identity AS task, arg_min(id, row(created_at, id)) AS id FROM board WHERE status = 'ACTIVE' GROUP BY 1")
+@query("u5_first_artifacts", """, ta AS (SELECT identity % 50 AS job, id AS task, created_at, CAST(identity % 70 AS VARCHAR) AS artifact FROM board WHERE status = 'ACTIVE' AND identity % 70 > 3 AND id % 6 > 0)
+SELECT job, artifact, arg_min(task, row(created_at, task)) AS task FROM ta GROUP BY 1, 2""")
 def artifacts(spark, d):
-    b = r.boards(spark, d)
-    meta = F.create_map(F.lit("type"), F.col("type"))
-    a = b.select(F.col("identity").alias("task"), "id", "created_at", F.when(F.col("status") == "ACTIVE", "COMPLETED").otherwise("QUEUED").alias("status"), meta.alias("meta"), F.create_map(F.lit("type"), F.lit("task")).alias("task_meta"))
-    return dedupe.first_artifacts(a).select("task", "id")
+    k = F.col("identity") % 70
+    a = F.when(k == 0, "").when(k == 1, "  ").when(k > 3, F.concat(F.lit(" "), k.cast("string")))
+    rows = r.boards(spark, d).select((F.col("identity") % 50).alias("job"), F.col("id").alias("task"), "created_at", F.when(F.col("status") == "ACTIVE", "COMPLETED").otherwise("QUEUED").alias("status"), a.alias("artifact"), F.when(F.col("id") % 6 > 0, F.lit("u")).otherwise("").alias("url"), F.create_map(F.lit("type"), F.col("type")).alias("meta"), F.create_map(F.lit("type"), F.lit("task")).alias("task_meta"))
+    return dedupe.first_artifacts(rows).select("job", "artifact", "task")
 
 
 @query("s3_csv_export", " SELECT CAST(player AS VARCHAR) AS player, name, alliance || ' \"x\", y' AS alliance FROM players")
@@ -224,7 +226,7 @@ def stream_weekly(spark, d):
 @query("st4_stream_progress", """, cg AS (SELECT player AS job, id % 400 AS task, CASE event_type WHEN 'click' THEN 'QUEUED' WHEN 'view' THEN 'PROCESSING' WHEN 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS s, row_number() OVER (PARTITION BY player, id % 400 ORDER BY observed_at, id) AS n FROM obs JOIN (SELECT event_id, event_type FROM events) ON event_id = id),
 st AS (SELECT job, task, n, s FROM cg WHERE n = 1 UNION ALL SELECT c.job, c.task, c.n, CASE WHEN st.s || '>' || c.s IN ('QUEUED>PROCESSING', 'QUEUED>FAILED', 'PROCESSING>QUEUED', 'PROCESSING>COMPLETED', 'PROCESSING>FAILED', 'FAILED>QUEUED') THEN c.s ELSE st.s END FROM st JOIN cg c ON c.job = st.job AND c.task = st.task AND c.n = st.n + 1),
 s AS (SELECT job, task, arg_max(s, n) AS s FROM st GROUP BY 1, 2)
-SELECT job, count(*) AS total, count(*) FILTER (s IN ('COMPLETED', 'FAILED')) AS processed, CASE WHEN count(*) FILTER (s = 'PROCESSING') > 0 THEN 'PROCESSING' WHEN count(*) FILTER (s = 'QUEUED') > 0 AND count(*) FILTER (s IN ('COMPLETED', 'FAILED')) > 0 THEN 'PROCESSING' WHEN count(*) FILTER (s = 'QUEUED') > 0 THEN 'QUEUED' WHEN count(*) FILTER (s = 'FAILED') = count(*) THEN 'FAILED' ELSE 'REVIEW' END AS job_status FROM s GROUP BY 1""")
+SELECT job, count(*) AS total, count(*) FILTER (s IN ('COMPLETED', 'FAILED')) AS processed, CASE WHEN count(*) FILTER (s IN ('COMPLETED', 'FAILED')) < count(*) THEN 'PROCESSING' WHEN count(*) FILTER (s = 'FAILED') = count(*) THEN 'FAILED' ELSE 'REVIEW' END AS job_status FROM s GROUP BY 1""")
 def stream_progress(spark, d):
     m = F.col("metric")
     status = F.when(m == "click", "QUEUED").when(m == "view", "PROCESSING").when(m == "error", "FAILED").otherwise("COMPLETED")

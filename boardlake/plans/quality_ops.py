@@ -88,26 +88,51 @@ def cleanup(spark, d):
     return quality.combat_cleanup(e).select("id", "t4", "t5", "deads", F.array_join("notes", "|").alias("notes"))
 
 
-@query("a13_quality", EXT_SQL + """, e AS (SELECT *, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = ext.id AND l.quality = 0) AS edited FROM ext WHERE created_at >= TIMESTAMP '2024-01-05')
-SELECT event_type AS profile, count(*) AS n, CAST(round(count(*) FILTER (status = 'APPROVED') / count(*), 6) * 1000000 AS BIGINT) AS approval_ppm, CAST(round(count(*) FILTER (k < 50) / count(*), 6) * 1000000 AS BIGINT) AS low_ppm, CAST(round(count(*) FILTER (edited) / count(*), 6) * 1000000 AS BIGINT) AS edit_ppm FROM e GROUP BY 1""")
+A13_SQL = EXT_SQL + """, e AS (SELECT *, k < 50 AS low FROM ext WHERE created_at >= TIMESTAMP '2024-01-05'), c AS (SELECT doc_id AS id FROM labels WHERE quality = 0)"""
+
+
+@query("a13_quality", A13_SQL + """ SELECT total, reviewed, approved, rejected, low AS low_confidence, corrections, corrected, CAST(round(approved / total, 6) * 1000000 AS BIGINT) AS approval_ppm, CAST(round(low / total, 6) * 1000000 AS BIGINT) AS low_ppm, CAST(round(corrections / total, 6) * 1000000 AS BIGINT) AS edit_ppm
+FROM (SELECT count(*) AS total, count(*) FILTER (status IN ('REVIEWED', 'APPROVED', 'REJECTED')) AS reviewed, count(*) FILTER (status = 'APPROVED') AS approved, count(*) FILTER (status = 'REJECTED') AS rejected, count(*) FILTER (low) AS low FROM e), (SELECT count(*) AS corrections, count(DISTINCT id) AS corrected FROM c)""")
 def figures(spark, d):
     e = extractions(spark, d).withColumnRenamed("event_type", "profile").withColumn("low_confidence", F.col("k") < 50)
     c = r.t(spark, d, "labels").filter("quality = 0").select(F.col("doc_id").alias("id"), F.lit("2025-01-01").cast("timestamp").alias("created_at"))
     ppm = lambda c, n: F.round(F.col(c) * 1000000).cast("long").alias(n)
-    return quality.daily_quality(e, c, F.lit("2024-01-05").cast("timestamp")).select("profile", "n", ppm("approval_rate", "approval_ppm"), ppm("low_confidence_rate", "low_ppm"), ppm("edit_rate", "edit_ppm"))
+    return quality.quality_figures(e, c, F.lit("2024-01-05").cast("timestamp")).select("total", "reviewed", "approved", "rejected", "low_confidence", "corrections", "corrected", ppm("approval_rate", "approval_ppm"), ppm("low_confidence_rate", "low_ppm"), ppm("edit_rate", "edit_ppm"))
+
 
+@query("a13_profiles", A13_SQL + " SELECT CASE WHEN event_type = 'error' THEN 'unassigned' ELSE event_type END AS profile, count(*) AS total, count(*) FILTER (low) AS low_confidence, CAST(round(count(*) FILTER (low) / count(*), 6) * 1000000 AS BIGINT) AS low_ppm FROM e GROUP BY 1")
+def profile_quality(spark, d):
+    e = extractions(spark, d).withColumns({"profile": F.nullif("event_type", F.lit("error")), "low_confidence": F.col("k") < 50})
+    return quality.profile_figures(e, F.lit("2024-01-05").cast("timestamp")).select("profile", "total", "low_confidence", F.round(F.col("low_confidence_rate") * 1000000).cast("long").alias("low_ppm"))
 
-@query("a13_corrections_by", EXT_SQL + ", c AS (SELECT id % 500 AS id, event_type AS field, status AS reason FROM ext) SELECT field, reason, count(*) AS n, count(DISTINCT id) AS extractions FROM c GROUP BY GROUPING SETS ((field), (reason))")
+
+@query("a13_corrections_by", EXT_SQL + """, c AS (SELECT id % 500 AS id, event_type AS field, CASE WHEN status = 'RAW' THEN 'unspecified' ELSE status END AS reason FROM ext)
+SELECT 'field' AS by, field AS value, count(*) AS n, count(DISTINCT id) AS extractions FROM c GROUP BY 2 UNION ALL SELECT 'reason', reason, count(*), count(DISTINCT id) FROM c GROUP BY 2""")
 def corrections(spark, d):
     e = extractions(spark, d)
-    return quality.corrections_by(e.select((F.col("id") % 500).alias("id"), F.col("event_type").alias("field"), F.col("status").alias("reason")))
+    return quality.corrections_by(e.select((F.col("id") % 500).alias("id"), F.col("event_type").alias("field"), F.nullif("status", F.lit("RAW")).alias("reason")))
+
 
+#: Of a user's fields the ``k``-th tenth mismatches; digits alone are equal in every second of these.
+GOLDEN_SQL = EXT_SQL + """, g AS (SELECT user_id AS "case", k % 10 > 0 AS ok, k % 10 > 0 OR k % 20 = 0 AS digits, k, CASE WHEN user_id % 3 = 0 THEN 0 ELSE 40 END AS least, event_type <> 'error' AS num FROM ext WHERE user_id % 2 = 1 OR k % 10 > 0),
+pc AS (SELECT "case", count(*) FILTER (NOT ok) AS mismatches, count(*) FILTER (ok AND k < least) AS low, avg(k) < 50 AS low_mean, avg(k) AS mean FROM g GROUP BY 1)"""
 
-@query("a19_golden", EXT_SQL + """, g AS (SELECT user_id AS "case", CASE WHEN k % 10 > 0 THEN true ELSE false END AS ok, k, event_type <> 'error' AS num FROM ext), s AS (SELECT round(avg(CAST(ok AS INTEGER)), 6) AS r FROM g WHERE num)
-SELECT "case", count(*) FILTER (NOT ok) AS mismatches, count(*) FILTER (k < 40) AS low, CAST(round(avg(k), 4) * 10000 AS BIGINT) AS confidence, CAST(round(any_value(r) * 1000000) AS BIGINT) AS numeric_ppm FROM g, s GROUP BY 1""")
+
+def golden_cases(spark, d):
+    e, k = extractions(spark, d).filter("user_id % 2 = 1 or k % 10 > 0"), F.col("k")
+    actual = F.when(k % 10 > 0, " a B1 ").when(k % 20 == 0, "c1").otherwise("c2")
+    return e.select(F.col("user_id").alias("case"), F.col("event_type").alias("field"), F.lit("AB 1").alias("expected"), actual.alias("actual"), k.cast("double").alias("confidence"), F.when(F.col("user_id") % 3 == 0, 0.0).otherwise(40.0).alias("least"), F.lit(50.0).alias("least_mean"), (F.col("event_type") != "error").alias("numeric"))
+
+
+@query("a19_golden", GOLDEN_SQL + """ SELECT "case", mismatches, low, low_mean, CAST(round(round(mean, 4) * 10000) AS BIGINT) AS confidence, mismatches = 0 AND low = 0 AND NOT low_mean AS passed FROM pc""")
 def golden(spark, d):
-    e = extractions(spark, d).select(F.col("user_id").alias("case"), F.col("event_type").alias("field"), F.lit("A b").alias("expected"), F.when(F.col("k") % 10 > 0, " aB ").otherwise("c").alias("actual"), F.col("k").cast("double").alias("confidence"), F.lit(40.0).alias("least"), (F.col("event_type") != "error").alias("numeric"))
-    return quality.golden(e).select("case", "mismatches", "low", F.round(F.col("confidence") * 10000).cast("long").alias("confidence"), F.round(F.col("numeric_rate") * 1000000).cast("long").alias("numeric_ppm"))
+    return quality.golden(golden_cases(spark, d)).withColumn("confidence", F.round(F.col("confidence") * 10000).cast("long"))
+
+
+@query("a19_golden_suite", GOLDEN_SQL + """ SELECT count(*) AS total, count(*) FILTER (mismatches = 0 AND low = 0 AND NOT low_mean) AS passed, count(*) FILTER (NOT (mismatches = 0 AND low = 0 AND NOT low_mean)) AS failed, any_value(nt) AS numeric_total, any_value(ne) AS numeric_exact, any_value(round(ne / nt, 6)) AS numeric_rate, any_value(ne / nt >= 0.98) AS numeric_passed
+FROM pc, (SELECT count(*) FILTER (num) AS nt, count(*) FILTER (num AND digits) AS ne FROM g)""")
+def golden_suite(spark, d):
+    return quality.golden_suite(golden_cases(spark, d))
 
 
 @query("t3_queue_page", EXT_SQL + " SELECT id FROM (SELECT *, row_number() OVER (ORDER BY k, id) AS p FROM ext WHERE status = 'PENDING') WHERE p > 100 AND p <= 150")
@@ -148,12 +173,33 @@ def repaired(spark, d):
     return quality.repaired_ids(rows, nation).select("id", "player", "repair")
 
 
-@query("a15_job_progress", EXT_SQL + """, t AS (SELECT user_id AS job, CASE WHEN user_id % 5 = 0 THEN 'COMPLETED' WHEN user_id % 5 = 1 THEN 'FAILED' WHEN user_id % 5 = 2 THEN 'QUEUED' ELSE CASE id % 3 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'COMPLETED' ELSE 'FAILED' END END AS s, k < 30 AS low FROM ext)
-SELECT job, count(*) AS total, count(*) FILTER (s IN ('COMPLETED', 'FAILED')) AS processed, count(*) FILTER (low) AS low_confidence, CASE WHEN count(*) FILTER (s = 'QUEUED') > 0 AND count(*) FILTER (s IN ('COMPLETED', 'FAILED')) > 0 THEN 'PROCESSING' WHEN count(*) FILTER (s = 'QUEUED') > 0 THEN 'QUEUED' WHEN count(*) FILTER (s = 'FAILED') = count(*) THEN 'FAILED' ELSE 'REVIEW' END AS job_status FROM t GROUP BY 1""")
+READ_SQL = EXT_SQL + ", rs AS (SELECT id, CASE WHEN (status = 'RAW' AND k % 4 = 0) OR id % 6 = 0 THEN 'HIGH' WHEN k % 4 = 0 OR k < 70 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM ext)"
+
+
+def read_rows(spark, d):
+    failures = F.when(F.col("id") % 6 == 0, F.array(F.lit("blur"))).when(F.col("id") % 6 == 1, F.array().cast("array<string>"))
+    e = extractions(spark, d).withColumn("failures", failures)
+    return e.select("id", quality.read_severity(F.col("status"), F.col("k") % 4 == 0, F.col("failures"), F.col("k")).alias("severity"))
+
+
+@query("n4_read_severity", READ_SQL + " SELECT id, severity FROM rs")
+def read_severities(spark, d):
+    return read_rows(spark, d)
+
+
+@query("t3_queue_summary", READ_SQL + " SELECT count(*) AS total, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low FROM rs")
+def queue_summary(spark, d):
+    return quality.queue_summary(read_rows(spark, d))
+
+
+@query("a15_job_progress", EXT_SQL + """, t AS (SELECT user_id AS job, CASE WHEN user_id % 5 = 0 THEN 'COMPLETED' WHEN user_id % 5 = 1 THEN 'FAILED' WHEN user_id % 5 = 2 THEN 'QUEUED' ELSE CASE id % 3 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'COMPLETED' ELSE 'FAILED' END END AS s FROM ext WHERE id % 7 > 0),
+g AS (SELECT job, count(*) AS total, count(*) FILTER (s IN ('COMPLETED', 'FAILED')) AS processed, count(*) FILTER (s = 'FAILED') AS failed FROM t GROUP BY 1), lo AS (SELECT user_id AS job, count(*) FILTER (k < 30) AS low FROM ext GROUP BY 1)
+SELECT player AS job, coalesce(total, 0) AS total, coalesce(processed, 0) AS processed, coalesce(low, 0) AS low_confidence, CASE WHEN total IS NULL THEN 'QUEUED' WHEN processed < total THEN 'PROCESSING' WHEN failed = total THEN 'FAILED' ELSE 'REVIEW' END AS job_status FROM players LEFT JOIN g ON g.job = player LEFT JOIN lo ON lo.job = player""")
 def progress(spark, d):
-    j = F.col("user_id") % 5
+    e, j = extractions(spark, d).withColumnRenamed("user_id", "job"), F.col("job") % 5
     s = F.when(j == 0, "COMPLETED").when(j == 1, "FAILED").when(j == 2, "QUEUED").otherwise(F.when(F.col("id") % 3 == 0, "QUEUED").when(F.col("id") % 3 == 1, "COMPLETED").otherwise("FAILED"))
-    return ops.job_progress(extractions(spark, d).select(F.col("user_id").alias("job"), s.alias("status"), (F.col("k") < 30).alias("low_confidence"))).select("job", "total", "processed", "low_confidence", "job_status")
+    jobs = r.players(spark, d).select(F.col("player").alias("job"))
+    return ops.job_progress(e.filter("id % 7 > 0").select("job", s.alias("status")), jobs, e.select("job", (F.col("k") < 30).alias("low_confidence"))).select("job", "total", "processed", "low_confidence", "job_status")
 
 
 @query("f6_retention", " SELECT id FROM board WHERE status IN ('ACTIVE', 'REJECTED') AND updated_at < TIMESTAMP '1998-01-01' - CASE WHEN type = '1-URGENT' THEN INTERVAL 30 DAY ELSE INTERVAL 180 DAY END")
@@ -187,11 +233,21 @@ def profile(spark, d):
     return ops.best_profile(im, pf, "rankboard").select("id", "profile", "match")
 
 
-@query("j13_manifest_gaps", " SELECT o_custkey AS job, count(*) AS expected, count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)) AS enqueued, count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)) AS missing FROM orders GROUP BY 1")
+@query("j13_manifest_gaps", """, li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS pos FROM lineitem),
+mf AS (SELECT l_orderkey AS job, pos, l_quantity > 10 AS done, l_quantity <= 10 AND (l_partkey % 3 = 0 OR l_partkey % 5 = 0) AS lost, CASE WHEN l_partkey % 5 = 0 THEN 'e' || l_partkey ELSE 'not-enqueued' END AS reason FROM li),
+gg AS (SELECT job, count(*) FILTER (done) AS enqueued, count(*) FILTER (lost) AS lost, string_agg(pos || ':' || reason, ',' ORDER BY pos) FILTER (lost) AS entries, count(*) AS n FROM mf GROUP BY 1),
+gx AS (SELECT *, greatest(n, 2) AS expected, CASE WHEN greatest(n, 2) > enqueued THEN greatest(greatest(n, 2) - enqueued, lost) ELSE 0 END AS missing FROM gg)
+SELECT job, expected, enqueued, missing, CASE WHEN missing > 0 THEN coalesce(entries, '') ELSE '' END AS entries, CASE WHEN missing > 0 THEN 'FAILED' ELSE 'PROCESSING' END AS status FROM gx""")
 def gaps(spark, d):
-    e = r.t(spark, d, "orders").select(F.col("o_custkey").alias("job"), F.col("o_orderkey").alias("entry"))
-    u = r.t(spark, d, "lineitem").filter("l_quantity > 30").select(F.col("l_orderkey").alias("entry")).distinct().join(e, "entry")
-    return ops.manifest_gaps(e, u)
+    from pyspark.sql.window import Window
+
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"))
+    li = r.t(spark, d, "lineitem").withColumn("place", pos)
+    done, k = F.col("l_quantity") > 10, F.col("l_partkey")
+    manifest = li.select(F.col("l_orderkey").alias("job"), "place", F.col("place").cast("string").alias("row"), F.lit("f").alias("file"), F.when(done, F.lit("t")).alias("task"), F.when(k % 3 == 0, "Failed").otherwise("new").alias("status"), F.when(k % 5 == 0, F.concat(F.lit("e"), k)).alias("error"))
+    jobs = li.groupBy(F.col("l_orderkey").alias("job")).agg(F.count("*").alias("total")).withColumns({"expected": F.lit(2), "status": F.lit("PROCESSING")})
+    out = ops.manifest_gaps(jobs, manifest, li.filter(done).select(F.col("l_orderkey").alias("job")))
+    return out.select("job", "expected", "enqueued", "missing", F.coalesce(F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["row"], e["reason"])), ","), F.lit("")).alias("entries"), "status")
 
 
 @query("a20_child_counts", " SELECT player, (SELECT count(*) FROM board b WHERE b.identity = p.player) AS orders, (SELECT count(*) FROM obs o WHERE o.player = p.player) AS events FROM players p")
@@ -228,10 +284,12 @@ def tasks(spark, d):
     return ops.index_tasks(sets).groupBy("corpus", "entity_type").agg(F.count("*").alias("n"))
 
 
-@query("a24_index_status", """ SELECT type AS corpus, count(*) AS total, count(*) FILTER (status = 'ACTIVE') AS pending, count(*) FILTER (status = 'REJECTED') AS failed, count(*) FILTER (status = 'UNRESOLVED' AND updated_at >= TIMESTAMP '1998-06-01' - INTERVAL 24 HOUR) AS completed_24h FROM board GROUP BY 1""")
+@query("a24_index_status", """ SELECT (SELECT count(*) FROM documents) AS documents, (SELECT string_agg(lang || '=' || n, ',' ORDER BY lang) FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)) AS by_corpus, count(*) FILTER (status = 'ACTIVE') AS pending, 0 AS processing, count(*) FILTER (status = 'REJECTED') AS failed, count(*) FILTER (status = 'UNRESOLVED' AND updated_at >= TIMESTAMP '1998-06-01' - INTERVAL 24 HOUR) AS completed_24h FROM board""")
 def index_status(spark, d):
     s = F.when(F.col("status") == "ACTIVE", "PENDING").when(F.col("status") == "REJECTED", "FAILED").otherwise("COMPLETED")
-    return ops.index_status(r.boards(spark, d).select(F.col("type").alias("corpus"), s.alias("status"), "updated_at"), F.lit("1998-06-01").cast("timestamp")).select("corpus", "total", "pending", "failed", "completed_24h")
+    tasks = r.boards(spark, d).select(s.alias("status"), F.col("updated_at").alias("completed_at"))
+    out = ops.index_status(r.t(spark, d, "documents").select(F.col("lang").alias("corpus")), tasks, F.lit("1998-06-01").cast("timestamp"))
+    return out.withColumn("by_corpus", F.array_join(F.transform(F.map_entries("by_corpus"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
 @query("st6_retry_at", " SELECT id, strftime(updated_at + least(3600, CAST(pow(2, least(id % 16, 12)) AS INTEGER)) * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS next_at, CASE WHEN id % 16 >= 3 THEN 'FAILED' ELSE 'QUEUED' END AS status FROM board")
@@ -412,48 +470,58 @@ def fallback(spark, d):
     return identity.fallback(v).select("query", "player", "status")
 
 
-@query("r8_context_pack")
+@query("r8_context_pack", r""", pc AS (SELECT conv_id AS pack, turn AS place, trim(substr(trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(9) || ' '), 1, 30000), chr(10) || chr(9) || ' ') AS body, trim(substr(text, 1, 80), chr(10) || chr(9) || ' ') AS short, role = 'system' AS critical, turn % 3 AS priority FROM conversations),
+po AS (SELECT *, row_number() OVER (PARTITION BY pack ORDER BY critical DESC, priority DESC, place) AS n FROM pc WHERE body <> ''),
+ps AS (SELECT pack, 0::BIGINT AS n, NULL::BIGINT AS place, NULL::VARCHAR AS how, 0::BIGINT AS tokens, 200::BIGINT AS rest FROM (SELECT DISTINCT pack FROM po)
+  UNION ALL SELECT pack, n, place, how, tokens, rest - CASE WHEN how IS NULL THEN 0 ELSE tokens END FROM (SELECT y.*, CASE how WHEN 'full' THEN tb WHEN 'summary' THEN ts ELSE tc END AS tokens FROM (SELECT x.*, CASE WHEN tb <= rest THEN 'full' WHEN short <> '' AND ts <= rest THEN 'summary' WHEN critical AND tc > 0 AND tc <= rest THEN 'clipped' END AS how
+    FROM (SELECT o.pack, o.n, o.place, o.critical, o.short, rest, CAST(ceil(length(body) / 4) AS BIGINT) AS tb, CAST(ceil(length(short) / 4) AS BIGINT) AS ts, CAST(ceil(length(trim(substr(body, 1, greatest(120, rest * 4)), chr(10) || chr(9) || ' ')) / 4) AS BIGINT) AS tc FROM ps JOIN po o ON o.pack = ps.pack AND o.n = ps.n + 1) x) y) z)
+SELECT pack, place, how, tokens FROM ps WHERE how IS NOT NULL""")
 def pack(spark, d):
     c = r.t(spark, d, "conversations").select(F.col("conv_id").alias("pack"), F.col("turn").alias("place"), F.col("text").alias("content"), F.substring("text", 1, 80).alias("summary"), (F.col("role") == "system").alias("critical"), (F.col("turn") % 3).cast("int").alias("priority"), F.lit(200).alias("budget"))
     return vectorized.pack_context(c)
 
 
-FUSED_SQL = """, cd AS (SELECT player AS ext, CASE metric WHEN 'kill_points' THEN 'kp' WHEN 'contribution_points' THEN 't4' WHEN 'fort_destroying' THEN 't5' WHEN 'power' THEN 'governorName' ELSE 'governorId' END AS field, id, CASE WHEN metric = 'power' THEN 'Lord ' || CASE WHEN value % 2 = 0 THEN 'é' ELSE 'e' END || value WHEN id % 9 = 0 THEN 'x' ELSE CAST(value * CASE WHEN metric = 'kill_points' THEN 1 ELSE 2 END AS VARCHAR) END AS value, CAST(value % 101 AS DOUBLE) AS confidence, id % 4 > 0 AS valid FROM obs),
+FUSED_SQL = """, cd AS (SELECT player AS ext, metric, CASE metric WHEN 'kill_points' THEN 'kp' WHEN 'contribution_points' THEN 't4' WHEN 'fort_destroying' THEN 't5' WHEN 'power' THEN 'governorName' ELSE 'governorId' END AS field, id, CASE WHEN metric = 'power' THEN 'Lord ' || CASE WHEN value % 2 = 0 THEN 'é' ELSE 'e' END || value WHEN id % 9 = 0 THEN 'x' ELSE CAST(value * CASE WHEN metric = 'kill_points' THEN 1 ELSE 2 END AS VARCHAR) END AS value, CAST(value % 101 AS DOUBLE) AS confidence, id % 4 > 0 AS valid FROM obs),
 sc AS (SELECT *, length(regexp_replace(value, '[^0-9]', '', 'g')) AS nd, length(value) AS n FROM cd),
 fs AS (SELECT *, round(confidence / 100 * 0.62::DOUBLE + CASE WHEN field = 'governorName' THEN CASE WHEN n BETWEEN 1 AND 40 THEN 0.12::DOUBLE ELSE -0.18::DOUBLE END + CASE WHEN n > 0 THEN (1 - (n - length(replace(value, 'é', ''))) / n) * 0.2::DOUBLE ELSE 0 END + CASE WHEN valid THEN 0.1::DOUBLE ELSE -0.28::DOUBLE END
   ELSE CASE WHEN nd > 0 THEN 0.1::DOUBLE ELSE -0.45::DOUBLE END + CASE WHEN field = 'governorId' THEN CASE WHEN nd BETWEEN 6 AND 12 THEN 0.16::DOUBLE ELSE -0.22::DOUBLE END WHEN nd BETWEEN 1 AND 11 THEN 0.08::DOUBLE ELSE -0.16::DOUBLE END + CASE WHEN valid THEN 0.14::DOUBLE ELSE -0.35::DOUBLE END END, 9) AS score FROM sc),
 fp AS (SELECT *, row_number() OVER w AS place, round(score - lead(score) OVER w, 9) AS lead FROM fs WINDOW w AS (PARTITION BY ext, field ORDER BY score DESC, confidence DESC, id)), fc AS (SELECT * FROM fp WHERE place <= 4)"""
 
 
-def fused_candidates(spark, d):
+def scored_candidates(spark, d):
     o = r.observations(spark, d)
     m = F.col("metric")
     field = F.when(m == "kill_points", "kp").when(m == "contribution_points", "t4").when(m == "fort_destroying", "t5").when(m == "power", "governorName").otherwise("governorId")
     name = F.concat(F.lit("Lord "), F.when(F.col("value") % 2 == 0, "é").otherwise("e"), F.col("value").cast("string"))
     value = F.when(m == "power", name).when(F.col("id") % 9 == 0, "x").otherwise((F.col("value") * F.when(m == "kill_points", 1).otherwise(2)).cast("string"))
-    return quality.fused_candidates(o.select(F.col("player").alias("ext"), field.alias("field"), "id", value.alias("value"), (F.col("value") % 101).cast("double").alias("confidence"), (F.col("id") % 4 > 0).alias("valid")))
+    problem = F.when(F.col("id") % 8 == 0, F.concat(F.lit("too-long-"), "metric"))
+    return o.select(F.col("player").alias("ext"), field.alias("field"), "id", value.alias("value"), (F.col("value") % 101).cast("double").alias("confidence"), (F.col("id") % 4 > 0).alias("valid"), problem.alias("problem"))
 
 
-@query("w14_fused_candidates", FUSED_SQL + """ SELECT ext, field, id, CAST(place AS INTEGER) AS place, CAST(round(score * 1000000) AS BIGINT) AS score_ppm, CASE WHEN place = 1 THEN concat_ws(',', CASE WHEN NOT valid THEN 'validation-failed' END, CASE WHEN confidence < 70 THEN 'low-ocr-confidence' END, CASE WHEN score < 0.55 THEN 'low-fusion-score' END, CASE WHEN lead < 0.03 THEN 'ambiguous-candidates' END) END AS reasons FROM fc""")
+@query("w14_fused_candidates", FUSED_SQL + """ SELECT ext, field, id, CAST(place AS INTEGER) AS place, CAST(round(score * 1000000) AS BIGINT) AS score_ppm, CASE WHEN place = 1 THEN coalesce(nullif(concat_ws(',', CASE WHEN NOT valid THEN CASE WHEN id % 8 = 0 THEN 'too-long-' || metric ELSE 'validation-failed' END END, CASE WHEN confidence < 70 THEN 'low-ocr-confidence' END, CASE WHEN score < 0.55 THEN 'low-fusion-score' END, CASE WHEN lead < 0.03 THEN 'ambiguous-candidates' END), ''), 'selected-highest-fusion-score') END AS reasons FROM fc""")
 def candidates(spark, d):
-    return fused_candidates(spark, d).select("ext", "field", "id", "place", F.round(F.col("score") * 1000000).cast("long").alias("score_ppm"), "reasons")
+    return quality.fused_candidates(scored_candidates(spark, d)).select("ext", "field", "id", "place", F.round(F.col("score") * 1000000).cast("long").alias("score_ppm"), "reasons")
 
 
-@query("w15_consistent_fields", FUSED_SQL + """, nm AS (SELECT *, CAST(regexp_replace(value, '[^0-9]', '', 'g') AS BIGINT) AS v, row_number() OVER (PARTITION BY ext, field ORDER BY place) AS p FROM fc WHERE nd > 0),
+@query("w15_consistent_fields", FUSED_SQL + """, nm AS (SELECT *, CAST(regexp_replace(value, '[^0-9]', '', 'g') AS HUGEINT) AS v, row_number() OVER (PARTITION BY ext, field ORDER BY place) AS p FROM fp WHERE nd > 0),
 cb AS (SELECT a.ext, a.v AS kp, b.v AS t4, c.v AS t5, a.place AS pa, b.place AS pb, c.place AS pc, round(a.score + b.score + c.score - CASE WHEN a.v < b.v + c.v THEN 1.25::DOUBLE + least(2.0::DOUBLE, (b.v + c.v - a.v) / greatest(1, a.v)) ELSE 0 END, 9) AS total
   FROM nm a JOIN nm b ON a.ext = b.ext JOIN nm c ON a.ext = c.ext WHERE a.field = 'kp' AND b.field = 't4' AND c.field = 't5' AND a.p <= 3 AND b.p <= 3 AND c.p <= 3),
 bs AS (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY total DESC, pa, pb, pc) AS k FROM cb)
 SELECT ext, kp, t4, t5, CAST(round(total * 1000000) AS BIGINT) AS total_ppm, kp < t4 + t5 AS inconsistent, concat_ws(',', CASE WHEN pa > 1 THEN 'kp:adjusted-for-consistency' END, CASE WHEN pb > 1 THEN 't4:adjusted-for-consistency' END, CASE WHEN pc > 1 THEN 't5:adjusted-for-consistency' END) AS reasons FROM bs WHERE k = 1""")
 def consistent(spark, d):
-    return quality.consistent_fields(fused_candidates(spark, d)).select("ext", "kp", "t4", "t5", F.round(F.col("total") * 1000000).cast("long").alias("total_ppm"), "inconsistent", "reasons")
+    return quality.consistent_fields(quality.scored_candidates(scored_candidates(spark, d))).select("ext", "kp", "t4", "t5", F.round(F.col("total") * 1000000).cast("long").alias("total_ppm"), "inconsistent", "reasons")
 
 
-@query("a26_run_quality", """, x AS (SELECT run, greatest(0, least(100, (confidence + value % 100 + (value % 50) * 0.35) / 2.35 - CASE WHEN pos % 3 > 0 THEN 0 ELSE 7 END)) AS c, name = 'Kill Points' AS failed FROM captured) SELECT run, CAST(floor(avg(c) * 100 + 0.31415926) AS BIGINT) AS hundredths, avg(c) < 72 OR bool_or(failed) AS low_confidence FROM x GROUP BY 1""")
+@query("a26_run_quality", """, x AS (SELECT run, pos, (value % 97 + confidence + value % 100 + (value % 50) * 0.35::DOUBLE) / 3.35::DOUBLE AS c, pos % 3 > 0 AS grouped, name = 'Kill Points' AS failed FROM captured WHERE run % 9 > 0),
+y AS (SELECT run, avg(CASE WHEN grouped THEN c ELSE greatest(0, c - 7) END) AS m, bool_or(failed) AS failed FROM x GROUP BY 1), z AS (SELECT DISTINCT run FROM captured)
+SELECT z.run, CAST(floor(coalesce(m, 0) * 100 + 0.31415926) AS BIGINT) AS hundredths, m IS NULL OR m < 72 OR failed OR z.run % 7 = 0 AS low_confidence FROM z LEFT JOIN y USING (run)""")
 def run_quality(spark, d):
     from boardlake.operators.guards import run_quality as run
 
-    c = r.captured(spark, d).select("run", F.col("confidence").alias("name_conf"), (F.col("value") % 100).alias("metric_conf"), (F.col("value") % 50).alias("title_conf"), (F.col("pos") % 3 > 0).alias("grouping_ok"), (F.col("name") == "Kill Points").alias("failed"))
-    return run(c).select("run", F.floor(F.col("confidence") * 100 + 0.31415926).cast("long").alias("hundredths"), "low_confidence")
+    c = r.captured(spark, d)
+    runs = c.select("run").distinct().withColumn("guard_failures", F.when(F.col("run") % 7 == 0, F.array(F.lit("uniform-metric-suspect"))))
+    rows = c.filter("run % 9 > 0").select("run", (F.col("value") % 97).alias("rank_conf"), F.col("confidence").alias("name_conf"), (F.col("value") % 100).alias("metric_conf"), (F.col("value") % 50).alias("title_conf"), (F.col("pos") % 3 > 0).alias("grouping_ok"), (F.col("name") == "Kill Points").alias("failed"))
+    return run(rows, runs).select("run", F.floor(F.col("confidence") * 100 + 0.31415926).cast("long").alias("hundredths"), "low_confidence")
 
 
 @query("j5_exact_matches", NAMES_SQL + " SELECT query, player, 'alias' AS source FROM qs JOIN reg ON query = key UNION ALL SELECT query, player, 'name' FROM qs JOIN reg ON lower('~' || key) = lower(query)")

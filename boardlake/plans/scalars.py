@@ -92,9 +92,15 @@ def archetype(spark, d):
     return r.t(spark, d, "part").select(F.col("p_partkey").alias("id"), a.alias("archetype"), text.ingestion_domain(a).alias("domain"))
 
 
-@query("p24_compact")  # SQL engines round halves of tenths otherwise
+@query("p24_compact", """, v AS (SELECT id, CAST(value * CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 64 ELSE 0 END // CASE WHEN id % 5 = 0 THEN 1000000 ELSE 1 END - 128 AS BIGINT) AS v FROM board UNION ALL SELECT id + 1000000, (id % 10000) * 10 - 50000 FROM board UNION ALL SELECT id + 2000000, (id % 10000) * 50000 FROM board),
+y AS (SELECT *, CASE WHEN abs(v) >= 1e9 THEN 1e9 WHEN abs(v) >= 1e6 THEN 1e6 WHEN abs(v) >= 1e3 THEN 1e3 END::DOUBLE AS unit FROM v), x AS (SELECT *, abs(v)::DOUBLE / unit AS x FROM y),
+z AS (SELECT *, CASE WHEN x * 4 = floor(x * 4) AND CAST(x * 4 AS BIGINT) % 2 = 1 THEN ((CAST(floor(x * 10) AS BIGINT) + 1) // 10) || '.' || ((CAST(floor(x * 10) AS BIGINT) + 1) % 10) ELSE printf('%.1f', x) END AS s FROM x)
+SELECT id, v, CASE WHEN v > 0 THEN '+' ELSE '' END || CASE WHEN unit IS NULL THEN CAST(v AS VARCHAR) ELSE CASE WHEN v < 0 THEN '-' ELSE '' END || regexp_replace(s, '\\.0$', '') || CASE unit WHEN 1e9 THEN 'B' WHEN 1e6 THEN 'M' ELSE 'K' END END AS text FROM z""")
 def compact(spark, d):
     b = r.boards(spark, d).withColumn("v", F.expr("value * case id % 3 when 0 then 1 when 1 then 64 else 0 end div case when id % 5 = 0 then 1000000 else 1 end - 128"))
+    tens = r.boards(spark, d).select((F.col("id") + 1000000).alias("id"), (F.col("id") % 10000 * 10 - 50000).alias("v"))
+    halves = r.boards(spark, d).select((F.col("id") + 2000000).alias("id"), (F.col("id") % 10000 * 50000).alias("v"))
+    b = b.select("id", "v").unionByName(tens).unionByName(halves)
     return b.select("id", "v", text.signed_compact(F.col("v")).alias("text"))
 
 

@@ -103,6 +103,14 @@ def top(spark, d):
     return activity.top_by_metric(scored(spark, d))
 
 
+@query("t2_leaders", WEEKLY_SQL + """, dd AS (SELECT k.period, k.player, CASE WHEN okp IS NULL THEN coalesce(s.deads, 0) ELSE 0 END AS deads FROM keys k LEFT JOIN cur USING (period, player) LEFT JOIN ws s ON s.player = k.player AND s.period = k.period),
+gr AS (SELECT sc.period, sc.player, name, coalesce(kp_growth, 0) AS kp_growth, CASE WHEN kp_growth IS NOT NULL THEN coalesce(d.deads, 0) - coalesce(q.deads, 0) ELSE 0 END AS deads_growth FROM sc JOIN periods ON periods.period = sc.period LEFT JOIN dd d ON d.period = sc.period AND d.player = sc.player LEFT JOIN dd q ON q.period = periods.previous AND q.player = sc.player),
+l AS (UNPIVOT gr ON kp_growth, deads_growth INTO NAME metric VALUE value)
+SELECT period, player, name, metric, value, place FROM (SELECT *, row_number() OVER (PARTITION BY period, metric ORDER BY value DESC, name, player) AS place FROM l) WHERE place <= CASE metric WHEN 'kp_growth' THEN 5 ELSE 3 END""")
+def leaders(spark, d):
+    return activity.leaders(scored(spark, d))
+
+
 @query("t2_inactive_members", WEEKLY_SQL + "SELECT period, player, alliance FROM sc WHERE overall = 'FAIL' AND coalesce(kp_growth, 0) <= 0 AND fort <= 0")
 def inactive(spark, d):
     return activity.inactive(scored(spark, d)).select("period", "player", "alliance")

@@ -163,11 +163,11 @@ def test_consistent_fields_are_brute_force(spark):
     import itertools
     import random
 
-    from boardlake.operators.quality import consistent_fields, fused_candidates
+    from boardlake.operators.quality import consistent_fields, scored_candidates
 
     r = random.Random(4)
     rows = [(e, f, i, str(r.randrange(1, 9) * 10 ** r.randrange(1, 5)), float(r.randrange(100)), r.random() < 0.7) for e in range(12) for f in ("kp", "t4", "t5") for i in range(r.randrange(1, 7))]
-    ranked = fused_candidates(spark.createDataFrame(rows, "ext int, field string, id int, value string, confidence double, valid boolean")).cache()
+    ranked = scored_candidates(spark.createDataFrame(rows, "ext int, field string, id int, value string, confidence double, valid boolean")).cache()
     top = {}
     for x in ranked.filter("place <= 3").collect():
         top.setdefault(x.ext, {}).setdefault(x.field, []).append((int(x.value), x.score, -x.place))
