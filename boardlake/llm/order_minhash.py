@@ -6,12 +6,13 @@ minimal items (the one-permutation form of MinHash: each item is hashed once rat
 k-mers are put back into text order and their tuple is hashed. Two fingerprints are as alike as the share of slots,
 among those that are filled in either, in which they hold the same tuple.
 
-All is SQL expressions on one row's arrays and one shuffle, by ranges of ``doc_id``, for a document and its successor.
+All is SQL expressions on one row's arrays and one shuffle, by ranges of (``doc_id``, hash of the text), for a document and its
+successor.
 
 Defined cases: null text is empty; a text without words has an empty fingerprint, and two of those are alike (1.0);
-rows with a null ``doc_id`` come last in descending order; rows that repeat an id follow one another in order of text, those of
-an id with more rows than a range in no particular order, dealt to several tasks;
-a single row is its own successor; an empty table gives no rows; other columns, whatever their names, are ignored.
+rows with a null ``doc_id`` come last in descending order; rows that repeat an id follow one another in order of their texts'
+XXH64 (as a signed number), whatever the sizes of tables and ranges; an id, or one text of it, with more rows than a range is dealt to
+several tasks; a single row is its own successor; an empty table gives no rows; other columns, whatever their names, are ignored.
 Positions take 30 bits, so a text may have 2^30 words; no string in Spark holds more.
 """
 
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from boardlake.llm.common import only, table
@@ -86,50 +86,58 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / slots)
 
 
-def _range_of(ord_: Column, bounds: list[int]) -> Column:
-    """The number of ascending ``bounds`` that are at most ``ord_``, found in two steps."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    longs = lambda x: F.array(*[F.lit(v).cast("long") for v in x])
-    at_most = lambda xs: F.size(F.filter(xs, lambda b: b <= ord_))
-    coarse = at_most(longs(bounds[::step]))
-    fine = F.array(*[longs(bounds[i : i + step]) for i in range(0, len(bounds), step)])
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + at_most(F.get(fine, coarse - 1)))
+def _range_of(ord_: Column, bounds: Column) -> Column:
+    """The number of ascending ``bounds`` (arrays of some of them each) that are at most ``ord_``, found in two steps."""
+    coarse = F.size(F.filter(bounds, lambda b: b[0] <= ord_))
+    fine = F.size(F.filter(F.get(bounds, coarse - 1), lambda b: b <= ord_))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * F.size(bounds[0]) + fine)
 
 
 def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
-    """``docs`` with ``next_<column>``: the values of the next row in descending order of ``ord`` (after the last: the first).
+    """``docs`` with ``next_<column>``: the values of the next row in descending order of ``ord``, then ascending order of the hash of
+    ``text`` (after the last: the first).
 
-    Rows are dealt by ranges of ``ord``, cut at quantiles, and each range also gets the first row of the range below it. A value
-    that takes several quantiles has as many parts of its own, each in order of row numbers. What reaches the driver is a row
-    for each range, of which there are some four for each shuffle partition.
+    Rows are dealt by ranges of ``ord``, cut at quantiles, and each range also gets the row that comes after it. A value of ``ord``
+    that takes several quantiles has a range of its own, which is cut into ranges of hashes; copies of one text that still are
+    more than a range are dealt by row numbers, as it makes no difference which copy is next to which. What reaches the
+    driver, and is broadcast, is a row or a number for each range, of which there are some four for each shuffle partition.
     """
     spark = docs.sparkSession
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
     cuts = [(i + 1) / ranges for i in range(ranges - 1)]
-    got = docs.select(F.percentile_approx("ord", cuts or [0.5], 20 * ranges)).first()[0] or []
+    got, total = docs.select(F.percentile_approx("ord", cuts or [0.5], 20 * ranges), F.count("*")).first()
+    got = got or []
     hot = {v: got.count(v) for v in got if got.count(v) > 1}
-    bounds = sorted({*got, *(v + 1 for v in hot if v < (1 << 63) - 1)})
-    part, row = F.lit(0), F.lit(-1).cast("long")
-    numbered = F.monotonically_increasing_id()
-    for v, n in hot.items():
-        own = F.col("ord") == F.lit(v).cast("long")
-        part, row = F.when(own, F.pmod(F.xxhash64(numbered), F.lit(n + 1)).cast("int")).otherwise(part), F.when(own, numbered).otherwise(row)
-    docs = docs.withColumns({"range": _range_of(F.col("ord"), bounds), "part": part, "row": row})
-    tops = docs.groupBy("range", "part").agg(F.max("ord").alias("top"), F.min("row").alias("first")).collect()
-    tops = sorted(tops, key=lambda r: (-r["range"], r["part"]))
-    after = [tops[(i + 1) % len(tops)] for i in range(len(tops))]
-    lent = [(b["top"], b["part"], b["first"], a["range"], a["part"]) for a, b in zip(tops, after, strict=True)]
-    fields = [("ord", T.LongType()), ("part", T.IntegerType()), ("row", T.LongType()), ("to_range", T.IntegerType()), ("to_part", T.IntegerType())]
-    lent_rows = spark.createDataFrame(lent, T.StructType([T.StructField(n, t) for n, t in fields]))
-    both = docs.join(F.broadcast(lent_rows), ["ord", "part", "row"], "left")
-    place = lambda r, p, lent: F.struct(r.alias("range"), p.alias("part"), F.lit(lent).alias("lent"))
-    own, other = place(F.col("range"), F.col("part"), False), place(F.col("to_range"), F.col("to_part"), True)
-    both = both.withColumn("to", F.explode(F.when(F.col("to_range").isNull(), F.array(own)).otherwise(F.array(own, other))))
-    w = Window.partitionBy("to.range", "to.part").orderBy(F.col("to.lent"), F.col("ord").desc(), F.col("row"), F.col("text"))
+    bounds = sorted({*got, *(v + 1 for v in hot if v < (1 << 63) - 1)}) or [0]
+    step = max(1, int(len(bounds) ** 0.5))
+    table_of = lambda rows, ddl: F.broadcast(spark.createDataFrame(rows, ddl))
+    cut = table_of([([bounds[i : i + step] for i in range(0, len(bounds), step)],)], "bounds array<array<bigint>>")
+    dealt = docs.crossJoin(cut).withColumn("range", _range_of(F.col("ord"), F.col("bounds"))).drop("bounds")
+    part, copy = F.lit(0), F.lit(0)
+    if hot:
+        dealt = dealt.join(table_of([(v, n + 1) for v, n in hot.items()], "ord bigint, parts int"), "ord", "left")
+        place = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 33)  # of the hash among all, in 31 bits
+        part = F.coalesce(F.shiftright(place * F.col("parts"), 31).cast("int"), F.lit(0))
+        many = dealt.filter("parts is not null").groupBy("ord", "h").agg(F.count("*").alias("n")).filter(F.col("n") * ranges > total).collect()
+        if many:
+            dealt = dealt.join(table_of([(r.ord, r.h, -(-r.n * ranges // total)) for r in many], "ord bigint, h bigint, copies int"), ["ord", "h"], "left")
+            copy = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("copies")).cast("int"), F.lit(0))
+    dealt = dealt.withColumns({"part": part, "copy": copy}).select(*docs.columns, "range", "part", "copy")
+    # of each task's rows the first, and to which task it goes beside its own: the one before
+    key = ["range", "part", "copy"]
+    first = F.min_by(F.struct("ord", "h"), F.struct(F.bitwise_not("ord"), "h")).alias("f")
+    tops = dealt.groupBy(*key).agg(first).collect()
+    tops = sorted(tops, key=lambda r: (-r["range"], r.part, ~r.f.ord, r.f.h, r["copy"]))
+    lent = [(b.f.ord, b.f.h, a["range"], a.part, a["copy"]) for a, b in zip(tops, tops[1:] + tops[:1], strict=True)]
+    wanted = table_of(lent, "ord bigint, h bigint, to_range int, to_part int, to_copy int")
+    rest = [c for c in docs.columns if c not in ("ord", "h")]
+    one = docs.join(F.broadcast(wanted.select("ord", "h").distinct()), ["ord", "h"]).groupBy("ord", "h").agg(F.min(F.struct(*rest)).alias("r"))
+    borrowed = one.join(wanted, ["ord", "h"]).select(*[F.col(c if c in ("ord", "h") else f"r.{c}").alias(c) for c in docs.columns], F.col("to_range").alias("range"), F.col("to_part").alias("part"), F.col("to_copy").alias("copy"), F.lit(True).alias("lent"))
+    both = dealt.withColumn("lent", F.lit(False)).unionByName(borrowed)
+    w = Window.partitionBy(*key).orderBy("lent", F.desc("ord"), "h")
     both = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
-    return both.filter("not to.lent").drop("to", "to_range", "to_part", "range", "part", "row")
+    return both.filter("not lent").drop("lent", "h", *key)
 
 
 def fingerprints(docs: DataFrame, k: int = KMER) -> DataFrame:

@@ -1,8 +1,10 @@
 """Successors where one id, or none, holds a large share of the rows."""
 
 import random
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from boardlake.llm import order_minhash
@@ -18,6 +20,8 @@ def test_every_row_is_once_the_next(spark, hot):
     base = df.withColumn("ord", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     plan = order_minhash.with_next(base, ["text"], 16)
     out = {x.text: x.next_text for x in plan.collect()}
+    for ranges in (1, 3):  # the same, however many ranges there are
+        assert {x.text: x.next_text for x in order_minhash.with_next(base, ["text"], ranges).collect()} == out
     order = {t: -(2**63) if i is None else i for i, t in rows}
     assert len(out) == len(rows) and set(out.values()) == set(out)
     start = max(out, key=lambda t: order[t])
@@ -39,3 +43,20 @@ def test_the_hot_id_is_dealt_to_several_tasks(spark):
 def test_one_row_and_none(spark):
     df = spark.createDataFrame([(1, "a")], "ord long, text string")
     assert order_minhash.with_next(df, ["text"]).first().next_text == "a" and order_minhash.with_next(df.limit(0), ["text"]).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 8, 40])
+def test_repeated_ids_and_copies_follow_by_hash(spark, ranges):
+    """A brute-force order, with one id and one text of it that take most rows."""
+    r = random.Random(7)
+    rows = [(5, "hot")] * 60 + [(5, f"t{r.randrange(40)}") for _ in range(60)] + [(r.randrange(10), f"u{r.randrange(9)}") for _ in range(40)]
+    r.shuffle(rows)
+    signed = lambda t: (xxhash.xxh64_intdigest(t, seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    order = sorted(rows, key=lambda x: (-x[0], signed(x[1])))
+    want = Counter(zip(order, order[1:] + order[:1], strict=True))
+    df = spark.createDataFrame(rows, "ord long, text string").repartition(5)
+    got = Counter(((x.ord, x.text), (x.next_ord, x.next_text)) for x in order_minhash.with_next(df, ["ord", "text"], ranges).collect())
+    # of copies that are dealt by row numbers each has a copy or what follows them next
+    assert sum(got.values()) == len(rows) and set(got) == set(want)
+    if ranges == 1:
+        assert got == want
