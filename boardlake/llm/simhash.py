@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, of rows that repeat it that of the smallest text
-    hash, then of the smallest row number. Rows with a null id are judged among themselves: one of each component stays.
+    hash, then of the smallest row number. Null ids come last, so a row without one stays only where the component has no other.
 
     Components are told apart by their smallest fingerprint, so an id that stands in several keeps a row in each. Row
     numbers are written with the rows, so that the choice survives retries.
@@ -229,13 +229,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed
     rows = materialize(numbered, "rows")
     own, text = F.col(f"_c{names.index('doc_id')}").cast("long"), F.col(f"_c{names.index('text')}").cast("string")
     prints = _printed(rows.select("_row", own.alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")), shingle, seed)
-    row, known = F.struct("doc_id", "hash", "_row"), F.col("doc_id").isNotNull()
-    firsts = [F.min(F.when(known, row)).alias("known"), F.min(F.when(~known, row)).alias("unknown")]
-    reps = materialize(prints.groupBy("fp").agg(*firsts), "distinct-fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash", "_row")
+    reps = materialize(prints.groupBy("fp").agg(F.min(row).alias("kept")), "distinct-fingerprints")
     comp = components(links(reps.select("fp"), radius, block)).withColumnRenamed("node", "fp")
     rooted = reps.join(comp, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
-    kept = rooted.agg(F.min("known").alias("known"), F.min("unknown").alias("unknown")).select(F.explode(F.array("known", "unknown")).alias("kept"))
-    kept = kept.filter("kept is not null").select("kept._row")
+    kept = rooted.agg(F.min("kept").alias("kept")).select("kept._row")
     return rows.join(kept, "_row", "left_semi").select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
 
 

@@ -18,7 +18,7 @@ def test_distinct_texts_of_one_id_all_stay(spark):
 
 
 def test_copies_without_an_id_go(spark):
-    rows = [(None, text(1))] * 3 + [(None, text(2)), (5, text(3)), (4, text(3))]
+    rows = [(None, text(1))] * 3 + [(None, text(2)), (5, text(3)), (4, text(3)), (None, text(3)), (None, text(3))]
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, n int")
     out = simhash.keep_one(df)
     assert out.columns == df.columns
