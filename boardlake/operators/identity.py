@@ -131,17 +131,41 @@ def _embedded(hits: DataFrame, known: DataFrame, threshold: float, margin: float
     return rows.select("query", "status_e", F.when(F.col("status_e") == "resolved", F.col("c")[0]["player"]).alias("player_e"), F.transform("c", lambda s: s.dropFields("place")).alias("candidates"))
 
 
+def alias_candidates(names: DataFrame) -> DataFrame:
+    """The aliases of each name (seq, player, name: as shown, tag, tracked): the name, and ``[TAG] name`` where its alliance is a
+    tracked one: seq, part, player, alias, alias_key. Aliases without a key, ``unknown`` ones, and a second one of the same key
+    are left out; a name that is empty, or whose player is unknown, has one row without a key."""
+    from boardlake.functions.vectorized import normalize_alias
+
+    tagged = F.when(F.col("tracked") & (F.coalesce("tag", F.lit("")) != ""), F.concat(F.lit("["), "tag", F.lit("] "), "name"))
+    known = (F.coalesce("name", F.lit("")) != "") & F.col("player").isNotNull()
+    both = F.when(known, F.array_compact(F.array("name", tagged))).otherwise(F.array(F.lit("")))
+    rows = names.select("seq", "player", F.posexplode(both).alias("part", "alias")).withColumn("alias_key", normalize_alias("alias"))
+    rows = rows.filter((F.col("alias") == "") | ~F.col("alias_key").isin("", "unknown"))
+    return rows.groupBy("seq", "player", "alias_key").agg(F.min_by(F.struct("part", "alias"), "part").alias("a")).select("seq", "a.part", "player", "a.alias", "alias_key")
+
+
 def seed_aliases(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
-    """What becomes of each candidate (alias_key, player, seq): seeded, conflict (owned by another), skipped (own).
+    """What becomes of each candidate (alias_key, player, seq, part: of one name, if there is one): seeded, conflict (owned by
+    another), skipped (own, or without a key).
 
-    Of several candidates for a free key the first (by seq) seeds it and the others are judged against that.
+    Of several candidates for a free key the first (by seq) seeds it and the others are judged against that: the first of each key
+    comes by partial sums, so no key is gathered.
     """
-    joined = candidates.join(aliases.select("alias_key", F.col("player").alias("owner")), "alias_key", "left")
-    w = Window.partitionBy("alias_key").orderBy("seq")
-    first = F.first("player").over(w)
-    owner = F.coalesce("owner", first)
-    own = F.col("owner").isNull() & (F.row_number().over(w) == 1)
-    return joined.withColumn("outcome", F.when(F.col("alias_key") == "", "skipped").when(own, "seeded").when(owner == F.col("player"), "skipped").otherwise("conflict")).drop("owner")
+    order = F.struct("seq", "part") if "part" in candidates.columns else F.struct("seq")
+    keyed = candidates.filter("alias_key <> ''")
+    firsts = keyed.groupBy("alias_key").agg(F.min(order).alias("_at"), F.min_by("player", order).alias("_first"))
+    joined = keyed.join(firsts, "alias_key").join(aliases.select("alias_key", F.col("player").alias("owner")), "alias_key", "left")
+    own = F.col("owner").isNull() & (order == F.col("_at"))
+    outcome = F.when(own, "seeded").when(F.coalesce("owner", "_first") == F.col("player"), "skipped").otherwise("conflict")
+    out = joined.select(*candidates.columns, outcome.alias("outcome"))
+    return out.unionByName(candidates.filter("alias_key is null or alias_key = ''").withColumn("outcome", F.lit("skipped")))
+
+
+def alias_outcomes(seeded: DataFrame) -> DataFrame:
+    """One row: how many candidates were seeded, in conflict and skipped."""
+    n = lambda o: F.count_if(F.col("outcome") == o).alias(o)
+    return seeded.agg(n("seeded"), n("conflict"), n("skipped"))
 
 
 def fallback(hits: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:

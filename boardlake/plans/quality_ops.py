@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boardlake.functions import vectorized
-from boardlake.operators import identity, ops, quality, retrieval
+from boardlake.operators import identity, ops, quality, retrieval, upkeep
 from boardlake.plans import registry as r
 from boardlake.plans.registry import query
+from boardlake.sources.scratch import scratch
 
 EXT_SQL = """, ext AS (SELECT event_id AS id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, user_id, event_type, ts AS created_at, CASE event_id % 4 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'REJECTED' ELSE 'PENDING' END AS status, value FROM events)"""
 
@@ -456,6 +457,45 @@ def seeded(spark, d):
     return identity.seed_aliases(cand, al).select("seq", "outcome")
 
 
+@query("j14_alias_outcomes", """, cn AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 9 > 0 THEN c_custkey % 400 END AS player, CASE WHEN c_custkey % 13 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN 'Unknown' ELSE 'Lord ' || (c_custkey % 300) END AS name, c_custkey % 2 = 0 AS tracked, CASE WHEN c_custkey % 3 > 0 THEN 'P' || c_nationkey ELSE '' END AS tag FROM customer),
+ca AS (SELECT seq, 0 AS part, player, CASE WHEN player IS NULL THEN '' ELSE name END AS alias FROM cn UNION ALL SELECT seq, 1, player, '[' || tag || '] ' || name FROM cn WHERE tracked AND tag <> '' AND name <> '' AND player IS NOT NULL),
+ck AS (SELECT * FROM (SELECT *, regexp_replace(lower(alias), '[^a-z0-9]', '', 'g') AS k FROM ca) WHERE alias = '' OR k <> 'unknown'), ow AS (SELECT DISTINCT 'lord' || (c_custkey % 300) AS k, 5 AS owner FROM customer WHERE c_custkey % 300 < 30),
+cr AS (SELECT ck.*, owner, row_number() OVER (PARTITION BY k ORDER BY seq, part) AS n, first_value(player) OVER (PARTITION BY k ORDER BY seq, part) AS f FROM ck LEFT JOIN ow USING (k) WHERE k <> '')
+SELECT count(*) FILTER (o = 'seeded') AS seeded, count(*) FILTER (o = 'conflict') AS conflict, count(*) FILTER (o = 'skipped') AS skipped FROM (SELECT CASE WHEN owner IS NULL AND n = 1 THEN 'seeded' WHEN coalesce(owner, f) = player THEN 'skipped' ELSE 'conflict' END AS o FROM cr UNION ALL SELECT 'skipped' FROM ck WHERE k = '')""")
+def alias_outcomes(spark, d):
+    k = F.col("c_custkey")
+    name = F.when(k % 13 == 0, "").when(k % 7 == 0, "Unknown").otherwise(F.concat(F.lit("Lord "), k % 300))
+    names = r.t(spark, d, "customer").select(k.alias("seq"), F.when(k % 9 > 0, k % 400).alias("player"), name.alias("name"), (k % 2 == 0).alias("tracked"), F.when(k % 3 > 0, F.concat(F.lit("P"), "c_nationkey")).otherwise("").alias("tag"))
+    taken = r.t(spark, d, "customer").filter("c_custkey % 300 < 30").select(F.concat(F.lit("lord"), k % 300).alias("alias_key"), F.lit(5).cast("long").alias("player")).distinct()
+    return identity.alias_outcomes(identity.seed_aliases(identity.alias_candidates(names), taken))
+
+
+#: Customers' orders as captured runs of a month each.
+ARCHIVE_SQL = """, ar AS (SELECT id, identity AS run, type, status, updated_at, strftime(created_at, '%Y-%m') AS month FROM board), st AS (SELECT id FROM ar WHERE status <> 'UNRESOLVED' AND updated_at < TIMESTAMP '1996-01-01' - INTERVAL 45 DAY)"""
+
+
+def archived(spark, d):
+    b = r.boards(spark, d).withColumn("month", F.date_format("created_at", "yyyy-MM"))
+    runs, rows = scratch(spark, "runs"), scratch(spark, "rows")
+    status = F.when(F.col("status") == "ACTIVE", "MERGED").when(F.col("status") == "REJECTED", "FAILED").otherwise("REVIEW")
+    b.select("month", F.col("id").alias("run"), status.alias("status"), F.col("updated_at").alias("processed_at"), F.when(F.col("id") % 2 == 0, F.create_map(F.lit("own"), F.lit("kept"))).alias("metadata")).write.partitionBy("month").parquet(runs)
+    b.select("month", F.col("id").alias("run"), "name", F.lit("trace").alias("ocr_trace"), F.lit("[]").alias("candidates")).write.partitionBy("month").parquet(rows)
+    counts = upkeep.archive_runs(spark, runs, rows, "1996-01-01 00:00:00")
+    return counts, spark.read.parquet(runs), spark.read.parquet(rows)
+
+
+@query("f6_archived_rows", ARCHIVE_SQL + " SELECT id AS run, CASE WHEN id NOT IN (SELECT id FROM st) THEN 'trace' END AS ocr_trace, CASE WHEN id NOT IN (SELECT id FROM st) THEN '[]' END AS candidates, concat_ws(',', CASE WHEN id IN (SELECT id FROM st) THEN '45' END, CASE WHEN id % 2 = 0 THEN 'kept' END) AS metadata FROM ar")
+def archived_rows(spark, d):
+    _, runs, rows = archived(spark, d)
+    note = F.concat_ws(",", F.col("metadata")["archivedRawRowsOlderThanDays"], F.col("metadata")["own"])
+    return rows.join(runs.select("run", note.alias("metadata")), "run").select("run", "ocr_trace", "candidates", "metadata")
+
+
+@query("f6_archive_counts", ARCHIVE_SQL + " SELECT count(*) AS scanned, count(*) AS archived_runs, count(*) AS archived_rows FROM st")
+def archive_counts(spark, d):
+    return archived(spark, d)[0]
+
+
 @query("u4_best_suggestions")
 def suggestions(spark, d):
     reg, q = registered(spark, d)

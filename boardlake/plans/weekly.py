@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boardlake.operators import activity, observations, scores
+from boardlake.operators import activity, observations, scores, upkeep
 from boardlake.plans import registry as r
 from boardlake.plans.registry import query
+from boardlake.sources.scratch import scratch
 
 WEEKLY_SQL = """,
 periods AS (SELECT period, min(date_trunc('week', observed_at)) AS starts_at, lag(period) OVER (ORDER BY period) AS previous FROM obs GROUP BY period),
@@ -147,6 +148,39 @@ def period_of(spark, d):
     return activity.period_of(r.observations(spark, d).drop("period"), p).select("id", "period")
 
 
+#: Weeks of three workspaces, each with a reset of its own; of one some weeks are there already, twice.
+WEEKS_SQL = """, wk AS (SELECT id, player % 3 AS ws, observed_at AS ts, CASE player % 3 WHEN 0 THEN 0 WHEN 1 THEN 180 ELSE -330 END AS m, CASE WHEN id % 4 = 0 THEN 'linked' END AS linked, CASE WHEN id % 6 = 0 THEN 'job' END AS job FROM obs),
+wx AS (SELECT *, strftime(ts + INTERVAL 1 MINUTE * m, '%G-W%V') AS week_key, date_trunc('week', ts + INTERVAL 1 MINUTE * m) - INTERVAL 1 MINUTE * m AS starts_at FROM wk)"""
+
+
+def week_rows(spark, d):
+    i, ws = F.col("id"), F.col("player") % 3
+    rows = r.observations(spark, d).select("id", ws.alias("ws"), F.col("observed_at").cast("timestamp").alias("at"), F.when(i % 4 == 0, "linked").alias("linked_event"), F.when(i % 6 == 0, "job").alias("job_event"))
+    settings = spark.createDataFrame([(0, "3:00"), (1, "+03:00"), (2, "-05:30")], "ws bigint, offset string")
+    held = spark.createDataFrame([(0, "old", "2024-W02", "2024-01-01"), (0, "newer", "2024-W02", "2024-01-02"), (0, "other", "2023-W50", "2024-01-02")], "ws bigint, event string, week_key string, at string")
+    none = F.lit(None).cast("timestamp")
+    events = held.select("ws", "event", "week_key", F.lit("n").alias("name"), F.lit("d").alias("description"), none.alias("starts_at"), none.alias("ends_at"), F.col("at").cast("timestamp").alias("created_at"), F.lit(False).alias("auto"))
+    return rows, settings, events
+
+
+@query("j11_missing_weeks", WEEKS_SQL + " SELECT DISTINCT ws, ws || ':' || week_key AS event, week_key, 'Weekly Activity ' || week_key || ' (' || strftime(starts_at, '%b %-d') || ')' AS name, strftime(starts_at, '%Y-%m-%d %H:%M') AS starts_at FROM wx WHERE NOT (ws = 0 AND week_key = '2024-W02')")
+def missing_weeks(spark, d):
+    """Ensured twice; the second run makes no week again."""
+    rows, settings, events = week_rows(spark, d)
+    path = scratch(spark, "events")
+    events.write.parquet(path)
+    for day in ("2024-02-01", "2024-02-02"):
+        held = upkeep.ensure_weeks(spark, path, rows, settings, F.lit(day))
+    return held.filter("auto").select("ws", "event", "week_key", "name", F.date_format("starts_at", "yyyy-MM-dd HH:mm").alias("starts_at"))
+
+
+@query("j11_row_events", WEEKS_SQL + " SELECT id, coalesce(linked, job, CASE WHEN ws = 0 AND week_key = '2024-W02' THEN 'newer' ELSE ws || ':' || week_key END) AS event FROM wx")
+def row_events(spark, d):
+    rows, settings, events = week_rows(spark, d)
+    held = events.unionByName(upkeep.missing_weeks(rows, events, settings, F.lit("2024-02-01")))
+    return upkeep.with_event(rows, held, settings).select("id", "event")
+
+
 @query("w5_current_observations", " SELECT period, player, metric, arg_max(value, row(observed_at, value, ref)) AS value, arg_max(ref, row(observed_at, value, ref)) AS ref FROM obs GROUP BY 1, 2, 3")
 def current(spark, d):
     return observations.current(r.observations(spark, d)).select("period", "player", "metric", "value", "ref")
