@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
 from boardlake.functions.vectorized import cosine_top_k
+from boardlake.sources.scratch import written
 
 RRF = 60
 
@@ -93,21 +100,71 @@ def lexical_score(query: Column, content: Column) -> Column:
     return F.when(F.size(words) > 0, have / F.size(words)).otherwise(0.0)
 
 
-#: Queries that are broadcast at once; more are taken in blocks.
-MOST_QUERIES = 2000
-
-
-def lexical_search(queries: DataFrame, docs: DataFrame, k: int = 20, most: int = MOST_QUERIES) -> DataFrame:
-    """Documents that contain the whole query, without regard to case; the ``k`` newest of each. Queries go in blocks of
-    about ``most``, each of which reads the documents once."""
-    blocks = -(-queries.count() // most) or 1
-    hit, w = F.contains(F.lower("content"), F.lower("query")), Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "doc_id")
-    out = None
-    for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        found = docs.join(F.broadcast(own), hit).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
-        out = found if out is None else out.unionByName(found)
-    return out.select("query_id", "doc_id", lexical_score(F.col("query"), F.col("content")).alias("score"), "place")
+#: Grams are numbers of 24 bits, so a set of them is a bitmap of two megabytes, whatever there is.
+_GRAMS = 1 << 24
+#: Where grams of one and two bytes begin; no text has a byte of F8 or above, so they stand apart from those of three.
+_SHORT = {1: 0xF80000, 2: 0xF90000, 3: 0}
+
+
+def _grams(text: str | None, size: int) -> np.ndarray:
+    """The distinct runs of ``size`` bytes (1 to 3) of a text, as numbers."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+    n = len(data) - size + 1
+    return np.unique(sum(data[i : i + n] << 8 * (size - 1 - i) for i in range(size))) + _SHORT[size] if n > 0 else np.zeros(0, np.int64)
+
+
+def _set_of(grams: DataFrame) -> np.ndarray:
+    """The grams of a table as a bitmap."""
+    out = np.zeros(_GRAMS, bool)
+    out[grams.select("gram").distinct().toArrow().column("gram").to_numpy()] = True
+    return np.packbits(out)
+
+
+def lexical_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
+    """Documents that contain the whole query, without regard to case; the ``k`` newest of each.
+
+    No query meets all documents. Of each query's trigrams (of bytes, in lower case; of a shorter query the query itself) the one that
+    the fewest documents hold is its key; documents are joined by the keys they hold, and only those pairs are looked at. Two
+    passes over the documents: one counts the queries' grams, one lists keys. Tasks know which from a bitmap of fixed size.
+    Queries without text find nothing, and neither do they match texts that are null.
+    """
+    spark = docs.sparkSession
+    lists = ArrayType(LongType())
+
+    @F.pandas_udf(lists)
+    def grams_of(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: _grams(t, min(3, len(t.encode("utf-8", "surrogatepass")))))
+
+    asked = queries.withColumn("_query", F.lower("query")).filter(F.length("_query") > 0)
+    grams = written(asked.select("query_id", F.explode(grams_of("_query")).alias("gram")), "query-grams")
+    texts = docs.withColumn("_text", F.lower("content")).filter("_text is not null")
+    known = spark.sparkContext.broadcast(_set_of(grams))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(known.value).astype(bool)
+        for b in batches:
+            found = [np.zeros(0, np.int64)]
+            for t in b.column(0):
+                own = np.concatenate([_grams(t.as_py(), size) for size in _SHORT])
+                found.append(own[bits[own]])
+            gram, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
+
+    held = texts.select("_text").mapInArrow(counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    rarest = grams.join(held, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    keys = written(rarest.join(asked, "query_id"), "query-keys")
+    known.destroy()
+    wanted = spark.sparkContext.broadcast(_set_of(keys))
+
+    @F.pandas_udf(lists)
+    def keys_of(text: pd.Series) -> pd.Series:
+        bits = np.unpackbits(wanted.value).astype(bool)
+        return text.map(lambda t: (own := np.concatenate([_grams(t, size) for size in _SHORT]))[bits[own]])
+
+    pairs = texts.withColumn("gram", F.explode(keys_of("_text"))).join(keys, "gram")
+    w = Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "doc_id")
+    found = pairs.filter(F.contains("_text", "_query")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return found.select("query_id", "doc_id", lexical_score(F.col("query"), F.col("content")).alias("score"), "place")
 
 
 def fused(vector: DataFrame, lexical: DataFrame, k: int = 10) -> DataFrame:
