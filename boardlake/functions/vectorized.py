@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from boardlake.sources.scratch import written
+
 # Letters that decomposition leaves as they are.
 _FOLD = str.maketrans({"ß": "ss", "ẞ": "ss", "ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "đ": "d", "Đ": "d", "ð": "d", "Ð": "d", "þ": "th", "Þ": "th", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "ı": "i", "İ": "i"})
 _QUOTES = str.maketrans({"’": "'", "‘": "'", "´": "'", "“": '"', "”": '"'})
@@ -234,50 +236,103 @@ def similar_players(queries: DataFrame, players: DataFrame, least: float = 0.72)
     return out.groupBy("query", "player").agg(F.max("score").alias("score"))
 
 
-def blocks_of(df: DataFrame, size: int) -> Iterator[list[tuple]]:
-    """The rows of a dimension table in lists of at most ``size``, one after the other."""
-    block = []
-    for r in df.toLocalIterator():
-        block.append(tuple(r))
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def cosine_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = 2000) -> DataFrame:
-    """(query_id, doc_id, score): the ``k`` documents nearest to each query by cosine (ties by doc_id), zero vectors 0.
+def cosine_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = 2048, most_cells: int = 256) -> DataFrame:
+    """(query_id, doc_id, score, place): the ``k`` documents nearest to each query by cosine (ties by doc_id), zero vectors 0. Exact.
 
-    Query vectors are broadcast in blocks of bounded size; each batch of documents is one matrix product and hands on at
-    most ``k`` candidates a query, so the final grouping sees ``k`` rows for each query and batch, not all pairs.
+    Documents are dealt to cells by the nearest of up to ``most_cells`` centres (documents of the smallest hashes), once, as a table. A
+    cell's radius and count bound how near and how far all its documents are: a query's ``k``-th best is no farther than the
+    nearest cells that hold ``k`` documents reach, and a cell that begins beyond that is not opened for it (triangle inequality). What
+    is left is dealt in blocks of about ``block`` documents and as many queries, each a matrix product in a task of its own
+    that hands on ``k`` rows a query. Both sides stay tables; what the driver sees is a row for each cell.
     """
     spark = docs.sparkSession
-    best = None
-    for rows in blocks_of(queries.select("query_id", "vector").filter("vector is not null"), block):
-        ids = np.array([r[0] for r in rows], np.int64)
-        shared = spark.sparkContext.broadcast((ids, _unit(np.array([r[1] for r in rows], np.float64))))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            for b in batches:
-                doc = np.asarray(b.column(0))
-                if not len(doc):
-                    continue
-                sims = q @ _unit(np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)).T
-                order = _largest(sims, doc, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])), pa.array(doc[order].ravel()), pa.array(np.take_along_axis(sims, order, axis=1).ravel())], ["query_id", "doc_id", "score"])
-
-        part = docs.select("doc_id", "vector").filter("vector is not null").mapInArrow(run, "query_id bigint, doc_id bigint, score double")
-        best = part if best is None else best.unionByName(part)
+    docs = docs.select("doc_id", "vector").filter("vector is not null")
+    queries = queries.select("query_id", "vector").filter("vector is not null")
+    cells = opened_cells(queries, docs, block, most_cells, k)
+    if cells is None:
+        return spark.createDataFrame([], "query_id bigint, doc_id bigint, score double, place int")
+    placed, pairs, sizes = cells
+    per = {r.cell: r.n for r in pairs.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    cuts = [(c, -(-n // block), -(-per.get(c, 0) // block)) for c, n in sizes.items()]
+    cut = F.broadcast(spark.createDataFrame(cuts, "cell int, d_parts int, q_parts int"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    q = pairs.join(cut, "cell").select("query_id", "vector", "cell", own("query_id", "q_parts").alias("i"), every("d_parts").alias("j"))
+    d = placed.join(cut, "cell").filter("q_parts > 0").select("doc_id", "vector", "cell", own("doc_id", "d_parts").alias("j"), every("q_parts").alias("i"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        doc = right["doc_id"].to_numpy()
+        a, b = (_unit(np.stack(x["vector"].to_numpy()).astype(np.float64)) for x in (left, right))
+        sims = np.round(a @ b.T, 12)  # the last bits depend on the shape of a block
+        order = _largest(sims, doc, k)
+        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), order.shape[1]), "doc_id": doc[order].ravel(), "score": np.take_along_axis(sims, order, axis=1).ravel()})
+
     from pyspark.sql.window import Window
 
-    if best is None:
-        return spark.createDataFrame([], "query_id bigint, doc_id bigint, score double, place int")
+    best = q.groupBy("cell", "i", "j").cogroup(d.groupBy("cell", "i", "j")).applyInPandas(meet, "query_id bigint, doc_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def opened_cells(queries: DataFrame, docs: DataFrame, block: int, most_cells: int, k: int) -> tuple[DataFrame, DataFrame, dict[int, int]] | None:
+    """(documents with their cell, queries with each cell that they open, documents of each cell); None without documents.
+
+    Zero vectors are no unit vectors: documents of that kind are cell -1, which all open, and queries of that kind open all."""
+    spark = docs.sparkSession
+    n = docs.count()
+    if not n:
+        return None
+    most = max(1, min(most_cells, n // block + 1))
+    # centres are directions of documents, so zero vectors make none
+    some = docs.filter(F.exists("vector", lambda x: x != 0)).orderBy(F.xxhash64("doc_id")).limit(most).collect()
+    centres = _unit(np.array([r.vector for r in some], np.float64)) if some else np.zeros((0, 1))
+    shared = spark.sparkContext.broadcast(centres)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                unit = _unit(np.stack(b.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64))
+                dots = unit @ shared.value.T if len(shared.value) else np.zeros((len(unit), 1))
+                at = dots.argmax(axis=1)
+                zero = ~unit.any(axis=1)
+                away = np.sqrt(np.maximum(0, 2 - 2 * dots[np.arange(len(unit)), at]))
+                cell = np.where(zero, -1, at).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("vector"), pa.array(cell), pa.array(np.where(zero, 0.0, away))], ["doc_id", "vector", "cell", "away"])
+
+    kind = docs.schema["vector"].dataType.simpleString()
+    placed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "vector").mapInArrow(place, f"doc_id bigint, vector {kind}, cell int, away double"), "cells")
+    stats = {r.cell: (r.n, r.radius) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
+    ids = np.array(sorted(c for c in stats if c >= 0), np.int32)
+    count, radius = np.array([stats[c][0] for c in ids]), np.array([stats[c][1] for c in ids])
+    zeros = -1 in stats
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            unit = _unit(np.stack(b.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64))
+            opened = np.ones((len(unit), len(ids)), bool)
+            if len(ids):
+                away = np.sqrt(np.maximum(0, 2 - 2 * (unit @ shared.value[ids].T)))
+                order = np.argsort(away + radius, axis=1)
+                enough = np.cumsum(count[order], axis=1) >= k
+                last = np.where(enough.any(axis=1), enough.argmax(axis=1), len(ids) - 1)
+                reach = np.take_along_axis(away + radius, order, axis=1)[np.arange(len(unit)), last]
+                reach = np.where(enough.any(axis=1), reach, np.inf)
+                opened = (away - radius <= reach[:, None] + 1e-9) | ~unit.any(axis=1)[:, None]
+            rows, cols = np.nonzero(opened)
+            cell = ids[cols]
+            if zeros:
+                rows, cell = np.concatenate([rows, np.arange(len(unit))]), np.concatenate([cell, np.full(len(unit), -1, np.int32)])
+            yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(rows)), b.column("vector").take(pa.array(rows)), pa.array(cell, pa.int32())], ["query_id", "vector", "cell"])
+
+    kind = queries.schema["vector"].dataType.simpleString()
+    pairs = written(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").mapInArrow(open_, f"query_id bigint, vector {kind}, cell int"), "opened")
+    return placed, pairs, {c: n for c, (n, _) in stats.items()}
+
+
 def _largest(sims: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
     """Columns of the ``k`` largest of each row, equal ones by ascending ``doc``; all that tie with the last are weighed."""
     if sims.shape[1] <= k:
