@@ -37,7 +37,7 @@ LEAST = 10
 #: A phrase goes if a longer candidate that holds it has so many per cent of its count.
 COVERED = 50
 SCALE = 1_000_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 MOST_BITS = 1 << 27
 _PROBES = 4
 

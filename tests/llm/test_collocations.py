@@ -96,3 +96,12 @@ def test_large_counts(spark):
 def test_empty(spark):
     assert result(spark, []) == []
     assert result(spark, [(None, None), ("", "en"), ("a b c", "en")]) == []
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no tables")
+def test_query(spark):
+    rows = [(r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang").collect()]
+    assert sorted(tuple(r) for r in collocations.op11_collocations(spark, SF).collect()) == plain(rows, 2000, 10, 50)

@@ -146,3 +146,12 @@ def test_dropped_conversation(spark):
 def test_very_long_text(spark):
     rows = [(1, 0, "user", "word " * 600_000 + "."), (1, 1, "assistant", "ok."), (1, 2, "user", "word " * 600_000 + "."), (2, 0, "user", "hi.")]
     assert result(spark, rows) == plain(rows)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no tables")
+def test_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert sorted((tuple(r) for r in cr.op13_conversation_repair(spark, SF).collect()), key=str) == plain(rows)
