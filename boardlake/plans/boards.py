@@ -9,7 +9,9 @@ from boardlake.functions import hashing, text
 from boardlake.operators import dedupe, guards, ops, ranking, reconcile
 from boardlake.plans import registry as r
 from boardlake.plans.registry import query
+from boardlake.sources import buckets as bucketed
 from boardlake.sources import sinks
+from boardlake.sources.scratch import scratch
 
 RANKED_SQL = """, a AS (SELECT * FROM board WHERE status = 'ACTIVE'), f AS (SELECT *, lag(value) OVER w AS pv, lag(source_rank) OVER w AS pr FROM a WINDOW w AS (PARTITION BY type ORDER BY value DESC, source_rank NULLS LAST, name, id)),
 ranked AS (SELECT *, row_number() OVER w AS stable_index, rank() OVER (PARTITION BY type ORDER BY value DESC) AS display_rank,
@@ -180,6 +182,15 @@ def upsert(spark, d):
     return sinks.upserted(b.filter("id % 2 = 0"), b.filter("id % 2 = 1"), ["identity", "type"], ["updated_at", "value"]).select("identity", "type", "id", "value")
 
 
+@query("s4_bucketed_upsert", ", n AS (SELECT identity, type, id, value, updated_at, 1 AS fresh FROM board WHERE id % 2 = 1 UNION ALL SELECT identity, type, id, value, updated_at, 0 FROM board WHERE id % 2 = 0) SELECT identity, type, id, value FROM (SELECT *, row_number() OVER (PARTITION BY identity, type ORDER BY updated_at DESC, value DESC, fresh DESC) AS k FROM n) WHERE k = 1")
+def bucketed_upsert(spark, d):
+    """In place, in two upserts."""
+    b, path = r.boards(spark, d).select("identity", "type", "id", "value", "updated_at"), scratch(spark, "buckets")
+    for part in ("id % 2 = 0", "id % 2 = 1"):
+        bucketed.upsert(b.filter(part), path, ["identity", "type"], ["updated_at", "value"])
+    return bucketed.read(spark, path, b.schema).select("identity", "type", "id", "value")
+
+
 @query("s5_change_log", """, o AS (SELECT identity, max(value) AS value FROM board WHERE id % 2 = 0 GROUP BY 1), n AS (SELECT identity, max(value) AS value FROM board WHERE id % 3 > 0 GROUP BY 1)
 SELECT identity, '{"value":' || o.value || '}' AS previous, '{"value":' || n.value || '}' AS next, CASE WHEN o.value IS NULL THEN 'created' WHEN n.value IS NULL THEN 'deleted' ELSE 'updated' END AS action FROM o FULL JOIN n USING (identity) WHERE o.value IS DISTINCT FROM n.value""")
 def change_log(spark, d):
