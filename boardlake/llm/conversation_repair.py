@@ -330,3 +330,35 @@ def repair(rows: DataFrame) -> DataFrame:
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+def _oracle() -> str:
+    """DuckDB SQL: a recursion over each conversation's rows with the best (cost, initials, text) after each last role."""
+    add = lambda s, cost, edit, line=None: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + {cost}, 'a': {s}.a || '{edit}', 'o': {s}.o{' || chr(10) || ' + line if line else ''}}} END"
+    best = lambda *xs: f"list_min([{', '.join(xs)}])"
+    ins = lambda s, role: add(s, INSERT, "I", f"'{role}:'")
+    twice = lambda s: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + {2 * INSERT}, 'a': {s}.a || 'II', 'o': {s}.o || chr(10) || 'user:' || chr(10) || 'assistant:'}} END"
+    closed = ["s0", "s1", best("s2", ins("s0", "user"), ins("s1", "user"), ins("s3", "user")), best("s3", ins("s2", "assistant"), twice("s0"), twice("s1"))]
+    gone = [add(f"c{q}", DELETE, "D") for q in range(4)]
+    keep = lambda s, initial: f"CASE WHEN NOT x AND left(role, 1) = '{initial}' THEN {add(s, 't', 'K', 'role || chr(58) || text')} END"
+    role = lambda s, to: f"CASE WHEN NOT x THEN {add(s, f't + {REROLE}', 'R', f'{chr(39)}{to}:{chr(39)} || text')} END"
+    after = [gone[0], best(gone[1], keep("c0", "s")), best(gone[2], *[keep(s, "u") for s in ("c0", "c1", "c3")], *[role(s, "user") for s in ("c0", "c1", "c3")]), best(gone[3], keep("c2", "a"), role("c2", "assistant"))]
+    names = lambda c, xs: ", ".join(f"{x} AS {c}{q}" for q, x in enumerate(xs))
+    space = r"[\x09-\x0D ]"
+    return rf"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ascii(ch) AS BIGINT)) AS bytes FROM conversations),
+drawn AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS f FROM keyed, tab),
+kept AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy FROM drawn WHERE f <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, regexp_replace(text, '{space}+$', '') AS ended FROM kept),
+judged AS (SELECT *, CASE WHEN ended = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair FROM placed),
+steps AS (SELECT conv_id, n, role, text, fault IN ('blank', 'duplicate') AS x, CASE WHEN fault = 'truncated' THEN {KEEP_TRUNCATED} ELSE 0 END AS t FROM judged),
+dp AS (SELECT conv_id, 0::BIGINT AS n, {{'c': 0::BIGINT, 'a': ''::VARCHAR, 'o': ''::VARCHAR}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR) AS s1, NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR) AS s2, NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR) AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, n, {names("n", after)} FROM (SELECT steps.*, {names("c", closed)} FROM dp JOIN steps ON steps.conv_id IS NOT DISTINCT FROM dp.conv_id AND steps.n = dp.n + 1)),
+ends AS (SELECT conv_id, list_min([c0, c3]) AS b FROM (SELECT conv_id, {names("c", closed)} FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1)),
+counts AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1)
+SELECT ends.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.c AS cost, b.a AS audit, sha256(substr(b.o, 2)) AS repaired_sha256 FROM ends LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ends.conv_id
+"""
+
+
+ORACLE = _oracle()

@@ -23,4 +23,5 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": decontamination.ORACLE,
     "op11_collocations": collocations.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }
