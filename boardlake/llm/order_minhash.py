@@ -18,6 +18,8 @@ Positions take 30 bits, so a text may have 2^30 words; no string in Spark holds
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,14 +95,15 @@ def _range_of(ord_: Column, bounds: Column) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * F.size(bounds[0]) + fine)
 
 
-def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``docs`` with ``next_<column>``: the values of the next row in descending order of ``ord``, then ascending order of the hash of
     ``text`` (after the last: the first).
 
     Rows are dealt by ranges of ``ord``, cut at quantiles, and each range also gets the row that comes after it. A value of ``ord``
     that takes several quantiles has a range of its own, which is cut into ranges of hashes; copies of one text that still are
     more than a range are dealt by row numbers, as it makes no difference which copy is next to which. What reaches the
-    driver, and is broadcast, is a row or a number for each range, of which there are some four for each shuffle partition.
+    driver, and is broadcast, is a row or a number for each range, of which there are some four for each shuffle partition. ``then``
+    adds columns to rows that know their range, so that it is not run for the rows that are only looked through.
     """
     spark = docs.sparkSession
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -134,7 +137,7 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None) ->
     rest = [c for c in docs.columns if c not in ("ord", "h")]
     one = docs.join(F.broadcast(wanted.select("ord", "h").distinct()), ["ord", "h"]).groupBy("ord", "h").agg(F.min(F.struct(*rest)).alias("r"))
     borrowed = one.join(wanted, ["ord", "h"]).select(*[F.col(c if c in ("ord", "h") else f"r.{c}").alias(c) for c in docs.columns], F.col("to_range").alias("range"), F.col("to_part").alias("part"), F.col("to_copy").alias("copy"), F.lit(True).alias("lent"))
-    both = dealt.withColumn("lent", F.lit(False)).unionByName(borrowed)
+    both = then(dealt.withColumn("lent", F.lit(False))).unionByName(then(borrowed))
     w = Window.partitionBy(*key).orderBy("lent", F.desc("ord"), "h")
     both = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return both.filter("not lent").drop("lent", "h", *key)
@@ -144,7 +147,7 @@ def fingerprints(docs: DataFrame, k: int = KMER) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, both fingerprints and the likeness to the edited and the next text."""
     base = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("ord", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    pairs = with_next(signed(base, "text", "sig", k), ["text", "sig"])
+    pairs = with_next(base, ["text", "sig"], then=lambda df: signed(df, "text", "sig", k))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     pairs = pairs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
