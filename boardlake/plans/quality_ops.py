@@ -150,9 +150,9 @@ SELECT id, CAST(sp AS VARCHAR) AS previous_power, concat_ws(',', CASE WHEN name
 def review(spark, d):
     e = extractions(spark, d).withColumn("ts", F.col("created_at")).select("id", "status", "user_id", F.when(F.col("id") % 6 > 0, r.period()).alias("event"))
     p = r.players(spark, d)
-    named = e.join(p.select(F.col("player").alias("user_id"), F.col("name").alias("_name")), "user_id", "left")
     mine = F.when(F.col("id") % 3 == 0, 100000 + F.col("user_id")).otherwise(F.col("user_id"))
-    rows = fields(spark, d).drop("governorId").join(named, "id").withColumn("governorId", mine.cast("string")).withColumn("governorName", F.when((F.col("id") % 2 == 0) & (F.col("id") % 3 > 0), F.col("_name")).otherwise("other")).drop("_name", "user_id")
+    named = e.withColumn("_mine", mine).join(p.select(F.col("player").alias("_mine"), F.col("name").alias("_name")), "_mine", "left")
+    rows = fields(spark, d).drop("governorId").join(named, "id").withColumn("governorId", F.col("_mine").cast("string")).withColumn("governorName", F.when(F.col("id") % 2 == 0, F.col("_name")).otherwise("other")).drop("_name", "_mine", "user_id")
     k = F.col("event_id")
     status = F.when(k % 4 == 0, "PENDING").when(k % 4 == 1, "FAILED").otherwise("DONE")
     backlog = r.t(spark, d, "events").filter("event_id % 5 = 0").select(k.alias("id"), F.when(k % 2 == 0, "w").alias("linked_event"), status.alias("sync_status"), F.concat(F.lit("e"), k.cast("string")).alias("last_error"))
