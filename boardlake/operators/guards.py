@@ -110,10 +110,11 @@ def monotonic_guard(rows: DataFrame, least_digits: int = 1) -> DataFrame:
 def run_quality(rows: DataFrame, runs: DataFrame, least: float = 72.0) -> DataFrame:
     """Per run of ``runs`` (run, guard_failures: an array) the mean confidence of its rows and whether that is low: below ``least``,
     no rows, a row with reasons of failure (``failed``), or failures of the guard. A row's confidence is the mean of its rank, name,
-    metric and sub-name (at weight .35), 7 less (0 at least) for a metric whose separators do not group."""
+    metric and sub-name (at weight .35), 7 less (0 at least) for a metric whose separators do not group. ``confidence`` is rounded,
+    ``mean`` is not."""
     mean = (F.col("rank_conf") + F.col("name_conf") + F.col("metric_conf") + F.col("title_conf") * 0.35) / 3.35
     conf = F.when(F.col("grouping_ok"), mean).otherwise(F.greatest(F.lit(0.0), mean - 7.0))
     per = rows.withColumn("c", conf).groupBy("run").agg(F.avg("c").alias("mean"), F.bool_or("failed").alias("failed"))
     out = runs.join(per, "run", "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
     low = (F.col("mean") < least) | F.coalesce("failed", F.lit(True)) | (F.size(F.coalesce("guard_failures", F.array().cast("array<string>"))) > 0)
-    return out.select("run", F.round("mean", 4).alias("confidence"), low.alias("low_confidence"))
+    return out.select("run", F.round("mean", 4).alias("confidence"), "mean", low.alias("low_confidence"))

@@ -561,7 +561,7 @@ def run_quality(spark, d):
     c = r.captured(spark, d)
     runs = c.select("run").distinct().withColumn("guard_failures", F.when(F.col("run") % 7 == 0, F.array(F.lit("uniform-metric-suspect"))))
     rows = c.filter("run % 9 > 0").select("run", (F.col("value") % 97).alias("rank_conf"), F.col("confidence").alias("name_conf"), (F.col("value") % 100).alias("metric_conf"), (F.col("value") % 50).alias("title_conf"), (F.col("pos") % 3 > 0).alias("grouping_ok"), (F.col("name") == "Kill Points").alias("failed"))
-    return run(rows, runs).select("run", F.floor(F.col("confidence") * 100 + 0.31415926).cast("long").alias("hundredths"), "low_confidence")
+    return run(rows, runs).select("run", F.floor(F.col("mean") * 100 + 0.31415926).cast("long").alias("hundredths"), "low_confidence")
 
 
 @query("j5_exact_matches", NAMES_SQL + " SELECT query, player, 'alias' AS source FROM qs JOIN reg ON query = key UNION ALL SELECT query, player, 'name' FROM qs JOIN reg ON lower('~' || key) = lower(query)")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from boardlake.operators import guards
 from boardlake.plans import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,9 @@ def test_review_of_players_with_shifted_ids(spark, tmp_path):
     c = spark.read.parquet(f"{SF}/customer.parquet")
     more = c.unionByName(c.withColumn("c_custkey", F.col("c_custkey") + 100000).withColumn("c_name", F.concat(F.lit("x"), "c_name")))
     assert not differences(spark, "j10_review_queue", tmp_path, customer=more)
+
+
+def test_quality_is_not_rounded(spark):
+    rows = spark.createDataFrame([(1, 80.00686, 80.00686, 80.00686, 80.00686, True, False)], "run bigint, rank_conf double, name_conf double, metric_conf double, title_conf double, grouping_ok boolean, failed boolean")
+    got = guards.run_quality(rows, rows.select("run", F.lit(None).cast("array<string>").alias("guard_failures"))).first()
+    assert got.confidence == 80.0069 and abs(got["mean"] - 80.00686) < 1e-9
