@@ -168,8 +168,9 @@ def movement(scores: DataFrame, periods: DataFrame, k: int = 4) -> DataFrame:
 
 
 def history(scores: DataFrame, weeks: int) -> DataFrame:
-    """The last ``weeks`` periods of every player, and the share of the player's own best over them."""
+    """The last ``weeks`` periods of every player, and the share of the player's own best over them, rounded as a double in SQL:
+    at the scaled value (``round`` with places goes by its shortest text, and may go the other way at a tie)."""
     w = Window.partitionBy("player").orderBy(F.desc("period"))
     out = scores.withColumn("back", F.dense_rank().over(w)).filter(F.col("back") <= weeks)
     best = F.max("score").over(Window.partitionBy("player"))
-    return out.withColumn("of_best", F.when(best > 0, F.round(F.col("score") / best, 4)).otherwise(0.0))
+    return out.withColumn("of_best", F.when(best > 0, F.round(F.col("score") / best * 10000) / 10000).otherwise(0.0))

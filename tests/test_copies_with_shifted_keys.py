@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from boardlake.operators import guards
+from boardlake.operators import activity, guards
 from boardlake.plans import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,8 @@ def test_quality_is_not_rounded(spark):
     rows = spark.createDataFrame([(1, 80.00686, 80.00686, 80.00686, 80.00686, True, False)], "run bigint, rank_conf double, name_conf double, metric_conf double, title_conf double, grouping_ok boolean, failed boolean")
     got = guards.run_quality(rows, rows.select("run", F.lit(None).cast("array<string>").alias("guard_failures"))).first()
     assert got.confidence == 80.0069 and abs(got["mean"] - 80.00686) < 1e-9
+
+
+def test_share_of_best_at_a_tie(spark):
+    df = spark.createDataFrame([("a", 1, 1.12), ("b", 1, 0.063)], "period string, player bigint, score double")
+    assert {r.period: r.of_best for r in activity.history(df, 3).collect()} == {"a": 1.0, "b": 0.0563}  # .05625
