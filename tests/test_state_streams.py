@@ -5,7 +5,7 @@ import os
 import random
 
 
-from boardlake.operators import observations
+from boardlake.operators import observations, ops
 from boardlake.streaming import jobs, retry, stateful
 
 START = dt.datetime(2024, 1, 1)
@@ -87,6 +87,30 @@ def test_arrivals(spark, tmp_path):
         assert {r.id: r.decision for r in got} == want and len(got) == len(want)
 
 
+def test_task_changes(spark, tmp_path):
+    """A slot holds many tasks, of which each has a state of its own; ids may be null."""
+    rng = random.Random(5)
+    schema = "job bigint, task bigint, status string, low_confidence boolean, updated_at timestamp, id bigint"
+    rows = [(rng.choice([1, 2, 2**60 + 1, None]), rng.choice([7, 8, 2**60 + 1, None]), rng.choice(["QUEUED", "PROCESSING", "COMPLETED", "FAILED"]), rng.random() < 0.5, START + dt.timedelta(hours=i // 40, minutes=rng.randint(0, 9)), i) for i in range(400)]
+    want = {}
+    cuts = [40, 80, 200]  # hours, so that batches are in order of time
+    for job, task, status, low, _, _ in sorted(rows, key=lambda r: r[4:]):
+        now = want.get((job, task))
+        allowed = now is None or status == now[0] or (now[0], status) in ops.CHANGES
+        want[job, task] = (status, low, now[2] + 1 if now else 1) if allowed else (*now[:2], now[2] + 1)
+    for name, at in (("one", []), ("many", cuts)):
+        d = f"{tmp_path}/{name}"
+        files(spark, rows, schema, f"{d}/in", at)
+        got = {}
+        for r in jobs.run_to_table(jobs.moved(read(spark, schema, f"{d}/in")), f"{d}/out", f"{d}/c", "update").collect():
+            if r.seen > got.get((r.job, r.task), ("", False, 0))[2]:
+                got[r.job, r.task] = (r.status, r.low_confidence, r.seen)
+        assert got == want
+    q = jobs.moved(read(spark, schema, f"{tmp_path}/one/in"), 2).writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2  # one for each task before
+
+
 def drained(batches, players, events, current, limit):
     """Pass by pass over a list of rows."""
     queue, snapshots, seen = {}, {}, {}
