@@ -18,8 +18,9 @@ def current(obs: DataFrame, keys: list[str] = KEYS) -> DataFrame:  # noqa: B006
 
 
 def decisions(obs: DataFrame, keys: list[str] = KEYS, arrival: str = "arrival") -> DataFrame:  # noqa: B006
-    """ST7, W5: what each arrival does to the state before it: created, updated, existing-is-newer, equal-precedence."""
-    order = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    """ST7, W5: what each arrival (with an id) does to the state before it: created, updated, existing-is-newer, equal-precedence.
+    Rows that arrive at once go by id."""
+    order = Window.partitionBy(*keys).orderBy(arrival, "id").rowsBetween(Window.unboundedPreceding, -1)
     own = F.struct("observed_at", "value", F.coalesce("ref", F.lit("")).alias("ref"))
     best = F.max(own).over(order)
     return obs.withColumn("decision", F.when(best.isNull(), "created").when(best < own, "updated").when(best == own, "equal-precedence").otherwise("existing-is-newer"))

@@ -58,12 +58,12 @@ def idempotent(requests: DataFrame, ttl_ms: int = TTL_MS, late: str = "1 hour")
 
 def decided(obs: DataFrame, keys: list[str] = observations.KEYS, arrival: str = "arrival") -> DataFrame:  # noqa: B006
     """ST7: (id, decision) of every arrival, as ``observations.decisions`` has them, in append mode. State is the precedence of what
-    stands for a key: time, value, reference. Within a batch rows arrive in order of ``arrival``, and batches one after the other."""
+    stands for a key: time, value, reference. Within a batch rows arrive in order of ``arrival`` and id, and batches one after the other."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best = tuple(state.get) if state.exists else None
         ids, out = [], []
-        for r in pd.concat(list(frames)).sort_values("_arrival").itertuples(index=False):
+        for r in pd.concat(list(frames)).sort_values(["_arrival", "id"]).itertuples(index=False):
             own = (r.at_us, r.value, r.ref)
             out.append("created" if best is None else "updated" if best < own else "equal-precedence" if best == own else "existing-is-newer")
             best = own if best is None or best < own else best

@@ -87,6 +87,19 @@ def test_arrivals(spark, tmp_path):
         assert {r.id: r.decision for r in got} == want and len(got) == len(want)
 
 
+def test_arrivals_at_once(spark, tmp_path):
+    """Rows that arrive at once go by id, however they lie in files."""
+    schema = "period string, player bigint, metric string, id bigint, observed_at timestamp, value bigint, ref string, arrival bigint"
+    rows = [("p", i % 2, "m", i, START + dt.timedelta(days=i * 7 % 5), i * 3 % 4, None, 0) for i in range(40)]
+    got = []
+    for n, own in enumerate((rows, rows[::-1])):
+        got.append({r.id: r.decision for r in observations.decisions(spark.createDataFrame(own, schema).coalesce(1)).collect()})
+        files(spark, own, schema, f"{tmp_path}/in{n}", [])
+        out = jobs.run_to_table(stateful.decided(read(spark, schema, f"{tmp_path}/in{n}")), f"{tmp_path}/out{n}", f"{tmp_path}/c{n}", "append")
+        got.append({r.id: r.decision for r in out.collect()})
+    assert all(x == got[0] for x in got) and got[0][0] == got[0][1] == "created"
+
+
 def test_task_changes(spark, tmp_path):
     """A slot holds many tasks, of which each has a state of its own; ids may be null."""
     rng = random.Random(5)
