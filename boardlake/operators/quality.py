@@ -376,8 +376,9 @@ def identity_suggestions(candidates: Column, most: int = 8) -> Column:
     trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     typed = F.transform(items, lambda e: F.struct(text(e, "governorId").alias("id"), text(e, "governorGameId").alias("game_id"), trimmed(text(e, "name")).alias("name"), text(e, "source").alias("source")))
     whole = F.filter(typed, lambda e: (e["id"] != "") & (e["game_id"] != "") & (e["name"] != "") & e["source"].isin("alias", "name"))
-    ids = F.transform(whole, lambda e: e["id"])
-    return F.slice(F.filter(whole, lambda e, i: F.array_position(ids, e["id"]) == i + 1), 1, most)
+    add = lambda got, e: F.when((F.size(got) < most) & ~F.exists(got, lambda x: x["id"] == e["id"]), F.concat(got, F.array(e))).otherwise(got)
+    none = F.array().cast("array<struct<id:string,game_id:string,name:string,source:string>>")
+    return F.aggregate(whole, none, add)  # named once, as each mention of ``whole`` would parse the JSON again
 
 
 #: Under which names a cell may come, in order of preference.

@@ -155,3 +155,11 @@ def test_aliases(spark):
     got = sorted((r.seq, r.alias_key, r.outcome) for r in seeded.collect())
     assert got == [(1, "lorda", "seeded"), (1, "p57lorda", "seeded"), (2, "lorda", "conflict"), (3, "p57unknown", "seeded"), (4, "", "skipped"), (5, "own", "skipped")]
     assert tuple(identity.alias_outcomes(seeded).first()) == (3, 1, 2)
+
+
+def test_suggestions_are_parsed_once(spark):
+    item = '{"governorId":"%s","governorGameId":"1","name":"n","source":"name"}'
+    text = '{"identitySuggestions":[' + ",".join(item % (i // 2) for i in range(30)) + "]}"
+    df = spark.createDataFrame([(text,)], "j string").select(quality.identity_suggestions(F.col("j")).alias("s"))
+    assert [s.id for s in df.first().s] == [str(i) for i in range(8)]
+    assert df._jdf.queryExecution().analyzed().toString().count("try_parse_json") <= 2  # the value and its type
