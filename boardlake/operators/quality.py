@@ -398,19 +398,25 @@ def analysis_rows(reads: DataFrame, a_read: int = 40, most: int = 20) -> DataFra
     """Rows of unlike shape (plan, read, at, row JSON) as one table of text cells: each takes the first of its names that
     holds something (no null, empty text, 0 or false), else the metric if that is of its kind, else ``-``. The first ``a_read``
     rows of a read and the first ``most`` rows of a plan that name a player count."""
-    def some(name: str) -> Column:
-        """The cell of that name as text, unless it is null, empty text, the number 0 or false."""
-        own = F.try_variant_get(F.col("_v"), f"$.{name}", "variant")
-        text, type_ = F.try_variant_get(own, "$", "string"), F.schema_of_variant(own)
-        nothing = (text == "") | ((type_ == "BOOLEAN") & (text == "false")) | (type_.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (text.try_cast("double") == 0))
-        return F.when(~nothing, text)
-
-    kind = F.lower(F.trim(F.coalesce(F.try_variant_get(F.col("_v"), "$.metricKey", "string"), F.lit(""))))
+    every = list(dict.fromkeys(["metricValue", "metricRaw", *[n for names in CELLS.values() for n in names]]))
+    held = F.array(*[F.try_variant_get(F.col("_v"), f"$.{name}", "variant") for name in every])
+    typed = F.transform(held, lambda v: F.struct(F.try_variant_get(v, "$", "string").alias("text"), F.schema_of_variant(v).alias("type")))
+
+    def something(x: Column) -> Column:
+        """The text, unless it is null, empty text, the number 0 or false."""
+        nothing = (x["text"] == "") | ((x["type"] == "BOOLEAN") & (x["text"] == "false")) | (x["type"].rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (x["text"].try_cast("double") == 0))
+        return F.when(~nothing, x["text"])
+
+    some = lambda name: F.col("_some")[every.index(name)]
+    kind = F.lower(F.trim(F.coalesce(F.col("_kind"), F.lit(""))))
     metric = F.coalesce(some("metricValue"), some("metricRaw"))
     own = {"power": F.when(kind.contains("power"), metric), "kp": F.when(kind.contains("kill") | kind.contains("kp"), metric)}
     shown = lambda c: F.coalesce(F.nullif(F.substring(F.trim(F.regexp_replace(c, r"[\s\p{C}]+", " ")), 1, 120), F.lit("")), F.lit("-"))
     cells = {name: shown(F.coalesce(*map(some, names), *([own[name]] if name in own else []))) for name, names in CELLS.items()}
     in_read, in_plan = Window.partitionBy("plan", "read").orderBy("at"), Window.partitionBy("plan").orderBy("read", "at")
-    rows = reads.withColumn("_v", F.try_parse_json("row")).withColumn("_n", F.row_number().over(in_read)).filter(F.col("_n") <= a_read).select("plan", "read", "at", *[c.alias(n) for n, c in cells.items()])
+    rows = reads.withColumn("_n", F.row_number().over(in_read)).filter(F.col("_n") <= a_read).withColumn("_v", F.try_parse_json("row"))
+    rows = rows.select("plan", "read", "at", F.transform(typed, something).alias("_some"), F.try_variant_get(F.col("_v"), "$.metricKey", "string").alias("_kind"))
+    # cells leave a generator, beyond which the filter is not pushed: it would name all they are made of again
+    rows = rows.select("plan", "read", "at", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cells.items()]))))
     rows = rows.filter((F.col("player") != "-") | (F.col("player_id") != "-"))
     return rows.withColumn("place", F.row_number().over(in_plan)).filter(F.col("place") <= most)

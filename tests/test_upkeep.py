@@ -163,3 +163,13 @@ def test_suggestions_are_parsed_once(spark):
     df = spark.createDataFrame([(text,)], "j string").select(quality.identity_suggestions(F.col("j")).alias("s"))
     assert [s.id for s in df.first().s] == [str(i) for i in range(8)]
     assert df._jdf.queryExecution().analyzed().toString().count("try_parse_json") <= 2  # the value and its type
+
+
+
+def test_each_cell_is_read_once(spark):
+    rows = [(1, 1, i, text) for i, text in enumerate(['{"name":"a","power":0,"powerRaw":"7"}', '{"governorId":5,"kp":false,"metricRaw":"9","metricKey":" KP"}', '{"name":""}', "no json", None, '{"name":"b\\t c","rank":"0","power":"false"}'])]
+    out = quality.analysis_rows(spark.createDataFrame(rows, "plan bigint, read bigint, at bigint, row string"))
+    got = {r["at"]: (r["place"], r["rank"], r["player"], r["player_id"], r["kp"], r["power"]) for r in out.collect()}
+    assert got == {0: (1, "-", "a", "-", "-", "7"), 1: (2, "-", "-", "5", "9", "-"), 5: (3, "0", "b c", "-", "-", "false")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.governorNameRaw") == plan.count("$.metricRaw") == 1
