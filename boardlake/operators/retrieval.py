@@ -113,6 +113,18 @@ def _grams(text: str | None, size: int) -> np.ndarray:
     return np.unique(sum(data[i : i + n] << 8 * (size - 1 - i) for i in range(size))) + _SHORT[size] if n > 0 else np.zeros(0, np.int64)
 
 
+def _known_grams(text: str, bits: np.ndarray) -> np.ndarray:
+    """The distinct grams of all sizes of a text that ``bits`` holds; most are not held, so they are told apart last."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
+    held = []
+    for size, first in _SHORT.items():
+        n = len(data) - size + 1
+        if n > 0:
+            own = sum(data[i : i + n] << 8 * (size - 1 - i) for i in range(size)) + first
+            held.append(own[bits[own]])
+    return np.unique(np.concatenate(held)).astype(np.int64) if held else np.zeros(0, np.int64)
+
+
 def _set_of(grams: DataFrame) -> np.ndarray:
     """The grams of a table as a bitmap."""
     out = np.zeros(_GRAMS, bool)
@@ -145,8 +157,7 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFram
         for b in batches:
             found = [np.zeros(0, np.int64)]
             for t in b.column(0):
-                own = np.concatenate([_grams(t.as_py(), size) for size in _SHORT])
-                found.append(own[bits[own]])
+                found.append(_known_grams(t.as_py(), bits))
             gram, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
 
@@ -157,9 +168,10 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFram
     wanted = spark.sparkContext.broadcast(_set_of(keys))
 
     @F.pandas_udf(lists)
-    def keys_of(text: pd.Series) -> pd.Series:
+    def keys_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bits = np.unpackbits(wanted.value).astype(bool)
-        return text.map(lambda t: (own := np.concatenate([_grams(t, size) for size in _SHORT]))[bits[own]])
+        for text in texts:
+            yield text.map(lambda t: _known_grams(t, bits))
 
     pairs = texts.withColumn("gram", F.explode(keys_of("_text"))).join(keys, "gram")
     w = Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "doc_id")

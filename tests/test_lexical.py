@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from boardlake.operators import retrieval
 
 
@@ -37,3 +39,12 @@ def test_no_nested_loop(spark):
     d = spark.createDataFrame([(1, "xabcx", 1)], "doc_id bigint, content string, updated_at bigint")
     plan = retrieval.lexical_search(q, d, 5)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_known_grams():
+    """Those of a text among a set, of each size, once."""
+    rng = np.random.default_rng(1)
+    bits = rng.random(1 << 24) < 0.5
+    for text in ("", "a", "ab", "abcabc", "é\ud800x", "abcd" * 500):
+        every = np.concatenate([retrieval._grams(text, size) for size in (1, 2, 3)])
+        assert retrieval._known_grams(text, bits).tolist() == sorted(every[bits[every]].tolist())
