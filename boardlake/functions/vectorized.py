@@ -107,6 +107,8 @@ def score_bound(query: str, count: Counter, other: str) -> float:
 _LONGEST = 64
 #: Pairs that are scored in one go; it bounds the memory taken.
 _PAIRS = 1 << 15
+#: Numbers of a table of products that are held in one go, for the same reason.
+_CELLS = 1 << 18
 
 
 def _letters(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -265,9 +267,8 @@ def cosine_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = 2048,
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         doc = right["doc_id"].to_numpy()
         a, b = (_unit(np.stack(x["vector"].to_numpy()).astype(np.float64)) for x in (left, right))
-        sims = np.round(a @ b.T, 12)  # the last bits depend on the shape of a block
-        order = _largest(sims, doc, k)
-        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), order.shape[1]), "doc_id": doc[order].ravel(), "score": np.take_along_axis(sims, order, axis=1).ravel()})
+        order, scores = (np.concatenate(x) for x in zip(*nearest(a, b, doc, k), strict=True))
+        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), order.shape[1]), "doc_id": doc[order].ravel(), "score": scores.ravel()})
 
     from pyspark.sql.window import Window
 
@@ -294,10 +295,12 @@ def opened_cells(queries: DataFrame, docs: DataFrame, block: int, most_cells: in
         for b in batches:
             if b.num_rows:
                 unit = _unit(np.stack(b.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64))
-                dots = unit @ shared.value.T if len(shared.value) else np.zeros((len(unit), 1))
-                at = dots.argmax(axis=1)
                 zero = ~unit.any(axis=1)
-                away = np.sqrt(np.maximum(0, 2 - 2 * dots[np.arange(len(unit)), at]))
+                at, away = np.zeros(len(unit), np.int64), np.full(len(unit), np.sqrt(2.0))
+                for part in _slices(len(unit), len(shared.value)) if len(shared.value) else ():
+                    dots = unit[part] @ shared.value.T
+                    at[part] = dots.argmax(axis=1)
+                    away[part] = np.sqrt(np.maximum(0, 2 - 2 * dots.max(axis=1)))
                 cell = np.where(zero, -1, at).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("vector"), pa.array(cell), pa.array(np.where(zero, 0.0, away))], ["doc_id", "vector", "cell", "away"])
 
@@ -313,26 +316,49 @@ def opened_cells(queries: DataFrame, docs: DataFrame, block: int, most_cells: in
             if not b.num_rows:
                 continue
             unit = _unit(np.stack(b.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64))
-            opened = np.ones((len(unit), len(ids)), bool)
-            if len(ids):
-                away = np.sqrt(np.maximum(0, 2 - 2 * (unit @ shared.value[ids].T)))
-                order = np.argsort(away + radius, axis=1)
-                enough = np.cumsum(count[order], axis=1) >= k
-                last = np.where(enough.any(axis=1), enough.argmax(axis=1), len(ids) - 1)
-                reach = np.take_along_axis(away + radius, order, axis=1)[np.arange(len(unit)), last]
-                reach = np.where(enough.any(axis=1), reach, np.inf)
-                opened = (away - radius <= reach[:, None] + 1e-9) | ~unit.any(axis=1)[:, None]
-            rows, cols = np.nonzero(opened)
-            cell = ids[cols]
-            if zeros:
-                rows, cell = np.concatenate([rows, np.arange(len(unit))]), np.concatenate([cell, np.full(len(unit), -1, np.int32)])
-            yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(rows)), b.column("vector").take(pa.array(rows)), pa.array(cell, pa.int32())], ["query_id", "vector", "cell"])
+            for rows, cell in opened_by(unit, shared.value[ids] if len(ids) else np.zeros((0, unit.shape[1])), ids, count, radius, k, zeros):
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("vector").take(at), pa.array(cell, pa.int32())], ["query_id", "vector", "cell"])
 
     kind = queries.schema["vector"].dataType.simpleString()
     pairs = written(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").mapInArrow(open_, f"query_id bigint, vector {kind}, cell int"), "opened")
     return placed, pairs, {c: n for c, (n, _) in stats.items()}
 
 
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    """Rows of a table of ``width`` columns, in parts of about ``_CELLS`` numbers."""
+    step = max(1, _CELLS // max(1, width))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
+def opened_by(unit: np.ndarray, centres: np.ndarray, ids: np.ndarray, count: np.ndarray, radius: np.ndarray, k: int, zeros: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, cell) of the cells ``ids`` that queries open, a part of the queries at a time; with ``zeros`` each opens cell -1 too."""
+    for part in _slices(len(unit), len(ids)):
+        own = unit[part]
+        opened = np.ones((len(own), len(ids)), bool)
+        if len(ids):
+            away = np.sqrt(np.maximum(0, 2 - 2 * (own @ centres.T)))
+            order = np.argsort(away + radius, axis=1)
+            enough = np.cumsum(count[order], axis=1) >= k
+            last = np.where(enough.any(axis=1), enough.argmax(axis=1), len(ids) - 1)
+            reach = np.take_along_axis(away + radius, order, axis=1)[np.arange(len(own)), last]
+            reach = np.where(enough.any(axis=1), reach, np.inf)
+            opened = (away - radius <= reach[:, None] + 1e-9) | ~own.any(axis=1)[:, None]
+        rows, cols = np.nonzero(opened)
+        cell = ids[cols]
+        if zeros:
+            rows, cell = np.concatenate([rows, np.arange(len(own))]), np.concatenate([cell, np.full(len(own), -1, np.int32)])
+        yield rows + part.start, cell
+
+
+def nearest(a: np.ndarray, b: np.ndarray, doc: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(columns, similarities) of the ``k`` of ``b`` that are nearest to each of ``a`` (unit vectors), a part of ``a`` at a time."""
+    for part in _slices(len(a), len(b)):
+        sims = np.round(a[part] @ b.T, 12)  # the last bits depend on the shape of a block
+        order = _largest(sims, doc, k)
+        yield order, np.take_along_axis(sims, order, axis=1)
+
+
 def _largest(sims: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
     """Columns of the ``k`` largest of each row, equal ones by ascending ``doc``; all that tie with the last are weighed."""
     if sims.shape[1] <= k:

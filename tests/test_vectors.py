@@ -1,5 +1,7 @@
 """R4 against all pairs, and that most cells are never opened where vectors come in clusters."""
 
+import tracemalloc
+
 import numpy as np
 
 from boardlake.functions import vectorized
@@ -59,3 +61,19 @@ def test_most_cells_stay_closed(spark):
 def test_empty(spark):
     assert found(spark, [], [(1, np.ones(3))], 3) == {} and found(spark, [(1, np.ones(3))], [], 3) == {}
     assert found(spark, [(1, np.zeros(3))], [(1, np.ones(3))], 3) == {1: [(1, 0.0)]}
+
+
+def test_memory_of_a_block_is_bounded():
+    r = np.random.default_rng(3)
+    a, b = (vectorized._unit(r.normal(size=(1500, 16))) for _ in range(2))
+    ids, ones = np.arange(250, dtype=np.int32), np.ones(250)
+    tracemalloc.start()
+    held = 0
+    for part in vectorized.opened_by(np.tile(a, (4, 1)), b[:250], ids, ones * 9, ones * 2, 5, True):
+        held = max(held, len(part[0]))
+    found = [np.concatenate(x) for x in zip(*vectorized.nearest(a, b, np.arange(1500), 5))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sims = np.round(a @ b.T, 12)
+    assert held < 300_000 and peak < 30_000_000  # of 1.5 million pairs, and of 18 MB for each table of products
+    assert (found[0] == np.argsort(-sims, axis=1, kind="stable")[:, :5]).all() and (found[1] == -np.sort(-sims, axis=1)[:, :5]).all()
