@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from boardlake.functions.dealing import dealt
 from boardlake.operators import observations, ops
 from boardlake.sources.scratch import written
 
@@ -21,10 +22,15 @@ SNAPSHOTS = "event string, player bigint, power bigint, kp bigint, t4 bigint, t5
 OBSERVATIONS = "event string, player bigint, metric string, value bigint, ref string, observed_at timestamp"
 
 
+def is_due(now: Column, most_attempts: int = MOST_ATTEMPTS) -> Column:
+    """Whether a row is to be tried ``now``: PENDING or FAILED, available, and tried fewer times than allowed."""
+    return F.coalesce(F.col("status").isin("PENDING", "FAILED") & (F.col("available_at") <= now) & (F.col("attempts") < most_attempts), F.lit(False))
+
+
 def due(queue: DataFrame, now: Column, limit: int | None = None, most_attempts: int = MOST_ATTEMPTS) -> DataFrame:
-    """Rows that are to be tried ``now``: PENDING or FAILED, available, and tried fewer times than allowed; of these the ``limit`` that
-    have been available longest (ties by creation, then id), or all."""
-    rows = queue.filter(F.col("status").isin("PENDING", "FAILED") & (F.col("available_at") <= now) & (F.col("attempts") < most_attempts))
+    """Rows that are to be tried ``now`` (``is_due``); of these the ``limit`` that have been available longest (ties by creation, then
+    id), or all."""
+    rows = queue.filter(is_due(now, most_attempts))
     return rows if limit is None else rows.orderBy("available_at", "created_at", "id").limit(limit)
 
 
@@ -32,12 +38,13 @@ def tried(rows: DataFrame, players: DataFrame, events: DataFrame, now: Column, c
     """``rows`` of the queue after one try. Metrics without power are skipped as invalid, which counts as a failure; the event is the
     linked one, else the job's, else ``current_event``; players (player, game_id: unique) are found by id, or by game id where the
     row has none. COMPLETED rows hold player and event; FAILED ones their error and when they are available again."""
-    by_id = players.select("player", F.lit(True).alias("_known"))
-    by_game = players.select("game_id", F.col("player").alias("_by_game"))
-    x = rows.join(by_id, "player", "left").join(by_game, "game_id", "left")
-    found = F.when(F.col("player").isNull(), F.col("_by_game")).when(F.col("_known"), F.col("player"))
+    # one join: each row has one key, never null, so rows without game id are not gathered
+    held = players.select(F.concat(F.lit("p"), "player").alias("_key"), F.col("player").alias("_found"))
+    held = held.unionByName(players.filter("game_id is not null").select(F.concat(F.lit("g"), "game_id").alias("_key"), F.col("player").alias("_found")))
+    key = F.coalesce(F.concat(F.lit("p"), "player"), F.concat(F.lit("g"), "game_id"), F.concat(F.lit("n"), "id"))
+    x = rows.withColumn("_key", key).join(held, "_key", "left")
     event = F.coalesce("linked_event", "job_event", F.lit(current_event))
-    x = x.withColumns({"_found": found, "_event": event}).join(events.select(F.col("event").alias("_event"), F.lit(True).alias("_held")), "_event", "left")
+    x = x.withColumn("_event", event).join(events.select(F.col("event").alias("_event"), F.lit(True).alias("_held")), "_event", "left")
     error = (
         F.when(F.coalesce(F.col("power"), F.lit(0)) <= 0, "Skipped invalid profile metrics: power is zero or missing").when(F.col("_held").isNull(), "Event missing for backlog entry.")
         .when(F.col("_found").isNull(), "Governor mapping missing for backlog entry.")
@@ -70,6 +77,7 @@ def read_queue(spark: SparkSession, path: str, before: int | None = None) -> Dat
     rows = _versions(spark, f"{path}/queue", STATE)
     rows = rows if before is None else rows.filter(F.col("v") < before)
     names = [c for c in rows.columns if c not in ("id", "v")]
+    rows = dealt(rows, rows.count(), "id")
     return rows.groupBy("id").agg(F.max_by(F.struct(*names), "v").alias("r")).select("id", "r.*")
 
 
@@ -87,12 +95,14 @@ def drain_batch(batch: DataFrame, batch_id: int, path: str, players: DataFrame,
     spark = batch.sparkSession
     columns = spark.createDataFrame([], STATE).columns
     new = batch.withColumns({"status": F.lit("PENDING"), "attempts": F.lit(0), "available_at": F.col("created_at"), "event": F.lit(None).cast("string"), "error": F.lit(None).cast("string"), "processed_at": F.lit(None).cast("timestamp")}).select(*columns)
-    queue = written(new if batch_id == 0 else read_queue(spark, path, batch_id).select(*columns).unionByName(new), "queue")
+    new = new.withColumn("_new", F.lit(True))
+    queue = written(new if batch_id == 0 else read_queue(spark, path, batch_id).select(*columns, F.lit(False).alias("_new")).unionByName(new), "queue")
     now = F.lit(queue.agg(F.max("created_at")).first()[0]).cast("timestamp")
     done = written(tried(due(queue, now, limit), players, events, now, current_event).select(*columns), "tried")
     for name, df in zip(("snapshots", "observations"), effects(done, now), strict=True):
         df.write.mode("overwrite").parquet(f"{path}/{name}/v={batch_id}")
-    fresh = queue.join(new.select("id"), "id", "left_semi").join(done.select("id"), "id", "left_anti")
+    # rows that came with the batch and were not tried: the mark tells, so that a batch's ids are neither shuffled nor broadcast
+    fresh = queue.filter("_new").filter(~is_due(now)) if limit is None else queue.filter("_new").join(done.select("id"), "id", "left_anti")
     fresh.select(*columns).unionByName(done).write.mode("overwrite").parquet(f"{path}/queue/v={batch_id}")
 
 

@@ -179,3 +179,16 @@ def test_retry_queue(spark, tmp_path):
         done = sum(q["status"] == "COMPLETED" for q in queue.values())
         assert spark.read.parquet(f"{path}/observations").count() == 2 * done  # none twice, although each pass ran twice
     assert max(q["attempts"] for q in queue.values()) > 1
+
+
+def test_ids_of_a_batch_are_not_joined(spark, tmp_path, monkeypatch):
+    """What came with a batch is known by a mark; the queue meets the tables of players and events only, once each."""
+    names = [c.split()[0] for c in retry.QUEUE.split(", ")]
+    row = lambda i, p, g: dict.fromkeys(names) | {"id": i, "created_at": START, "player": p, "game_id": g, "power": 5, "kp": i}
+    batch = spark.createDataFrame([tuple(row(*r)[c] for c in names) for r in [(1, 1, None), (2, None, "g1"), (3, None, None), (4, 9, "g1"), (5, None, "g7")]], retry.QUEUE)
+    known, events = spark.createDataFrame([(1, "g1"), (2, None)], "player bigint, game_id string"), spark.createDataFrame([("now",)], "event string")
+    joined, join = [], type(batch).join
+    monkeypatch.setattr(type(batch), "join", lambda self, other, *a: joined.append(other.columns) or join(self, other, *a))
+    retry.drain_batch(batch, 0, f"{tmp_path}/q", known, events, "now")
+    assert joined == [["_key", "_found"], ["_event", "_held"]]
+    assert {r.id: (r.status, r.player) for r in retry.read_queue(spark, f"{tmp_path}/q").collect()} == {1: ("COMPLETED", 1), 2: ("COMPLETED", 1), 3: ("FAILED", None), 4: ("FAILED", 9), 5: ("FAILED", None)}
