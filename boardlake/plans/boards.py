@@ -11,7 +11,7 @@ from boardlake.plans import registry as r
 from boardlake.plans.registry import query
 from boardlake.sources import buckets as bucketed
 from boardlake.sources import sinks
-from boardlake.sources.scratch import scratch
+from boardlake.sources.scratch import scratch, written
 
 RANKED_SQL = """, a AS (SELECT * FROM board WHERE status = 'ACTIVE'), f AS (SELECT *, lag(value) OVER w AS pv, lag(source_rank) OVER w AS pr FROM a WINDOW w AS (PARTITION BY type ORDER BY value DESC, source_rank NULLS LAST, name, id)),
 ranked AS (SELECT *, row_number() OVER w AS stable_index, rank() OVER (PARTITION BY type ORDER BY value DESC) AS display_rank,
@@ -148,6 +148,8 @@ def reconciled(spark, d):
     rows = capture_rows(spark, d)
     first, second = rows.filter("arrival <= 6"), rows.filter("arrival > 6")
     one = reconcile.reconcile(first)
+    stored = written(one[2], "observed"), written(one[1], "snapshots")
+    one = (one[0], stored[1], stored[0], one[3])
     two = reconcile.reconcile(second, one[1], one[2])
     return one, two
 

@@ -1,4 +1,4 @@
-"""Rows of large tables go to more tasks than the session has shuffle partitions, with the same results."""
+"""Rows of large tables go to more tasks than the session has shuffle partitions, with the same results; nothing is computed twice."""
 
 import os
 
@@ -19,3 +19,15 @@ def test_captured_runs_are_dealt_once(spark, monkeypatch):
     assert got.rdd.getNumPartitions() == -(-n // 500) > 4
     assert sorted(got.collect()) == want
     assert registry.captured(spark, SF).count() == n
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_an_instalment_reads_what_the_first_one_stored(spark):
+    """Nothing of the first instalment is reconciled again for the second."""
+    from boardlake.plans import boards
+
+    state = boards.reconciled(spark, SF)[1][1]
+    folders = {f.rsplit("/", 2)[-2].split("-")[0]: 0 for f in state.inputFiles()}
+    for f in {f.rsplit("/", 2)[-2] for f in state.inputFiles()}:
+        folders[f.split("-")[0]] += 1
+    assert folders["snapshots"] == folders["observed"] == folders["merged"] == folders["routed"] == 1
