@@ -5,11 +5,12 @@ of them and of secrets. Base matches that hold are always redacted. Boosted tree
 format and context; thresholds, one for each kind, are calibrated to ``PRECISION`` on held-out candidates; of the
 candidates that pass, the best by score that overlap nothing chosen before are taken.
 
-There are no labelled spans, so the fit makes them: into places of about ``MOST_FIT`` distinct texts at most it plants made-up data in
+There are no labelled spans, so the fit makes them: into places of every distinct text it plants made-up data in
 varied forms (``_personal``), and what only looks like it: versions, dates, prices, serial numbers, words after ``password:``
 (``_harmless``). What the generators then propose there is an example; its label is how the text was planted, and
-nothing in the features tells that. A candidate that takes in only part of planted data, or prose behind it, is negative. Of more
-than about ``MOST_EXAMPLES`` examples some are taken by hashes (documented bounds).
+nothing in the features tells that. A candidate that takes in only part of planted data, or prose behind it, is negative. All examples
+of all texts are learnt from: cuts come from counts of all values, trees from sums over all examples, one Spark job a level of all kinds' trees,
+thresholds from the scores of all that are held out. Whole numbers are added up, so the model doesn't depend on how the table is split.
 
 Defined cases: null text is empty and has no spans; repeated rows are judged one by one; an empty table gives no rows and
 a model that adds nothing; texts of any length are whole; offsets are code points, end exclusive; other columns pass ``redact``
@@ -25,21 +26,20 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boardlake.llm.boosting import BoostedTrees, calibrated_threshold
-from boardlake.llm.common import materialize, only, table
+from boardlake.llm.boosting import BLOCK, LEVELS, BoostedTrees, boost, calibrated_threshold, codes, quantiles
+from boardlake.llm.common import discard, only, scratch, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 ORDER = {k: i for i, k in enumerate(KINDS)}
-MOST_FIT = 6_000
-MOST_EXAMPLES = 50_000
 PRECISION = 0.97
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -166,7 +166,7 @@ def span_features(text: str, kind: str, start: int, end: int) -> list[float]:
 
 
 def _digits(r: random.Random, n: int, first: str = "123456789") -> str:
-    return r.choice(first) + "".join(r.choice("0123456789") for _ in range(n - 1)) if n else ""
+    return r.choice(first) + "".join(r.choices("0123456789", k=n - 1)) if n else ""
 
 
 def _word(r: random.Random, most: int = 4) -> str:
@@ -213,10 +213,11 @@ def _personal(kind: str, r: random.Random) -> str:
         ])
     key = r.choice(["password", "Password", "passwd", "pwd", "token", "secret", "api_key", "API-KEY", "apikey"])
     letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
-    value = r.choice([
-        _word(r) + _digits(r, 2), _word(r).capitalize() + _digits(r, 2) + r.choice("!?#$"), "".join(r.choice(letters) for _ in range(r.randint(6, 40))), "".join(r.choice("0123456789abcdef") for _ in range(r.choice([8, 16, 32, 40]))),
-        _word(r, 3) + _word(r, 3), _word(r).upper() + _word(r), _word(r) + r.choice("-_.!@") + _word(r), "".join(r.choice(letters + "@.!#-") for _ in range(r.randint(10, 40))), _word(r) + r.choice("!#$") + _digits(r, 2), _word(r).upper() + _digits(r, 4) + _word(r), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(7, 11))), "".join(r.choice(letters) for _ in range(r.randint(150, 260))),
-    ])
+    some = lambda of, least, most: "".join(r.choices(of, k=r.randint(least, most)))
+    value = r.choice([  # made only when chosen
+        lambda: _word(r) + _digits(r, 2), lambda: _word(r).capitalize() + _digits(r, 2) + r.choice("!?#$"), lambda: some(letters, 6, 40), lambda: "".join(r.choices("0123456789abcdef", k=r.choice([8, 16, 32, 40]))),
+        lambda: _word(r, 3) + _word(r, 3), lambda: _word(r).upper() + _word(r), lambda: _word(r) + r.choice("-_.!@") + _word(r), lambda: some(letters + "@.!#-", 10, 40), lambda: _word(r) + r.choice("!#$") + _digits(r, 2), lambda: _word(r).upper() + _digits(r, 4) + _word(r), lambda: some("abcdefghijklmnopqrstuvwxyz", 7, 11), lambda: some(letters, 150, 260),
+    ])()
     quote = r.choice(["", "", "", '"', "'"])
     return f"{key}{r.choice(['=', '=', ': ', ':', ' = '])}{quote}{value}{quote}"
 
@@ -246,14 +247,16 @@ def _harmless(kind: str, r: random.Random) -> str:
 
 _CUES = {"email": ["mail", "contact", "write to", "e-mail:"], "ip": ["host", "server", "IP", "addr"], "card": ["card", "visa", "credit card"], "phone": ["call", "phone", "tel.", "mobile"], "secret": ["login", "use", "my"]}
 _OTHER_CUES = ["order", "ref.", "invoice", "version", "release", "ticket", "serial", "pages", "rooms", "total", "section", "batch"]
-#: Examples of each kind that a text's places give.
+#: Places of a text for each kind. Where texts are so many that fewer do, a text has as many as make this many of each kind in all, and one
+#: at least, of a kind that goes by its hash.
 PLANTED = 8
+ENOUGH = 48_000
+#: Characters of a text on either side of what is planted.
+AROUND = 60
 
 
-def planted(text: str, kind: str, r: random.Random) -> tuple[str, int, int, int]:
-    """(text, start, end, label): some of ``text`` around made-up personal or harmless data."""
-    at = r.randrange(len(text) + 1)
-    before, after = text[max(0, at - 60) : at], text[at : at + 60]
+def planted(before: str, after: str, kind: str, r: random.Random) -> tuple[str, int, int, int]:
+    """(text, start, end, label): what is before and after a place, around made-up personal or harmless data."""
     good = r.random() < 0.5
     body = _personal(kind, r) if good else _harmless(kind, r)
     likely = r.random()
@@ -265,9 +268,17 @@ def planted(text: str, kind: str, r: random.Random) -> tuple[str, int, int, int]
 
 def examples(text: str) -> list[tuple[str, int, list[float]]]:
     """(kind, label, features) of the candidates at places where ``text`` was planted; the same for the same text."""
-    r, out = random.Random(hashlib.md5(text.encode()).digest()), []
-    for kind in KINDS * PLANTED:
-        made, a, b, label = planted(text, kind, r)
+    r = random.Random(hashlib.md5(text.encode()).digest())
+    ats = (r.randrange(len(text) + 1) for _ in range(PLANTED * len(KINDS)))
+    return examples_at(((text[max(0, at - AROUND) : at], text[at : at + AROUND]) for at in ats), r)
+
+
+def examples_at(places: Iterable[tuple[str, str]], r: random.Random, first: int = 0) -> list[tuple[str, int, list[float]]]:
+    """The same at places (what is before, what is after), which the kinds take in turn, from the one of number ``first`` on."""
+    out = []
+    for i, (before, after) in enumerate(places, first):
+        kind = KINDS[i % len(KINDS)]
+        made, a, b, label = planted(before, after, kind, r)
         within = _within(base_spans(made))
         for k, c, d in loose_spans(made):
             if k == kind and c < b and a < d and not within(c, d):
@@ -289,33 +300,34 @@ def _within(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
     return holds
 
 
+TREES = {"rounds": 80}
+
+
+def _hashes(c: np.ndarray) -> np.ndarray:
+    """56 bits of a hash of each row of codes."""
+    return np.array([int.from_bytes(hashlib.md5(row.tobytes()).digest()[:7], "little") for row in c], np.int64)
+
+
+def _held(c: np.ndarray) -> np.ndarray:
+    """Which rows of codes are for the threshold and not for the trees: a quarter or so, equal rows together."""
+    return _hashes(c) % 4 == 0
+
+
 class Model:
     """Boosted trees over candidates and a threshold, for each kind."""
 
-    def __init__(self, rows: list[tuple[str, int, list[float]]], precision: float = PRECISION):
-        kinds = np.array([ORDER[k] for k, _, _ in rows], int)
-        self._learn(kinds, np.array([v for _, v, _ in rows], float), np.array([f for _, _, f in rows], float) if rows else np.zeros((0, 1)), precision)
-
-    @classmethod
-    def of(cls, examples: pa.Table, precision: float = PRECISION) -> Model:
-        """From a table of kind, y and x, in an order of its own."""
-        model, columns = cls.__new__(cls), examples.combine_chunks()
-        kinds = np.array([ORDER[k] for k in columns.column("kind").to_pylist()], int)
-        y = columns.column("y").to_numpy().astype(float)
-        x = columns.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, 1))
-        order = np.lexsort((*x.T[::-1], y, kinds))
-        model._learn(kinds[order], y[order], x[order], precision)
-        return model
-
-    def _learn(self, kinds: np.ndarray, y: np.ndarray, x: np.ndarray, precision: float) -> None:
-        self.trees, self.thresholds = {}, {}
-        for kind, i in ORDER.items():
-            own = kinds == i
-            mine, label = x[own], y[own]
-            held = np.array([hashlib.md5(f.tobytes()).digest()[0] % 4 == 0 for f in mine], bool)
-            self.trees[kind] = BoostedTrees(rounds=80).fit(mine[~held], label[~held])
-            p = self.trees[kind].probability(mine[held]) if held.any() else np.zeros(0)
-            self.thresholds[kind] = calibrated_threshold(p, label[held], precision)
+    def __init__(self, rows: list[tuple[str, int, list[float]]] = (), precision: float = PRECISION):
+        """From examples in memory."""
+        self.trees, self.thresholds = {k: BoostedTrees(**TREES) for k in KINDS}, {}
+        for kind, tree in self.trees.items():
+            x, y = np.array([f for k, _, f in rows if k == kind], float), np.array([v for k, v, _ in rows if k == kind], int)
+            held = _held(codes(x))
+            tree.fit(x[~held], y[~held])
+            scores = tree.levels(tree.binned(codes(x[held]))) if held.any() and not held.all() else np.zeros(0, int)
+            self._calibrate(kind, scores, y[held][: len(scores)], None, precision)
+
+    def _calibrate(self, kind: str, levels: np.ndarray, y: np.ndarray, n: np.ndarray | None, precision: float) -> None:
+        self.thresholds[kind] = calibrated_threshold(levels / LEVELS, y, precision, n=n)
 
     def scores(self, text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
         """How likely each candidate is personal data."""
@@ -343,23 +355,126 @@ class Model:
         return base, sorted(base + added, key=lambda s: (s[1], ORDER[s[0]]))
 
 
-def fit(docs: DataFrame, most: int = MOST_FIT, precision: float = PRECISION, most_examples: int = MOST_EXAMPLES) -> Model:
-    """The model, from what is planted into about ``most`` distinct texts; of more than about ``most_examples`` examples those of the
-    smallest hashes. A text counts once, however many copies it has."""
+_BLOCK = "kind string, held boolean, y binary, x binary"
+_ROWS = 32  # examples of a row of a table of examples
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [r for t in b.column(0) for r in examples(t.as_py() or "")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["kind", "y", "x"])
 
+def _block(kind: str, held: bool, y: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``_ROWS`` examples each: their labels and their codes or bins, as bytes."""
+    cuts = range(0, len(y), _ROWS)
+    ys, xs = ([np.ascontiguousarray(v[i : i + _ROWS]).tobytes() for i in cuts] for v in (y.astype(np.uint8), x))
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(ys), pa.string()), pa.array([held] * len(ys), pa.bool_()), pa.array(ys, pa.binary()), pa.array(xs, pa.binary())], ["kind", "held", "y", "x"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], of: np.dtype) -> Iterator[tuple[str, bool, np.ndarray, np.ndarray]]:
+    """(kind, held, labels, codes or bins) of a table of examples, at most ``BLOCK`` at a time."""
+    for b in batches:
+        for kind, held in itertools.product(KINDS, (False, True)):
+            rows = b.filter(pc.and_(pc.equal(b.column("kind"), kind), pc.equal(b.column("held"), held)))
+            for i in range(0, rows.num_rows, BLOCK // _ROWS):
+                y, x = (b"".join(rows.column(c).slice(i, BLOCK // _ROWS).to_pylist()) for c in ("y", "x"))
+                y = np.frombuffer(y, np.uint8)
+                yield kind, held, y, np.frombuffer(x, of).reshape(len(y), -1)
+
+
+def _places(docs: DataFrame, each: int) -> DataFrame:
+    """Per distinct text a hash ``h`` and ``each`` places: what is around each one, and where it is in that."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda k: F.pmod(F.xxhash64("h", k), F.col("size") + 1).cast("int"))
+    around = lambda a: F.struct(F.col("text").substr(F.greatest(a - (AROUND - 1), F.lit(1)), F.least(a, F.lit(AROUND)) + AROUND).alias("text"), F.least(a, F.lit(AROUND)).alias("at"))
+    found = docs.withColumn("size", F.length("text")).withColumn("at", at).select("h", F.transform("at", around).alias("places"))
+    return found.groupBy("h").agg(F.first("places").alias("places"))
+
+
+def fit(docs: DataFrame, precision: float = PRECISION, most_examples: int | None = None) -> Model:
+    """The model, from what is planted into all distinct texts of ``docs``; a text counts once, however many copies it has. A caller may
+    ask for about ``most_examples`` examples only.
+
+    What reaches the driver: counts of the codes of each feature (16 bits), sums over nodes and bins of each task, counts of
+    scores in ``LEVELS`` steps. The number of tasks that send sums follows the cluster's cores, not the table.
+    """
+    spark = docs.sparkSession
     base = only(docs, "doc_id", "text").select(F.col("text").cast("string").alias("text")).filter("text is not null").withColumn("h", F.xxhash64("text"))
     n = base.agg(F.approx_count_distinct("h", 0.02)).first()[0]
-    sample = base if n <= most else base.filter(F.pmod("h", F.lit(1 << 30)) < int(most / n * (1 << 30)))
-    found = materialize(sample.dropDuplicates(["h"]).select("text").mapInArrow(run, "kind string, y int, x array<double>"), "examples")
-    n = found.count()
-    taken = found if n <= most_examples else found.filter(F.pmod(F.xxhash64("kind", "y", "x"), F.lit(1 << 20)) < int(most_examples / n * (1 << 20)))
-    return Model.of(taken.toArrow(), precision)
+    each = max(1, min(len(KINDS) * PLANTED, -(-len(KINDS) * ENOUGH // max(1, n))))
+    share = 1.0 if most_examples is None else most_examples / max(1, n * each)
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = {k: [] for k in KINDS}
+
+        def blocks(kind: str) -> Iterator[pa.RecordBatch]:
+            y, x = np.array([r[0] for r in waiting[kind]], np.uint8), codes(np.array([r[1] for r in waiting[kind]]))
+            waiting[kind] = []
+            taken = (_hashes(x) >> 2) / float(1 << 54) < share
+            for held in (False, True):
+                own = taken & (_held(x) == held)
+                if own.any():
+                    yield _block(kind, held, y[own], x[own])
+
+        for b in batches:
+            for h, places in zip(b.column("h"), b.column("places"), strict=True):
+                around = ((p["text"][: p["at"]], p["text"][p["at"] :]) for p in places.as_py())
+                for kind, label, features in examples_at(around, random.Random(h.as_py()), h.as_py() % len(KINDS)):
+                    waiting[kind].append((label, features))
+                    if len(waiting[kind]) == 1024:
+                        yield from blocks(kind)
+        for kind in KINDS:
+            if waiting[kind]:
+                yield from blocks(kind)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, held, y, x in _blocks(batches, np.uint16):
+            if not held:
+                keys, counts = np.unique((np.arange(x.shape[1], dtype=np.int64) << 16) + x, return_counts=True)
+                ones = int(y.sum())  # labels are counted as a feature of number -1
+                feature, code, counts = [*(keys >> 16), -1, -1], [*(keys & 0xFFFF), 0, 1], [*counts, len(y) - ones, ones]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(code)), pa.array(feature, pa.int32()), pa.array(code, pa.int32()), pa.array(counts, pa.int64())], ["kind", "feature", "code", "n"])
+
+    paths = [scratch(spark, name) for name in ("examples", "bins")]
+    _places(base, each).mapInArrow(plant, _BLOCK).write.parquet(paths[0])
+    found = spark.read.schema(_BLOCK).parquet(paths[0])
+    counts = found.mapInArrow(count, "kind string, feature int, code int, n bigint").groupBy("kind", "feature", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    model, growing = Model(), {}
+    for kind, own in counts.sort_values(["feature", "code"]).groupby("kind"):
+        labels = own[own.feature < 0]
+        edges = [quantiles(f.code.to_numpy(np.uint16), f.n.to_numpy(), model.trees[kind].cuts) for _, f in own[own.feature >= 0].groupby("feature")]
+        if model.trees[kind].begin(int(labels.n.sum()), int((labels.n * labels.code).sum()), edges):
+            growing[kind] = model.trees[kind]
+    trees = {k: t for k, t in model.trees.items() if t.edges}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, held, y, x in _blocks(batches, np.uint16):
+            if kind in trees:
+                yield _block(kind, held, y, trees[kind].binned(x).T)
+
+    found.mapInArrow(cut, _BLOCK).write.parquet(paths[1])
+    bins = spark.read.schema(_BLOCK).parquet(paths[1]).coalesce(2 * spark.sparkContext.defaultParallelism)
+
+    def sums(growing: dict[str, BoostedTrees]) -> dict[str, np.ndarray]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {}
+            for kind, _, y, x in _blocks(batches, np.uint8):
+                if kind in growing:
+                    total[kind] = growing[kind].sums(np.ascontiguousarray(x.T), y) + total.get(kind, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["kind", "sums"])
+
+        total = {}
+        for r in bins.filter("not held").mapInArrow(add, "kind string, sums binary").collect():
+            total[r.kind] = np.frombuffer(r.sums, np.int64).reshape(3, -1) + total.get(r.kind, 0)
+        return total
+
+    boost(growing, sums)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, _, y, x in _blocks(batches, np.uint8):
+            levels, n = np.unique(2 * trees[kind].levels(np.ascontiguousarray(x.T)) + y, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n)), pa.array(levels >> 1, pa.int32()), pa.array(levels & 1, pa.int32()), pa.array(n, pa.int64())], ["kind", "level", "y", "n"])
+
+    scores = bins.filter("held").mapInArrow(score, "kind string, level int, y int, n bigint").groupBy("kind", "level", "y").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    for kind, own in scores.groupby("kind"):
+        model._calibrate(kind, own.level.to_numpy(), own.y.to_numpy(), own.n.to_numpy(), precision)
+    for path in paths:
+        discard(spark, path)
+    return model
 
 
 def render(spans: list[tuple[str, int, int]]) -> str:
