@@ -357,6 +357,7 @@ class Model:
 
 _BLOCK = "kind string, held boolean, y binary, x binary"
 _ROWS = 32  # examples of a row of a table of examples
+_TASK = 1 << 16  # examples that are worth a task
 
 
 def _block(kind: str, held: bool, y: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
@@ -390,7 +391,7 @@ def fit(docs: DataFrame, precision: float = PRECISION, most_examples: int | None
     ask for about ``most_examples`` examples only.
 
     What reaches the driver: counts of the codes of each feature (16 bits), sums over nodes and bins of each task, counts of
-    scores in ``LEVELS`` steps. The number of tasks that send sums follows the cluster's cores, not the table.
+    scores in ``LEVELS`` steps. The tasks that send sums are twice the cluster's cores at most.
     """
     spark = docs.sparkSession
     base = only(docs, "doc_id", "text").select(F.col("text").cast("string").alias("text")).filter("text is not null").withColumn("h", F.xxhash64("text"))
@@ -447,7 +448,8 @@ def fit(docs: DataFrame, precision: float = PRECISION, most_examples: int | None
                 yield _block(kind, held, y, trees[kind].binned(x).T)
 
     found.mapInArrow(cut, _BLOCK).write.parquet(paths[1])
-    bins = spark.read.schema(_BLOCK).parquet(paths[1]).coalesce(2 * spark.sparkContext.defaultParallelism)
+    total = int(counts.n[counts.feature < 0].sum())
+    bins = spark.read.schema(_BLOCK).parquet(paths[1]).coalesce(max(1, min(2 * spark.sparkContext.defaultParallelism, total // _TASK)))
 
     def sums(growing: dict[str, BoostedTrees]) -> dict[str, np.ndarray]:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
