@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -56,20 +58,40 @@ def idempotent(requests: DataFrame, ttl_ms: int = TTL_MS, late: str = "1 hour")
     return done.unionByName(cols.filter("key is null").select("id", F.lit("processed").alias("outcome"), F.col("id").alias("answer_of")))
 
 
-def decided(obs: DataFrame, keys: list[str] = observations.KEYS, arrival: str = "arrival") -> DataFrame:  # noqa: B006
+def decided(obs: DataFrame, keys: list[str] = observations.KEYS, arrival: str = "arrival", slots: int = 1024) -> DataFrame:  # noqa: B006
     """ST7: (id, decision) of every arrival, as ``observations.decisions`` has them, in append mode. State is the precedence of what
-    stands for a key: time, value, reference. Within a batch rows arrive in order of ``arrival`` and id, and batches one after the other."""
+    stands for each key: time, value, reference. Within a batch rows arrive in order of ``arrival`` and id, and batches one after the other.
+    Keys are dealt to ``slots`` states by hash, since a state for each key costs a call of Python for every few arrivals; a slot is
+    rewritten when one of its keys gets a row, so ``slots`` is to grow with the keys (thousands a slot)."""
+    of = [f"_key{n}" for n in range(len(keys))]
+    order = ["at_us", "value", "ref"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = tuple(state.get) if state.exists else None
-        ids, out = [], []
-        for r in pd.concat(list(frames)).sort_values(["_arrival", "id"]).itertuples(index=False):
-            own = (r.at_us, r.value, r.ref)
-            out.append("created" if best is None else "updated" if best < own else "equal-precedence" if best == own else "existing-is-newer")
-            best = own if best is None or best < own else best
-            ids.append(r.id)
-        state.update(best)
-        yield pd.DataFrame({"id": ids, "decision": out})
+        rows = pd.concat(list(frames)).sort_values(["_arrival", "id"], na_position="first")
+        held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else rows.iloc[:0]
+        both = pd.concat([held[of + order], rows[of + order]], ignore_index=True) if len(held) else rows[of + order]
+        owner = both.groupby(of, dropna=False, sort=False).ngroup().to_numpy()
+        place = both.groupby(order, sort=True).ngroup().to_numpy()  # of a precedence among all of the slot
+        by = np.argsort(owner, kind="stable")  # what stands, then arrivals in order, key after key
+        own = owner[by] * len(by) + place[by]
+        best = np.maximum.accumulate(own)  # starts anew with each key, as owners ascend
+        first = np.diff(owner[by], prepend=-1) > 0
+        before = np.roll(best, 1)
+        decision = np.select([first, before < own, before == own], ["created", "updated", "equal-precedence"], "existing-is-newer")
+        last = np.roll(first, -1)
+        at = np.empty(len(by), dtype="int64")
+        at[place] = np.arange(len(by))  # a row of each precedence
+        stands = pd.concat([both[of].iloc[by[last]].reset_index(drop=True), both[order].iloc[at[best[last] % len(by)]].reset_index(drop=True)], axis=1)
+        table = pa.Table.from_pandas(stands, preserve_index=False)
+        with pa.BufferOutputStream() as sink:
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+        new = by >= len(held)
+        yield pd.DataFrame({"id": rows["id"].to_numpy()[by[new] - len(held)], "decision": decision[new]})
 
-    rows = obs.select(*keys, "id", F.unix_micros("observed_at").alias("at_us"), "value", F.coalesce("ref", F.lit("")).alias("ref"), F.col(arrival).alias("_arrival"))
-    return rows.groupBy(*keys).applyInPandasWithState(step, "id bigint, decision string", "at_us bigint, value bigint, ref string", "append", GroupStateTimeout.NoTimeout)
+    # keys are texts in Python, as numbers beside nulls would be floats; nulls come first in an order
+    parts = [F.col(c).cast("string").alias(k) for c, k in zip(keys, of, strict=True)]
+    least = lambda c: F.coalesce(c, F.lit(-(2**63)))
+    rows = obs.select(F.pmod(F.xxhash64(*keys), F.lit(slots)).alias("_slot"), *parts, "id", least(F.unix_micros("observed_at")).alias("at_us"), least(F.col("value")).alias("value"), F.coalesce("ref", F.lit("")).alias("ref"), F.col(arrival).alias("_arrival"))
+    return rows.groupBy("_slot").applyInPandasWithState(step, "id bigint, decision string", "stands binary", "append", GroupStateTimeout.NoTimeout)

@@ -100,6 +100,24 @@ def test_arrivals_at_once(spark, tmp_path):
     assert all(x == got[0] for x in got) and got[0][0] == got[0][1] == "created"
 
 
+def test_arrivals_of_many_keys(spark, tmp_path):
+    """A slot holds what stands for many keys, over batches and a restart; parts of keys, times and values may be null."""
+    rng = random.Random(6)
+    schema = "period string, player bigint, metric string, id bigint, observed_at timestamp, value bigint, ref string, arrival bigint"
+    one = lambda i: (rng.choice(["p", "", None]), rng.choice([1, 2**60, 2**60 + 1, None]), rng.choice(["m", None]), i, rng.choice([START, START + dt.timedelta(microseconds=1), None]), rng.choice([-5, 2**60, 2**60 + 1, None]), rng.choice(["a", "\uff5e", "\U0001f600", "", None]), i)
+    rows = [one(i) for i in range(600)]
+    want = {r.id: r.decision for r in observations.decisions(spark.createDataFrame(rows, schema)).collect()}
+    assert set(want.values()) == {"created", "updated", "equal-precedence", "existing-is-newer"}
+    for part, (a, b) in enumerate([(0, 200), (200, 600)]):
+        files(spark, rows[a:b], schema, f"{tmp_path}/in", [150], first=2 * part)
+        out = stateful.decided(read(spark, schema, f"{tmp_path}/in"), slots=3)
+        got = jobs.run_to_table(out, f"{tmp_path}/out", f"{tmp_path}/c", "append").collect()
+    assert {r.id: r.decision for r in got} == want and len(got) == len(want)
+    q = stateful.decided(read(spark, schema, f"{tmp_path}/in"), slots=2).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2  # one for each key before
+
+
 def test_task_changes(spark, tmp_path):
     """A slot holds many tasks, of which each has a state of its own; ids may be null."""
     rng = random.Random(5)
